@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,11 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.content_sort import exact_dedup
 
     return exact_dedup(_table(spark, d, "documents"))
+
+
+@query("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.simhash import near_groups
+
+    found = near_groups(_table(spark, d, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
