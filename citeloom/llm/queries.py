@@ -45,3 +45,12 @@ def op7_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 
     found = near_groups(_table(spark, d, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_token_stream")
+def op8_token_stream(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from citeloom.llm.token_stream import read_digests, write_sequences
+
+    return read_digests(write_sequences(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2))
