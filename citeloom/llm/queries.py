@@ -54,3 +54,15 @@ def op8_token_stream(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.token_stream import read_digests, write_sequences
 
     return read_digests(write_sequences(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    """Per document the ids' number and digest, and the digest of the text decoded from them."""
+    import public_tokenizers
+
+    from citeloom.llm.piece_viterbi import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = decode(encode(_table(spark, d, "documents"), model), model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
