@@ -66,3 +66,13 @@ def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     back = decode(encode(_table(spark, d, "documents"), model), model)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.ppm_language import fit, fold, identify
+
+    docs = _table(spark, d, "documents")
+    model = fit(docs.filter(fold() != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
