@@ -15,7 +15,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def writer(path: str) -> pa.NativeFile:
     where, plain = opened(path)
-    return where.open_output_stream(plain)
+    return where.open_output_stream(plain, compression=None)
 
 
 def reader(path: str) -> pa.NativeFile:

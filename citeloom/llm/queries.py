@@ -76,3 +76,10 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     model = fit(docs.filter(fold() != 1))
     found = identify(docs, model)
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.warc import read_selected, write_archives
+
+    return read_selected(write_archives(_table(spark, d, "pages")))
