@@ -13,6 +13,9 @@ name, and only files named in that table count.
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,21 +31,40 @@ from citeloom.llm.common import safe, shared_dir, written
 from citeloom.llm.files import reader, writer
 
 #: Ids of a sequence, sequences of a record batch, and pieces whose ids a worker remembers.
-LENGTH, ROWS, REMEMBERED = 2048, 256, 2_000_000
+LENGTH, ROWS, REMEMBERED = 2048, 256, 600_000
+_FINAL = np.zeros(256, bool)
+_FINAL[list(b".,;:!?")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
 class Encoder:
-    """A tokenizer whose ids for a text are those of its parts between ASCII white space, one after another.
-
-    That holds if the tokenizer drops white space before its merges and never
-    joins across it; distinct parts are encoded once and then remembered.
+    """A tokenizer that remembers the ids of parts of texts.
+
+    If the tokenizer drops white space and splits words from stops before its
+    merges (``_drops_space``), the ids of a text are those of its parts, one
+    after another; parts end at ASCII white space and before a final stop or
+    comma after an ASCII letter or digit.  Distinct parts are encoded once; those
+    that differ in A-Z only are one, unless a special token may be near.  Parts
+    of lower-case Latin letters alone skip the library's normaliser, which
+    leaves them as they are.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = _drops_space(json.loads(self.tokenizer.to_str()))
         self.wide = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        if self.parts:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            vocab = self.tokenizer.get_vocab()
+            self.final = np.zeros(max(vocab.values()) + 1, bool)
+            self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -50,31 +72,82 @@ class Encoder:
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, self.wide)
 
     def _learn(self, keys: list[int], parts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in found])]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), self.wide)]
+        plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in parts), bool, len(parts))
+        words = [p for p, x in zip(parts, plain, strict=True) if x]
+        joined = [" ".join(words[k : k + 256]).encode().decode("latin-1").translate(_BYTE_CHARS) for k in range(0, len(words), 256)]
+        ids = np.fromiter((i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids), self.wide)
+        ends = np.flatnonzero(self.final[ids]) + 1
+        rest = [e.ids for e in self.tokenizer.encode_batch([p for p, x in zip(parts, plain, strict=True) if not x], add_special_tokens=False)]
+        sizes = np.r_[np.diff(ends, prepend=0), [len(x) for x in rest]].astype(np.int64)
+        if len(sizes) != len(parts):
+            raise ValueError("the tokenizer doesn't end each word with one final piece")
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        self.known.update(zip([keys[k] for k in order], range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
+        self.ids = np.r_[self.ids, ids, np.fromiter((i for x in rest for i in x), self.wide)]
+
+    def _whole(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids + [end] for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), self.wide), np.array([len(x) for x in found], np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the number of ids of each text."""
+        if not self.parts:
+            return self._whole(texts, end)
         data, offsets = B.joined(texts)
-        starts, ends, count = B.words(data, offsets)
-        keys, at, part = np.unique(B.xxh64(B.Spans(data), starts, ends - starts), return_index=True, return_inverse=True)
+        if b"<|" not in (raw := data.tobytes()):
+            data = B.lowered(data)
+            raw = data.tobytes()
+        starts, ends, _ = B.words(data, offsets)
+        starts, ends = _without_stops(data, starts, ends)
+        keys, at, part = np.unique(B.quick(B.Spans(data), starts, ends - starts), return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
         keys = keys.tolist()
         if new := [k for k, key in enumerate(keys) if key not in self.known]:
-            raw = data.tobytes()
             self._learn([keys[k] for k in new], [raw[starts[at[k]] : ends[at[k]]].decode() for k in new])
         slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[part]
         size = self.first[slot + 1] - self.first[slot]
         total = np.r_[0, np.cumsum(size)]
-        bound = np.r_[0, np.cumsum(count)]
+        bound = np.searchsorted(starts, offsets)
         n = total[bound[1:]] - total[bound[:-1]]
         ids = self.ids[np.repeat(self.first[slot] - total[:-1], size) + np.arange(total[-1])]
         return np.insert(ids, np.cumsum(n), end).astype(self.wide), n + 1
 
 
+def _drops_space(config: dict) -> bool:
+    """Whether a tokenizer normalises and splits in the one way for which parts are exact."""
+    normal, pre, model = config["normalizer"] or {}, config["pre_tokenizer"] or {}, config["model"]
+    steps, splits = normal.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and splits[0]["behavior"] == "Removed"
+        and not splits[1]["add_prefix_space"]
+        and not splits[1]["use_regex"]
+        and model["type"] == "BPE"
+        and model["end_of_word_suffix"] == "</w>"
+    )
+
+
+def _without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the last stop or comma after a letter or digit as a part of its own."""
+    cut = _FINAL[data[ends - 1]] & (ends - starts > 1)
+    cut[cut] = _ALNUM[data[ends[cut] - 2]]
+    first = np.arange(len(starts)) + np.cumsum(cut) - cut
+    parts = np.repeat(np.stack([starts, ends]), 1 + cut, axis=1)
+    parts[1, first[cut]] -= 1
+    parts[0, first[cut] + 1] = ends[cut] - 1
+    return parts[0], parts[1]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for a worker, whose later tasks find what it remembers."""
+    return Encoder(path)
+
+
 class _Packer:
     """Writes ids as full sequences; holds at most one record batch."""
 
@@ -122,17 +195,27 @@ class Sequences:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+#: Lower-case Latin letters that no normaliser changes; the characters by which byte-level pieces spell bytes from 128.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_PRINTABLE = [*range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + 33 + k for k, b in enumerate(x for x in range(127, 256) if x not in _PRINTABLE)} | {b: b for b in _PRINTABLE}
+
+
 def _encode_and_write(folder: str, tokenizer: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, packer, at = f"{folder}/{uuid.uuid4().hex}.arrow", None, 0
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         kept = []
         for b in batches:
-            ids, n = coder.encode(b.column("text"), end)
-            packer = packer or _Packer(path, coder.wide, length)
-            packer.add(ids)
+            sizes = []
+            for texts in B.slices(b.column("text")):
+                ids, n = coder.encode(texts, end)
+                packer = packer or _Packer(path, coder.wide, length)
+                packer.add(ids)
+                sizes.append(n)
+            n = np.concatenate([*sizes, np.zeros(0, np.int64)])
             kept.append((b.column("doc_id"), at + np.cumsum(n) - n, n))
-            at += len(ids)
+            at += int(n.sum())
         if packer:
             packer.close()  # the entries follow the whole file
         for doc_id, start, n in kept:
