@@ -1,8 +1,9 @@
 """SentencePiece encoding as batched numpy Viterbi, and decoding.
 
 A text is split where a run of space marks begins, since no piece has a space
-mark after another character (checked when a model is loaded); the best
-segmentation of a text is then that of its words, one after another.  Distinct
+mark after another character (checked when a model is loaded), and around
+characters that are in no piece; the best segmentation of a text is then that of
+its words, one after another.  Distinct
 words of equal length advance together: hashes of all their substrings probe the
 sorted keys of the pieces, and at each position a maximum over the lengths of
 the last piece stores the backpointer.  Ties take the longest last piece.
@@ -14,6 +15,7 @@ pieces and scores are used, its order of merges isn't.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from citeloom.llm.simhash import _mixed
 
 MARK, SPACE = 0x2581, 0x20
 #: Words up to this length advance together; longer ones, never remembered, go one by one.
-TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 1_500_000, 2_000_000, 10.0
+TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 1_500_000, 500_000, 10.0
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -76,8 +78,14 @@ class Pieces:
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         self.scores = np.array([m.get_score(int(i)) for i in self.ids])
         self.lengths = np.array([len(m.id_to_piece(int(i))) for i in self.ids])
-        self.raw = [b"" if special[i] else bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-        self.raw[self.unknown] = " ⁇ ".encode()
+        self.inside = np.zeros(0x110000, bool)
+        self.inside[[ord(c) for p in self.text for c in p]] = True
+        self.bucket = np.searchsorted(self.keys, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
+        self.steps = int(np.diff(np.r_[self.bucket, len(self.keys)]).max())
+        self.tail = np.r_[self.keys, np.zeros(self.steps, np.uint64)]
+        raw = [b"" if special[i] else bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        raw[self.unknown] = " ⁇ ".encode()
+        self.raw = pa.array(raw, pa.large_binary())
         self._forget()
 
     def _forget(self) -> None:
@@ -87,6 +95,14 @@ class Pieces:
     def _fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
+    def probe(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The place of each substring among the sorted keys, or -1; a key's first bits say where to look."""
+        at = self.bucket[(key >> np.uint64(47)).astype(np.int64)]
+        out = np.full(key.shape, -1, np.int64)
+        for k in range(self.steps):
+            out = np.where(self.tail[at + k] == key, at + k, out)
+        return np.where(self.lengths[out] == size, out, -1)
+
     def one(self, word: str) -> list[int]:
         """The plain form of the same search, for very long words."""
         best, back = [0.0] + [-np.inf] * len(word), [(0, -1)] * (len(word) + 1)
@@ -106,8 +122,8 @@ class Pieces:
             at = i
         return [x for part in reversed(out) for x in part]
 
-    def together(self, codes: np.ndarray) -> list[np.ndarray]:
-        """The ids of each word; codes: the code points of (words, length)."""
+    def together(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and each word's number of ids; codes: the code points of (words, length)."""
         n, length = codes.shape
         sums = _sums(codes)
         best, back = np.full((n, length + 1), -np.inf), np.zeros((n, length + 1), np.int16)
@@ -117,36 +133,44 @@ class Pieces:
             sizes = np.arange(min(self.longest, j), 0, -1)
             with np.errstate(over="ignore"):
                 key = (sums[:, j, None] - sums[:, j - sizes]) * _DOWN[j - sizes][None, :]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (self.lengths[at] == sizes[None, :])
+            at = self.probe(key, sizes[None, :])
+            hit = at >= 0
             score = np.where(hit, self.scores[at], -np.inf)
             score[:, -1] = np.where(hit[:, -1], score[:, -1], self.bottom)
             total = best[:, j - sizes] + score
             pick = np.argmax(total, axis=1)
             row = np.arange(n)
             best[:, j], back[:, j] = total[row, pick], sizes[pick]
-            piece[:, j] = np.where(hit[row, pick], self.ids[at[row, pick]], -1)
+            piece[:, j] = np.where(hit[row, pick], self.ids[at[row, pick]], -codes[:, j - 1].astype(np.int32) - 2)
         steps, at, row = [], np.full(n, length), np.arange(n)
         while at.any():
-            steps.append(np.where(at > 0, piece[row, at], -2))
+            steps.append(np.where(at > 0, piece[row, at], -1))
             at = np.where(at > 0, at - back[row, at], 0)
         found = np.stack(steps[::-1], axis=1)
-        odd = (found == -1).any(axis=1)
-        out = np.split(found[found != -2], np.cumsum((found != -2).sum(axis=1))[:-1])
-        for k in np.flatnonzero(odd):
-            out[k] = np.array(self.one("".join(map(chr, codes[k]))), np.int32)
-        return out
+        count = (found != -1).sum(axis=1)
+        flat = found[found != -1]
+        if not len(odd := np.flatnonzero(flat < 0)):
+            return flat, count
+        fallback = [self._fallback(chr(-2 - c)) for c in flat[odd].tolist()]
+        times = np.ones(len(flat), np.int64)
+        times[odd] = [len(x) for x in fallback]
+        word = np.repeat(np.arange(n), count)
+        flat = np.repeat(flat, times)
+        flat[flat < 0] = np.fromiter((i for x in fallback for i in x), np.int32)
+        return flat, np.bincount(word, weights=times, minlength=n).astype(np.int64)
 
     def _learn(self, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        firsts, flats = [self.first], [self.flat]
         for size in np.unique(sizes).tolist():
             of = np.flatnonzero(sizes == size)
             step = max(1, PROBES // (size * self.longest))
             for lo in range(0, len(of), step):
                 part = of[lo : lo + step]
-                found = self.together(codes[starts[part][:, None] + np.arange(size)])
+                ids, count = self.together(codes[starts[part][:, None] + np.arange(size)])
                 self.known.update(zip(keys[part].tolist(), range(len(self.known), len(self.known) + len(part)), strict=True))
-                self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in found])]
-                self.flat = np.concatenate([self.flat, *found])
+                firsts.append(firsts[-1][-1] + np.cumsum(count))
+                flats.append(ids)
+        self.first, self.flat = np.concatenate(firsts), np.concatenate(flats)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -156,6 +180,9 @@ class Pieces:
         mark = codes == MARK
         begins = mark.copy()
         begins[1:] &= ~mark[:-1]
+        alone = ~self.inside[codes]
+        begins |= alone
+        begins[1:] |= alone[:-1]
         begins[bound[:-1][bound[:-1] < len(codes)]] = True  # a text's first code point
         starts = np.flatnonzero(begins)
         sizes = np.diff(np.r_[starts, len(codes)])
@@ -189,9 +216,20 @@ class Pieces:
         words = np.searchsorted(starts, bound)
         return ids, total[words[1:]] - total[words[:-1]]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list of ids; without ids it is empty."""
+        bound = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        flat = ids.values.slice(bound[0], bound[-1] - bound[0])
+        joined = self.raw.take(flat)
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset + bound - bound[0]] if len(joined) else np.zeros(len(bound), np.int64)
+        data = joined.buffers()[2].to_pybytes() if len(joined) else b""
+        return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+@functools.lru_cache(maxsize=1)
+def pieces(path: str) -> Pieces:
+    """One for a worker, whose later tasks find what it remembers."""
+    return Pieces(path)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +242,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        coder = pieces(model)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             lo = 0
@@ -213,7 +251,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 4_000_000):
                     chars += len(texts[hi])
                     hi += 1
-                ids, n = pieces.encode(texts[lo:hi])
+                ids, n = coder.encode(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
                 lo = hi
 
@@ -224,11 +262,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The columns of ``encoded`` (doc_id, ids) and the text that the ids give; without ids it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        coder = pieces(model)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                texts = [pieces.decode(x or []) for x in part.column("ids").to_pylist()]
+                texts = coder.decode(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

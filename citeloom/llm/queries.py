@@ -65,7 +65,7 @@ def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     back = decode(encode(_table(spark, d, "documents"), model), model)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 @query("op5_language_id")
@@ -83,3 +83,10 @@ def op6_warc(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.warc import read_selected, write_archives
 
     return read_selected(write_archives(_table(spark, d, "pages")))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.anisotropic import search
+
+    return search(_table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
