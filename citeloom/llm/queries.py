@@ -90,3 +90,10 @@ def op4_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.anisotropic import search
 
     return search(_table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op1_kd_shards")
+def op1_kd_shards(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.kd_shards import shard
+
+    return shard(_table(spark, d, "documents"), shards=40)
