@@ -97,3 +97,33 @@ def op1_kd_shards(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.kd_shards import shard
 
     return shard(_table(spark, d, "documents"), shards=40)
+
+
+@query("op3_entropy_mix")
+def op3_entropy_mix(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.entropy_mix import mix
+
+    return mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+
+
+# The template's lengths are known; the digests are those of the table itself.
+@query(
+    "op2_chat_format",
+    r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(text, '\', '\b')) + length(regexp_replace(text, '<(/?turn|image|audio|document)', '\\l\1', 'g')) - length(text) AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(body + length(role) + 15) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+)
+def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm import chat_format as C
+
+    turns = _table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema))
+    chats = C.format_chats(turns.select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts")))
+    back, loss = C.read_turns(F.col("formatted")), C.read_loss(F.col("formatted"), F.col("loss_mask"))
+    whole = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
