@@ -16,6 +16,7 @@ by smaller ones.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +87,42 @@ def solve(counts: DataFrame, sources: list[dict], most: float) -> None:
             s["lam"] = step
 
 
-def mix(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken, and ``row``, which tells rows of one id apart by text.
+@dataclass
+class Mix:
+    """A fitted mix: what turns a row's source, size and hash into copies."""
 
-    size counts the words of a text (null: 0).  ``weights`` by source; without
-    them they are 1, 2, 3 in turn over the sources by code point, null last.
-    taken is copies times size, at most ``most`` times the size; a document
-    without words stays once and takes nothing.  The same input gives the same
-    copies in any order; repeated rows get equal copies.  A null source is a
-    source.  An empty table gives no rows; other columns are ignored.
-    """
+    sources: list[dict]
+    cuts: list[tuple]
+    most: int
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """rows (source, size, row, ...) with source_size, target, rate and copies; nothing is shuffled."""
+        spark = rows.sparkSession
+        cuts = spark.createDataFrame(self.cuts, "of string, k long, cut long")  # some ten classes for each source
+        per_source = spark.createDataFrame([(s["source"], int(s["size"]), float(s["target"])) for s in self.sources], "source string, source_size long, target double")
+        rated = _rated(rows, self.sources, self.most)
+        done = rated.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("k")), "left").drop("of", "k")
+        extra = F.coalesce((F.col("late") < F.col("cut")).cast("int"), F.lit(0))
+        done = done.withColumn("copies", (F.floor("rate") + extra).cast("int"))
+        return _on_source(done, per_source).drop("lam", "scale", "full", "part", "late", "class", "cut")
+
+
+def _rated(rows: DataFrame, sources: list[dict], most: int) -> DataFrame:
+    """Adds the rate; part: its fraction; late: how far the row's hash is above that; class: of its size."""
+    rated = _on_source(rows, _params(rows, sources)).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(1.0))
+    part = F.col("rate") - F.floor("rate")
+    lucky = F.pmod(F.xxhash64("row", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return rated.withColumns({"part": part, "late": F.when(part > 0, F.floor((lucky - part) * BINS)), "class": F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)})
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Column]:
+    """source, size and row of each document as columns."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row")))
+    return [F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row")]
+
+
+def fit(base: DataFrame, weights: dict | None = None, most: int = 3) -> Mix:
+    """Solves for the rates and their rounding; base: source, size and row of each document, read several times."""
     counts = written(base.groupBy("source", "size").agg(F.count("*").alias("n")))
     found = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("square")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -108,23 +133,37 @@ def mix(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str
     for s in sources:
         s["done"] |= s["full"]
     solve(counts, sources, most)
-    rated = _on_source(base, _params(base, sources)).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(1.0))
-    whole = F.floor("rate")
-    lucky = F.pmod(F.xxhash64("row", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # Late rows have their hash far above the fractional part.
-    rated = rated.withColumns({"part": F.col("rate") - whole, "late": F.when(F.col("rate") > whole, F.floor((lucky - (F.col("rate") - whole)) * BINS)), "class": F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)})
+    rated, whole = _rated(base, sources, most), F.floor("rate")
     cells = rated.filter("size > 0").groupBy("source", "class", "late").agg(F.sum("size").alias("words"), F.sum(whole * F.col("size")).alias("sure"), F.sum(F.col("part") * F.col("size")).alias("more")).collect()
-    cuts = _cuts(rated, sources, cells)
-    extra = (F.col("late") < F.col("cut")).cast("long")
-    per_source = base.sparkSession.createDataFrame([(s["source"], int(s["size"]), float(s["target"])) for s in sources], "source string, source_size long, target double")
-    done = rated.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("k")), "left").drop("of", "k")  # ten classes for each source, about
-    copies = (whole + F.coalesce(extra, F.lit(0))).cast("int")
-    done = _on_source(done.withColumn("copies", copies), per_source)
-    return done.select("doc_id", "source", "row", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return Mix(sources, _cuts(sources, cells), most)
+
+
+def mix(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken, one row per document.
+
+    size counts the words of a text (null: 0).  ``weights`` by source; without
+    them they are 1, 2, 3 in turn over the sources by code point, null last.
+    taken is copies times size, at most ``most`` times the size; a document
+    without words stays once and takes nothing.  The same input gives the same
+    copies in any order; repeated rows get equal copies.  A null source is a
+    source.  An empty table gives no rows; other columns are ignored.
+    """
+    base = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), *sized(docs, id_col, text_col, source_col)))
+    done = fit(base, weights, most).applied(base)
+    return done.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; texts aren't shuffled."""
+    key = sized(docs, id_col, text_col, source_col)
+    found = fit(written(docs.select(*key)), weights, most)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = found.applied(docs.select(whole.alias("document"), *key)).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return rows.select("document.*")
 
 
-def _cuts(rated: DataFrame, sources: list[dict], cells: list) -> DataFrame:
-    """of, k, cut: rows of a source's class get a further copy if ``late`` is below the cut."""
+def _cuts(sources: list[dict], cells: list) -> list[tuple]:
+    """Source, class, cut: rows of a source's class get a further copy if ``late`` is below the cut."""
     by: dict = {}
     for c in cells:
         by.setdefault(c.source, {}).setdefault(c["class"], []).append(c)
@@ -142,4 +181,4 @@ def _cuts(rated: DataFrame, sources: list[dict], cells: list) -> DataFrame:
                 got, cut = got + c.words, c.late + 1
             open_words -= got
             rows.append((s["source"], int(k), int(cut)))
-    return rated.sparkSession.createDataFrame(rows, "of string, k long, cut long")
+    return rows

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
 from citeloom.llm.common import safe
-from citeloom.llm.simhash import _pieces
 
 #: The longest context; strings longer than RARE bytes are kept if seen twice.
 ORDER, RARE, CHUNK = 4, 3, 1 << 20
@@ -174,9 +173,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = shared.value
         names = np.array([*m.langs, UNDETERMINED], object)
         for b in batches:
-            texts = b.column("text")
-            for lo, n in _pieces(texts):
-                part = texts.slice(lo, n)
+            lo = 0
+            for part in B.slices(b.column("text")):
+                n = len(part)
+                lo += n
                 known = np.array(part.is_valid()) & bool(m.langs)
                 if m.langs:
                     bits, size = m.bits(part)
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 else:
                     best, score, rate = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
                 pred = names[np.where(known, best, len(m.langs))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=~known)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=~known)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 

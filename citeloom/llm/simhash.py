@@ -80,24 +80,15 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
 def _hash_batches(words: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text")
-            for lo, n in _pieces(texts):
-                fp = fingerprints_of(texts.slice(lo, n), words, lanes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(lanes))], names=["doc_id", *(f"fp{k}" for k in range(lanes))])
+            lo = 0
+            for texts in B.slices(b.column("text")):
+                n, fp = len(texts), fingerprints_of(texts, words, lanes).view(np.int64)
+                lo += n
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(lanes))], names=["doc_id", *(f"fp{k}" for k in range(lanes))])
 
     return run
 
 
-def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Slices of a batch of about so many bytes, one text at least."""
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
-        yield lo, min(hi, len(texts)) - lo
-        lo = hi
-
-
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp0 ... : the fingerprint of every whole text; null and texts without a word get zero."""
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
@@ -172,8 +163,8 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def link(points: np.ndarray, own: np.ndarray, query: np.ndarray, radius: int, forest: _Forest) -> None:
-    """Unites all pairs within the radius that have one point in own and the other in own or query."""
+def link(points: np.ndarray, own: np.ndarray, query: np.ndarray, radius: int, first: int, forest: _Forest) -> None:
+    """Unites all pairs within the radius, and ``first`` in the first lane, that have one point in own and the other in own or query."""
     rng = np.random.default_rng(len(own))
     stack = [(own, query)]
     while stack:
@@ -182,25 +173,25 @@ def link(points: np.ndarray, own: np.ndarray, query: np.ndarray, radius: int, fo
             continue
         cut = _split(points[own[rng.choice(len(own), min(len(own), 256), replace=False)]], rng) if len(own) > BLOCK else None
         if cut is None:
-            _compare(points, own, query, radius, forest)
+            _compare(points, own, query, radius, first, forest)
             continue
         d, q = _distance(points[own], cut[0]), _distance(points[query], cut[0])
         left = d <= cut[1]
         near = own[left & (d > cut[1] - radius)]
         if len(near) + (q <= cut[1] + radius).sum() + (q > cut[1] - radius).sum() > 0.9 * (len(own) + 2 * len(query)) and 2 * min(left.sum(), (~left).sum()) < 0.9 * len(own):
-            _compare(points, own, query, radius, forest)  # nothing is pruned here
+            _compare(points, own, query, radius, first, forest)  # nothing is pruned here
             continue
         stack.append((own[left], query[q <= cut[1] + radius]))
         stack.append((own[~left], np.r_[near, query[q > cut[1] - radius]]))
 
 
-def _compare(points: np.ndarray, own: np.ndarray, query: np.ndarray, radius: int, forest: _Forest) -> None:
+def _compare(points: np.ndarray, own: np.ndarray, query: np.ndarray, radius: int, first: int, forest: _Forest) -> None:
     everyone = np.r_[own, query]
     for lo in range(0, len(own), BLOCK):
         rows, cols = own[lo : lo + BLOCK], everyone[lo:]  # each pair of own points once
         for c in range(0, len(cols), 16 * BLOCK):
             some = cols[c : c + 16 * BLOCK]
-            near = np.bitwise_count(points[rows, 0][:, None] ^ points[some, 0][None, :]) <= radius
+            near = np.bitwise_count(points[rows, 0][:, None] ^ points[some, 0][None, :]) <= first
             i, j = np.nonzero(near)
             if points.shape[1] > 1:
                 ok = _distance(points[rows[i]], points[some[j]]) <= radius
@@ -208,13 +199,13 @@ def _compare(points: np.ndarray, own: np.ndarray, query: np.ndarray, radius: int
             forest.unite(rows[i], some[j])
 
 
-def _link_shard(lanes: int, radius: int):
+def _link_shard(lanes: int, radius: int, first: int):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", kind="stable").reset_index(drop=True)  # roots are smallest nodes
         points = part[[f"fp{k}" for k in range(lanes)]].to_numpy(np.int64).view(np.uint64)
         own = part["own"].to_numpy()
         forest = _Forest(len(part))
-        link(points, np.flatnonzero(own), np.flatnonzero(~own), radius, forest)
+        link(points, np.flatnonzero(own), np.flatnonzero(~own), radius, first, forest)
         node, root = part["node"].to_numpy(), forest.root(np.arange(len(part)))
         moved = root != np.arange(len(part))
         return pd.DataFrame({"src": node[moved], "dst": node[root[moved]]})
@@ -222,8 +213,8 @@ def _link_shard(lanes: int, radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, lanes: int = 1, shard_size: int = 3000) -> DataFrame:
-    """Links (src, dst) that connect all nodes whose distinct fingerprints differ in at most radius bits."""
+def near_links(nodes: DataFrame, radius: int, lanes: int = 1, first: int | None = None, shard_size: int = 3000) -> DataFrame:
+    """Links (src, dst) that connect all nodes whose distinct fingerprints differ in at most radius bits, and in at most ``first`` of the first lane."""
     cols = [f"fp{k}" for k in range(lanes)]
     n = nodes.count()
     shards = max(1, min(MAX_SHARDS, math.ceil(n / shard_size)))
@@ -238,12 +229,16 @@ def near_links(nodes: DataFrame, radius: int, lanes: int = 1, shard_size: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.arange(len(at)) < len(own)), *(b.column(c).take(pa.array(at)) for c in ["node", *cols])], names=["shard", "own", "node", *cols])
 
     routed = nodes.select("node", *cols).mapInArrow(route, "shard int, own boolean, node long, " + ", ".join(f"{c} long" for c in cols))
-    return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius), "src long, dst long")
+    return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius, radius if first is None else first), "src long, dst long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp0 ..., component_id: the smallest id reachable over links of fingerprints within the radius.
 
+    ``first`` further bounds the bits that differ in the first lane.  A radius
+    that is a large part of the bits prunes little: then few large shards
+    (``shard_size``) cost less than many that each see most fingerprints.
+
     One row per input row, repeated rows too.  A null id gets a null
     component.  Null and empty texts have fingerprint zero and link like any
     other.  An empty table gives no rows; other columns are ignored.
@@ -251,6 +246,6 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1
     cols = [f"fp{k}" for k in range(lanes)]
     hashed = written(fingerprints(docs, words, lanes, id_col, text_col))
     nodes = written(hashed.filter("doc_id is not null").groupBy(*cols).agg(F.min("doc_id").cast("long").alias("node")))
-    roots = components(near_links(nodes, radius, lanes))
+    roots = components(near_links(nodes, radius, lanes, first, shard_size))
     labels = nodes.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("component_id"))
     return hashed.join(labels, cols, "left").select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
