@@ -1,10 +1,12 @@
-"""Relational citation-graph operators: co-citation, coupling, shared references, chains."""
+"""Relational citation-graph operators: co-citation, coupling, shared references, chains, components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.sources.store import cut
+
 
 def co_cited_pairs(edges: DataFrame, papers: DataFrame, min_count: int = 2, limit: int = 20) -> DataFrame:
     """The pairs of papers that most papers cite together."""
@@ -21,3 +23,90 @@ def co_cited_pairs(edges: DataFrame, papers: DataFrame, min_count: int = 2, limi
     )
     t = papers.select("paper_id", "title")
     return pairs.join(t.toDF("cited_a", "title_a"), "cited_a").join(t.toDF("cited_b", "title_b"), "cited_b").select("cited_a", "cited_b", "n_citers", "title_a", "title_b")
+
+
+def _overlap(edges: DataFrame, near: str, far: str, seeds: list, min_count: int, limit: int, name: str) -> DataFrame:
+    """Others that share a ``near`` end with a seed; with several seeds, with each of them somewhere."""
+    seeds = sorted(set(seeds))
+    e = edges.select(near, far).distinct()
+    mine = e.filter(F.col(far).isin(seeds)).withColumnRenamed(far, "seed")  # reaches the scan; small beside the edges
+    found = e.filter(~F.col(far).isin(seeds)).join(mine, near).groupBy(F.col(far).alias("paper_id")).agg(F.count_distinct(near).alias(name), F.count_distinct("seed").alias("_seeds"))
+    return found.filter((F.col("_seeds") == len(seeds)) & (F.col(name) >= min_count)).drop("_seeds").orderBy(F.desc(name), "paper_id").limit(limit)
+
+
+def co_cited(edges: DataFrame, seeds: list, min_count: int = 2, limit: int = 20) -> DataFrame:
+    """paper_id, n_citers: papers cited together with every seed, by distinct citers of any seed."""
+    return _overlap(edges, "citing_id", "cited_id", seeds, min_count, limit, "n_citers")
+
+
+def bib_coupling(edges: DataFrame, seeds: list, min_count: int = 2, limit: int = 20) -> DataFrame:
+    """paper_id, n_shared: papers that share references with every seed."""
+    return _overlap(edges, "cited_id", "citing_id", seeds, min_count, limit, "n_shared")
+
+
+def _common(pairs: DataFrame, member: str, of: str, wanted: list) -> DataFrame:
+    """Relational division: the members related to all wanted."""
+    wanted = sorted(set(wanted))
+    return pairs.filter(F.col(of).isin(wanted)).groupBy(member).agg(F.count_distinct(of).alias("_n")).filter(F.col("_n") == len(wanted)).select(F.col(member).alias("paper_id"))
+
+
+def shared_refs(edges: DataFrame, ids: list) -> DataFrame:
+    """What all ids cite."""
+    return _common(edges, "cited_id", "citing_id", ids)
+
+
+def common_citers(edges: DataFrame, ids: list) -> DataFrame:
+    """What cites all ids."""
+    return _common(edges, "citing_id", "cited_id", ids)
+
+
+def shared_papers(paper_authors: DataFrame, author_ids: list) -> DataFrame:
+    """Papers by all authors; an id given twice counts once."""
+    return _common(paper_authors, "paper_id", "author_id", author_ids)
+
+
+def coauthors(paper_authors: DataFrame, author_id) -> DataFrame:
+    """author_id, n_shared: others by the papers they share."""
+    mine = paper_authors.filter(F.col("author_id") == author_id).select("paper_id").distinct()
+    return paper_authors.filter(F.col("author_id") != author_id).join(mine, "paper_id", "left_semi").groupBy("author_id").agg(F.count_distinct("paper_id").alias("n_shared"))
+
+
+def chain(edges: DataFrame, start, depth: int = 2) -> DataFrame:
+    """citing_id, depth: papers that cite the start over so many steps; once for each depth at which they are reached.
+
+    One join for each level, deduplicated at once, so that many paths to a paper
+    don't multiply.
+    """
+    e = edges.select("citing_id", "cited_id").distinct()
+    level = e.filter(F.col("cited_id") == start).select("citing_id")
+    found = level.withColumn("depth", F.lit(1))
+    for d in range(2, depth + 1):
+        level = e.join(level.withColumnRenamed("citing_id", "cited_id"), "cited_id").select("citing_id").distinct()
+        found = found.unionByName(level.withColumn("depth", F.lit(d)))
+    return found
+
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, root: the smallest node of the component of each node of an edge.
+
+    Each round takes the least label among neighbours and then that label's own
+    label, so a path shrinks by half; rounds are written, one number reaches the
+    driver.
+    """
+    both = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        least = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        jump = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        labels = cut(least.join(jump, "root", "left").select("node", "old", F.coalesce("up", "root").alias("root")))
+        if not labels.filter("old <> root").limit(1).count():
+            return labels.select("node", "root")
+        labels = labels.select("node", "root")
+
+
+def orientation(edges: DataFrame, kind: str = "directed") -> DataFrame:
+    """Distinct edges as given, reversed, or both ways."""
+    e = edges.select("citing_id", "cited_id")
+    flipped = edges.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))
+    return {"directed": lambda: e, "reverse": lambda: flipped, "undirected": lambda: e.unionByName(flipped)}[kind]().distinct()

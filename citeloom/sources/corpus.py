@@ -79,3 +79,60 @@ def with_views(*names: str, recursive: bool = False) -> str:
     """The WITH clause that defines the named relations, in order."""
     need = [n for n in VIEWS_SQL if n in names or n == "pairs" and {"edges", "contexts"} & {*names}]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({VIEWS_SQL[n]})" for n in need)
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, pos, heading, summary: the turns of a conversation."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("pos"), F.col("role").alias("heading"), F.col("text").alias("summary"))
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, field, value: three columns of a part as rows."""
+    fields = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), F.explode(fields).alias("field", "value"))
+
+
+def keyed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, title, author_key, doi: papers with keys that several of them share."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("paper_id"), F.col("p_name").alias("title"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("author_key"), F.when(k % 2 == 0, F.concat(F.lit("D"), F.floor(k / 4).cast("string"))).alias("doi"))
+
+
+def full_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with everything that pair scores look at."""
+    e = edges(spark, sf_dir)
+    out = e.groupBy(F.col("citing_id").alias("paper_id")).agg(F.collect_set(F.col("cited_id").cast("string")).alias("cites"))
+    back = e.groupBy(F.col("cited_id").alias("paper_id")).agg(F.collect_set(F.col("citing_id").cast("string")).alias("cited_by"))
+    names = paper_authors(spark, sf_dir).groupBy("paper_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("Name"), (F.col("author_id") % 40).cast("string"), F.lit(", A.")))).alias("authors"))
+    p = keyed_papers(spark, sf_dir).join(papers(spark, sf_dir).select("paper_id", "year", "type", "abstract"), "paper_id")
+    p = p.withColumn("title", F.concat_ws(" ", "title", F.lit("a study of"), "author_key")).withColumn("s2_id", F.lit(None).cast("string"))
+    return p.join(out, "paper_id", "left").join(back, "paper_id", "left").join(names, "paper_id", "left").fillna({"doi": ""})
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alias, target: chains of several steps."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").filter((k % 7 == 0) & (k > 0)).select(k.alias("alias"), F.floor(k / 3).cast("long").alias("target"))
+
+
+def paper_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers as documents with lists that disagree, some superseded."""
+    e = edges(spark, sf_dir)
+    out = e.filter("(citing_id + cited_id) % 5 <> 0").groupBy(F.col("citing_id").alias("key")).agg(F.collect_set("cited_id").alias("cites"))
+    back = e.filter("(citing_id + cited_id) % 3 <> 0").groupBy(F.col("cited_id").alias("key")).agg(F.collect_set("citing_id").alias("cited_by"))
+    p = papers(spark, sf_dir).select(F.col("paper_id").alias("key"), "type", "title", F.when((F.col("paper_id") % 11 == 5) & (F.col("paper_id") > 5), F.col("paper_id") - 1).cast("string").alias("superseded_by"))
+    return p.join(out, "key", "left").join(back, "key", "left").select("key", "type", "title", "superseded_by", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("cites", "cited_by")])
+
+
+def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, name: author strings with initials and first names."""
+    s = F.col("l_suppkey")
+    first = F.when(s % 3 == 0, "A.").when(s % 3 == 1, "Anna B.").otherwise("C. D.")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("paper_id"), F.concat(F.lit("Name"), (s % 40).cast("string"), F.lit(", "), first).alias("name"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with lines as findings: their parts are the papers, their priority the tag."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("finding_id")).agg(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda p: F.struct(p.alias("paper_id"), F.lit("").alias("note"))).alias("papers"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("question"), F.lit("").alias("summary"), F.array("o_orderpriority").alias("tags"))
+    return o.join(lines, "finding_id")
