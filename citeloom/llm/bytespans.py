@@ -50,7 +50,7 @@ def compacted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return out, at
 
 
-def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[pa.Array]:
     """Consecutive slices of about so many bytes, one text at least; null takes no bytes."""
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     lo = 0

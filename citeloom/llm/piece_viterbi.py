@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citeloom.llm.common import safe
+from citeloom.llm import bytespans as B
+from citeloom.llm.common import lean, safe
 from citeloom.llm.simhash import _mixed
 
 MARK, SPACE = 0x2581, 0x20
 #: Words up to this length advance together; longer ones, never remembered, go one by one.
-TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 1_500_000, 500_000, 10.0
+TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 750_000, 300_000, 10.0
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -232,30 +233,37 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of every whole text, one row per input row.
+def _texts(column: pa.Array) -> Iterator[list[str]]:
+    for part in B.slices(column):
+        yield [t or "" for t in part.to_pylist()]
 
-    Null and empty texts have no ids.  Characters outside the model become byte
-    pieces, or the unknown piece if the model has none.  Repeated rows stay
-    repeated; an empty table gives no rows; other columns are ignored.
+
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encode(docs: DataFrame, model: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the ids of every whole text, one row per input row; if asked, also ``text``, decoded from the ids at once.
+
+    Null and empty texts have no ids and decode to an empty text.  Characters
+    outside the model become byte pieces, or the unknown piece if the model has
+    none.  Decoding gives the text back exactly, unless it holds the space mark
+    itself, which becomes a space.  Repeated rows stay repeated; an empty table
+    gives no rows; other columns are ignored.
     """
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
             lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 4_000_000):
-                    chars += len(texts[hi])
-                    hi += 1
-                ids, n = coder.encode(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
-                lo = hi
+            for texts in _texts(b.column("text")):
+                ids = _lists(*coder.encode(texts))
+                columns = {"doc_id": b.column("doc_id").slice(lo, len(texts)), "ids": ids} | ({"text": pa.array(coder.decode(ids), pa.string())} if decoded else {})
+                yield pa.RecordBatch.from_pydict(columns)
+                lo += len(texts)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -270,4 +278,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, text string")

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import safe
+from citeloom.llm.common import lean, safe
 
 #: The longest context; strings longer than RARE bytes are kept if seen twice.
-ORDER, RARE, CHUNK = 4, 3, 1 << 20
+ORDER, RARE, CHUNK = 4, 3, 1 << 18
 UNKNOWN_BITS = 8.0
 UNDETERMINED = "und"
 
@@ -58,7 +58,6 @@ class Model:
         dead, root = len(self.child) - 1, 0
         out = np.zeros((len(texts), len(self.langs)))
         before = [np.full(ORDER, dead), root]  # deepest nodes at the end of the last chunk
-        text_of = np.repeat(np.arange(len(texts)), size + 1)
         for lo in range(0, len(sym), CHUNK):
             s = sym[lo : lo + CHUNK]
             level = self.child[root][s]
@@ -70,8 +69,9 @@ class Model:
                 match = np.where(level == dead, match, level)
             cost = self.escapes[np.r_[before[1], context[:-1]]] + self.rest[match]
             cost[s == self.child.shape[1] - 1] = 0
-            first = np.flatnonzero(np.diff(t := text_of[lo : lo + CHUNK], prepend=-1))
-            out[t[first]] += np.add.reduceat(cost, first, axis=0, dtype=np.float64)
+            # The texts that this chunk has a part of.
+            a, b = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, lo + len(s))
+            out[a:b] += np.add.reduceat(cost, np.maximum(offsets[a:b] - lo, 0), axis=0, dtype=np.float64)
             before = [np.array(ends[:ORDER]), context[-1]]
         return out, size
 
@@ -86,9 +86,9 @@ def train(samples: dict[str, list[str]]) -> Model:
     room = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) + 1  # bytes of the text up to here
     seen = np.unique(data)
     unknown, stop = len(seen), len(seen) + 1
-    symbols = np.full(256, unknown, np.int64)
+    symbols = np.full(256, unknown, np.int16)
     symbols[seen] = np.arange(len(seen))
-    sym = symbols[data]
+    sym = symbols[data].astype(np.int64)
     # Nodes by level: the root, then the strings of 1 to ORDER + 1 bytes; at: the node that ends at each byte.
     parent, byte, counts, at = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, len(langs)))], np.zeros(len(data), np.int64)
     total = 1
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 pred = names[np.where(known, best, len(m.langs))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=~known)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
 def fold(id_col: str = "doc_id"):

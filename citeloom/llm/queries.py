@@ -61,10 +61,9 @@ def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Per document the ids' number and digest, and the digest of the text decoded from them."""
     import public_tokenizers
 
-    from citeloom.llm.piece_viterbi import decode, encode
+    from citeloom.llm.piece_viterbi import encode
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    back = decode(encode(_table(spark, d, "documents"), model), model)
+    back = encode(_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import safe, written
+from citeloom.llm.common import lean, safe, written
 from citeloom.llm.components import components
 
 #: Shingles whose votes are counted at once, and fingerprints compared at once.
-VOTES, BLOCK = 200_000, 192
+VOTES, BLOCK = 100_000, 192
 #: The driver's tree has at most so many shards, fitted on so many fingerprints for each; shards split further within their tasks.
 MAX_SHARDS, SAMPLE = 4096, 24
 
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
     """doc_id, fp0 ... : the fingerprint of every whole text; null and texts without a word get zero."""
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_hash_batches(words, lanes), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    return rows.mapInArrow(lean(_hash_batches(words, lanes)), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)))
 
 
 def _distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def near_links(nodes: DataFrame, radius: int, lanes: int = 1, first: int | None
                 at = np.r_[own, query]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.arange(len(at)) < len(own)), *(b.column(c).take(pa.array(at)) for c in ["node", *cols])], names=["shard", "own", "node", *cols])
 
-    routed = nodes.select("node", *cols).mapInArrow(route, "shard int, own boolean, node long, " + ", ".join(f"{c} long" for c in cols))
+    routed = nodes.select("node", *cols).mapInArrow(lean(route), "shard int, own boolean, node long, " + ", ".join(f"{c} long" for c in cols))
     return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius, radius if first is None else first), "src long, dst long")
 
 
