@@ -11,6 +11,13 @@ the radius differ by no more than that in their distance to any vantage point,
 so a fingerprint visits the other side as a query only if it is that near to the
 boundary.  Each shard prunes in the same way down to small blocks, compares
 those exactly, and returns a spanning forest of its links, never all pairs.
+
+With a radius that is a large part of the bits, as for a Jaccard similarity of
+0.8, triangle bounds prune nothing and the work grows with the square of the
+fingerprints.  There ``anchors`` decide who meets: each is the pair of a text's
+smallest shingles under two hash orders, and similar texts share one of several
+almost surely.  Texts that share an anchor are compared by their fingerprints;
+those of very common anchors go to the vantage-point trees.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ from citeloom.llm.components import components
 VOTES, BLOCK = 100_000, 192
 #: The driver's tree has at most so many shards, fitted on so many fingerprints for each; shards split further within their tasks.
 MAX_SHARDS, SAMPLE = 4096, 24
+#: Shingles in an anchor; texts with one anchor that are compared by its task.
+ANCHOR, BUCKET = 2, 5000
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -57,11 +66,23 @@ def _fold(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(majority, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
-    """An array of (texts, lanes) unsigned 64-bit fingerprints."""
+def _anchors(h: np.ndarray, of: np.ndarray, n: int, anchors: int) -> np.ndarray:
+    """(texts, anchors): each the mixed smallest hashes under ANCHOR orders; texts without a shingle share zero."""
+    out = np.zeros((n, anchors), np.uint64)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    for k in range(anchors):
+        key = np.full(len(first), np.uint64(k + 1))
+        for j in range(ANCHOR):
+            key = _mixed(key ^ np.minimum.reduceat(_mixed(h, 64 + k * ANCHOR + j), first), 1)
+        out[of[first], k] = key
+    return out
+
+
+def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, anchors: int = 0) -> np.ndarray:
+    """An array of (texts, lanes) unsigned 64-bit fingerprints, then the anchors."""
     data, offsets = B.joined(texts)
     starts, ends, count = B.words(data, offsets)
-    n, out = len(count), np.zeros((len(count), lanes), np.uint64)
+    n, out = len(count), np.zeros((len(count), lanes + anchors), np.uint64)
     if not len(starts):
         return out
     packed, at = B.compacted(data, starts, ends)
@@ -74,26 +95,27 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1) -> np.ndarray:
     h = B.xxh64(B.Spans(packed), at[own], at[stop] + size[stop] - at[own])
     for lane in range(lanes):
         out[:, lane] = _fold(_mixed(h, lane), word_of[own], n)
+    out[:, lanes:] = _anchors(h, word_of[own], n, anchors)
     return out
 
 
-def _hash_batches(words: int, lanes: int):
+def _hash_batches(words: int, lanes: int, anchors: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
             for texts in B.slices(b.column("text")):
-                n, fp = len(texts), fingerprints_of(texts, words, lanes).view(np.int64)
+                n, fp = len(texts), fingerprints_of(texts, words, lanes, anchors).view(np.int64)
                 lo += n
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(lanes))], names=["doc_id", *(f"fp{k}" for k in range(lanes))])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(lanes)), *([pa.FixedSizeListArray.from_arrays(pa.array(fp[:, lanes:].ravel()), anchors).cast(pa.list_(pa.int64()))] if anchors else [])], names=["doc_id", *(f"fp{k}" for k in range(lanes)), *["anchors"] * bool(anchors)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp0 ... : the fingerprint of every whole text; null and texts without a word get zero."""
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, anchors: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp0 ... and, if asked, anchors of every whole text; null and texts without a word get zeros."""
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(_hash_batches(words, lanes)), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    return rows.mapInArrow(lean(_hash_batches(words, lanes, anchors)), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)) + ", anchors array<long>" * bool(anchors))
 
 
 def _distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -232,20 +254,68 @@ def near_links(nodes: DataFrame, radius: int, lanes: int = 1, first: int | None
     return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius, radius if first is None else first), "src long, dst long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _link_buckets(lanes: int, radius: int, first: int):
+    """Links among neighbours with one anchor, in batches sorted by anchor and node; holds one anchor's rows over from batch to batch."""
+    cols = ["anchor", "node", *(f"fp{k}" for k in range(lanes))]
+
+    def of(rows: np.ndarray) -> pa.RecordBatch:
+        anchor, node, points = rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64)
+        forest, k = _Forest(len(rows)), 1
+        at = np.flatnonzero(anchor[1:] == anchor[:-1])
+        while len(at):  # each row with the k-th after it, while they share the anchor
+            near = at[np.bitwise_count(points[at, 0] ^ points[at + k, 0]) <= first]
+            near = near[_distance(points[near], points[near + k]) <= radius]
+            forest.unite(near, near + k)
+            k += 1
+            at = at[at + k < len(rows)]
+            at = at[anchor[at + k] == anchor[at]]
+        root = forest.root(np.arange(len(rows)))
+        moved = root != np.arange(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(cols)), np.int64)
+        for b in batches:
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in cols], axis=1)])
+            cut = np.searchsorted(rows[:, 0], rows[-1, 0]) if len(rows) else 0
+            yield of(rows[:cut])
+            held = rows[cut:]
+        yield of(held)
+
+    return run
+
+
+def anchored_links(nodes: DataFrame, radius: int, lanes: int, first: int, shard_size: int) -> DataFrame:
+    """Links (src, dst) that connect all nodes that share an anchor and differ in at most radius bits, ``first`` of them in the first lane."""
+    cols = [f"fp{k}" for k in range(lanes)]
+    slots = nodes.select(F.explode("anchors").alias("anchor"), "node", *cols)
+    shared = written(slots.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = slots.join(shared, "anchor")
+    close = met.filter(F.col("n") <= BUCKET).select("anchor", "node", *cols).repartition("anchor").sortWithinPartitions("anchor", "node")
+    links = close.mapInArrow(lean(_link_buckets(lanes, radius, first)), "src long, dst long")
+    if shared.filter(F.col("n") > BUCKET).limit(1).count():
+        crowded = written(met.filter(F.col("n") > BUCKET).select("node", *cols).distinct())
+        links = links.unionByName(near_links(crowded, radius, lanes, first, shard_size))
+    return links
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, anchors: int = 0, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp0 ..., component_id: the smallest id reachable over links of fingerprints within the radius.
 
-    ``first`` further bounds the bits that differ in the first lane.  A radius
-    that is a large part of the bits prunes little: then few large shards
-    (``shard_size``) cost less than many that each see most fingerprints.
+    ``first`` further bounds the bits that differ in the first lane.  With
+    ``anchors``, only texts that share one of so many are linked: of texts with
+    a Jaccard similarity s, all but (1 - s^2)^anchors; the vantage-point trees,
+    of shards of ``shard_size``, then see those of crowded anchors alone.
 
     One row per input row, repeated rows too.  A null id gets a null
     component.  Null and empty texts have fingerprint zero and link like any
     other.  An empty table gives no rows; other columns are ignored.
     """
     cols = [f"fp{k}" for k in range(lanes)]
-    hashed = written(fingerprints(docs, words, lanes, id_col, text_col))
-    nodes = written(hashed.filter("doc_id is not null").groupBy(*cols).agg(F.min("doc_id").cast("long").alias("node")))
-    roots = components(near_links(nodes, radius, lanes, first, shard_size))
+    first = radius if first is None else first
+    hashed = written(fingerprints(docs, words, lanes, anchors, id_col, text_col))
+    nodes = written(hashed.filter("doc_id is not null").groupBy(*cols).agg(F.min("doc_id").cast("long").alias("node"), *[F.min("anchors").alias("anchors")] * bool(anchors)))
+    links = anchored_links(nodes, radius, lanes, first, shard_size) if anchors else near_links(nodes, radius, lanes, first, shard_size)
+    roots = components(links)
     labels = nodes.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("component_id"))
     return hashed.join(labels, cols, "left").select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
