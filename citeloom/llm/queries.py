@@ -77,7 +77,17 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-@query("op6_warc")
+# Each five hexadecimal digits of a SHA-1 are four of base32.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[{k}] >> {s}) & 31 AS INTEGER) + 1, 1)" for k in range(1, 9) for s in (15, 10, 5, 0))
+
+
+@query(
+    "op6_warc",
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS own, list_transform(range(0, 8), lambda k: CAST('0x' || substr(sha1(html), CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT)) AS v FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = own THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> own THEN own END AS refers_to FROM d""",
+)
 def op6_warc(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.warc import read_selected, write_archives
 
