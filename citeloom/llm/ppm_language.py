@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import lean, safe
+from citeloom.llm.common import lean, safe, written
 
 #: The longest context; strings longer than RARE bytes are kept if seen twice.
 ORDER, RARE, CHUNK = 4, 3, 1 << 18
@@ -77,10 +77,12 @@ class Model:
 
 
 def train(samples: dict[str, list[str]]) -> Model:
-    """The frozen tables of each language's texts."""
+    """The frozen tables of each language's texts; no language if all are empty."""
     langs = sorted(samples)
     texts = [(k, t.encode()) for k, lang in enumerate(langs) for t in samples[lang]]
     data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+    if not len(data):
+        return Model([], np.zeros(256, np.int16), np.ones((2, 2), np.int32), np.zeros((2, 0)), np.zeros((2, 0)))
     size = np.array([len(t) for _, t in texts], np.int64)
     lang = np.repeat(np.array([k for k, _ in texts], np.int64), size)
     room = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) + 1  # bytes of the text up to here
@@ -140,7 +142,7 @@ def _depths(parent: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, docs_per_lang: int = 240, passage: int = 2000) -> DataFrame:
     """lang, text: the bounded sample; docs: (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    share = known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share"))
+    share = written(known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share")))  # so small a table is broadcast, texts stay
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     parts = F.greatest(F.ceil(F.char_length("text") / F.lit(passage)), F.lit(1))
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("passage")), parts) * passage + 1
