@@ -18,7 +18,7 @@ from citeloom.functions.similarity import indel_ratio, token_sort_ratio
 from citeloom.operators.graph import components
 
 CAP = 200
-#: Score thresholds and points, best first.
+#: Thresholds, points and signals, best first.
 TITLE = [(0.97, 5.0, "title_exact"), (0.90, 3.5, "title_high"), (0.80, 2.0, "title_mid_high"), (0.70, 1.0, "title_mid")]
 AUTHORS = [(0.80, 1.0, "author_overlap_high"), (0.50, 0.75, "author_overlap"), (0.30, 0.25, "author_overlap_low")]
 CITES = [(0.80, 7.0, "cites_overlap_high"), (0.60, 5.0, "cites_overlap_strong"), (0.50, 4.0, "cites_overlap_mid"), (0.25, 2.0, "cites_overlap")]

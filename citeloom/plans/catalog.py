@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.operators import authors as A
-from citeloom.operators import centrality, findings, graph, lookup, maintain, resolve, search
+from citeloom.operators import centrality, findings, graph, ingest, lookup, maintain, resolve, search
 from citeloom.sources import corpus as C
 from citeloom.sources import store
 from citeloom.sources.corpus import with_views
@@ -750,3 +750,56 @@ def event_counts(spark, d):
     from citeloom.streaming.incremental import event_counts as counted
 
     return counted(C.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# Ingest.
+@query("text_chunks")
+def text_chunks(spark, d):
+    return ingest.chunks(C.table(spark, d, "documents"), "doc_id", "text", 4000)
+
+
+@query("guessed_metadata")
+def guessed_metadata(spark, d):
+    return C.table(spark, d, "documents").select("doc_id", ingest.guessed_metadata(F.col("text")).alias("m")).select("doc_id", "m.title", F.size("m.authors").alias("n_authors"))
+
+
+@query("coverage", "SELECT 'doi' AS name, count(*) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'title', count(*) FROM part UNION ALL SELECT 'server:' || CASE WHEN p_partkey % 3 = 0 THEN 'arxiv' ELSE 'ssrn' END, count(*) FROM part WHERE p_partkey % 3 < 2 GROUP BY 1")
+def coverage(spark, d):
+    k = F.col("paper_id")
+    p = C.keyed_papers(spark, d).withColumn("preprint_server", T.preprint_server(F.when(k % 3 == 0, "a"), F.when(k % 3 == 1, "10.2139/SSRN.1"), F.lit(None).cast("string")))
+    return ingest.coverage(p, ["doi", "title"])
+
+
+@query("fetch_targets", with_views("papers") + " SELECT paper_id FROM papers WHERE type IN ('owned', 'external_owned') OR type = 'stub' AND paper_id % 2 = 0")
+def fetch_targets(spark, d):
+    p = C.papers(spark, d).withColumn("doi", F.when(F.col("paper_id") % 2 == 0, F.col("doi")))
+    return ingest.fetch_targets(p, "citations")
+
+
+@query(
+    "text_stages",
+    """SELECT CAST(p_partkey AS VARCHAR) AS stem, CASE WHEN p_partkey % 4 = 0 THEN (CASE WHEN p_partkey % 8 = 0 THEN 'done' WHEN p_partkey % 3 = 0 THEN (CASE WHEN p_partkey % 5 = 0 THEN 'done' ELSE 'in_process' END) ELSE 'staging' END)
+WHEN p_partkey % 3 = 0 THEN (CASE WHEN p_partkey % 5 = 0 THEN 'done' ELSE 'in_process' END) ELSE 'staging' END AS stage FROM part""",
+)
+def text_stages(spark, d):
+    p = C.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("stem"))
+    papers = p.filter("k % 4 = 0").select(F.col("stem").alias("text_stem"), F.col("stem").alias("paper_id"), (F.col("k") % 8 == 0).alias("has_passes"))
+    ex = p.filter("k % 3 = 0").select(F.col("stem").alias("paper_id"), F.lit(None).cast("string").alias("source_stem"), (F.col("k") % 5 == 0).alias("has_meta"))
+    return ingest.text_stages(p.select("stem"), papers, ex)
+
+
+@query("unprocessed", "SELECT CAST(p_partkey AS VARCHAR) AS stem FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 <> 0")
+def unprocessed(spark, d):
+    p = C.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("stem"))
+    return ingest.unprocessed(p, p.filter("k % 2 = 0"), p.filter("k % 3 = 0"))
+
+
+@query(
+    "merged_topics",
+    f"""WITH RECURSIVE a AS ({ALIAS_SQL}), w AS (SELECT alias, target FROM a UNION SELECT w.alias, a.target FROM w JOIN a ON w.target = a.alias), m AS (SELECT alias, target FROM w WHERE target NOT IN (SELECT alias FROM a)),
+t AS ({TOPICS_SQL}), r AS (SELECT coalesce(target, paper_id) AS to_id, paper_id, field, value, target IS NULL AS own FROM t LEFT JOIN m ON alias = paper_id)
+SELECT to_id AS paper_id, field, value FROM r QUALIFY row_number() OVER (PARTITION BY to_id, field, lower(value) ORDER BY own DESC, paper_id, value) = 1""",
+)
+def merged_topics(spark, d):
+    closure = maintain.alias_closure(C.aliases(spark, d))
+    return ingest.merged_rows(C.topics(spark, d), closure, ["field", "value"], ["value"], ["value"])
