@@ -38,6 +38,12 @@ def overlap(pairs: DataFrame, a, b) -> DataFrame:
     return of(a).intersect(of(b))
 
 
+def overlaps(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """finding_a, finding_b, n_shared: all pairs of findings that share so many papers."""
+    p = pairs.select("finding_id", "paper_id").distinct()
+    return p.toDF("finding_a", "paper_id").join(p.toDF("finding_b", "paper_id"), "paper_id").filter("finding_a < finding_b").groupBy("finding_a", "finding_b").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= least)
+
+
 def tag_counts(tags: DataFrame) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("n"))
 

@@ -44,6 +44,15 @@ def bib_coupling(edges: DataFrame, seeds: list, min_count: int = 2, limit: int =
     return _overlap(edges, "cited_id", "citing_id", seeds, min_count, limit, "n_shared")
 
 
+def reference_overlap(edges: DataFrame) -> DataFrame:
+    """id_a, id_b, shared, jaccard of the reference lists of all pairs that share a reference; lists are never built."""
+    e = edges.select("citing_id", "cited_id").distinct()
+    n = e.groupBy("citing_id").agg(F.count("*").alias("n"))
+    both = e.toDF("id_a", "cited_id").join(e.toDF("id_b", "cited_id"), "cited_id").filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
+    j = both.join(n.toDF("id_a", "n_a"), "id_a").join(n.toDF("id_b", "n_b"), "id_b")
+    return j.select("id_a", "id_b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+
+
 def _common(pairs: DataFrame, member: str, of: str, wanted: list) -> DataFrame:
     """Relational division: the members related to all wanted."""
     wanted = sorted(set(wanted))

@@ -112,15 +112,22 @@ def full_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alias, target: chains of several steps."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").filter((k % 7 == 0) & (k > 0)).select(k.alias("alias"), F.floor(k / 3).cast("long").alias("target"))
+    return table(spark, sf_dir, "part").filter((F.col("p_size") <= 7) & (k > 0)).select(k.alias("alias"), F.floor(k / 3).cast("long").alias("target"))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Citations as the citing and as the cited papers list them: by the contexts that each side knows."""
+    c = contexts(spark, sf_dir)
+    side = lambda keep: c.filter(keep).select("citing_id", "cited_id").distinct()
+    return side("section <> 'R'"), side("purpose <> '5-LOW'")
 
 
 def paper_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers as documents with lists that disagree, some superseded."""
-    e = edges(spark, sf_dir)
-    out = e.filter("(citing_id + cited_id) % 5 <> 0").groupBy(F.col("citing_id").alias("key")).agg(F.collect_set("cited_id").alias("cites"))
-    back = e.filter("(citing_id + cited_id) % 3 <> 0").groupBy(F.col("cited_id").alias("key")).agg(F.collect_set("citing_id").alias("cited_by"))
-    p = papers(spark, sf_dir).select(F.col("paper_id").alias("key"), "type", "title", F.when((F.col("paper_id") % 11 == 5) & (F.col("paper_id") > 5), F.col("paper_id") - 1).cast("string").alias("superseded_by"))
+    cites, cited_by = sides(spark, sf_dir)
+    out = cites.groupBy(F.col("citing_id").alias("key")).agg(F.collect_set("cited_id").alias("cites"))
+    back = cited_by.groupBy(F.col("cited_id").alias("key")).agg(F.collect_set("citing_id").alias("cited_by"))
+    p = papers(spark, sf_dir).select(F.col("paper_id").alias("key"), "type", "title", F.when((F.col("year") == 1995) & (F.col("paper_id") > 5), F.col("paper_id") - 1).cast("string").alias("superseded_by"))
     return p.join(out, "key", "left").join(back, "key", "left").select("key", "type", "title", "superseded_by", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("cites", "cited_by")])
 
 
