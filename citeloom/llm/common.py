@@ -38,17 +38,36 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def part_files(df: DataFrame) -> list[str]:
+    """The files of a written table."""
+    return sorted(df.inputFiles())
+
+
 def safe(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, so that clashing extra columns can't interfere."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function for mapInArrow that gives memory back when its task ends, since workers live on."""
+#: What a worker keeps from task to task, by kind; tasks of another kind drop it.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind: str, key: str, make: Callable[[str], object]) -> object:
+    """make(key), made once in a worker."""
+    if (kind, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, key] = make(key)
+    return _KEPT[kind, key]
+
+
+def lean(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back when its task ends, since workers live on; it keeps one kind of objects."""
 
     def then_trim(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        for k in [k for k in _KEPT if k[0] != keeps]:
+            del _KEPT[k]
         try:
             yield from run(batches)
         finally:

@@ -2,20 +2,21 @@
 
 A text is split where a run of space marks begins, since no piece has a space
 mark after another character (checked when a model is loaded), and around
-characters that are in no piece; the best segmentation of a text is then that of
-its words, one after another.  Distinct
-words of equal length advance together: hashes of all their substrings probe the
-sorted keys of the pieces, and at each position a maximum over the lengths of
-the last piece stores the backpointer.  Ties take the longest last piece.
-
-The result is the segmentation with the greatest sum of scores, as the library
-gives it for a unigram model.  A model of merges is read in the same way: its
-pieces and scores are used, its order of merges isn't.
+characters that are in no piece; the segmentation of a text is then that of its
+words, one after another.  Distinct words of equal length advance together:
+hashes of all their substrings probe the sorted keys of the pieces, and at each
+position a maximum over the lengths of the last piece stores the backpointer.
+
+For a unigram model the maximum is over sums of scores; ties take the longest
+last piece.  A model of merges is decided by transitions instead: a sequence of
+pieces is what the merges give if and only if they give each two neighbours
+back when run on those alone (the first merge across a boundary would also
+happen there).  So at each position exactly one last piece is admissible after
+the one before it, and the maximum finds it.  Verdicts on pairs are remembered.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +24,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import lean, safe
+from citeloom.llm.common import kept, lean, safe
 from citeloom.llm.simhash import _mixed
 
 MARK, SPACE = 0x2581, 0x20
 #: Words up to this length advance together; longer ones, never remembered, go one by one.
-TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 750_000, 300_000, 10.0
+TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 400_000, 200_000, 10.0
+#: Before a word; less than any character's number, which keeps packed pairs positive.
+START, VERDICTS = -2 - 0x110000, 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def _is_of_merges(proto: bytes) -> bool:
+    """Whether a serialised model's trainer_spec (field 2) has the model_type (field 3) of merges (2)."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value, shift, at = value | (proto[at] & 127) << shift, shift + 7, at + 1
+            if proto[at - 1] < 128:
+                return value, at
+
+    def fields(at: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """Field, value or length, and where the field's content starts."""
+        while at < end:
+            key, at = number(at)
+            kind = key & 7
+            value, at = number(at) if kind in (0, 2) else (0, at + (8 if kind == 1 else 4))
+            yield key >> 3, value, at
+            at += value if kind == 2 else 0
+
+    return any(f == 3 and v == 2 for field, size, at in fields(0, len(proto)) if field == 2 for f, v, _ in fields(at, at + size))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE to the power of 0 to n and of 0 to -n, modulo 2^64."""
     with np.errstate(over="ignore"):
@@ -60,6 +85,9 @@ class Pieces:
         special = [m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in range(n)]
         self.byte = {int(m.id_to_piece(i)[1:-1], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown = m.unk_id()
+        self.merges = _is_of_merges(m.serialized_model_proto())
+        self.verdicts: dict[int, bool] = {}
+        self.judged, self.allowed = np.zeros(0, np.int64), np.zeros(0, np.int8)
         normal = [i for i in range(n) if not special[i] and not m.is_byte(i)]
         self.text = {m.id_to_piece(i): (m.get_score(i), i) for i in normal}
         if any("▁" in p.lstrip("▁") for p in self.text):
@@ -79,6 +107,7 @@ class Pieces:
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         self.scores = np.array([m.get_score(int(i)) for i in self.ids])
         self.lengths = np.array([len(m.id_to_piece(int(i))) for i in self.ids])
+        self.names = [m.id_to_piece(i) for i in range(n)]
         self.inside = np.zeros(0x110000, bool)
         self.inside[[ord(c) for p in self.text for c in p]] = True
         self.bucket = np.searchsorted(self.keys, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
@@ -104,8 +133,34 @@ class Pieces:
             out = np.where(self.tail[at + k] == key, at + k, out)
         return np.where(self.lengths[out] == size, out, -1)
 
+    def merged(self, text: str) -> list[str]:
+        """What the merges make of a short text: the best score first, the first place among equals."""
+        parts = list(text)
+        while True:
+            best, at = -np.inf, -1
+            for k in range(len(parts) - 1):
+                found = self.text.get(parts[k] + parts[k + 1])
+                if found and (found[0] > best or at < 0):
+                    best, at = found[0], k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _spelled(self, code: int) -> str:
+        """A piece by its id, a character without one by -2 less its code point, nothing by START."""
+        return "" if code == START else chr(-2 - code) if code < 0 else self.names[code]
+
+    def admissible(self, pair: int) -> bool:
+        """Whether the merges leave two neighbours, packed in one number, as they are."""
+        if (found := self.verdicts.get(pair)) is None:
+            left, right = self._spelled((pair >> 24) + START), self._spelled((pair & 0xFFFFFF) + START)
+            found = self.verdicts[pair] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
+
     def one(self, word: str) -> list[int]:
         """The plain form of the same search, for very long words."""
+        if self.merges:
+            return self._one_of_merges(word)
         best, back = [0.0] + [-np.inf] * len(word), [(0, -1)] * (len(word) + 1)
         for i in range(len(word)):
             single = False
@@ -123,26 +178,49 @@ class Pieces:
             at = i
         return [x for part in reversed(out) for x in part]
 
+    def _one_of_merges(self, word: str) -> list[int]:
+        last, size = [START], [0]
+        for j in range(1, len(word) + 1):
+            for k in range(min(self.longest, j), 0, -1):
+                found = self.text.get(word[j - k : j])
+                if found is None and k > 1:
+                    continue
+                code = found[1] if found else -2 - ord(word[j - 1])
+                if self.admissible((last[j - k] - START) << 24 | code - START):
+                    last.append(code)
+                    size.append(k)
+                    break
+        out, at = [], len(word)
+        while at:
+            out.append([last[at]] if last[at] >= 0 else self._fallback(chr(-2 - last[at])))
+            at -= size[at]
+        return [x for part in reversed(out) for x in part]
+
     def together(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and each word's number of ids; codes: the code points of (words, length)."""
         n, length = codes.shape
         sums = _sums(codes)
         best, back = np.full((n, length + 1), -np.inf), np.zeros((n, length + 1), np.int16)
         piece = np.full((n, length + 1), -1, np.int32)
-        best[:, 0] = 0
+        best[:, 0], piece[:, 0] = 0, START
         for j in range(1, length + 1):
             sizes = np.arange(min(self.longest, j), 0, -1)
             with np.errstate(over="ignore"):
                 key = (sums[:, j, None] - sums[:, j - sizes]) * _DOWN[j - sizes][None, :]
             at = self.probe(key, sizes[None, :])
             hit = at >= 0
-            score = np.where(hit, self.scores[at], -np.inf)
-            score[:, -1] = np.where(hit[:, -1], score[:, -1], self.bottom)
-            total = best[:, j - sizes] + score
+            ids = np.where(hit, self.ids[at], -1)
+            ids[:, -1] = np.where(hit[:, -1], ids[:, -1], -codes[:, j - 1].astype(np.int32) - 2)
+            if self.merges:
+                total = self._transitions(piece[:, j - sizes], ids)
+            else:
+                score = np.where(hit, self.scores[at], -np.inf)
+                score[:, -1] = np.where(hit[:, -1], score[:, -1], self.bottom)
+                total = best[:, j - sizes] + score
             pick = np.argmax(total, axis=1)
             row = np.arange(n)
             best[:, j], back[:, j] = total[row, pick], sizes[pick]
-            piece[:, j] = np.where(hit[row, pick], self.ids[at[row, pick]], -codes[:, j - 1].astype(np.int32) - 2)
+            piece[:, j] = ids[row, pick]
         steps, at, row = [], np.full(n, length), np.arange(n)
         while at.any():
             steps.append(np.where(at > 0, piece[row, at], -1))
@@ -160,6 +238,29 @@ class Pieces:
         flat[flat < 0] = np.fromiter((i for x in fallback for i in x), np.int32)
         return flat, np.bincount(word, weights=times, minlength=n).astype(np.int64)
 
+    def _transitions(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """1 where a candidate is admissible after what is before it, else 0."""
+        out = np.zeros(ids.shape, np.int8)
+        on = np.nonzero(ids != -1)
+        pairs = (before[on].astype(np.int64) - START) << 24 | (ids[on].astype(np.int64) - START)
+        distinct, of = np.unique(pairs, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.judged, distinct), max(len(self.judged) - 1, 0))
+        known = self.judged[at] == distinct if len(self.judged) else np.zeros(len(distinct), bool)
+        verdict = self.allowed[at] if len(self.judged) else np.zeros(len(distinct), np.int8)
+        verdict[~known] = np.fromiter(map(self.admissible, distinct[~known].tolist()), np.int8, int((~known).sum()))
+        out[on] = verdict[of]
+        return out
+
+    def _settle(self) -> None:
+        """New verdicts on pairs join the sorted ones."""
+        if len(self.judged) + len(self.verdicts) > VERDICTS:
+            self.judged, self.allowed = self.judged[:0], self.allowed[:0]
+        keys = np.concatenate([self.judged, np.fromiter(self.verdicts, np.int64, len(self.verdicts))])
+        allowed = np.concatenate([self.allowed, np.fromiter(self.verdicts.values(), np.int8, len(self.verdicts))])
+        self.judged, first = np.unique(keys, return_index=True)
+        self.allowed = allowed[first]
+        self.verdicts = {}
+
     def _learn(self, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         firsts, flats = [self.first], [self.flat]
         for size in np.unique(sizes).tolist():
@@ -172,6 +273,8 @@ class Pieces:
                 firsts.append(firsts[-1][-1] + np.cumsum(count))
                 flats.append(ids)
         self.first, self.flat = np.concatenate(firsts), np.concatenate(flats)
+        if len(self.verdicts) > 2000:
+            self._settle()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -227,12 +330,6 @@ class Pieces:
         return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
-def pieces(path: str) -> Pieces:
-    """One for a worker, whose later tasks find what it remembers."""
-    return Pieces(path)
-
-
 def _texts(column: pa.Array) -> Iterator[list[str]]:
     for part in B.slices(column):
         yield [t or "" for t in part.to_pylist()]
@@ -254,7 +351,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False, id_col: str = "do
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(model)
+        coder = kept("pieces", model, Pieces)
         for b in batches:
             lo = 0
             for texts in _texts(b.column("text")):
@@ -263,14 +360,14 @@ def encode(docs: DataFrame, model: str, decoded: bool = False, id_col: str = "do
                 yield pa.RecordBatch.from_pydict(columns)
                 lo += len(texts)
 
-    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
+    return rows.mapInArrow(lean(run, "pieces"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The columns of ``encoded`` (doc_id, ids) and the text that the ids give; without ids it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(model)
+        coder = kept("pieces", model, Pieces)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -278,4 +375,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run, "pieces"), f"doc_id {kind}, ids array<int>, text string")

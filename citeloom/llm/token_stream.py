@@ -13,7 +13,6 @@ name, and only files named in that table count.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import uuid
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import lean, safe, shared_dir, written
+from citeloom.llm.common import kept, lean, safe, shared_dir, written
 from citeloom.llm.files import reader, writer
 
 #: Ids of a sequence, sequences of a record batch, and pieces whose ids a worker remembers.
@@ -142,12 +141,6 @@ def _without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return parts[0], parts[1]
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One for a worker, whose later tasks find what it remembers."""
-    return Encoder(path)
-
-
 class _Packer:
     """Writes ids as full sequences; holds at most one record batch."""
 
@@ -204,8 +197,8 @@ _BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + 33 + k for k, b in enumerate(x
 def _encode_and_write(folder: str, tokenizer: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, packer, at = f"{folder}/{uuid.uuid4().hex}.arrow", None, 0
-        coder = encoder(tokenizer)
-        kept = []
+        coder = kept("encoder", tokenizer, Encoder)
+        entries = []
         for b in batches:
             sizes = []
             for texts in B.slices(b.column("text")):
@@ -214,11 +207,11 @@ def _encode_and_write(folder: str, tokenizer: str, end: int, length: int):
                 packer.add(ids)
                 sizes.append(n)
             n = np.concatenate([*sizes, np.zeros(0, np.int64)])
-            kept.append((b.column("doc_id"), at + np.cumsum(n) - n, n))
+            entries.append((b.column("doc_id"), at + np.cumsum(n) - n, n))
             at += int(n.sum())
         if packer:
             packer.close()  # the entries follow the whole file
-        for doc_id, start, n in kept:
+        for doc_id, start, n in entries:
             k = len(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, TaskContext.get().partitionId()), pa.int32()), pa.array([path] * k), doc_id, pa.array(start), pa.array(n)], names=["part", "path", "doc_id", "at", "n_tokens"])
 
@@ -236,7 +229,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end: int, length: int = LEN
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    entries = written(ordered.mapInArrow(lean(_encode_and_write(shared_dir(docs.sparkSession), tokenizer, end, length)), f"part int, path string, doc_id {kind}, at long, n_tokens long"))
+    entries = written(ordered.mapInArrow(lean(_encode_and_write(shared_dir(docs.sparkSession), tokenizer, end, length), "encoder"), f"part int, path string, doc_id {kind}, at long, n_tokens long"))
     parts = entries.groupBy("part").agg(F.sum("n_tokens").alias("ids"))  # a row for each file
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
     return entries.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("at")).drop("before")
@@ -256,4 +249,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(entries: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids (as little-endian unsigned 32-bit integers), read back from the files."""
     kind = entries.schema["doc_id"].dataType.simpleString()
-    return entries.mapInArrow(lean(_read), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return entries.mapInArrow(lean(_read, "encoder"), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
