@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the text contracts, and a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that a Python worker gets.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,3 +81,16 @@ def lean(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iter
                 pass
 
     return then_trim
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str, keeps: str = "") -> DataFrame:
+    """df.mapInArrow, lean and in batches of some BATCH bytes, unless the session already asks for less.
+
+    A batch exists several times over, in the JVM and in Python; Spark's default
+    of 64 MB for each would take much of a small executor.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if now and not 0 < int(now[1]) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return df.mapInArrow(lean(run, keeps), schema)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import SPACE, lean, safe, written
+from citeloom.llm.common import SPACE, mapped, safe, written
 
 INTERIOR, FIRST, LAST = -1, 0, 1
 
@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = ["head", "hash", "norm", F.desc("chars"), F.asc_nulls_last("doc_id")]
     ordered = rows.repartitionByRange("head", "hash", F.asc_nulls_last("doc_id")).sortWithinPartitions(*order)
     kind = ordered.schema["doc_id"].dataType.simpleString()
-    marked = written(ordered.select("doc_id", "norm", "chars").mapInArrow(lean(_mark), f"pid int, edge int, doc_id {kind}, keep_id {kind}, group_size long, kept boolean, text_sha256 string, chars long, edge_text string"))
+    marked = written(mapped(ordered.select("doc_id", "norm", "chars"), _mark, f"pid int, edge int, doc_id {kind}, keep_id {kind}, group_size long, kept boolean, text_sha256 string, chars long, edge_text string"))
     return _stitched(marked)
 
 

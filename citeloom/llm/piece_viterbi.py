@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import kept, lean, safe
+from citeloom.llm.common import kept, mapped, safe
 from citeloom.llm.simhash import _mixed
 
 MARK, SPACE = 0x2581, 0x20
@@ -360,7 +360,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False, id_col: str = "do
                 yield pa.RecordBatch.from_pydict(columns)
                 lo += len(texts)
 
-    return rows.mapInArrow(lean(run, "pieces"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded, "pieces")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -375,4 +375,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(lean(run, "pieces"), f"doc_id {kind}, ids array<int>, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, ids array<int>, text string", "pieces")

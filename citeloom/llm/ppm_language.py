@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import lean, safe, written
+from citeloom.llm.common import mapped, safe, written
 
 #: The longest context; strings longer than RARE bytes are kept if seen twice.
 ORDER, RARE, CHUNK = 4, 3, 1 << 18
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 pred = names[np.where(known, best, len(m.langs))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=~known)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
 def fold(id_col: str = "doc_id"):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import lean, safe, written
+from citeloom.llm.common import mapped, safe, written
 from citeloom.llm.components import components
 
 #: Shingles whose votes are counted at once, and fingerprints compared at once.
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, anchors: int =
     """doc_id, fp0 ... and, if asked, anchors of every whole text; null and texts without a word get zeros."""
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(_hash_batches(words, lanes, anchors)), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)) + ", anchors array<long>" * bool(anchors))
+    return mapped(rows, _hash_batches(words, lanes, anchors), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)) + ", anchors array<long>" * bool(anchors))
 
 
 def _distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -250,7 +250,7 @@ def near_links(nodes: DataFrame, radius: int, lanes: int = 1, first: int | None
                 at = np.r_[own, query]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.arange(len(at)) < len(own)), *(b.column(c).take(pa.array(at)) for c in ["node", *cols])], names=["shard", "own", "node", *cols])
 
-    routed = nodes.select("node", *cols).mapInArrow(lean(route), "shard int, own boolean, node long, " + ", ".join(f"{c} long" for c in cols))
+    routed = mapped(nodes.select("node", *cols), route, "shard int, own boolean, node long, " + ", ".join(f"{c} long" for c in cols))
     return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius, radius if first is None else first), "src long, dst long")
 
 
@@ -292,7 +292,7 @@ def anchored_links(nodes: DataFrame, radius: int, lanes: int, first: int, shard_
     shared = written(slots.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     met = slots.join(shared, "anchor")
     close = met.filter(F.col("n") <= BUCKET).select("anchor", "node", *cols).repartition("anchor").sortWithinPartitions("anchor", "node")
-    links = close.mapInArrow(lean(_link_buckets(lanes, radius, first)), "src long, dst long")
+    links = mapped(close, _link_buckets(lanes, radius, first), "src long, dst long")
     if shared.filter(F.col("n") > BUCKET).limit(1).count():
         crowded = written(met.filter(F.col("n") > BUCKET).select("node", *cols).distinct())
         links = links.unionByName(near_links(crowded, radius, lanes, first, shard_size))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
-from citeloom.llm.common import kept, lean, safe, shared_dir, written
+from citeloom.llm.common import kept, mapped, safe, shared_dir, written
 from citeloom.llm.files import reader, writer
 
 #: Ids of a sequence, sequences of a record batch, and pieces whose ids a worker remembers.
@@ -229,7 +229,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end: int, length: int = LEN
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    entries = written(ordered.mapInArrow(lean(_encode_and_write(shared_dir(docs.sparkSession), tokenizer, end, length), "encoder"), f"part int, path string, doc_id {kind}, at long, n_tokens long"))
+    entries = written(mapped(ordered, _encode_and_write(shared_dir(docs.sparkSession), tokenizer, end, length), f"part int, path string, doc_id {kind}, at long, n_tokens long", "encoder"))
     parts = entries.groupBy("part").agg(F.sum("n_tokens").alias("ids"))  # a row for each file
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
     return entries.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("at")).drop("before")
@@ -249,4 +249,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(entries: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids (as little-endian unsigned 32-bit integers), read back from the files."""
     kind = entries.schema["doc_id"].dataType.simpleString()
-    return entries.mapInArrow(lean(_read, "encoder"), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return mapped(entries, _read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", "encoder")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import safe, shared_dir, written
+from citeloom.llm.common import mapped, safe, shared_dir, written
 from citeloom.llm.files import coalesced, reader, writer
 
 VERSION = "WARC/1.1"
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, minimum: int = 0, id_col: str = "page_id",
     """
     rows = safe(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
     ready = owners(rows, minimum).select("page_id", "url", "html", "refers_to")
-    return written(ready.mapInArrow(_writing(shared_dir(pages.sparkSession)), "path string, offset long, length long, page_id long, url string, digest string"))
+    return written(mapped(ready, _writing(shared_dir(pages.sparkSession)), "path string, offset long, length long, page_id long, url string, digest string"))
 
 
 def _reading(gap: int, most: int):
@@ -174,4 +174,4 @@ def read_selected(index: DataFrame, gap: int = GAP, most: int = MOST) -> DataFra
     payload must have its stated digest.
     """
     ordered = index.select("path", "offset", "length").sortWithinPartitions("path", "offset")
-    return ordered.mapInArrow(_reading(gap, most), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(ordered, _reading(gap, most), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
