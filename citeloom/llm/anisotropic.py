@@ -10,8 +10,8 @@ four-bit codes at a time, and the best are reranked by exact distances in double
 precision on the original vectors.
 
 Centres are fitted on a bounded sample on the driver; every vector is coded and
-scanned.  Blocks of queries meet blocks of vectors, and each meeting returns at
-most ``k`` rows for each query.
+scanned.  A task holds a block of vectors and reads the queries slice by slice
+from the shared folder; it returns at most ``k`` rows for each query.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import safe, written
+from citeloom.llm.common import mapped, part_files, safe, written
+from citeloom.llm.files import reader
 
-CENTRES, SAMPLE, SWEEPS = 16, 16_384, 8
+CENTRES, SAMPLE, SWEEPS, LEAST_ROWS = 16, 16_384, 8, 2048
 
 
 class Codebook:
@@ -110,21 +110,36 @@ def _best(score: np.ndarray, k: int, margin: float) -> np.ndarray:
     return np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - margin)
 
 
+def _slices(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors of Parquet files, so many rows at a time."""
+    import pyarrow.parquet as pq
+
+    for path in files:
+        with reader(path) as f:
+            for b in pq.ParquetFile(f).iter_batches(rows, columns=["vec_id", "embedding"]):
+                if b.num_rows:
+                    yield b.column("vec_id").to_numpy(), b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1)
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, embedding of the rows that take part."""
     v = safe(df, id_col, vector_col).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
+    v = written(v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0)))
+    size = F.size("embedding")
+    most = v.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    return v.filter(size == most["size"]) if most else v
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width: int = 2, eta: float = 4.0, block_rows: int = 8192, block_queries: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width: int = 2, eta: float = 4.0, block_rows: int = 32_768, block_queries: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row for which ``is_query`` holds, never the row itself.
 
     score is the Euclidean distance; equal distances rank the smaller id first.
     ``is_query`` is a condition on vec_id.  Vectors that are null, zero, or hold
-    a null or non-finite component, and rows with a null id, take no part.
+    a null or non-finite component, those of another length than most (the
+    longer one if two are as common), and rows with a null id, take no part.
     Repeated rows of one id are all candidates of other queries and one query.
-    All vectors must have one length.  An empty table gives no rows; other
+    An empty table gives no rows; other
     columns are ignored.  In each block of rows all candidates are
     measured exactly whose approximate score is below the k-th best by no more
     than ``spread`` standard deviations of the difference that coding makes, so
@@ -133,44 +148,46 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
     only those are coded; tasks keep no more of each vector even before the
     shuffle.
     """
-    good = written(usable(vectors, id_col, vector_col))
+    good = usable(vectors, id_col, vector_col)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = written(good.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
     total = indexed.count()
-    blocks, query_blocks = max(1, -(-total // block_rows)), max(1, -(-good.filter(is_query).count() // block_queries))
     sample = indexed.select("embedding").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()["embedding"]  # bounded
     book = Codebook(np.stack(sample.to_list()), width, eta) if len(sample) else None
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = part_files(written(good.filter(is_query).dropDuplicates(["vec_id"])))
+    tasks = max(-(-total // block_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
+
+    def nearest(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The k nearest in one block of rows for all queries, which are read slice by slice."""
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        packed = book.encode(x)
+        error = np.sqrt(((x - book.decode(packed)) ** 2).sum(axis=1).mean() / x.shape[1])
+        half = ((x**2).sum(axis=1) / 2).astype(np.float32)
+        for qids, qx in _slices(asked, block_queries):
+            near = book.scan(qx, packed) - half
+            found = []
+            for i, score in enumerate(near):
+                at = _best(score, k + 1, spread * np.sqrt(2) * error * np.sqrt((qx[i] ** 2).sum()))
+                at = at[ids[at] != qids[i]]
+                exact = np.sqrt(((x[at] - qx[i]) ** 2).sum(axis=1))
+                first = np.lexsort((ids[at], exact))[:k]
+                found.append((np.full(len(first), qids[i]), ids[at][first], exact[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
+    def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, n = [], [], 0
         for b in batches:
-            x = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 1))
-            codes = book.encode(x) if b.num_rows else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "embedding", "codes"])
-
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    rows = indexed.mapInArrow(coded, "vec_id long, embedding array<double>, codes binary").withColumn("block", dealt(blocks))
-    # Each block of queries visits every block of rows: the stated query set against all rows.
-    asked = good.filter(is_query).dropDuplicates(["vec_id"]).withColumn("turn", dealt(query_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(key: tuple, queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(part):
-            part = part.sort_values("vec_id", kind="stable")
-            ids, x = part["vec_id"].to_numpy(), np.stack(part["embedding"].to_list())
-            packed = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), -1)
-            error = np.sqrt(((x - book.decode(packed)) ** 2).sum(axis=1).mean() / x.shape[1])
-            half = ((x**2).sum(axis=1) / 2).astype(np.float32)
-            qids, qx = queries["vec_id"].to_numpy(), np.stack(queries["embedding"].to_list())
-            for lo in range(0, len(qids), block_queries):
-                near = book.scan(qx[lo : lo + block_queries], packed) - half
-                for i, score in enumerate(near, lo):
-                    at = _best(score, k + 1, spread * np.sqrt(2) * error * np.sqrt((qx[i] ** 2).sum()))
-                    at = at[ids[at] != qids[i]]
-                    exact = np.sqrt(((x[at] - qx[i]) ** 2).sum(axis=1))
-                    first = np.lexsort((ids[at], exact))[:k]
-                    out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[at][first], "score": exact[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    met = asked.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(meet, "query_id long, vec_id long, score double")
+            if b.num_rows:
+                ids.append(b.column("vec_id").to_numpy())
+                x.append(b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1))
+                n += b.num_rows
+            if n >= block_rows:
+                yield from nearest(np.concatenate(ids), np.concatenate(x))
+                ids, x, n = [], [], 0
+        if n:
+            yield from nearest(np.concatenate(ids), np.concatenate(x))
+
+    met = mapped(indexed.repartition(tasks), search_blocks, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
