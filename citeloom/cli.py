@@ -40,6 +40,20 @@ def show(df: DataFrame, limit: int) -> str:
     return "\n".join([lines[0], "  ".join("-" * w for w in width), *lines[1:], f"({len(rows)} rows)"])
 
 
+def packed(texts: list[str], most: int, header: int = 200) -> list[list[str]]:
+    """Texts of a review list in files of at most so many bytes, in order; a longer text has a file of its own."""
+    files: list[list[str]] = []
+    room = 0
+    for t in texts:
+        size = len(t.encode())
+        if not files or size > room:
+            files.append([])
+            room = most - header
+        files[-1].append(t)
+        room -= size
+    return files
+
+
 def one_id(papers: DataFrame, wanted: str) -> str:
     """The id that a term means; an error if there is none or more than one."""
     hits = [r.id for r in lookup.resolve(papers, "paper_id", wanted).orderBy("id").limit(20).collect()]

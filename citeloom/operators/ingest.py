@@ -181,6 +181,12 @@ def merged_meta(meta: DataFrame, closure: DataFrame) -> DataFrame:
     return both.select("paper_id", F.array_sort(F.array_union(F.coalesce("passes", none), F.coalesce("p", none))).alias("passes"), F.map_concat(F.coalesce("models", F.create_map().cast("map<string,string>")), F.map_from_entries(first)).alias("models"), F.coalesce("merged_from", F.array().cast("array<string>")).alias("merged_from"))
 
 
+def extraction_meta(passes: Column, models: Column, extractor: str) -> Column:
+    """The stamp of an extraction: extractor, passes in order, how far they went, models by pass, today's date."""
+    done = F.array_sort(F.coalesce(passes, F.array().cast("array<int>")))
+    return F.struct(F.lit(extractor).alias("extractor"), done.alias("passes_completed"), T.detail_level(passes).alias("detail_level"), models.alias("models"), F.current_date().cast("string").alias("extracted_at"))
+
+
 def paper_summaries(papers: DataFrame) -> DataFrame:
     """What a reviewer sees of a paper: id, title, year, type, the abstract's first 200 characters, degrees."""
     count = lambda c: F.size(F.coalesce(F.col(c), F.array()))

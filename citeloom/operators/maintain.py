@@ -155,6 +155,27 @@ def forward_matches(entries: DataFrame, papers: DataFrame) -> DataFrame:
     return entries.join(by_id, "s2_id", "left").join(by_doi, "doi", "left").select("entry_id", F.coalesce("by_id", "by_doi").alias("paper_id"))
 
 
+def applied_forward(papers: DataFrame, edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What fetched citers of known papers add: stubs, edges, and (paper_id, forward_cited_by).
+
+    entries: entry_id, cited_id, title, authors (array), year, s2_id, doi.  A
+    citer is a known paper by external id, else DOI; else the first entry of
+    one identifier or title becomes a stub with a new id.
+    """
+    from citeloom.functions import text as T
+    from citeloom.operators.resolve import assign_ids
+
+    e = entries.withColumn("doi", T.normalize_doi(F.col("doi"))).withColumn("s2_id", F.nullif("s2_id", F.lit("")))
+    known = papers.select("paper_id", "s2_id", T.normalize_doi(F.col("doi")).alias("doi"))
+    e = e.join(forward_matches(e, known), "entry_id").withColumn("key", F.coalesce("s2_id", "doi", T.title_text(F.col("title"))))
+    fresh = first_of_each(e.filter("paper_id is null"), ["key"], ["entry_id"]).drop("paper_id")
+    fresh = fresh.withColumn("base", T.paper_id_base(F.col("title"), F.col("authors"), F.col("year")))
+    stubs = cut(assign_ids(fresh, papers.select("paper_id"), "entry_id").select("paper_id", "key", "title", "authors", "year", "s2_id", "doi", F.lit("stub").alias("type")))
+    citers = e.select("entry_id", "cited_id", "key", F.col("paper_id").alias("known_id")).join(stubs.select("key", "paper_id"), "key", "left").select(F.coalesce("known_id", "paper_id").alias("citing_id"), "cited_id").filter("citing_id <> cited_id").distinct()
+    lists = citers.groupBy(F.col("cited_id").alias("paper_id")).agg(F.array_sort(F.collect_set("citing_id")).alias("forward_cited_by"))
+    return stubs.drop("key"), citers.join(edges.select("citing_id", "cited_id"), ["citing_id", "cited_id"], "left_anti"), lists
+
+
 def added_extraction(papers: DataFrame, edges: DataFrame, paper: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Papers and edges with one extraction: its paper owned, its citations replacing its earlier ones, a stub for each new id.
 

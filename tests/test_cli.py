@@ -37,6 +37,11 @@ def test_command(spark, data, capsys, args, shown):
     assert shown in capsys.readouterr().out
 
 
+def test_packing():
+    assert cli.packed(["aaaa", "bb", "cccccccc", "é"], 10, 3) == [["aaaa", "bb"], ["cccccccc"], ["é"]]
+    assert cli.packed([], 10) == []
+
+
 def test_ids_must_be_clear(spark, data):
     with pytest.raises(SystemExit, match="may be"):
         cli.main(["--data", data, "paper", "_"])

@@ -97,6 +97,24 @@ def test_merge_moves_everything_to_the_canonical_paper(spark):
     assert {r.rule for r in maintain.valid_merges(bad, papers_for_merge(spark)).collect()} == {"unknown id", "alias is canonical of its own group", "alias is canonical elsewhere"}
 
 
+def test_forward_citations(spark):
+    papers = spark.createDataFrame([("own", "s0", None), ("known", None, "10.1/K"), ("doe_2020_carbon", None, None)], "paper_id string, s2_id string, doi string")
+    rows = [(1, "own", "K", ["X"], "2019", None, "doi:10.1/k"), (2, "own", "Carbon now", ["Jane Doe"], "2020", "n1", None), (3, "own", "Carbon again", ["Doe"], "2020", "n1", None), (4, "own", "Self", [], None, "s0", None)]
+    entries = spark.createDataFrame(rows, "entry_id int, cited_id string, title string, authors array<string>, year string, s2_id string, doi string")
+    stubs, new, lists = maintain.applied_forward(papers, edges(spark, [("known", "own")]), entries)
+    assert ids(stubs, "paper_id", "title") == [("doe_2020_carbon_2", "Carbon now")]
+    assert ids(new, "citing_id", "cited_id") == [("doe_2020_carbon_2", "own")]
+    assert lists.first().forward_cited_by == ["doe_2020_carbon_2", "known"]
+
+
+def test_extraction_added(spark):
+    before = spark.createDataFrame([("p", "stub", "P"), ("old", "stub", "Old"), ("kept", "owned", "Kept")], "paper_id string, type string, title string")
+    cites = spark.createDataFrame([("new", "New"), ("kept", "Kept")], "id string, title string")
+    p, e = maintain.added_extraction(before, edges(spark, [("p", "old"), ("kept", "p")]), before.filter("paper_id = 'p'"), cites)
+    assert ids(p, "paper_id", "type") == [("kept", "owned"), ("new", "stub"), ("p", "owned")]
+    assert ids(e, "citing_id", "cited_id") == [("kept", "p"), ("p", "kept"), ("p", "new")]
+
+
 def test_check_finds_each_kind(spark):
     cols = "key string, id string, type string, title string, superseded_by string, cites array<string>, cited_by array<string>, aliases array<string>, extraction_file string, text_file string, source_db string"
     docs = spark.createDataFrame(
