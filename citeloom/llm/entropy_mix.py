@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import WORD, written
 
-#: The driver holds a few numbers for each source, and BINS for each class of its sizes; more sources than this are refused.
-MAX_SOURCES, BINS, ROUNDS, EXACT = 2000, 32, 60, 1e-7
+#: The driver holds a few numbers for each source, and CELLS in all for the classes of their sizes; more sources than this are refused.
+MAX_SOURCES, CELLS, ROUNDS, EXACT = 2000, 400_000, 60, 1e-7
 
 
 def targets(sizes: dict, weights: dict, most: float = 3.0) -> dict:
@@ -94,25 +94,26 @@ class Mix:
     sources: list[dict]
     cuts: list[tuple]
     most: int
+    bins: int
 
     def applied(self, rows: DataFrame) -> DataFrame:
         """rows (source, size, row, ...) with source_size, target, rate and copies; nothing is shuffled."""
         spark = rows.sparkSession
         cuts = spark.createDataFrame(self.cuts, "of string, k long, cut long")  # some ten classes for each source
         per_source = spark.createDataFrame([(s["source"], int(s["size"]), float(s["target"])) for s in self.sources], "source string, source_size long, target double")
-        rated = _rated(rows, self.sources, self.most)
+        rated = _rated(rows, self.sources, self.most, self.bins)
         done = rated.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("k")), "left").drop("of", "k")
         extra = F.coalesce((F.col("late") < F.col("cut")).cast("int"), F.lit(0))
         done = done.withColumn("copies", (F.floor("rate") + extra).cast("int"))
         return _on_source(done, per_source).drop("lam", "scale", "full", "part", "late", "class", "cut")
 
 
-def _rated(rows: DataFrame, sources: list[dict], most: int) -> DataFrame:
+def _rated(rows: DataFrame, sources: list[dict], most: int, bins: int) -> DataFrame:
     """Adds the rate; part: its fraction; late: how far the row's hash is above that; class: of its size."""
     rated = _on_source(rows, _params(rows, sources)).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(1.0))
     part = F.col("rate") - F.floor("rate")
     lucky = F.pmod(F.xxhash64("row", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rated.withColumns({"part": part, "late": F.when(part > 0, F.floor((lucky - part) * BINS)), "class": F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)})
+    return rated.withColumns({"part": part, "late": F.when(part > 0, F.floor((lucky - part) * bins)), "class": F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)})
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Column]:
@@ -133,9 +134,10 @@ def fit(base: DataFrame, weights: dict | None = None, most: int = 3) -> Mix:
     for s in sources:
         s["done"] |= s["full"]
     solve(counts, sources, most)
-    rated, whole = _rated(base, sources, most), F.floor("rate")
+    bins = max(32, min(4096, CELLS // (20 * max(1, len(sources)))))
+    rated, whole = _rated(base, sources, most, bins), F.floor("rate")
     cells = rated.filter("size > 0").groupBy("source", "class", "late").agg(F.sum("size").alias("words"), F.sum(whole * F.col("size")).alias("sure"), F.sum(F.col("part") * F.col("size")).alias("more")).collect()
-    return Mix(sources, _cuts(sources, cells), most)
+    return Mix(sources, _cuts(sources, cells, bins), most, bins)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -162,7 +164,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: s
     return rows.select("document.*")
 
 
-def _cuts(sources: list[dict], cells: list) -> list[tuple]:
+def _cuts(sources: list[dict], cells: list, bins: int) -> list[tuple]:
     """Source, class, cut: rows of a source's class get a further copy if ``late`` is below the cut."""
     by: dict = {}
     for c in cells:
@@ -174,7 +176,7 @@ def _cuts(sources: list[dict], cells: list) -> list[tuple]:
         for k in sorted(by.get(s["source"], {}), reverse=True):
             part = by[s["source"]][k]
             after -= sum(c.more for c in part)
-            want, got, cut = open_words - after, 0.0, -BINS - 1  # what the smaller classes need stays for them
+            want, got, cut = open_words - after, 0.0, -bins - 1  # what the smaller classes need stays for them
             for c in sorted((c for c in part if c.late is not None), key=lambda c: c.late):
                 if abs(got + c.words - want) > abs(got - want):
                     break
