@@ -30,7 +30,7 @@ from citeloom.llm.common import kept, mapped, safe, shared_dir, written
 from citeloom.llm.files import reader, writer
 
 #: Ids of a sequence, sequences of a record batch, and pieces whose ids a worker remembers.
-LENGTH, ROWS, REMEMBERED = 2048, 256, 600_000
+LENGTH, ROWS, REMEMBERED = 2048, 256, 1_200_000
 _FINAL = np.zeros(256, bool)
 _FINAL[list(b".,;:!?")] = True
 _ALNUM = np.zeros(256, bool)
