@@ -84,7 +84,8 @@ def contains_any(docs: DataFrame, columns: list[str], term: str) -> DataFrame:
 
 
 def top_hits(scored: DataFrame, key: str, limit: int) -> DataFrame:
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    """The best rows; scores that agree to nine digits are equal, since sums may differ in the last ones, and go by key."""
+    return scored.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
 def search(docs: DataFrame, key: str, columns: list[str], query: str, limit: int = 15, keep: Column | None = None, **options) -> DataFrame:

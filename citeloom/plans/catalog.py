@@ -381,7 +381,7 @@ s AS (SELECT id, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1
 {tail}"""
 
 
-@query("bm25_search", _bm25_sql("doc_id", "text", "documents", ["the", "of", "and"], "SELECT id AS doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 15"))
+@query("bm25_search", _bm25_sql("doc_id", "text", "documents", ["the", "of", "and"], "SELECT id AS doc_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 15"))
 def bm25_search(spark, d):
     return search.search(C.table(spark, d, "documents"), "doc_id", ["text"], "The of and", 15).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -399,7 +399,7 @@ def bm25_count(spark, d):
     return search.bm25(C.table(spark, d, "documents"), "doc_id", ["text"], "les und").agg(F.count("*").alias("n"))
 
 
-@query("bm25_filtered", _bm25_sql("doc_id", "text", "documents", ["the", "that"], "SELECT id AS doc_id, round(score, 6) AS score FROM s JOIN documents ON doc_id = id WHERE source = 'src3' ORDER BY s.score DESC, id LIMIT 15"))
+@query("bm25_filtered", _bm25_sql("doc_id", "text", "documents", ["the", "that"], "SELECT id AS doc_id, round(score, 6) AS score FROM s JOIN documents ON doc_id = id WHERE source = 'src3' ORDER BY round(s.score, 9) DESC, id LIMIT 15"))
 def bm25_filtered(spark, d):
     found = search.search(C.table(spark, d, "documents"), "doc_id", ["text"], "the that", 15, keep=F.col("source") == "src3")
     return found.select("doc_id", F.round("score", 6).alias("score"))
@@ -420,7 +420,7 @@ def search_all_counts(spark, d):
     return search.counts({"documents": (C.table(spark, d, "documents"), ["text"]), "conversations": (C.table(spark, d, "conversations"), ["text"]), "parts": (C.table(spark, d, "part"), ["p_name"])}, "the les")
 
 
-@query("search_sections", _bm25_sql("conv_id * 1000 + turn", "text", "conversations", ["la", "que"], "SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10"))
+@query("search_sections", _bm25_sql("conv_id * 1000 + turn", "text", "conversations", ["la", "que"], "SELECT id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 10"))
 def search_sections(spark, d):
     rows = C.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return search.search(rows, "id", ["text"], "la que", 10).select("id", F.round("score", 6).alias("score"))
