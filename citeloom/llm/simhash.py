@@ -16,8 +16,10 @@ With a radius that is a large part of the bits, as for a Jaccard similarity of
 0.8, triangle bounds prune nothing and the work grows with the square of the
 fingerprints.  There ``anchors`` decide who meets: each is the pair of a text's
 smallest shingles under two hash orders, and similar texts share one of several
-almost surely.  Texts that share an anchor are compared by their fingerprints;
-those of very common anchors go to the vantage-point trees.
+almost surely.  Texts that share an anchor are compared by their fingerprints,
+here of distinct shingles, and those near enough by the shingles themselves: a
+link is a Jaccard similarity that was counted.  Texts of very common anchors are
+dealt to tasks by pairs of parts, so that every two of them meet.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from citeloom.llm.components import components
 VOTES, BLOCK = 100_000, 192
 #: The driver's tree has at most so many shards, fitted on so many fingerprints for each; shards split further within their tasks.
 MAX_SHARDS, SAMPLE = 4096, 24
-#: Shingles in an anchor; texts with one anchor that are compared by its task.
-ANCHOR, BUCKET = 2, 5000
+#: Shingles in an anchor; texts with one anchor, and shingles of theirs, that one task compares.
+ANCHOR, BUCKET, HELD = 2, 5000, 4_000_000
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -78,13 +80,13 @@ def _anchors(h: np.ndarray, of: np.ndarray, n: int, anchors: int) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, anchors: int = 0) -> np.ndarray:
-    """An array of (texts, lanes) unsigned 64-bit fingerprints, then the anchors."""
+def _shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every shingle, and its text's number, ascending."""
     data, offsets = B.joined(texts)
     starts, ends, count = B.words(data, offsets)
-    n, out = len(count), np.zeros((len(count), lanes + anchors), np.uint64)
+    n = len(count)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     packed, at = B.compacted(data, starts, ends)
     size, word_of = ends - starts, np.repeat(np.arange(n), count)
     last_word = np.cumsum(count)[word_of] - 1
@@ -92,13 +94,54 @@ def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, anchors: int =
     first_word = (np.cumsum(count) - count)[word_of]
     own = np.flatnonzero((np.arange(len(starts)) + words - 1 <= last_word) | (np.arange(len(starts)) == first_word))
     stop = stop[own]
-    h = B.xxh64(B.Spans(packed), at[own], at[stop] + size[stop] - at[own])
+    return B.xxh64(B.Spans(packed), at[own], at[stop] + size[stop] - at[own]), word_of[own]
+
+
+def _distinct(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes, ascending."""
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])][: len(h)]
+    return h[new], of[new]
+
+
+def _digest(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each text's set of shingles."""
+    out = np.zeros(n, np.uint64)
+    np.add.at(out, of, _mixed(h, 63))
+    return out
+
+
+def fingerprints_of(texts: pa.Array, words: int, lanes: int = 1, anchors: int = 0) -> np.ndarray:
+    """An array of (texts, lanes) unsigned 64-bit fingerprints; with anchors, of distinct shingles, then the anchors, the digest and the number of shingles."""
+    h, of = _shingles(texts, words)
+    n, out = len(texts), np.zeros((len(texts), lanes + (anchors and anchors + 2)), np.uint64)
+    if not len(h):
+        return out
+    if anchors:
+        h, of = _distinct(h, of)
+        out[:, lanes:-2] = _anchors(h, of, n, anchors)
+        out[:, -2], out[:, -1] = _digest(h, of, n), np.bincount(of, minlength=n)
     for lane in range(lanes):
-        out[:, lane] = _fold(_mixed(h, lane), word_of[own], n)
-    out[:, lanes:] = _anchors(h, word_of[own], n, anchors)
+        out[:, lane] = _fold(_mixed(h, lane), of, n)
     return out
 
 
+def _set_batches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = 0
+            for texts in B.slices(b.column("text")):
+                n = len(texts)
+                h, of = _distinct(*_shingles(texts, words))
+                ends = np.r_[0, np.cumsum(np.bincount(of, minlength=n))].astype(np.int32) * np.int32(8)
+                sets = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
+                lo += n
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(lo - n, n), pa.array(_digest(h, of, n).view(np.int64)), sets], names=["node", "digest", "shingles"])
+
+    return run
+
+
 def _hash_batches(words: int, lanes: int, anchors: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,16 +149,18 @@ def _hash_batches(words: int, lanes: int, anchors: int):
             for texts in B.slices(b.column("text")):
                 n, fp = len(texts), fingerprints_of(texts, words, lanes, anchors).view(np.int64)
                 lo += n
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(lanes)), *([pa.FixedSizeListArray.from_arrays(pa.array(fp[:, lanes:].ravel()), anchors).cast(pa.list_(pa.int64()))] if anchors else [])], names=["doc_id", *(f"fp{k}" for k in range(lanes)), *["anchors"] * bool(anchors)])
+                column = lambda k: pa.array(np.ascontiguousarray(fp[:, k]))
+                more = [pa.FixedSizeListArray.from_arrays(pa.array(fp[:, lanes:-2].ravel()), anchors).cast(pa.list_(pa.int64())), column(-2), column(-1)] if anchors else []
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo - n, n), *map(column, range(lanes)), *more], names=["doc_id", *(f"fp{k}" for k in range(lanes)), *["anchors", "digest", "n_shingles"][: len(more)]])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, anchors: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp0 ... and, if asked, anchors of every whole text; null and texts without a word get zeros."""
+    """doc_id, fp0 ... and, if asked, anchors, digest and n_shingles of every whole text; null and texts without a word get zeros."""
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, _hash_batches(words, lanes, anchors), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)) + ", anchors array<long>" * bool(anchors))
+    return mapped(rows, _hash_batches(words, lanes, anchors), f"doc_id {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)) + ", anchors array<long>, digest long, n_shingles long" * bool(anchors))
 
 
 def _distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -254,58 +299,88 @@ def near_links(nodes: DataFrame, radius: int, lanes: int = 1, first: int | None
     return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius, radius if first is None else first), "src long, dst long")
 
 
-def _link_buckets(lanes: int, radius: int, first: int):
-    """Links among neighbours with one anchor, in batches sorted by anchor and node; holds one anchor's rows over from batch to batch."""
-    cols = ["anchor", "node", *(f"fp{k}" for k in range(lanes))]
+def _alike(shingles: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of each pair have a Jaccard similarity of ``least``."""
+    out = np.zeros(len(a), bool)
+    for k, (i, j) in enumerate(zip(a, b, strict=True)):
+        x, y = (shingles[i], shingles[j]) if len(shingles[i]) <= len(shingles[j]) else (shingles[j], shingles[i])
+        if len(x) < least * len(y) * (1 - 1e-9):
+            continue
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+        out[k] = not len(y) or both / (len(x) + len(y) - both) >= least
+    return out
+
 
-    def of(rows: np.ndarray) -> pa.RecordBatch:
-        anchor, node, points = rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64)
-        forest, k = _Forest(len(rows)), 1
-        at = np.flatnonzero(anchor[1:] == anchor[:-1])
-        while len(at):  # each row with the k-th after it, while they share the anchor
-            near = at[np.bitwise_count(points[at, 0] ^ points[at + k, 0]) <= first]
+def _link_buckets(lanes: int, radius: int, first: int, least: float):
+    """Links among neighbours of one anchor and pair of parts, in batches sorted by these; holds one such group's rows over from batch to batch."""
+    key, cols = ["anchor", "pair"], ["node", *(f"fp{k}" for k in range(lanes))]
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        group, (node, *fps) = np.stack([rows[c].to_numpy() for c in key], axis=1), (rows[c].to_numpy() for c in cols)
+        points, shingles = np.stack(fps, axis=1).view(np.uint64), [np.frombuffer(x.as_buffer(), np.uint64) for c in rows["shingles"].chunks for x in c]
+        size = np.array([len(x) for x in shingles])
+        forest, k = _Forest(len(node)), 1
+        at = np.flatnonzero((group[1:] == group[:-1]).all(axis=1))
+        while len(at):  # each row with the k-th after it, while they share the group
+            near = at[forest.root(at) != forest.root(at + k)]
+            near = near[np.minimum(size[near], size[near + k]) >= least * np.maximum(size[near], size[near + k]) * (1 - 1e-9)]
+            near = near[np.bitwise_count(points[near, 0] ^ points[near + k, 0]) <= first]
             near = near[_distance(points[near], points[near + k]) <= radius]
+            near = near[_alike(shingles, near, near + k, least)]
             forest.unite(near, near + k)
             k += 1
-            at = at[at + k < len(rows)]
-            at = at[anchor[at + k] == anchor[at]]
-        root = forest.root(np.arange(len(rows)))
-        moved = root != np.arange(len(rows))
+            at = at[at + k < len(node)]
+            at = at[(group[at + k] == group[at]).all(axis=1)]
+        root = forest.root(np.arange(len(node)))
+        moved = root != np.arange(len(node))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, len(cols)), np.int64)
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in cols], axis=1)])
-            cut = np.searchsorted(rows[:, 0], rows[-1, 0]) if len(rows) else 0
-            yield of(rows[:cut])
-            held = rows[cut:]
-        yield of(held)
+            if not len(b):
+                continue
+            group = np.stack([b.column(c).to_numpy() for c in key], axis=1)
+            cut = len(b) - int(np.argmin(np.r_[(group == group[-1]).all(axis=1)[::-1], False]))
+            if cut or (held and any(held[-1].column(c)[0] != b.column(c)[0] for c in key)):
+                yield of(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield of(pa.Table.from_batches(held))
 
     return run
 
 
-def anchored_links(nodes: DataFrame, radius: int, lanes: int, first: int, shard_size: int) -> DataFrame:
-    """Links (src, dst) that connect all nodes that share an anchor and differ in at most radius bits, ``first`` of them in the first lane."""
+def anchored_links(texts: DataFrame, nodes: DataFrame, words: int, radius: int, lanes: int, first: int, least: float) -> DataFrame:
+    """Links (src, dst) that connect all nodes that share an anchor, differ in at most radius bits, ``first`` of them in the first lane, and have a Jaccard similarity of ``least``.
+
+    texts: (node, text), of which those of nodes with a shared anchor are read.
+    An anchor that too many texts share has them in parts; each two parts meet.
+    """
     cols = [f"fp{k}" for k in range(lanes)]
-    slots = nodes.select(F.explode("anchors").alias("anchor"), "node", *cols)
-    shared = written(slots.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = slots.join(shared, "anchor")
-    close = met.filter(F.col("n") <= BUCKET).select("anchor", "node", *cols).repartition("anchor").sortWithinPartitions("anchor", "node")
-    links = mapped(close, _link_buckets(lanes, radius, first), "src long, dst long")
-    if shared.filter(F.col("n") > BUCKET).limit(1).count():
-        crowded = written(met.filter(F.col("n") > BUCKET).select("node", *cols).distinct())
-        links = links.unionByName(near_links(crowded, radius, lanes, first, shard_size))
-    return links
-
-
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, anchors: int = 0, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    slots = nodes.select(F.explode(F.array_distinct("anchors")).alias("anchor"), "node", "digest", "n_shingles", *cols)
+    shared = slots.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held")).filter("n > 1")
+    parts = F.when((F.col("n") <= BUCKET) & (F.col("held") <= HELD), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / BUCKET, F.col("held") / HELD)))
+    met = slots.join(written(shared.select("anchor", parts.cast("int").alias("parts"))), "anchor").withColumn("of", F.pmod(F.xxhash64("digest", "node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = written(met.select("anchor", "node", "digest", *cols, "of", "parts", other.alias("other")).select("anchor", (F.least("of", "other").cast("long") * F.col("parts") + F.greatest("of", "other")).alias("pair"), "node", "digest", *cols))
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sets = written(mapped(wanted, _set_batches(words), "node long, digest long, shingles binary"))
+    close = met.join(sets, ["node", "digest"]).repartition("anchor", "pair").sortWithinPartitions("anchor", "pair", "node")
+    return mapped(close, _link_buckets(lanes, radius, first, least), "src long, dst long")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, anchors: int = 0, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, fp0 ..., component_id: the smallest id reachable over links of fingerprints within the radius.
 
     ``first`` further bounds the bits that differ in the first lane.  With
-    ``anchors``, only texts that share one of so many are linked: of texts with
-    a Jaccard similarity s, all but (1 - s^2)^anchors; the vantage-point trees,
-    of shards of ``shard_size``, then see those of crowded anchors alone.
+    ``anchors``, fingerprints are of distinct shingles, and linked are texts whose
+    distinct shingles have a Jaccard similarity of ``least``, if they share an
+    anchor, as all but (1 - s^2)^anchors of those with a similarity s do, and
+    their fingerprints are within the radius.  Without, ``shard_size`` is that of
+    the vantage-point trees.
 
     One row per input row, repeated rows too.  A null id gets a null
     component.  Null and empty texts have fingerprint zero and link like any
@@ -314,8 +389,10 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1
     cols = [f"fp{k}" for k in range(lanes)]
     first = radius if first is None else first
     hashed = written(fingerprints(docs, words, lanes, anchors, id_col, text_col))
-    nodes = written(hashed.filter("doc_id is not null").groupBy(*cols).agg(F.min("doc_id").cast("long").alias("node"), *[F.min("anchors").alias("anchors")] * bool(anchors)))
-    links = anchored_links(nodes, radius, lanes, first, shard_size) if anchors else near_links(nodes, radius, lanes, first, shard_size)
+    key = [*cols, *["digest", "n_shingles"] * bool(anchors)]
+    nodes = written(hashed.filter("doc_id is not null").groupBy(*key).agg(F.min("doc_id").cast("long").alias("node"), *[F.min("anchors").alias("anchors")] * bool(anchors)))
+    texts = safe(docs, id_col, text_col).toDF("node", "text").withColumn("node", F.col("node").cast("long"))
+    links = anchored_links(texts, nodes, words, radius, lanes, first, least) if anchors else near_links(nodes, radius, lanes, first, shard_size)
     roots = components(links)
-    labels = nodes.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("component_id"))
-    return hashed.join(labels, cols, "left").select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
+    return hashed.join(labels, key, "left").select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

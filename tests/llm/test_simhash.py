@@ -123,6 +123,37 @@ def test_crowded_anchors_go_to_the_trees(table, monkeypatch):
     assert {r.component_id for r in found} == {0}
 
 
+def jaccard(a, b):
+    a, b = set(shingles(a, 5)), set(shingles(b, 5))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("bucket", [5000, 6])
+def test_near_stage_links_what_is_similar_and_nothing_else(spark, monkeypatch, bucket):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        t = [f"w{rng.randrange(5000)}" for _ in range(8 if k % 3 == 0 else 9 if k % 3 == 1 else 100)]
+        texts.append(" ".join(t))
+        if k % 3 == 0:  # four shingles and one or two more: 0.8 and 0.67
+            texts.append(" ".join([*t, "more"] if k % 2 else [*t, "more", "words"]))
+        elif k % 3 == 1:  # five shingles, of which 4 are shared: 0.67
+            texts.append(" ".join([*t[:-1], "other"]))
+        else:  # 96 shingles with so many after them
+            texts.append(" ".join([*t, *(f"x{k}y{i}" for i in range((k * 7) % 48))]))
+    texts += [f"{'again ' * 200}{' '.join(f'r{k}s{i}' for i in range(40))}" for k in range(3)]  # one shingle has most votes
+    texts += [" ".join(f"c{i}" for i in range(100)) + "".join(f" d{k}e{i}" for i in range(k % 12)) for k in range(20)]
+    pairs = {(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8}
+    forest = S._Forest(len(texts))
+    forest.unite(*np.array(sorted(pairs)).T)
+    expected = forest.root(np.arange(len(texts)))
+    kept = P.near(spark, spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({int(x) for x in expected})
+
+
 def test_components_of_long_chains(spark):
     pairs = [(k + 1, k) for k in range(64)] + [(200, 100), (100, 150), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
