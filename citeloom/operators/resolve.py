@@ -135,12 +135,13 @@ def canonical(members: DataFrame, papers: DataFrame) -> DataFrame:
     return ordered.withColumn("r", F.row_number().over(first)).filter("r = 1").select("group", F.col("paper_id").alias("canonical_id"))
 
 
-def confidence(scored: DataFrame, members: DataFrame, limit: int = 50) -> DataFrame:
-    """group, size, best, confidence: groups by their best pair."""
+def confidence(scored: DataFrame, members: DataFrame, limit: int | None = 50) -> DataFrame:
+    """group, size, best, confidence: groups by their best pair; without a limit all of them, in no order."""
     of = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a")
     best = of.groupBy("group").agg(F.max("score").alias("best")).join(members.groupBy("group").agg(F.count("*").alias("size")), "group")
     level = F.when(F.col("best") >= 7, "high").when(F.col("best") >= 4.5, "medium").otherwise("low")
-    return best.withColumn("confidence", level).orderBy(F.desc("best"), "group").limit(limit)
+    best = best.withColumn("confidence", level)
+    return best if limit is None else best.orderBy(F.desc("best"), "group").limit(limit)
 
 
 def dense_parts(members: DataFrame, scored: DataFrame, threshold: float, max_size: int) -> DataFrame:

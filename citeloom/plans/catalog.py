@@ -527,7 +527,14 @@ def canonical(spark, d):
     scored, papers = _scored(spark, d)
     found = store.cut(resolve.classified(scored, 1.0))
     members = resolve.groups(found, "auto")
-    return resolve.canonical(members, papers).join(resolve.confidence(found, members, 1000), "group")
+    return resolve.canonical(members, papers).join(resolve.confidence(found, members, None), "group")
+
+
+@query("confident_groups")
+def confident_groups(spark, d):
+    """The listing of groups, best first."""
+    found = store.cut(resolve.classified(_scored(spark, d)[0], 1.0))
+    return resolve.confidence(found, resolve.groups(found, "auto"), 1000)
 
 
 @query("dense_parts")

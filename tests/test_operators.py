@@ -201,6 +201,18 @@ def test_new_ids_skip_taken_numbers(spark):
     assert ids(resolve.assign_ids(bases, have, "n0"), "paper_id") == ["b_2", "b_4", "b_5", "c"]
 
 
+def test_canonical_of_every_group(spark, monkeypatch):
+    from citeloom.plans import catalog
+
+    pairs = spark.range(1, 1201).selectExpr("2 * id as id_a", "2 * id + 1 as id_b", "8.0d as score", "'auto' as bucket")
+    papers = spark.range(2, 2402).selectExpr("id as paper_id", "'stub' as type", "'' as doi", "'' as abstract", "array('a') as cites", "array('b') as cited_by", "'t' as title")
+    monkeypatch.setattr(catalog, "_scored", lambda spark, d: (pairs, papers))
+    monkeypatch.setattr(resolve, "classified", lambda scored, threshold: scored)
+    got = catalog.QUERIES["canonical"](spark, "")
+    assert ids(got, "canonical_id") == list(range(2, 2402, 2))
+    assert catalog.QUERIES["confident_groups"](spark, "").count() == 1000
+
+
 def test_author_groups(spark):
     names = spark.createDataFrame([("p1", "Doe, J."), ("p2", "Doe, Jane A."), ("p3", "Doe, J. A."), ("p4", "Doe, K."), ("p1", "World Bank"), ("p2", "et al.")], "paper_id string, name string")
     got = {r.group: r for r in A.person_groups(names).collect()}
