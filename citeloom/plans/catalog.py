@@ -497,6 +497,17 @@ def candidate_pairs(spark, d):
     return resolve.candidate_pairs(C.keyed_papers(spark, d), cap=60)
 
 
+@query(
+    "candidate_pairs_defined",
+    f"""WITH p AS ({PAPER_KEYS}), k AS (SELECT paper_id, 'a' AS f, author_key AS k, {resolve.CAP} AS cap FROM p UNION ALL SELECT paper_id, 'd', doi, NULL FROM p WHERE doi IS NOT NULL UNION ALL SELECT paper_id, 't', prefix, {resolve.CAP} FROM p WHERE length(prefix) > 8),
+b AS (SELECT f, k FROM k GROUP BY f, k HAVING max(cap) IS NULL OR count(*) BETWEEN 2 AND max(cap))
+SELECT DISTINCT x.paper_id AS id_a, y.paper_id AS id_b FROM k x JOIN k y ON x.f = y.f AND x.k = y.k AND x.paper_id < y.paper_id JOIN b ON b.f = x.f AND b.k = x.k""",
+)
+def candidate_pairs_defined(spark, d):
+    """With the defined cap; candidate_pairs keeps that of its oracle."""
+    return resolve.candidate_pairs(C.keyed_papers(spark, d))
+
+
 @query(
     "jaccard_cites",
     with_views("edges")
@@ -509,7 +520,7 @@ def jaccard_cites(spark, d):
 
 def _scored(spark, d):
     papers = C.full_papers(spark, d)
-    return resolve.pair_scores(resolve.candidate_pairs(papers, cap=40), papers), papers
+    return resolve.pair_scores(resolve.candidate_pairs(papers), papers), papers
 
 
 @query("pair_scores")

@@ -213,6 +213,14 @@ def test_canonical_of_every_group(spark, monkeypatch):
     assert catalog.QUERIES["confident_groups"](spark, "").count() == 1000
 
 
+def test_scored_pairs_have_the_defined_cap(spark, monkeypatch):
+    from citeloom.plans import catalog
+
+    papers = spark.range(100).selectExpr("id as paper_id", "if(id < 45, 'one long title', concat('another title ', id)) as title", "concat('a', id) as author_key", "concat('d', id) as doi", "concat('s', id) as s2_id", "array(concat('Doe', id)) as authors", "2000 as year", "'stub' as type", "'' as abstract", "array('a') as cites", "array('b') as cited_by")
+    monkeypatch.setattr(catalog.C, "full_papers", lambda spark, d: papers)
+    assert catalog._scored(spark, "")[0].filter("id_b < 45").count() == 45 * 44 // 2
+
+
 def test_author_groups(spark):
     names = spark.createDataFrame([("p1", "Doe, J."), ("p2", "Doe, Jane A."), ("p3", "Doe, J. A."), ("p4", "Doe, K."), ("p1", "World Bank"), ("p2", "et al.")], "paper_id string, name string")
     got = {r.group: r for r in A.person_groups(names).collect()}
