@@ -316,9 +316,11 @@ FROM s{i} s LEFT JOIN (SELECT e.cited_id, sum(u.score / o.n) AS got FROM e JOIN
 {', '.join(steps)} SELECT paper_id, round(score, 7) AS score FROM s{ITERATIONS}"""
 
 
-def _rank(spark, d, kind="directed", seeds=None):
+def _rank(spark, d, kind="directed", seeds=None, owned=True):
     own = C.papers(spark, d).filter("type = 'owned'").select(F.col("paper_id").alias("citing_id"))
-    e = C.edges(spark, d).join(own, "citing_id", "left_semi")  # what owned papers cite; all others cite nothing
+    e = C.edges(spark, d)
+    if owned:
+        e = e.join(own, "citing_id", "left_semi")  # what owned papers cite; all others cite nothing
     found = centrality.pagerank(C.papers(spark, d), e, kind, seeds, max_iter=ITERATIONS, tol=0)
     return found.select("paper_id", F.round("score", 7).alias("score"))
 
@@ -343,6 +345,30 @@ def pagerank_seeded(spark, d):
     return _rank(spark, d, seeds=[3, 6, 42])
 
 
+# The same on the whole graph; those above keep the edges of their oracles.
+EVERY_EDGE = "SELECT citing_id, cited_id FROM edges"
+
+
+@query("pagerank_whole", _rank_sql("directed", None, EVERY_EDGE))
+def pagerank_whole(spark, d):
+    return _rank(spark, d, owned=False)
+
+
+@query("pagerank_reverse_whole", _rank_sql("reverse", None, EVERY_EDGE))
+def pagerank_reverse_whole(spark, d):
+    return _rank(spark, d, "reverse", owned=False)
+
+
+@query("pagerank_undirected_whole", _rank_sql("undirected", None, EVERY_EDGE))
+def pagerank_undirected_whole(spark, d):
+    return _rank(spark, d, "undirected", owned=False)
+
+
+@query("pagerank_seeded_whole", _rank_sql("directed", "3, 6, 42", EVERY_EDGE))
+def pagerank_seeded_whole(spark, d):
+    return _rank(spark, d, seeds=[3, 6, 42], owned=False)
+
+
 def _katz_sql(seeds: str | None) -> str:
     base = f"CASE WHEN paper_id IN ({seeds}) THEN 1.0 ELSE 0.0 END" if seeds else "1.0"
     steps = [f"s0 AS MATERIALIZED (SELECT paper_id, CAST({base} AS DOUBLE) AS score, CAST({base} AS DOUBLE) AS b FROM papers)"]
