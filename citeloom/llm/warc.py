@@ -72,15 +72,17 @@ def parsed(raw: bytes) -> dict:
 
 
 def owners(pages: DataFrame, minimum: int = 0) -> DataFrame:
-    """pages and refers_to: the smallest page id of each payload of at least ``minimum`` bytes, null for that page itself.
+    """pages and refers_to: the smallest page id that has the row's payload, if that has ``minimum`` bytes; null for rows of that page.
 
-    Only digests and ids are shuffled for it; payloads move once, by page id.
+    Only digests and ids are shuffled for it; payloads move once, by page id and
+    digest, since rows of one page id may hold different payloads.
     """
-    digest = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    small = written(pages.filter("page_id is not null").select("page_id", digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")))
+    payload = F.coalesce("html", F.lit(""))
+    known = pages.withColumn("digest", F.sha1(F.encode(payload, "UTF-8")))
+    small = written(known.filter("page_id is not null").select("page_id", "digest", F.octet_length(payload).alias("size")))
     first = small.filter(F.col("size") >= minimum).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    revisits = small.join(first, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    return pages.join(written(revisits), "page_id", "left")
+    revisits = small.join(first, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    return known.join(written(revisits), ["page_id", "digest"], "left").drop("digest")
 
 
 def _writing(folder: str):
@@ -118,9 +120,10 @@ def write_archives(pages: DataFrame, minimum: int = 0, id_col: str = "page_id",
     """Writes every row as a record and returns the index: path, offset, length, page_id, url, digest.
 
     Null html is an empty payload, a null URL an empty one.  A row with a null
-    id is a response and nothing refers to it.  Rows that repeat the smallest id
-    of a payload are all responses.  An empty table writes no file.  Other
-    columns are ignored.
+    id is a response and nothing refers to it.  Every row is one record: rows
+    that repeat the smallest id of a payload are all responses, and rows of one
+    id with different payloads are judged each by its own.  An empty table
+    writes no file.  Ids are integers; other columns are ignored.
     """
     rows = safe(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
     ready = owners(rows, minimum).select("page_id", "url", "html", "refers_to")
