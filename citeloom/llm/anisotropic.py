@@ -17,6 +17,7 @@ from the shared folder; it returns at most ``k`` rows for each query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from citeloom.llm.common import mapped, part_files, safe, written
 from citeloom.llm.files import reader
 
 CENTRES, SAMPLE, SWEEPS, LEAST_ROWS = 16, 16_384, 8, 2048
+#: Vectors of so many different lengths are searched, each among its own.
+LENGTHS = 32
 
 
 class Codebook:
@@ -48,38 +51,39 @@ class Codebook:
         return padded.reshape(len(vectors), self.pieces, self.width)
 
     def _nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([((x[:, p, None, :] - self.centres[p]) ** 2).sum(axis=2).argmin(axis=1) for p in range(self.pieces)], axis=1)
+        # |x - c|^2 without |x|^2, which all centres share.
+        return np.stack([((c**2).sum(axis=1) - 2 * x[:, p] @ c.T).argmin(axis=1) for p, c in enumerate(self.centres)], axis=1)
 
     def _coded(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """One sweep of coordinate descent over the pieces: each takes the centre with the least loss, the others held."""
-        unit = x / np.maximum(np.sqrt((x**2).sum(axis=(1, 2), keepdims=True)), 1e-30)
-        at = np.arange(self.pieces)
-        along = ((x - self.centres[at, codes]) * unit).sum(axis=(1, 2))
+        unit = _units(x)
+        row = np.arange(len(x))
+        along = ((x - self.centres[np.arange(self.pieces), codes]) * unit).sum(axis=(1, 2))
         codes = codes.copy()
-        for p in range(self.pieces):
-            residual = x[:, p, None, :] - self.centres[p]  # (rows, 16, width)
-            own = (residual * unit[:, p, None, :]).sum(axis=2)
-            rest = along - own[np.arange(len(x)), codes[:, p]]
-            loss = (residual**2).sum(axis=2) + (self.eta - 1) * (rest[:, None] + own) ** 2
+        for p, c in enumerate(self.centres):
+            own = (x[:, p] * unit[:, p]).sum(axis=1)[:, None] - unit[:, p] @ c.T
+            rest = along - own[row, codes[:, p]]
+            loss = (c**2).sum(axis=1) - 2 * x[:, p] @ c.T + (self.eta - 1) * (rest[:, None] + own) ** 2
             codes[:, p] = loss.argmin(axis=1)
-            along = rest + own[np.arange(len(x)), codes[:, p]]
+            along = rest + own[row, codes[:, p]]
         return codes
 
     def _refit(self, x: np.ndarray, codes: np.ndarray) -> None:
         """Each centre to the least loss of its vectors, the other pieces' residuals held."""
-        unit = x / np.maximum(np.sqrt((x**2).sum(axis=(1, 2), keepdims=True)), 1e-30)
-        at = np.arange(self.pieces)
+        unit = _units(x)
+        parts = ((x - self.centres[np.arange(self.pieces), codes]) * unit).sum(axis=2)
+        along = parts.sum(axis=1)
         for p in range(self.pieces):
-            parts = ((x - self.centres[at, codes]) * unit).sum(axis=2)
-            rest = parts.sum(axis=1) - parts[:, p]
-            for c in range(CENTRES):
-                of = codes[:, p] == c
-                if not of.any():
-                    continue
-                u, v = unit[of, p], x[of, p]
-                left = np.eye(self.width) * of.sum() + (self.eta - 1) * u.T @ u
-                right = v.sum(axis=0) + (self.eta - 1) * (u * ((v * u).sum(axis=1) + rest[of])[:, None]).sum(axis=0)
-                self.centres[p, c] = np.linalg.solve(left, right)
+            of = (codes[:, p, None] == np.arange(CENTRES)).astype(float)  # (rows, 16)
+            u, v = unit[:, p], x[:, p]
+            pull = u * ((v * u).sum(axis=1) + along - parts[:, p])[:, None]
+            left = of.sum(axis=0)[:, None, None] * np.eye(self.width) + (self.eta - 1) * (of.T @ (u[:, :, None] * u[:, None, :]).reshape(len(x), -1)).reshape(CENTRES, self.width, self.width)
+            right = of.T @ (v + (self.eta - 1) * pull)
+            some = of.any(axis=0)
+            self.centres[p, some] = np.linalg.solve(left[some], right[some][:, :, None])[:, :, 0]
+            now = ((v - self.centres[p, codes[:, p]]) * u).sum(axis=1)
+            along += now - parts[:, p]
+            parts[:, p] = now
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, pieces / 2) bytes of two codes each."""
@@ -103,6 +107,10 @@ class Codebook:
         return out
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x**2).sum(axis=(1, 2), keepdims=True)), 1e-30)
+
+
 def _best(score: np.ndarray, k: int, margin: float) -> np.ndarray:
     """Places of the scores that are at most the margin below the k-th largest."""
     if len(score) <= k:
@@ -110,52 +118,67 @@ def _best(score: np.ndarray, k: int, margin: float) -> np.ndarray:
     return np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - margin)
 
 
-def _slices(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and vectors of Parquet files, so many rows at a time."""
+def _slices(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, marks and vectors of Parquet files, so many rows at a time."""
     import pyarrow.parquet as pq
 
     for path in files:
         with reader(path) as f:
-            for b in pq.ParquetFile(f).iter_batches(rows, columns=["vec_id", "embedding"]):
+            for b in pq.ParquetFile(f).iter_batches(rows, columns=["vec_id", "mark", "embedding"]):
                 if b.num_rows:
-                    yield b.column("vec_id").to_numpy(), b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1)
+                    yield b.column("vec_id").to_numpy(), b.column("mark").to_numpy(), _matrix(b)
+
+
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, embedding of the rows that take part."""
+    """vec_id, embedding, mark of the rows that take part, repeated rows once; mark tells the vectors of one id apart."""
     v = safe(df, id_col, vector_col).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = written(v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0)))
-    size = F.size("embedding")
-    most = v.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
-    return v.filter(size == most["size"]) if most else v
+    v = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
+    return v.dropDuplicates(["vec_id", "embedding"]).withColumn("mark", F.xxhash64("embedding"))
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width: int = 2, eta: float = 4.0, block_rows: int = 32_768, block_queries: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row for which ``is_query`` holds, never the row itself.
+    """query_id, rank, vec_id, score, mark: the k nearest found for each row for which ``is_query`` holds, never the row itself.
 
     score is the Euclidean distance; equal distances rank the smaller id first.
     ``is_query`` is a condition on vec_id.  Vectors that are null, zero, or hold
-    a null or non-finite component, those of another length than most (the
-    longer one if two are as common), and rows with a null id, take no part.
-    Repeated rows of one id are all candidates of other queries and one query.
-    An empty table gives no rows; other
-    columns are ignored.  In each block of rows all candidates are
-    measured exactly whose approximate score is below the k-th best by no more
-    than ``spread`` standard deviations of the difference that coding makes, so
-    a dense cluster of near copies is measured as a whole.
-    Of equal vectors only the k + 1 smallest ids can be among any k nearest, so
-    only those are coded; tasks keep no more of each vector even before the
-    shuffle.
+    a null or non-finite component, and rows with a null id, take no part.  Ids
+    are integers.  Repeated rows, of one id with one vector, are one row.  Rows
+    of one id with different vectors are rows of their own: each is a candidate
+    of the others, and each is a query with ranks of its own, told apart by
+    ``mark``, a hash of the query's vector.  Vectors of different lengths have
+    no distance, so each is searched among those of its length; a table with
+    over LENGTHS lengths is refused.  An empty table gives no rows; other
+    columns are ignored.
+
+    In each block of rows all candidates are measured exactly whose approximate
+    score is below the k-th best by no more than ``spread`` standard deviations
+    of the difference that coding makes, so a dense cluster of near copies is
+    measured as a whole.  Of equal vectors only the k + 1 smallest ids can be
+    among any k nearest, so only those are coded; tasks keep no more of each
+    vector even before the shuffle.
     """
-    good = usable(vectors, id_col, vector_col)
+    good = written(usable(vectors, id_col, vector_col))
+    sizes = sorted(r.size for r in good.select(F.size("embedding").alias("size")).distinct().limit(LENGTHS + 1).collect())
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    found = [_search(good if len(sizes) == 1 else good.filter(F.size("embedding") == n), is_query, k, spread, width, eta, block_rows, block_queries) for n in sizes or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(good: DataFrame, is_query, k: int, spread: float, width: int, eta: float, block_rows: int, block_queries: int) -> DataFrame:
+    """The search among usable vectors of one length."""
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = written(good.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
     total = indexed.count()
-    sample = indexed.select("embedding").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()["embedding"]  # bounded
+    sample = indexed.select("embedding").orderBy(F.xxhash64("vec_id", "mark")).limit(SAMPLE).toPandas()["embedding"]  # bounded
     book = Codebook(np.stack(sample.to_list()), width, eta) if len(sample) else None
-    asked = part_files(written(good.filter(is_query).dropDuplicates(["vec_id"])))
-    tasks = max(-(-total // block_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
+    asked = part_files(written(good.filter(is_query)))
+    tasks = max(-(-total // block_rows), min(good.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
 
     def nearest(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The k nearest in one block of rows for all queries, which are read slice by slice."""
@@ -164,23 +187,23 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
         packed = book.encode(x)
         error = np.sqrt(((x - book.decode(packed)) ** 2).sum(axis=1).mean() / x.shape[1])
         half = ((x**2).sum(axis=1) / 2).astype(np.float32)
-        for qids, qx in _slices(asked, block_queries):
+        for qids, marks, qx in _slices(asked, block_queries):
             near = book.scan(qx, packed) - half
             found = []
             for i, score in enumerate(near):
                 at = _best(score, k + 1, spread * np.sqrt(2) * error * np.sqrt((qx[i] ** 2).sum()))
-                at = at[ids[at] != qids[i]]
+                at = at[(ids[at] != qids[i]) | (x[at] != qx[i]).any(axis=1)]
                 exact = np.sqrt(((x[at] - qx[i]) ** 2).sum(axis=1))
                 first = np.lexsort((ids[at], exact))[:k]
-                found.append((np.full(len(first), qids[i]), ids[at][first], exact[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                found.append((np.full(len(first), qids[i]), np.full(len(first), marks[i]), ids[at][first], exact[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "mark", "vec_id", "score"])
 
     def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, n = [], [], 0
         for b in batches:
             if b.num_rows:
                 ids.append(b.column("vec_id").to_numpy())
-                x.append(b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1))
+                x.append(_matrix(b))
                 n += b.num_rows
             if n >= block_rows:
                 yield from nearest(np.concatenate(ids), np.concatenate(x))
@@ -188,6 +211,6 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
         if n:
             yield from nearest(np.concatenate(ids), np.concatenate(x))
 
-    met = mapped(indexed.repartition(tasks), search_blocks, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = mapped(indexed.select("vec_id", "embedding").repartition(tasks), search_blocks, "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "mark")

@@ -57,10 +57,27 @@ def test_few_and_no_candidates(table):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0)]
 
 
-def test_vectors_of_other_lengths_take_no_part(table):
-    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 0.0, 3.0], 0), (3, [], 0), (4, [5.0], 0)]
+def test_vectors_of_each_length_are_searched_apart(table):
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 0.0, 3.0], 0), (3, [], 0), (4, [5.0], 0), (6, [1.0, 0.0, 5.0], 0)]
     got = A.search(table(rows, VEC), F.col("vec_id") % 2 == 0).collect()
-    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 1.0)]
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 1, 1.0), (2, 6, 2.0), (6, 2, 2.0)]
+    with pytest.raises(ValueError, match="lengths"):
+        A.search(table([(k, [1.0] * (k + 1), 0) for k in range(A.LENGTHS + 1)], VEC), F.col("vec_id") == 0)
+
+
+def test_repeated_rows_hide_no_neighbour(table):
+    rows = [(0, [1.0, 0.0], 0)] * 12 + [(1, [1.0, 0.0], 0), (2, [5.0, 5.0], 0)]
+    got = A.search(table(rows, VEC).repartition(4), F.col("vec_id") == 0).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_one_id_with_several_vectors(table):
+    rows = [(0, [1.0, 0.0], 0), (0, [9.0, 0.0], 0), (0, [9.0, 0.0], 0), (1, [2.0, 0.0], 0)]
+    got = A.search(table(rows, VEC), F.col("vec_id") == 0).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        by.setdefault(r.mark, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(by.values()) == [[(1, 1, 1.0), (2, 0, 8.0)], [(1, 1, 7.0), (2, 0, 8.0)]]
 
 
 def test_codes_favour_the_parallel_residual():
@@ -100,6 +117,17 @@ def test_archives_read_back(table, minimum, gap, most):
     assert sorted(got, key=repr) == expected(ROWS, minimum)
 
 
+def test_one_record_for_each_row_of_repeated_ids(table):
+    rows = [(i, f"u{i}", h) for i, h in [(1, "A"), (2, "C"), (5, "A"), (5, "B"), (6, "A"), (7, "A"), (7, "C")]]
+    index = warc.write_archives(table(rows, PAGE))
+    assert sorted([tuple(r) for r in warc.read_selected(index).collect()], key=repr) == expected(rows, 0)
+    paths, raw = sorted({r.path for r in index.collect()}), b""
+    for path in paths:
+        with files.reader(path) as f:
+            raw += gzip.decompress(f.read())
+    assert raw.count(b"\r\n\r\nB\r\n\r\n") == 1
+
+
 def test_any_selection_can_be_read(table):
     index = warc.write_archives(table(ROWS, PAGE))
     got = warc.read_selected(index.filter("page_id % 2 = 1").orderBy(F.desc("offset"))).collect()
