@@ -12,11 +12,11 @@ that no text can hold a control string, and both are undone exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTROL = "<(/?turn|image|audio|document)"
-CLOSE = "</turn>\n"
+OPEN, CLOSE = "<turn ", "</turn>\n"
 #: What one part other than text expands to: tokens for each unit (an image's tiles, a recording's seconds, a document's pages) and at least.
 TOKENS = {"image": (85, 85), "audio": (25, 25), "document": (600, 600)}
 PARTS = "array<struct<kind:string,text:string,ref:string,units:double>>"
@@ -47,69 +47,80 @@ def _attached(part: Column) -> Column:
     return F.coalesce(part["kind"].isin(*TOKENS), F.lit(False))
 
 
-def _visited(parts: Column, before: Column) -> Column:
-    """The body of a turn's parts; before: the conversation's attachments up to here."""
-
-    def visit(state: Column, part: Column) -> Column:
-        shown = F.concat(F.lit("<"), part["kind"], F.lit(" "), (before + state["n"]).cast("string"), F.lit(">"))
-        return F.struct(F.concat(state["body"], F.when(_attached(part), shown).otherwise(escape(F.coalesce(part["text"], F.lit(""))))).alias("body"), (state["n"] + _attached(part).cast("int")).alias("n"))
-
-    return F.aggregate(parts, F.struct(F.lit("").alias("body"), F.lit(0).alias("n")), visit, lambda s: s["body"])
-
-
 def text_parts(text: Column) -> Column:
     """A turn of text alone; null counts as empty."""
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
 
 
 def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """conv_id, n_turns, formatted, loss_mask, attachments from turns (conv_id, turn, role, parts).
-
-    ``loss_mask`` lists (start, length) in code points of ``formatted``: the body
-    of each turn of the loss role.  ``attachments`` lists (number, turn, kind,
-    ref, tokens) in the order of the placeholders.  Turns go by their number,
-    null first; equal numbers by role, then by their content.  A null role is an
+    """conv_id, n_turns, formatted, spans, loss_mask, attachments from turns (conv_id, turn, role, parts).
+
+    ``spans`` has the place of each turn in ``formatted``, in code points: that
+    of the turn (at), of its body (start, length), and whether it counts for the
+    loss.  ``loss_mask`` lists (start, length) of those that do: the body of each
+    turn of the loss role.  ``attachments`` lists (number, turn, kind, ref,
+    tokens) in the order of the placeholders.  Turns go by their number, null
+    first; equal numbers by role, then by their content.  A null role is an
     empty one, null parts are none, and a part of another kind counts as text.
-    A conversation is one value by nature, so its turns meet in one task; a null
-    conv_id is a conversation.  An empty table gives no rows; extra columns are
-    ignored.
+
+    The visitor works on a row for each part; numbers and places are running
+    sums over them, so that work is in proportion to the parts of a
+    conversation.  A conversation is one value by nature, so its turns meet in
+    one task, in one shuffle; a null conv_id is a conversation.  An empty table
+    gives no rows; extra columns are ignored.
     """
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts"), F.array().cast(PARTS)).cast(PARTS).alias("parts"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    # What comes before each turn: attachments and code points.
-    counted = F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["parts"].alias("parts"), F.size(F.filter(t["parts"], _attached)).alias("n")))
-
-    def lay(state: Column, t: Column) -> Column:
-        head = F.concat(F.lit("<turn "), _role(t["role"]), F.lit(">"))
-        body = _visited(t["parts"], state["n"])
-        start = state["at"] + F.char_length(head)
-        row = F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.concat(head, body, F.lit(CLOSE)).alias("shown"), start.alias("start"), F.char_length(body).alias("length"), state["n"].alias("before"), t["parts"].alias("parts"))
-        return F.struct(F.concat(state["rows"], F.array(row)).alias("rows"), (start + F.char_length(body) + len(CLOSE)).alias("at"), (state["n"] + t["n"]).alias("n"))
-
-    kind = turns.schema["turn"].dataType.simpleString()
-    empty = F.expr(f"cast(array() as array<struct<turn:{kind},role:string,shown:string,start:int,length:int,before:int,parts:{PARTS}>>)")
-    laid = chats.select("conv_id", F.aggregate(counted, F.struct(empty.alias("rows"), F.lit(0).alias("at"), F.lit(0).alias("n")), lay, lambda s: s["rows"]).alias("rows"))
-    return laid.select(
+    one = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts"), F.array().cast(PARTS)).cast(PARTS).alias("parts"))
+    of = Window.partitionBy("conv_id")
+    before = (Window.unboundedPreceding, -1)
+    numbered = one.withColumn("seq", F.row_number().over(of.orderBy("turn", "role", "parts")))
+    visited = numbered.select("conv_id", "turn", "role", "seq", F.posexplode_outer("parts").alias("pos", "part"))
+    attached = _attached(F.col("part"))
+    number = F.coalesce(F.sum(attached.cast("int")).over(of.orderBy("seq", "pos").rowsBetween(*before)), F.lit(0)).cast("int")
+    visited = visited.withColumn("number", number)
+    shown = F.when(attached, F.concat(F.lit("<"), F.col("part.kind"), F.lit(" "), F.col("number").cast("string"), F.lit(">"))).otherwise(escape(F.coalesce(F.col("part.text"), F.lit(""))))
+    note = F.when(attached, F.struct("number", "turn", F.col("part.kind").alias("kind"), F.col("part.ref").alias("ref"), expanded_tokens(F.col("part")).alias("tokens")))
+    laid = visited.groupBy("conv_id", "seq").agg(
+        F.first("turn").alias("turn"),
+        F.first("role").alias("role"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), shown.alias("shown")))), lambda x: x["shown"]), "").alias("body"),
+        F.array_sort(F.collect_list(note)).alias("notes"),
+    )
+    head = F.concat(F.lit(OPEN), _role(F.col("role")), F.lit(">"))
+    laid = laid.withColumns({"head": head, "length": F.char_length("body")}).withColumn("size", F.char_length("head") + F.col("length") + len(CLOSE))
+    laid = laid.withColumn("at", F.coalesce(F.sum("size").over(of.orderBy("seq").rowsBetween(*before)), F.lit(0)))
+    span = F.struct("at", (F.col("at") + F.char_length("head")).alias("start"), F.col("length").cast("long").alias("length"), (F.col("role") == loss_role).alias("loss"))
+    row = F.struct("seq", F.concat("head", "body", F.lit(CLOSE)).alias("shown"), span.alias("span"), "notes")
+    chats = laid.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return chats.select(
         "conv_id",
         F.size("rows").cast("long").alias("n_turns"),
         F.array_join(F.transform("rows", lambda r: r["shown"]), "").alias("formatted"),
-        F.transform(F.filter("rows", lambda r: r["role"] == loss_role), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"))).alias("loss_mask"),
-        F.flatten(F.transform("rows", lambda r: F.transform(F.filter(r["parts"], _attached), lambda p, i: F.struct((r["before"] + i).alias("number"), r["turn"].alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))))).alias("attachments"),
+        F.transform("rows", lambda r: r["span"]).alias("spans"),
+        F.transform(F.filter("rows", lambda r: r["span"]["loss"]), lambda r: F.struct(r["span"]["start"].alias("start"), r["span"]["length"].alias("length"))).alias("loss_mask"),
+        F.flatten(F.transform("rows", lambda r: r["notes"])).alias("attachments"),
     )
 
 
+def _pieces(formatted: Column) -> Column:
+    """The turns of a formatted conversation, each without the string that begins it; no text holds that."""
+    return F.filter(F.split(formatted, F.lit(OPEN)), lambda x, i: i > 0)
+
+
 def read_turns(formatted: Column) -> Column:
     """(role, text) of each turn, read back from a formatted conversation; placeholders stay as they are."""
-    pieces = F.filter(F.split(formatted, F.lit("<turn ")), lambda x, i: i > 0)
-
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, ">", 1)
         body = F.substr(piece, F.char_length(role) + 2, F.char_length(piece) - F.char_length(role) - 1 - len(CLOSE))
         return F.struct(unescape(F.replace(role, F.lit("\\g"), F.lit(">"))).alias("role"), unescape(body).alias("text"))
 
-    return F.transform(pieces, turn)
+    return F.transform(_pieces(formatted), turn)
+
+
+def read_loss(formatted: Column, spans: Column) -> Column:
+    """All text under the spans that count for the loss, unescaped; each is read from its turn's own piece, in one pass."""
 
+    def text(piece: Column, span: Column) -> Column:
+        first = (span["start"] - span["at"]).cast("int") - len(OPEN) + 1
+        return F.when(span["loss"], unescape(F.substr(piece, first, span["length"].cast("int"))))
 
-def read_loss(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"] + 1, m["length"]))), "")
+    return F.array_join(F.zip_with(_pieces(formatted), spans, text), "")  # without those that are null

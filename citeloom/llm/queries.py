@@ -124,7 +124,7 @@ e AS (SELECT *, length(replace(text, '\', '\b')) + length(regexp_replace(text, '
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(body + length(role) + 15) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+  CAST(sum(body + length(role) + 15) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens FROM e GROUP BY conv_id""",
 )
 def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm import chat_format as C
@@ -133,6 +133,7 @@ def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema))
     chats = C.format_chats(turns.select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts")))
-    back, loss = C.read_turns(F.col("formatted")), C.read_loss(F.col("formatted"), F.col("loss_mask"))
+    back, loss = C.read_turns(F.col("formatted")), C.read_loss(F.col("formatted"), F.col("spans"))
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
     whole = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return chats.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return chats.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), tokens.alias("attachment_tokens"))

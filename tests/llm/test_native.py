@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -73,7 +74,7 @@ def test_chats_read_back(table):
     turns = table(rows, CONV)
     df = C.format_chats(turns.select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts")))
     no_python(df)
-    got = df.select("*", C.read_turns(F.col("formatted")).alias("back"), C.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()
+    got = df.select("*", C.read_turns(F.col("formatted")).alias("back"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss")).collect()
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
@@ -94,13 +95,39 @@ def test_typed_parts(spark):
         (1, 0, "user", [("audio", None, "a.wav", 2.5), ("odd", "as text", None, None), ("document", None, None, None)]),
         (1, 2, "user", None),
     ]
-    r = C.format_chats(spark.createDataFrame(rows, parts)).select("*", C.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).first()
+    r = C.format_chats(spark.createDataFrame(rows, parts)).select("*", C.read_loss(F.col("formatted"), F.col("spans")).alias("loss")).first()
     assert r.formatted == "<turn user><audio 0>as text<document 1></turn>\n<turn assistant>see <image 2>\\limage 0></turn>\n<turn user></turn>\n"
     assert [(a.number, a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, 0, "audio", "a.wav", 63), (1, 0, "document", None, 600), (2, 1, "image", "s3://b/i.png", 340)]
     assert r.loss == "see <image 2><image 0>"
     assert C.format_chats(spark.createDataFrame([], parts)).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    """Sixteen times the turns may take sixteen times as long and some more, not 256 times."""
+    rows = lambda n: spark.range(n).selectExpr("1L as conv_id", "cast(id as int) as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('some words <turn ', 6) as text")
+
+    def run(n):
+        start = time.perf_counter()
+        df = C.format_chats(rows(n).select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts")))
+        r = df.select("n_turns", C.read_loss(F.col("formatted"), F.col("spans")).alias("loss"), F.size("loss_mask").alias("n")).first()
+        assert (r.n_turns, r.n, r.loss) == (n, n // 2, "some words <turn " * 6 * (n // 2))
+        return time.perf_counter() - start
+
+    run(10)
+    assert run(16_000) < 3 * run(1_000) + 20
+
+
+def test_typed_parts_of_many(spark):
+    rows = [(1, 0, "user", [(["image", "text", "audio"][k % 3], f"t{k}", f"r{k}", 1.0) for k in range(3000)])]
+    r = C.format_chats(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {C.PARTS}")).first()
+    number, body = 0, ""
+    for k in range(3000):
+        kind = ["image", "text", "audio"][k % 3]
+        body += f"t{k}" if kind == "text" else f"<{kind} {number}>"
+        number += kind != "text"
+    assert r.formatted == f"<turn user>{body}</turn>\n" and [a.number for a in r.attachments] == [*range(2000)]
+
+
 def test_chat_query_has_the_probe(spark):
     from citeloom.llm.queries import QUERIES
 
