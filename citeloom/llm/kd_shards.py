@@ -5,7 +5,7 @@ of its rows in each dimension).  Nodes of the tree are split at distributed
 weighted medians along their relatively widest dimension, equal coordinates by
 the text's hash, until each leaf holds its shard's bytes.  A median comes from
 histograms of bounded size that narrow on the cut, for all nodes of a level in
-one job.
+one job; a node's name is a column of its groups.
 
 Groups of over a sixteenth of a shard can't be evened out by cutting between
 groups.  There are at most 16 for each shard; they go to the emptiest shard,
@@ -15,7 +15,9 @@ and the tree fills the shards up to an equal level.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import heapq
+import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,8 @@ from pyspark.sql import types as T
 
 from citeloom.llm.common import written
 
-OVERHEAD, BINS, PASSES = 16, 512, 8
+#: Bins of all nodes of a level together, and of one node at least; rounds until a cut is taken as it is.
+OVERHEAD, BINS, LEAST_BINS, PASSES = 16, 1 << 16, 64, 12
 HEAVY, WHOLE, PIECE, CLOSE = 1 / 16, 0.9, 1 / 16, 1 / 500
 
 
@@ -39,97 +42,96 @@ def _coordinate(docs: DataFrame, name: str) -> Column:
 
 
 @dataclass
-class _Node:
-    shards: list[int]
-    left: "_Node | None" = None
-    right: "_Node | None" = None
-    cut: tuple[int, float, float] | None = None  # dimension, coordinate, tie
-    search: dict = field(default_factory=dict)
-
-    def leaves(self) -> list["_Node"]:
-        return [self] if self.cut is None else self.left.leaves() + self.right.leaves()
-
-
-def _place(node: _Node, value) -> Column:
-    """CASE over the tree: the value of the leaf that a group is in."""
-    if node.cut is None:
-        return F.lit(value(node))
-    d, x, t = node.cut
-    at = F.col(f"x{d}")
-    return F.when((at < x) | ((at == x) & (F.col("tie") < t)), _place(node.left, value)).otherwise(_place(node.right, value))
-
-
-def _histogram(groups: DataFrame, root: _Node, open_nodes: list[_Node], dims: int) -> dict[int, list]:
-    """For each open node's present range: (low, high, weight, rows) of the bins that have rows, in order."""
-    spark = groups.sparkSession
-    number = {id(n): k for k, n in enumerate(open_nodes)}
-    params = spark.createDataFrame([(k, n.search["dim"], n.search["lo"], n.search["hi"], n.search["x"]) for k, n in enumerate(open_nodes)], "node int, dim int, lo double, hi double, x double")
-    rows = groups.withColumn("node", _place(root, lambda n: number.get(id(n), -1))).join(F.broadcast(params), "node")  # a row for each node
+class _Search:
+    """The way to one node's cut: along a dimension from lo to hi, or among equal coordinates x by tie."""
+
+    dim: int
+    lo: float
+    hi: float
+    want: float
+    below: float = 0.0
+    x: float | None = None
+    cut: tuple[float, float] | None = None
+
+    def narrow(self, a: float, b: float, weight: float, n: int, below: float, close: float, last: bool) -> None:
+        """Moves on to the bin that holds the cut, or ends at the nearer end of that bin."""
+        tie = self.x is not None
+        if weight <= close or n == 1 or last or (a == b and tie):
+            before = self.want - below <= below + weight - self.want
+            at = a if before else _after(b)  # the cut lies before the bin, or just after its last row
+            self.cut = (self.x, at) if tie else (at, 0.0)
+        elif a == b:
+            self.x, self.lo, self.hi, self.below = a, 0.0, 1.0, below
+        else:
+            self.lo, self.hi, self.below = a, b, below
+
+
+def _bins(rows: DataFrame, searches: dict[int, _Search], dims: int, bins: int) -> dict[int, tuple]:
+    """For each node the bin that holds its cut: smallest and largest key, weight, rows, and the weight before it.
+
+    Histograms and their running sums stay distributed; a row for each node
+    reaches the driver.
+    """
+    spark = rows.sparkSession
+    params = spark.createDataFrame([(k, s.dim, s.lo, s.hi, s.x, s.below, s.want) for k, s in searches.items()], "node int, dim int, lo double, hi double, x double, below double, want double")
+    rows = rows.join(F.broadcast(params), "node")  # a row for each node
     x = F.element_at(F.array(*[F.col(f"x{k}") for k in range(dims)]), F.col("dim") + 1)
-    key = F.when(F.col("x").isNull(), x).otherwise(F.when(x == F.col("x"), F.col("tie")))
+    rows = rows.withColumn("key", F.when(F.col("x").isNull(), x).otherwise(F.when(x == F.col("x"), F.col("tie"))))
     width = F.col("hi") - F.col("lo")
-    slot = F.when(width > 0, F.least(F.floor((F.col("key") - F.col("lo")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
-    rows = rows.withColumn("key", key).filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).withColumn("slot", slot)
-    found: dict[int, list] = {}
-    for r in rows.groupBy("node", "slot").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum("weight").alias("w"), F.count("*").alias("n")).orderBy("node", "slot").collect():
-        found.setdefault(r.node, []).append((r.a, r.b, r.w, r.n))
-    return found
-
-
-def _split_level(groups: DataFrame, root: _Node, capacity: list[float], spans: list[float], dims: int, close: float) -> bool:
-    """Cuts every leaf of several shards; false if there is none."""
-    open_nodes = [n for n in root.leaves() if len(n.shards) > 1]
-    if not open_nodes:
-        return False
-    number = {id(n): k for k, n in enumerate(open_nodes)}
-    stats = groups.withColumn("node", _place(root, lambda n: number.get(id(n), -1))).groupBy("node").agg(F.sum("weight").alias("w"), *[f(f"x{k}").alias(f"{f.__name__}{k}") for k in range(dims) for f in (F.min, F.max)])
-    by = {r.node: r for r in stats.filter("node >= 0").collect()}
-    for k, n in enumerate(open_nodes):
-        r, half = by.get(k), len(n.shards) // 2
-        room = [sum(capacity[s] for s in part) for part in (n.shards[:half], n.shards)]
-        if r is None:  # nothing here
-            n.search = {"done": (0, float("inf"), 0.0)}
+    slot = F.when(width > 0, F.least(F.floor((F.col("key") - F.col("lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    held = rows.filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).withColumn("slot", slot)
+    found = held.groupBy("node", "slot").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum("weight").alias("w"), F.count("*").alias("n"), F.first("below").alias("below"), F.first("want").alias("want"))
+    reached = F.sum("w").over(Window.partitionBy("node").orderBy("slot")) + F.col("below")
+    found = found.withColumn("reached", reached).withColumn("bin", F.struct("slot", "a", "b", "w", "n", (F.col("reached") - F.col("w")).alias("before")))
+    at = F.coalesce(F.min(F.when(F.col("reached") >= F.col("want"), F.col("bin"))), F.max("bin"))
+    return {r.node: r.at[1:] for r in found.groupBy("node").agg(at.alias("at")).collect()}
+
+
+def _cuts(rows: DataFrame, ends: dict[int, int], capacity: list[float], spans: list[float], dims: int, close: float) -> list[tuple]:
+    """(node, dimension, coordinate, tie, first shard of the right) for each node; ends: each node's end of shards."""
+    stats = rows.groupBy("node").agg(F.sum("weight").alias("w"), *[f(f"x{k}").alias(f"{f.__name__}{k}") for k in range(dims) for f in (F.min, F.max)])
+    searches, right = {}, {}
+    for r in stats.collect():  # a row for each node
+        if ends[r.node] - r.node < 2:
             continue
+        right[r.node] = r.node + (ends[r.node] - r.node) // 2
         dim = max(range(dims), key=lambda d: (r[f"max{d}"] - r[f"min{d}"]) / (spans[d] or 1.0))
-        n.search = {"dim": dim, "lo": r[f"min{dim}"], "hi": r[f"max{dim}"], "x": None, "want": r.w * room[0] / room[1] if room[1] else 0.0, "below": 0.0}
+        room = sum(capacity[r.node : ends[r.node]])
+        want = r.w * sum(capacity[r.node : right[r.node]]) / room if room else 0.0
+        searches[r.node] = _Search(dim, r[f"min{dim}"], r[f"max{dim}"], want)
+    if not searches:
+        return []
+    bins = max(LEAST_BINS, min(BINS // len(searches), 1024 * max(ends[k] - k for k in searches)))
     for turn in range(PASSES):
-        todo = [n for n in open_nodes if "done" not in n.search]
+        todo = {k: s for k, s in searches.items() if s.cut is None}
         if not todo:
             break
-        bins = _histogram(groups, root, todo, dims)
-        for k, n in enumerate(todo):
-            _narrow(n.search, bins.get(k, []), close, last=turn == PASSES - 1)
-    for n in open_nodes:
-        half = len(n.shards) // 2
-        n.cut, n.left, n.right = n.search["done"], _Node(n.shards[:half]), _Node(n.shards[half:])
-    return True
-
-
-def _narrow(s: dict, bins: list, close: float, last: bool) -> None:
-    """Moves a search on to the bin that holds the cut, or ends it at the nearer end of that bin."""
-    below = s["below"]
-    for a, b, w, n in bins:
-        if below + w >= s["want"]:
+        for k, found in _bins(rows, todo, dims, bins).items():
+            searches[k].narrow(*found, close, turn == PASSES - 1)
+    return [(k, s.dim, *s.cut, right[k]) for k, s in searches.items()]
+
+
+def _tree(groups: DataFrame, shards: int, capacity: list[float], spans: list[float], dims: int, close: float) -> DataFrame:
+    """hash, shard of each group.
+
+    A node is named by its first shard; a group's node is a column, written anew
+    at each level of the tree, so that no plan grows with the tree.
+    """
+    rows, ends = groups.withColumn("node", F.lit(0)), {0: shards}
+    while any(end - k > 1 for k, end in ends.items()):
+        cuts = _cuts(rows, ends, capacity, spans, dims, close)
+        halves = {k: k + (end - k) // 2 for k, end in ends.items() if end - k > 1}
+        ends |= {half: ends[k] for k, half in halves.items()} | halves
+        if not cuts:
             break
-        below += w
-    else:
-        a, b, w, n = bins[-1]
-        below -= w
-    tie = s["x"] is not None
-    if w <= close or n == 1 or last or (a == b and tie):
-        before = s["want"] - below <= below + w - s["want"]
-        at = a if before else b
-        # The cut lies before the bin, or just after its last row.
-        s["done"] = (s["dim"], s["x"], at if before else _after(at)) if tie else (s["dim"], at if before else _after(at), 0.0)
-    elif a == b:
-        s |= {"x": a, "lo": 0.0, "hi": 1.0, "below": below}
-    else:
-        s |= {"lo": a, "hi": b, "below": below}
+        params = rows.sparkSession.createDataFrame(cuts, "node int, dim int, x double, t double, right int")
+        at = F.element_at(F.array(*[F.col(f"x{k}") for k in range(dims)]), F.col("dim") + 1)
+        left = (at < F.col("x")) | ((at == F.col("x")) & (F.col("tie") < F.col("t"))) | F.col("right").isNull()
+        rows = written(rows.join(F.broadcast(params), "node", "left").withColumn("node", F.when(left, F.col("node")).otherwise(F.col("right"))).select(*groups.columns, "node"))
+    return rows.select("hash", F.col("node").alias("shard"))
 
 
 def _after(x: float) -> float:
-    import math
-
     return math.nextafter(x, math.inf)
 
 
@@ -144,7 +146,7 @@ def _fill(load: list[float], rest: float) -> list[float]:
     return [max(0.0, level - x) for x in load]
 
 
-def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("doc_id", "n_chars", "lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("doc_id", "n_chars", "lang", "source"), id_col: str = "doc_id", text_col: str = "text", close: float = CLOSE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: every row in one of the shards.
 
     Law ``bytes``: shards hold nearly equal sizes.  A row's size is its text's
@@ -152,7 +154,9 @@ def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("doc_id",
     unless together they nearly fill one.  Slots count from 0 in each shard, in
     the order of ids, null first; ``grown_shard`` is null under this law.
     Repeated rows each get a slot.  ``dims`` that the table lacks are left out,
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows.  A cut is looked for
+    until it is within ``close`` of a shard's size from the weighted median, or
+    no group lies between.  The driver holds a few numbers for each shard.
     """
     present = [c for c in dims if c in docs.columns]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -168,19 +172,19 @@ def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("doc_id",
     of_heavy = base.join(F.broadcast(pieces), "hash").withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces")).cast("int"))
     parts = of_heavy.groupBy("hash", "piece").agg(F.sum("size").alias("w")).collect()
     load, owner = [0.0] * shards, []
+    emptiest = [(0.0, k) for k in range(shards)]
     for p in sorted(parts, key=lambda p: (-p.w, p.hash, p.piece)):
-        s = min(range(shards), key=lambda k: (load[k], k))
-        load[s] += p.w
-        owner.append((p.hash, p.piece, s))
+        _, k = heapq.heappop(emptiest)
+        load[k] += p.w
+        heapq.heappush(emptiest, (load[k], k))
+        owner.append((p.hash, p.piece, k))
     light = groups.filter(F.col("weight") <= target * HEAVY)
     capacity = _fill(load, (whole.w or 0) - sum(load))
-    root = _Node([*range(shards)])
-    while _split_level(light, root, capacity, [whole[c] or 0.0 for c in cols], n_dims, target * CLOSE):
-        pass
+    tree = _tree(light.select("hash", "weight", "tie", *cols), shards, capacity, [whole[c] or 0.0 for c in cols], n_dims, target * close)
     out = ["doc_id", "size", "text_crc32", "shard"]
     owners = base.sparkSession.createDataFrame(owner, "hash long, piece int, shard int")
     placed = of_heavy.join(F.broadcast(owners), ["hash", "piece"]).select(*out)
-    rest = base.join(F.broadcast(pieces), "hash", "left_anti").join(light.select("hash", _place(root, lambda n: n.shards[0]).cast("int").alias("shard")), "hash").select(*out)
+    rest = base.join(F.broadcast(pieces), "hash", "left_anti").join(tree, "hash").select(*out)
     return _with_slots(placed.unionByName(rest)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

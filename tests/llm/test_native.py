@@ -46,6 +46,43 @@ def test_shards(table, n, shards):
     assert max(loads) - sum(loads) / shards <= 416 / 2 + 0.01 * sum(loads)
 
 
+def test_cuts_are_those_of_a_plain_tree(table):
+    """Against a K-d tree built by sorting, with exact weighted medians."""
+    rng = random.Random(12)
+    rows = [(k, f"t{k} " * rng.randrange(1, 40), None, None, rng.choice([1, 2, 2, 2, 7, 500])) for k in range(3000)]
+    shards, dims = 12, ("doc_id", "n_chars")
+    df = table(rows, DOCS)
+    got = {r.doc_id: r.shard for r in K.shard(df, shards, dims, close=0.0).select("doc_id", "shard").collect()}
+    tie = {r.doc_id: r.t for r in df.select("doc_id", (F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("t")).collect()}
+    points = [((float(i), float(n)), len(t) + 16, i) for i, t, _, _, n in rows]
+    span = [max(p[0][d] for p in points) - min(p[0][d] for p in points) for d in (0, 1)]
+    expected = {}
+
+    def split(part, lo, hi):
+        if hi - lo == 1 or not part:
+            expected.update({i: lo for _, _, i in part})
+            return
+        half = (hi - lo) // 2
+        d = max((0, 1), key=lambda d: (max(p[0][d] for p in part) - min(p[0][d] for p in part)) / span[d])
+        part = sorted(part, key=lambda p: (p[0][d], tie[p[2]]))
+        want, below, cut = sum(p[1] for p in part) * half / (hi - lo), 0, 0
+        while below + part[cut][1] < want:
+            below += part[cut][1]
+            cut += 1
+        cut += want - below > below + part[cut][1] - want
+        split(part[:cut], lo, lo + half)
+        split(part[cut:], lo + half, hi)
+
+    split(points, 0, shards)
+    assert got == expected
+
+
+def test_more_shards_than_documents(table):
+    rows = [(k, "x" * (k % 50), "en", "a", k) for k in range(500)]
+    got = K.shard(table(rows, DOCS), 3000).collect()
+    assert len(got) == 500 and all(0 <= r.shard < 3000 for r in got)
+
+
 def test_one_text_over_all_shards(table):
     rows = [(k, "hot" * 20, "en", "a", 60) for k in range(900)] + [(k, f"t{k}" * 10, "en", "a", 9) for k in range(900, 1200)]
     got = K.shard(table(rows, DOCS), 8).groupBy("shard").agg(F.sum("size").alias("w")).collect()
