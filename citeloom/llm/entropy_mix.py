@@ -15,105 +15,112 @@ by smaller ones.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import WORD, written
 
-#: The driver holds a few numbers for each source, and CELLS in all for the classes of their sizes; more sources than this are refused.
-MAX_SOURCES, CELLS, ROUNDS, EXACT = 2000, 400_000, 60, 1e-7
+#: Steps of a row's hash above its fraction; Newton rounds; the miss of a target that ends them.
+BINS, ROUNDS, EXACT = 1024, 80, 1e-7
+#: Sources, of some hundred bytes each, up to which their table is broadcast; beyond, the join is a shuffle.
+BROADCAST = 20_000
 
 
-def targets(sizes: dict, weights: dict, most: float = 3.0) -> dict:
-    """Shares of the total by weight; where a share is above ``most`` times the source's size, the excess goes to the others by weight, until none is above."""
-    total, fixed = float(sum(sizes.values())), {}
-    while True:
-        free = [s for s in sizes if s not in fixed]
-        left = total - sum(fixed.values())
-        weight = sum(weights[s] for s in free)
-        out = fixed | {s: left * weights[s] / weight for s in free}
-        over = [s for s in free if out[s] > most * sizes[s]]
-        if not over:
-            return out
-        fixed |= {s: most * sizes[s] for s in over}
-        if len(fixed) == len(sizes):
-            return fixed
+def cycled(sources: DataFrame, cycle: tuple = (1, 2, 3)) -> DataFrame:
+    """sources with weights in turn by code point, null last; no task gets them all."""
+    order = F.asc_nulls_last("source")
+    ordered = written(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    parts = ordered.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each partition
+    parts = parts.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.col("at") - F.col("first") + F.col("start")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.pmod(place, F.lit(len(cycle))) + 1).cast("int"))
+    return ordered.join(F.broadcast(parts), "part").withColumn("weight", weight).select(*sources.columns, "weight")
+
 
+def targets(sources: DataFrame, most: int) -> DataFrame:
+    """sources (source, total, weight, ...) with the target of each.
 
-def cycled_weights(sources: list, cycle: tuple = (1, 2, 3)) -> dict:
-    """Weights in turn over the sources by code point, null last."""
-    return {s: cycle[k % len(cycle)] for k, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+    Shares of the total by weight; where a share is above ``most`` times the
+    source's size, the excess goes to the others by weight, until none is above:
+    one level of words for each unit of weight, that rises until it stays.
+    """
+    cap, level, total = most * F.col("total"), 0.0, None
+    while True:
+        full = cap < level * F.col("weight")
+        now = sources.agg(F.sum("total").alias("total"), F.sum(F.when(full, cap)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free")).first()
+        total = now.total or 0
+        rest = total - (now.fixed or 0)
+        rise = rest / now.free if now.free else level
+        if rise <= level:
+            return sources.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
+        level = rise
 
 
 def _rate(most: float) -> Column:
     tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0)))
-    return F.when(F.col("full"), F.lit(most)).otherwise(F.least(F.lit(most), tilt))
-
+    return F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), tilt))
 
-def _params(df: DataFrame, rows: list[dict]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(r["source"], r["lam"], r["scale"], r["full"]) for r in rows], "source string, lam double, scale double, full boolean")
 
+def _on_source(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
+    """rows with the columns of their source; n: the number of sources."""
+    params = params.withColumnRenamed("source", "of")
+    return rows.join(F.broadcast(params) if n <= BROADCAST else params, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-def _on_source(df: DataFrame, params: DataFrame) -> DataFrame:
-    """params has MAX_SOURCES rows at most."""
-    return df.join(F.broadcast(params.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
+def solve(counts: DataFrame, sources: DataFrame, most: float, n: int) -> DataFrame:
+    """Newton's method on the dual, for all sources at once: source, lam. counts: source, size, n; sources: source, target, scale, full, done.
 
-def solve(counts: DataFrame, sources: list[dict], most: float) -> None:
-    """Newton's method on the dual, for all sources at once; sets lam. counts: source, size, n."""
-    rate, x = _rate(most), F.col("size") / F.col("scale")
+    A round is one aggregation and one small table.  Raises if a target is still
+    missed after ROUNDS.
+    """
+    none = F.lit(None).cast("double")
+    now = written(sources.select("source", "target", "scale", "full", F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"), "done"))
+    x, rate = F.col("size") / F.col("scale"), F.col("r")
+    words = F.col("n") * F.col("size") * rate
+    miss, lam = F.col("g") - F.col("target"), F.col("lam")
+    wide = 1 + 2 * F.abs(lam)
     for _ in range(ROUNDS):
-        todo = [s for s in sources if not s["done"]]
-        if not todo:
-            return
-        tilted = _on_source(counts, _params(counts, todo)).withColumn("r", rate)
-        words = F.col("n") * F.col("size") * F.col("r")
-        got = {r.source: r for r in tilted.groupBy("source").agg(F.sum(words).alias("g"), F.sum(F.when(F.col("r") < most, words * x)).alias("h")).collect()}
-        for s in todo:
-            g, h = got[s["source"]].g, got[s["source"]].h or 0.0
-            miss = g - s["target"]
-            s["done"] = abs(miss) <= EXACT * s["target"]
-            if s["done"]:
-                continue
-            s["hi" if miss > 0 else "lo"] = s["lam"]
-            step = s["lam"] - miss / h if h > 0 else math.inf
-            if not s["lo"] < step < s["hi"]:
-                wide = 1.0 + 2 * abs(s["lam"])
-                lo, hi = (s["lo"] if s["lo"] > -math.inf else s["hi"] - wide), (s["hi"] if s["hi"] < math.inf else s["lo"] + wide)
-                step = (lo + hi) / 2
-            s["lam"] = step
+        if now.filter("not done").isEmpty():
+            return now.select("source", F.round("lam", 9).alias("lam"))  # sums in another order give the same
+        tilted = _on_source(counts, now.filter("not done").select("source", "lam", "scale", "full"), n).withColumn("r", _rate(most))
+        got = tilted.groupBy(F.col("source").alias("of")).agg(F.sum(words).alias("g"), F.coalesce(F.sum(F.when(rate < most, words * x)), F.lit(0.0)).alias("h"))
+        met = now.join(F.broadcast(got) if n <= BROADCAST else got, F.col("source").eqNullSafe(F.col("of")), "left")
+        met = met.withColumn("done", F.col("done") | (F.abs(miss) <= EXACT * F.col("target")))
+        met = met.withColumns({"lo": F.when(~F.col("done") & (miss <= 0), lam).otherwise(F.col("lo")), "hi": F.when(~F.col("done") & (miss > 0), lam).otherwise(F.col("hi")), "step": F.when(F.col("h") > 0, lam - miss / F.col("h"))})
+        inside = F.coalesce((F.col("lo").isNull() | (F.col("lo") < F.col("step"))) & (F.col("hi").isNull() | (F.col("step") < F.col("hi"))), F.lit(False))
+        middle = (F.coalesce("lo", F.col("hi") - wide) + F.coalesce("hi", F.col("lo") + wide)) / 2
+        now = written(met.withColumn("lam", F.when(F.col("done"), lam).when(inside, F.col("step")).otherwise(middle)).select(now.columns))
+    worst = met.filter("not done").agg(F.count("*").alias("n"), F.max(F.abs(miss) / F.col("target")).alias("miss")).first()
+    if worst.n:
+        raise RuntimeError(f"{worst.n} sources miss their targets by up to {worst.miss:.2g} after {ROUNDS} rounds")
+    return now.select("source", F.round("lam", 9).alias("lam"))
 
 
 @dataclass
 class Mix:
-    """A fitted mix: what turns a row's source, size and hash into copies."""
+    """A fitted mix, as a table of a row for each source: what turns a row's source, size and hash into copies."""
 
-    sources: list[dict]
-    cuts: list[tuple]
+    sources: DataFrame
+    count: int
     most: int
-    bins: int
 
     def applied(self, rows: DataFrame) -> DataFrame:
-        """rows (source, size, row, ...) with source_size, target, rate and copies; nothing is shuffled."""
-        spark = rows.sparkSession
-        cuts = spark.createDataFrame(self.cuts, "of string, k long, cut long")  # some ten classes for each source
-        per_source = spark.createDataFrame([(s["source"], int(s["size"]), float(s["target"])) for s in self.sources], "source string, source_size long, target double")
-        rated = _rated(rows, self.sources, self.most, self.bins)
-        done = rated.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("k")), "left").drop("of", "k")
-        extra = F.coalesce((F.col("late") < F.col("cut")).cast("int"), F.lit(0))
-        done = done.withColumn("copies", (F.floor("rate") + extra).cast("int"))
-        return _on_source(done, per_source).drop("lam", "scale", "full", "part", "late", "class", "cut")
-
-
-def _rated(rows: DataFrame, sources: list[dict], most: int, bins: int) -> DataFrame:
+        """rows (source, size, row, ...) with source_size, target, rate and copies; up to BROADCAST sources nothing is shuffled."""
+        rated = _rated(_on_source(rows, self.sources, self.count), self.most)
+        extra = F.coalesce((F.col("late") < F.try_element_at("cuts", F.col("class"))).cast("int"), F.lit(0))
+        done = rated.withColumn("copies", (F.floor("rate") + extra).cast("int"))
+        return done.withColumnRenamed("total", "source_size").drop("lam", "scale", "full", "part", "late", "class", "cuts")
+
+
+def _rated(rows: DataFrame, most: int) -> DataFrame:
     """Adds the rate; part: its fraction; late: how far the row's hash is above that; class: of its size."""
-    rated = _on_source(rows, _params(rows, sources)).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(1.0))
+    rated = rows.withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(1.0))
     part = F.col("rate") - F.floor("rate")
     lucky = F.pmod(F.xxhash64("row", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rated.withColumns({"part": part, "late": F.when(part > 0, F.floor((lucky - part) * bins)), "class": F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)})
+    return rated.withColumns({"part": part, "late": F.when(part > 0, F.floor((lucky - part) * BINS)), "class": F.floor(F.log2(F.greatest("size", F.lit(1))) / 2)})
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> list[Column]:
@@ -122,29 +129,37 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return [F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row")]
 
 
-def fit(base: DataFrame, weights: dict | None = None, most: int = 3) -> Mix:
-    """Solves for the rates and their rounding; base: source, size and row of each document, read several times."""
+def fit(base: DataFrame, weights: Mapping | None = None, most: int = 3) -> Mix:
+    """Solves for the rates and their rounding; base: source, size and row of each document, read several times.
+
+    Whatever there is for each source stays in tables, so any number of sources
+    will do; the driver gets a few sums.
+    """
     counts = written(base.groupBy("source", "size").agg(F.count("*").alias("n")))
-    found = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("square")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r.source: r.total for r in found}
-    goal = targets(sizes, weights or cycled_weights([*sizes]), most)
-    sources = [{"source": r.source, "size": r.total, "target": goal[r.source], "scale": (r.square / r.total) if r.total else 1.0, "lam": 0.0, "lo": -math.inf, "hi": math.inf, "full": r.total > 0 and goal[r.source] >= most * r.total * (1 - 1e-12), "done": not r.total} for r in found]
-    for s in sources:
-        s["done"] |= s["full"]
-    solve(counts, sources, most)
-    bins = max(32, min(4096, CELLS // (20 * max(1, len(sources)))))
-    rated, whole = _rated(base, sources, most, bins), F.floor("rate")
-    cells = rated.filter("size > 0").groupBy("source", "class", "late").agg(F.sum("size").alias("words"), F.sum(whole * F.col("size")).alias("sure"), F.sum(F.col("part") * F.col("size")).alias("more")).collect()
-    return Mix(sources, _cuts(sources, cells, bins), most, bins)
-
-
-def mix(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    weight = F.col("n") * F.col("size")
+    sources = counts.groupBy("source").agg(F.sum(weight).alias("total"), F.sum(weight * F.col("size").cast("double")).alias("square"))
+    if weights is None:
+        sources = cycled(sources)
+    else:
+        given = base.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "of string, weight double")
+        sources = sources.join(given, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").fillna(0.0, ["weight"])
+    sources = written(sources)
+    n = sources.count()
+    full = (F.col("total") > 0) & (F.col("target") >= most * F.col("total") * (1 - 1e-12))
+    sources = targets(sources, most).withColumns({"scale": F.when(F.col("total") > 0, F.col("square") / F.col("total")).otherwise(1.0), "full": full, "none": F.col("target") <= 0})
+    sources = written(sources.withColumn("done", F.col("full") | (F.col("total") == 0) | F.col("none")))
+    lam = solve(counts, sources, most, n).withColumnRenamed("source", "of")
+    fitted = sources.join(F.broadcast(lam) if n <= BROADCAST else lam, F.col("source").eqNullSafe(F.col("of"))).withColumn("lam", F.when(F.col("none"), -1e9).otherwise(F.col("lam")))
+    fitted = written(fitted.select("source", "total", "target", "scale", "full", "lam"))
+    return Mix(written(fitted.join(_cuts(base, fitted, most, n), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")), n, most)
+
+
+def mix(docs: DataFrame, weights: Mapping | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken, one row per document.
 
-    size counts the words of a text (null: 0).  ``weights`` by source; without
-    them they are 1, 2, 3 in turn over the sources by code point, null last.
+    size counts the words of a text (null: 0).  ``weights`` by source; a source
+    that they lack takes nothing; without them they are 1, 2, 3 in turn over the
+    sources by code point, null last.
     taken is copies times size, at most ``most`` times the size; a document
     without words stays once and takes nothing.  The same input gives the same
     copies in any order; repeated rows get equal copies.  A null source is a
@@ -155,8 +170,8 @@ def mix(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str
     return done.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; texts aren't shuffled."""
+def mixed(docs: DataFrame, weights: Mapping | None = None, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; up to BROADCAST sources texts aren't shuffled."""
     key = sized(docs, id_col, text_col, source_col)
     found = fit(written(docs.select(*key)), weights, most)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -164,23 +179,31 @@ def mixed(docs: DataFrame, weights: dict | None = None, most: int = 3, id_col: s
     return rows.select("document.*")
 
 
-def _cuts(sources: list[dict], cells: list, bins: int) -> list[tuple]:
-    """Source, class, cut: rows of a source's class get a further copy if ``late`` is below the cut."""
-    by: dict = {}
-    for c in cells:
-        by.setdefault(c.source, {}).setdefault(c["class"], []).append(c)
-    rows = []
-    for s in sources:
-        open_words = s["target"] - sum(c.sure for part in by.get(s["source"], {}).values() for c in part)
-        after = sum(c.more for part in by.get(s["source"], {}).values() for c in part)
-        for k in sorted(by.get(s["source"], {}), reverse=True):
-            part = by[s["source"]][k]
-            after -= sum(c.more for c in part)
-            want, got, cut = open_words - after, 0.0, -bins - 1  # what the smaller classes need stays for them
-            for c in sorted((c for c in part if c.late is not None), key=lambda c: c.late):
-                if abs(got + c.words - want) > abs(got - want):
-                    break
-                got, cut = got + c.words, c.late + 1
-            open_words -= got
-            rows.append((s["source"], int(k), int(cut)))
-    return rows
+def _cuts(base: DataFrame, fitted: DataFrame, most: int, n: int) -> DataFrame:
+    """of, cuts: by class of sizes, rows of a source get a further copy if ``late`` is below the cut.
+
+    Classes go from large to small sizes: each is cut where the words it takes
+    come nearest to what is open, less what the smaller classes will take.  A
+    source has at most some thirty classes of 2 * BINS steps.
+    """
+    rated, more = _rated(_on_source(base, fitted, n), most), F.col("part") * F.col("size")
+    cells = rated.filter("size > 0").groupBy("source", "class", "late").agg(F.sum("size").cast("double").alias("words"), F.sum(F.floor("rate") * F.col("size")).cast("double").alias("sure"), F.sum(F.round(more, 6)).alias("more"), F.first("target").alias("target"))
+    steps = F.filter(F.array_sort(F.collect_list(F.struct("late", "words"))), lambda c: c["late"].isNotNull())
+    classes = cells.groupBy("source", "class").agg(steps.alias("steps"), F.sum("sure").alias("sure"), F.sum("more").alias("more"), F.first("target").alias("target"))
+    by = classes.groupBy(F.col("source").alias("of")).agg(F.sort_array(F.collect_list(F.struct("class", "more", "steps")), asc=False).alias("classes"), (F.first("target") - F.sum("sure")).alias("open"), F.sum("more").alias("after"))
+
+    def cut(want: Column, steps: Column) -> Column:
+        def step(state: Column, c: Column) -> Column:
+            nearer = state["on"] & (F.abs(state["got"] + c["words"] - want) <= F.abs(state["got"] - want))
+            return F.struct(F.when(nearer, state["got"] + c["words"]).otherwise(state["got"]).alias("got"), F.when(nearer, c["late"] + 1).otherwise(state["cut"]).alias("cut"), nearer.alias("on"))
+
+        return F.aggregate(steps, F.struct(F.lit(0.0).alias("got"), F.lit(-BINS - 1).cast("long").alias("cut"), F.lit(True).alias("on")), step)
+
+    def take(state: Column, c: Column) -> Column:
+        after = state["after"] - c["more"]
+        done = lambda r: F.struct((state["open"] - r["got"]).alias("open"), after.alias("after"), F.concat(state["cuts"], F.array(F.struct(c["class"].alias("class"), r["cut"].alias("cut")))).alias("cuts"))
+        return F.transform(F.array(cut(state["open"] - after, c["steps"])), done)[0]  # the inner search runs once
+
+    empty = F.array().cast("array<struct<class:bigint,cut:bigint>>")
+    folded = F.aggregate("classes", F.struct("open", "after", empty.alias("cuts")), take, lambda s: s["cuts"])
+    return by.select("of", F.map_from_entries(folded).alias("cuts"))

@@ -175,12 +175,58 @@ def test_chat_query_has_the_probe(spark):
     assert r.loss_sha256 == hashlib.sha256(probe.encode()).hexdigest()
 
 
-def test_targets_reshare_the_excess():
-    sizes = {"a": 10, "b": 1000, "c": 100}
-    got = M.targets(sizes, {"a": 1, "b": 2, "c": 3})
-    assert got["a"] == 30 and got["c"] == 300 and got["b"] == pytest.approx(780)
-    assert sum(M.targets({"a": 5, None: 5}, M.cycled_weights(["a", None])).values()) == pytest.approx(10)
-    assert M.cycled_weights(["é", None, "b", "a"]) == {"a": 1, "b": 2, "é": 3, None: 1}
+def goals(sizes, weights, most=3.0):
+    """By hand: shares by weight, those above ``most`` times the size fixed there, the rest shared anew."""
+    fixed = {}
+    while True:
+        free = [s for s in sizes if s not in fixed]
+        left, weight = sum(sizes.values()) - sum(fixed.values()), sum(weights[s] for s in free)
+        out = fixed | {s: left * weights[s] / weight for s in free}
+        over = [s for s in free if out[s] > most * sizes[s]]
+        if not over:
+            return out
+        fixed |= {s: most * sizes[s] for s in over}
+
+
+def cycled(sources):
+    return {s: 1 + k % 3 for k, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+
+
+def test_targets_reshare_the_excess(spark):
+    rng = random.Random(2)
+    for sizes in ({"a": 10, "b": 1000, "c": 100}, {"a": 5, None: 5}, {f"s{k}": rng.choice([0, 1, 7, 10_000]) for k in range(200)}):
+        table = spark.createDataFrame([*sizes.items()], "source string, total long")
+        got = {r.source: (r.weight, r.target) for r in M.targets(M.cycled(table.repartition(5)), 3).collect()}
+        weights = cycled([*sizes])
+        expected = goals(sizes, weights)
+        assert {s: w for s, (w, _) in got.items()} == weights and all(t == pytest.approx(expected[s]) for s, (_, t) in got.items())
+
+
+def test_many_sources(table, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randrange(1, 60), None, f"source {k % 2500}", None) for k in range(10_000)]
+    monkeypatch.setattr(M, "BROADCAST", 100)
+    got = M.mix(table(rows, DOCS)).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    expected = goals(sizes, cycled([*sizes]))
+    assert len(got) == 10_000 and all(r.target == pytest.approx(expected[r.source]) for r in got)
+    assert sum(r.taken for r in got) == pytest.approx(sum(sizes.values()), rel=0.1)
+
+
+def test_given_weights(table):
+    rows = [(k, "w " * (1 + k % 30), None, "abc"[k % 3], None) for k in range(600)]
+    got = M.mix(table(rows, DOCS), {"a": 1, "b": 1}).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    total = sum(1 + k % 30 for k in range(600))
+    assert {r.source: r.g for r in got} == {"a": pytest.approx(total / 2), "b": pytest.approx(total / 2), "c": 0.0}
+    assert all(abs(r.t - r.g) <= 0.01 * total for r in got)
+
+
+def test_a_target_missed_is_an_error(table, monkeypatch):
+    monkeypatch.setattr(M, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="miss their targets"):
+        M.mix(table([(k, "w " * (1 + k), None, "ab"[k % 2], None) for k in range(50)], DOCS))
 
 
 def test_mix(table):
@@ -194,7 +240,7 @@ def test_mix(table):
     sizes = {}
     for _, text, _, source, _ in rows:
         sizes[source] = sizes.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-    goal = M.targets(sizes, M.cycled_weights([*sizes]))
+    goal = goals(sizes, cycled([*sizes]))
     taken = {}
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(goal[r.source])
