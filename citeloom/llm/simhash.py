@@ -17,9 +17,10 @@ With a radius that is a large part of the bits, as for a Jaccard similarity of
 fingerprints.  There ``anchors`` decide who meets: each is the pair of a text's
 smallest shingles under two hash orders, and similar texts share one of several
 almost surely.  Texts that share an anchor are compared by their fingerprints,
-here of distinct shingles, and those near enough by the shingles themselves: a
-link is a Jaccard similarity that was counted.  Texts of very common anchors are
-dealt to tasks by pairs of parts, so that every two of them meet.
+here of distinct shingles; those near enough form candidate components, of
+which each text is in one.  So its set of shingles moves once, and within a
+component a link is a Jaccard similarity that was counted.  Large groups are
+dealt to tasks by pairs of parts, so that every two of their texts meet.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
@@ -40,9 +41,11 @@ from citeloom.llm.components import components
 #: Shingles whose votes are counted at once, and fingerprints compared at once.
 VOTES, BLOCK = 100_000, 192
 #: The driver's tree has at most so many shards, fitted on so many fingerprints for each; shards split further within their tasks.
-MAX_SHARDS, SAMPLE = 4096, 24
-#: Shingles in an anchor; texts with one anchor, and shingles of theirs, that one task compares.
-ANCHOR, BUCKET, HELD = 2, 5000, 4_000_000
+MAX_SHARDS, SAMPLE = 1 << 16, 16
+#: Shingles in an anchor; texts of a group that are compared in one piece, and shingles of theirs.
+ANCHOR, BUCKET, HELD = 2, 1000, 2_000_000
+#: Texts of so many shingles have fingerprints whose distances scatter as those of independent bits.
+LONG = 64
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -133,11 +136,14 @@ def _set_batches(words: int):
             lo = 0
             for texts in B.slices(b.column("text")):
                 n = len(texts)
+                rows = b.slice(lo, n)
+                lo += n
                 h, of = _distinct(*_shingles(texts, words))
                 ends = np.r_[0, np.cumsum(np.bincount(of, minlength=n))].astype(np.int32) * np.int32(8)
                 sets = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
-                lo += n
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(lo - n, n), pa.array(_digest(h, of, n).view(np.int64)), sets], names=["node", "digest", "shingles"])
+                own = pa.array(_digest(h, of, n).view(np.int64) == rows.column("digest").to_numpy())  # of rows that share an id, the node's
+                names = [c for c in b.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), sets], names=[*names, "shingles"]).filter(own)
 
     return run
 
@@ -299,100 +305,180 @@ def near_links(nodes: DataFrame, radius: int, lanes: int = 1, first: int | None
     return routed.groupBy("shard").applyInPandas(_link_shard(lanes, radius, radius if first is None else first), "src long, dst long")
 
 
-def _alike(shingles: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether the sets of each pair have a Jaccard similarity of ``least``."""
-    out = np.zeros(len(a), bool)
-    for k, (i, j) in enumerate(zip(a, b, strict=True)):
-        x, y = (shingles[i], shingles[j]) if len(shingles[i]) <= len(shingles[j]) else (shingles[j], shingles[i])
-        if len(x) < least * len(y) * (1 - 1e-9):
+def _within(bits: np.ndarray, size: np.ndarray, other: np.ndarray, radius: int, wide: int) -> np.ndarray:
+    """Whether so many differing bits leave a link possible; texts of under LONG shingles scatter more."""
+    return bits <= np.where(np.minimum(size, other) >= LONG, radius, wide)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The batches' rows, sorted by key, in tables that hold whole groups; keeps one group's rows over from batch to batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
             continue
-        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-        out[k] = not len(y) or both / (len(x) + len(y) - both) >= least
+        group = np.stack([b.column(c).to_numpy() for c in key], axis=1)
+        cut = len(b) - int(np.argmin(np.r_[(group == group[-1]).all(axis=1)[::-1], False]))
+        if cut or (held and any(held[-1].column(c)[0] != b.column(c)[0] for c in key)):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _arrays(rows: pa.Table, key: list[str], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """group, node, fingerprint and number of shingles of each row."""
+    column = lambda c: rows[c].to_numpy()
+    return np.stack([column(c) for c in key], axis=1), column("node"), np.stack([column(f"fp{k}") for k in range(lanes)], axis=1).view(np.uint64), column("n_shingles")
+
+
+def _links(node: np.ndarray, forest: _Forest) -> pa.RecordBatch:
+    root = forest.root(np.arange(len(node)))
+    moved = root != np.arange(len(node))
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
+
+
+def _candidate_links(lanes: int, radius: int, wide: int, least: float):
+    """A spanning forest of the neighbours of each anchor and pair of parts whose fingerprints and sizes leave a link possible."""
+    key = ["anchor", "pair"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, key):
+            group, node, points, size = _arrays(rows, key, lanes)
+            forest, k = _Forest(len(node)), 1
+            at = np.flatnonzero((group[1:] == group[:-1]).all(axis=1))
+            while len(at):  # each row with the k-th after it, while they share the group
+                near = at[forest.root(at) != forest.root(at + k)]
+                near = near[np.minimum(size[near], size[near + k]) >= least * np.maximum(size[near], size[near + k]) * (1 - 1e-9)]
+                near = near[np.bitwise_count(points[near, 0] ^ points[near + k, 0]) <= wide]
+                near = near[_within(_distance(points[near], points[near + k]), size[near], size[near + k], radius, wide)]
+                forest.unite(near, near + k)
+                k += 1
+                at = at[at + k < len(node)]
+                at = at[(group[at + k] == group[at]).all(axis=1)]
+            yield _links(node, forest)
+
+    return run
+
+
+def _elements(sets: pa.BinaryArray) -> np.ndarray:
+    """The elements of all sets, one set after another."""
+    ends = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1]
+    return np.frombuffer(sets.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+
+
+def _shared(x: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many elements of the set x are in each of the sets that flat holds; all are sorted."""
+    out = np.zeros(len(start), np.int64)
+    full = np.flatnonzero(size)
+    for part in np.split(full, np.searchsorted(np.cumsum(size[full]), np.arange(HELD, size[full].sum(), HELD))):
+        if len(part) and len(x):
+            n = size[part]
+            first = np.cumsum(n) - n
+            y = flat[np.repeat(start[part] - first, n) + np.arange(n.sum())]
+            out[part] = np.add.reduceat(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y, first, dtype=np.int64)
     return out
 
 
-def _link_buckets(lanes: int, radius: int, first: int, least: float):
-    """Links among neighbours of one anchor and pair of parts, in batches sorted by these; holds one such group's rows over from batch to batch."""
-    key, cols = ["anchor", "pair"], ["node", *(f"fp{k}" for k in range(lanes))]
-
-    def of(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        group, (node, *fps) = np.stack([rows[c].to_numpy() for c in key], axis=1), (rows[c].to_numpy() for c in cols)
-        points, shingles = np.stack(fps, axis=1).view(np.uint64), [np.frombuffer(x.as_buffer(), np.uint64) for c in rows["shingles"].chunks for x in c]
-        size = np.array([len(x) for x in shingles])
-        forest, k = _Forest(len(node)), 1
-        at = np.flatnonzero((group[1:] == group[:-1]).all(axis=1))
-        while len(at):  # each row with the k-th after it, while they share the group
-            near = at[forest.root(at) != forest.root(at + k)]
-            near = near[np.minimum(size[near], size[near + k]) >= least * np.maximum(size[near], size[near + k]) * (1 - 1e-9)]
-            near = near[np.bitwise_count(points[near, 0] ^ points[near + k, 0]) <= first]
-            near = near[_distance(points[near], points[near + k]) <= radius]
-            near = near[_alike(shingles, near, near + k, least)]
-            forest.unite(near, near + k)
-            k += 1
-            at = at[at + k < len(node)]
-            at = at[(group[at + k] == group[at]).all(axis=1)]
-        root = forest.root(np.arange(len(node)))
-        moved = root != np.arange(len(node))
-        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
+def _link_sets(points: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray, radius: int, wide: int, least: float, forest: _Forest, at: np.ndarray) -> None:
+    """Unites all texts at ``at`` whose sets have a Jaccard similarity of ``least``.
+
+    Each text in turn meets all later ones that aren't yet connected with it.
+    Those in the middle, by the majority of the fingerprints' bits, come first:
+    in a group of copies of one text they connect nearly all.
+    """
+    bits = np.unpackbits(points[at].view(np.uint8).reshape(len(at), -1), axis=1)
+    middle = np.packbits(bits.sum(axis=0) * 2 > len(at)).view(np.uint64)
+    at = at[np.argsort(_distance(points[at], middle), kind="stable")]
+    for k, x in enumerate(at[:-1]):
+        later = at[k + 1 :]
+        root = forest.root(later)
+        later = later[root != forest.root(at[k : k + 1])[0]]
+        if not len(later):
+            if (root == root[0]).all():
+                return
+            continue
+        later = later[np.minimum(size[x], size[later]) >= least * np.maximum(size[x], size[later]) * (1 - 1e-9)]
+        later = later[_within(_distance(points[later], points[x]), size[later], size[x], radius, wide)]
+        both = _shared(flat[start[x] : start[x] + size[x]], flat, start[later], size[later])
+        alike = later[both >= least * (size[x] + size[later] - both) * (1 - 1e-12)]
+        forest.unite(np.full(len(alike), x), alike)
+
+
+def _counted_links(lanes: int, radius: int, wide: int, least: float):
+    """A spanning forest of the links within each candidate component and pair of parts."""
+    key = ["root", "pair"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not len(b):
-                continue
-            group = np.stack([b.column(c).to_numpy() for c in key], axis=1)
-            cut = len(b) - int(np.argmin(np.r_[(group == group[-1]).all(axis=1)[::-1], False]))
-            if cut or (held and any(held[-1].column(c)[0] != b.column(c)[0] for c in key)):
-                yield of(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = []
-            held.append(b.slice(cut))
-        if held:
-            yield of(pa.Table.from_batches(held))
+        for rows in _runs(batches, key):
+            group, node, points, size = _arrays(rows, key, lanes)
+            again = np.r_[False, (node[1:] == node[:-1]) & (group[1:] == group[:-1]).all(axis=1)]
+            if again.any():  # rows that repeat an id and its text
+                rows = rows.filter(pa.array(~again))
+                group, node, points, size = _arrays(rows, key, lanes)
+            flat = np.concatenate([_elements(c) for c in rows["shingles"].chunks])
+            start, forest = np.cumsum(size) - size, _Forest(len(node))
+            bounds = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True])
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                _link_sets(points, size, start, flat, radius, wide, least, forest, np.arange(lo, hi))
+            yield _links(node, forest)
 
     return run
 
 
-def anchored_links(texts: DataFrame, nodes: DataFrame, words: int, radius: int, lanes: int, first: int, least: float) -> DataFrame:
-    """Links (src, dst) that connect all nodes that share an anchor, differ in at most radius bits, ``first`` of them in the first lane, and have a Jaccard similarity of ``least``.
+def _in_pairs(rows: DataFrame, key: str, parts: Column, by: Column) -> DataFrame:
+    """Rows of a group of several parts as often as there are parts, with the pair of parts in which they meet the others."""
+    dealt = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(by, F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")
+    return dealt.withColumn("pair", pair).drop("parts", "own", "other").repartition(key, "pair").sortWithinPartitions(key, "pair", "node")
+
+
+def _parts(n: Column) -> Column:
+    """Parts of a group of n: their number and their size both grow with its root."""
+    return F.when(n <= BUCKET, 1).otherwise(F.ceil(F.sqrt(n) / 4))
+
+
+def anchored_links(texts: DataFrame, nodes: DataFrame, words: int, radius: int, lanes: int, wide: int, least: float) -> DataFrame:
+    """Links (src, dst) that connect all nodes that share an anchor, differ in at most ``radius`` bits (``wide`` if one has under LONG shingles), and have a Jaccard similarity of ``least``.
 
-    texts: (node, text), of which those of nodes with a shared anchor are read.
-    An anchor that too many texts share has them in parts; each two parts meet.
+    texts: (node, text), of which those in a candidate component are read.  In a
+    group of many texts, by an anchor or by a component, each two parts meet.
     """
     cols = [f"fp{k}" for k in range(lanes)]
-    slots = nodes.select(F.explode(F.array_distinct("anchors")).alias("anchor"), "node", "digest", "n_shingles", *cols)
-    shared = slots.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held")).filter("n > 1")
-    parts = F.when((F.col("n") <= BUCKET) & (F.col("held") <= HELD), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / BUCKET, F.col("held") / HELD)))
-    met = slots.join(written(shared.select("anchor", parts.cast("int").alias("parts"))), "anchor").withColumn("of", F.pmod(F.xxhash64("digest", "node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = written(met.select("anchor", "node", "digest", *cols, "of", "parts", other.alias("other")).select("anchor", (F.least("of", "other").cast("long") * F.col("parts") + F.greatest("of", "other")).alias("pair"), "node", "digest", *cols))
-    wanted = texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sets = written(mapped(wanted, _set_batches(words), "node long, digest long, shingles binary"))
-    close = met.join(sets, ["node", "digest"]).repartition("anchor", "pair").sortWithinPartitions("anchor", "pair", "node")
-    return mapped(close, _link_buckets(lanes, radius, first, least), "src long, dst long")
-
-
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, anchors: int = 0, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    slots = nodes.select(F.explode(F.array_distinct("anchors")).alias("anchor"), "node", "n_shingles", *cols)
+    shared = written(slots.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = _in_pairs(slots.join(shared, "anchor"), "anchor", _parts(F.col("n")), F.xxhash64("node")).select("anchor", "pair", "node", "n_shingles", *cols)
+    near = components(mapped(met, _candidate_links(lanes, radius, wide, least), "src long, dst long"))
+    near = written(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))
+    sizes = near.join(nodes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    parts = F.greatest(_parts(F.col("n")), F.ceil(2 * F.col("held") / HELD) * (F.col("held") > HELD).cast("int"))
+    known = near.join(written(sizes.select("root", parts.cast("int").alias("of"))), "root").join(nodes.select("node", "digest", "n_shingles", *cols), "node")
+    sets = mapped(texts.join(written(known), "node").select("root", "of", "node", "digest", "n_shingles", *cols, "text"), _set_batches(words), "root long, of int, node long, digest long, n_shingles long, " + "".join(f"{c} long, " for c in cols) + "shingles binary")
+    sets = _in_pairs(sets, "root", F.col("of"), F.xxhash64("node"))
+    return mapped(sets.select("root", "pair", "node", "n_shingles", *cols, "shingles"), _counted_links(lanes, radius, wide, least), "src long, dst long")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, anchors: int = 0, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, wide: int | None = None) -> DataFrame:
     """doc_id, fp0 ..., component_id: the smallest id reachable over links of fingerprints within the radius.
 
-    ``first`` further bounds the bits that differ in the first lane.  With
-    ``anchors``, fingerprints are of distinct shingles, and linked are texts whose
-    distinct shingles have a Jaccard similarity of ``least``, if they share an
-    anchor, as all but (1 - s^2)^anchors of those with a similarity s do, and
-    their fingerprints are within the radius.  Without, ``shard_size`` is that of
-    the vantage-point trees.
+    ``shard_size`` is that of the vantage-point trees.  With ``anchors``,
+    fingerprints are of distinct shingles, and linked are texts whose distinct
+    shingles have a Jaccard similarity of ``least``, if they share an anchor, as
+    all but (1 - s^2)^anchors of those with a similarity s do, and their
+    fingerprints are within the radius, or within ``wide`` where a text has
+    under LONG shingles.  Ids are integers.
 
     One row per input row, repeated rows too.  A null id gets a null
     component.  Null and empty texts have fingerprint zero and link like any
     other.  An empty table gives no rows; other columns are ignored.
     """
     cols = [f"fp{k}" for k in range(lanes)]
-    first = radius if first is None else first
     hashed = written(fingerprints(docs, words, lanes, anchors, id_col, text_col))
     key = [*cols, *["digest", "n_shingles"] * bool(anchors)]
     nodes = written(hashed.filter("doc_id is not null").groupBy(*key).agg(F.min("doc_id").cast("long").alias("node"), *[F.min("anchors").alias("anchors")] * bool(anchors)))
     texts = safe(docs, id_col, text_col).toDF("node", "text").withColumn("node", F.col("node").cast("long"))
-    links = anchored_links(texts, nodes, words, radius, lanes, first, least) if anchors else near_links(nodes, radius, lanes, first, shard_size)
+    links = anchored_links(texts, nodes, words, radius, lanes, radius if wide is None else wide, least) if anchors else near_links(nodes, radius, lanes, None, shard_size)
     roots = components(links)
     labels = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
     return hashed.join(labels, key, "left").select("doc_id", *cols, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

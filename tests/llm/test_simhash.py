@@ -111,24 +111,36 @@ def test_anchors_link_similar_texts(table):
         t[rng.randrange(200)] = "changed"
         t[rng.randrange(200)] = "again"
         rows.append((2 * k + 1, " ".join(t), None, None, None))
-    found = S.near_groups(table(rows, DOCS), words=5, radius=46, lanes=4, first=19, anchors=10).collect()
+    found = S.near_groups(table(rows, DOCS), words=5, radius=46, lanes=4, anchors=10).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: i // 2 * 2 for i in range(80)}
 
 
-def test_crowded_anchors_go_to_the_trees(table, monkeypatch):
+def test_crowded_anchors_are_dealt_in_parts(table, monkeypatch):
     monkeypatch.setattr(S, "BUCKET", 3)
     base = " ".join(f"b{k}" for k in range(120))
     rows = [(k, f"{base} tail{k} end{k}", None, None, None) for k in range(30)]
-    found = S.near_groups(table(rows, DOCS), words=5, radius=46, lanes=4, first=30, anchors=4, shard_size=8).collect()
+    found = S.near_groups(table(rows, DOCS), words=5, radius=46, lanes=4, anchors=4).collect()
     assert {r.component_id for r in found} == {0}
 
 
+def test_counts_of_shared_elements():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 5, 40, 1, 0, 30)]
+    size = np.array([len(x) for x in sets])
+    start, flat = np.cumsum(size) - size, np.concatenate(sets)
+    for held in (7, 10**6):
+        S.HELD, kept = held, S.HELD
+        for x in sets:
+            assert S._shared(x, flat, start, size).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+        S.HELD = kept
+
+
 def jaccard(a, b):
     a, b = set(shingles(a, 5)), set(shingles(b, 5))
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("bucket", [5000, 6])
+@pytest.mark.parametrize("bucket", [1000, 3])
 def test_near_stage_links_what_is_similar_and_nothing_else(spark, monkeypatch, bucket):
     import corpus_pipeline as P
 
