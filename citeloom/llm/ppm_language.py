@@ -14,9 +14,8 @@ taken.  So a text is scored by walking the tree for all bytes at once, and two
 table rows for each byte.
 
 The counts come from a bounded sample: up to ``docs_per_lang`` labelled documents
-for each language, chosen by a hash of the id, and of each one passage of up to
-``passage`` code points at a hashed place of its whole text.  Every text is
-scored whole.
+for each of up to MAX_LANGS languages, chosen by a hash of the id, whole texts.
+Every context seen is kept, and every text is scored whole.
 """
 
 from __future__ import annotations
@@ -32,16 +31,19 @@ from pyspark.sql import functions as F
 from citeloom.llm import bytespans as B
 from citeloom.llm.common import mapped, safe, written
 
-#: The longest context; strings longer than RARE bytes are kept if seen twice.
-ORDER, RARE, CHUNK = 4, 3, 1 << 18
+#: The longest context; bytes scored at once; more languages than MAX_LANGS are refused, since a row of the tables is a number for each.
+ORDER, CHUNK, MAX_LANGS = 4, 1 << 18, 256
 UNKNOWN_BITS = 8.0
 UNDETERMINED = "und"
+#: Labelled documents of a language that the counts come from.
+DOCS = 120
 
 
 @dataclass
 class Model:
-    """langs: in code-point order; symbols: a byte's column in child; child: (nodes, symbols), dead node last;
-    escapes, rest: (nodes, langs) as E and R above, the root is node 0."""
+    """langs: in code-point order; symbols: a byte's column in child; child: (nodes that can be contexts, symbols), of
+    which the last is the dead node, with the leaves' numbers after it; escapes, rest: as E and R above, for each
+    context and each node by language.  The root is node 0."""
 
     langs: list[str]
     symbols: np.ndarray
@@ -92,66 +94,58 @@ def train(samples: dict[str, list[str]]) -> Model:
     symbols[seen] = np.arange(len(seen))
     sym = symbols[data].astype(np.int64)
     # Nodes by level: the root, then the strings of 1 to ORDER + 1 bytes; at: the node that ends at each byte.
-    parent, byte, counts, at = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, len(langs)))], np.zeros(len(data), np.int64)
-    total = 1
+    parent, byte, counts, at = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, len(langs)), np.float32)], np.zeros(len(data), np.int64)
+    level = [0, 1]  # where each level starts
     for k in range(1, ORDER + 2):
         up = np.r_[0, at[:-1]] if k > 1 else at
-        ok = (room >= k) & (up >= 0)
-        key = np.where(ok, up * stop + sym, -1)
-        keys, inverse = np.unique(key, return_inverse=True)
-        count = np.zeros((len(keys), len(langs)))
-        np.add.at(count, (inverse, lang), 1)
-        keep = (keys >= 0) & (count.sum(axis=1) >= (2 if k > RARE else 1))
-        number = np.where(keep, total - 1 + np.cumsum(keep), -1)
-        at = number[inverse]
-        parent.append(keys[keep] // stop)
-        byte.append(keys[keep] % stop)
-        counts.append(count[keep])
-        total += int(keep.sum())
-    inner = total - int(len(parent[-1]))  # nodes that can be contexts
+        keys, inverse = np.unique(np.where((room >= k) & (up >= 0), up * stop + sym, -1), return_inverse=True)
+        none = int(keys[0] < 0)  # bytes too near a text's start
+        counts.append(np.bincount(inverse * len(langs) + lang, minlength=len(keys) * len(langs)).reshape(len(keys), -1)[none:].astype(np.float32))
+        parent.append(keys[none:] // stop)
+        byte.append(keys[none:] % stop)
+        at = np.where(inverse >= none, level[-1] + inverse - none, -1)
+        level.append(level[-1] + len(keys) - none)
+    inner, total = level[-2], level[-1]  # nodes that can be contexts, and all
     parent, byte, counts = np.concatenate(parent), np.concatenate(byte), np.concatenate(counts)
-    child = np.full((total + 1, stop + 1), total, np.int32)
-    child[parent[1:], byte[1:]] = np.arange(1, total)
-    suffix = np.zeros(total, np.int64)
-    for node in np.split(np.arange(1, total), np.flatnonzero(np.diff(_depths(parent))[1:]) + 1):
-        if parent[node[0]]:
-            suffix[node] = child[suffix[parent[node]], byte[node]]
-    n, kinds = np.zeros((total, len(langs))), np.zeros((total, len(langs)))
-    np.add.at(n, parent[1:], counts[1:])
-    np.add.at(kinds, parent[1:], counts[1:] > 0)
+    number = np.arange(total) + (np.arange(total) >= inner)  # the dead node is between contexts and leaves
+    child = np.full((inner + 1, stop + 1), inner, np.int32)
+    child[parent[1:], byte[1:]] = number[1:]
+    n, kinds = np.zeros((inner, len(langs))), np.zeros((inner, len(langs)))
+    for k in range(len(langs)):
+        n[:, k] = np.bincount(parent[1:], counts[1:, k], inner)
+        kinds[:, k] = np.bincount(parent[1:], counts[1:, k] > 0, inner)
+    escapes, rest = np.zeros((inner + 1, len(langs)), np.float32), np.zeros((total + 1, len(langs)), np.float32)
+    rest[0] = UNKNOWN_BITS
     with np.errstate(divide="ignore", invalid="ignore"):
         escape = np.where(n > 0, -np.log2(kinds / (n + kinds)), 0.0)
-        price = np.where(counts > 0, -np.log2(counts / (n + kinds)[parent]), np.inf)
-    escapes, rest = np.zeros((total, len(langs))), np.zeros((total, len(langs)))
-    escapes[0], rest[0] = escape[0], UNKNOWN_BITS
-    for node in range(1, total):  # suffixes have smaller numbers
-        escapes[node] = escape[node] + escapes[suffix[node]] if node < inner else 0
-        rest[node] = np.where(counts[node] > 0, price[node] - escapes[parent[node]], rest[suffix[node]])
-    # Leaves are never contexts, and never walked on: their rows of child lead to the dead node.
-    pad = lambda x: np.vstack([x, np.zeros((1, len(langs)))]).astype(np.float32)
-    return Model(langs, symbols, child, pad(escapes), pad(rest))
-
-
-def _depths(parent: np.ndarray) -> np.ndarray:
-    depth = np.zeros(len(parent), np.int64)
-    for node in range(1, len(parent)):
-        depth[node] = depth[parent[node]] + 1
-    return depth
-
-
-def sample(docs: DataFrame, docs_per_lang: int = 240, passage: int = 2000) -> DataFrame:
+        escapes[0] = escape[0]
+        suffix = np.zeros(1, np.int64)  # of the level before
+        for lo, hi in zip(level[1:-1], level[2:], strict=True):
+            up, base = parent[lo:hi], level[level.index(lo) - 1]
+            suffix = child[suffix[up - base], byte[lo:hi]].astype(np.int64) if lo > 1 else np.zeros(hi - lo, np.int64)
+            if lo < inner:
+                escapes[lo:hi] = escape[lo:hi] + escapes[suffix]
+            price = -np.log2(counts[lo:hi] / (n + kinds)[up]) - escapes[up]
+            rest[number[lo:hi]] = np.where(counts[lo:hi] > 0, price, rest[suffix])
+    return Model(langs, symbols, child, escapes, rest)
+
+
+def sample(docs: DataFrame, docs_per_lang: int = DOCS) -> DataFrame:
     """lang, text: the bounded sample; docs: (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     share = written(known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share")))  # so small a table is broadcast, texts stay
+    if share.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    parts = F.greatest(F.ceil(F.char_length("text") / F.lit(passage)), F.lit(1))
-    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("passage")), parts) * passage + 1
-    return known.join(share, "lang").filter(place < F.col("share")).select("lang", F.substring("text", start.cast("int"), F.lit(passage)).alias("text"))
+    return known.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
+
 
+def fit(docs: DataFrame, docs_per_lang: int = DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Trains on the driver from the bounded sample of the labelled rows: whole texts of about ``docs_per_lang`` rows for each language.
 
-def fit(docs: DataFrame, docs_per_lang: int = 240, passage: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trains on the driver from the bounded sample of the labelled rows."""
-    rows = sample(safe(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang"), docs_per_lang, passage).collect()
+    More than MAX_LANGS languages are an error.
+    """
+    rows = sample(safe(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang"), docs_per_lang).collect()
     by: dict[str, list[str]] = {}
     for lang, text in sorted(rows):
         by.setdefault(lang, []).append(text)

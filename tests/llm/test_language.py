@@ -21,14 +21,9 @@ def code_length(text, lang):
                 for k in range(1, min(L.ORDER + 1, i + 1) + 1):
                     s = t[i - k + 1 : i + 1]
                     count[name][s] = count[name].get(s, 0) + 1
-    total = {}
-    for c in count.values():
-        for s, n in c.items():
-            total[s] = total.get(s, 0) + n
     child = {}
     for s, n in count[lang].items():
-        if len(s) <= L.RARE or total[s] > 1:
-            child.setdefault(s[:-1], {})[s[-1]] = n
+        child.setdefault(s[:-1], {})[s[-1]] = n
     bits, b = 0.0, text.encode()
     for i in range(len(b)):
         for k in range(min(L.ORDER, i), -1, -1):
@@ -67,6 +62,15 @@ def test_fit_without_labels(table):
     assert L.fit(table([(1, "text", None, None, None), (2, None, "en", None, None)], DOCS)).langs == []
 
 
+def test_sample_of_whole_texts(table, monkeypatch):
+    rows = [(k, f"text {k} " * 2000, "ab"[k % 2], None, None) for k in range(400)]
+    got = L.sample(table(rows, DOCS), 50).collect()
+    assert {r.text for r in got} <= {r[1] for r in rows} and 60 < len(got) < 150
+    monkeypatch.setattr(L, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(table(rows, DOCS))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
