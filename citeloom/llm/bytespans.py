@@ -134,6 +134,19 @@ def quick(spans: Spans, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return h * _P2
 
 
+def same(a: Spans, at: np.ndarray, b: Spans, other: np.ndarray, length: np.ndarray) -> bool:
+    """Whether all byte ranges of a equal those of b."""
+    while len(at):
+        differ = a.u64(at) ^ b.u64(other)
+        cut = length < 8
+        differ[cut] &= (np.uint64(1) << (length[cut].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        if differ.any():
+            return False
+        more = length > 8
+        at, other, length = at[more] + 8, other[more] + 8, length[more] - 8
+    return True
+
+
 def _stripes(spans: Spans, at: np.ndarray, rest: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The state after the stripes of 32 bytes, and the bytes they took."""
     turns = rest // 32

@@ -43,8 +43,9 @@ class Encoder:
     If the tokenizer drops white space and splits words from stops before its
     merges (``_drops_space``), the ids of a text are those of its parts, one
     after another; parts end at ASCII white space and before a final stop or
-    comma after an ASCII letter or digit.  Distinct parts are encoded once; those
-    that differ in A-Z only are one, unless a special token may be near.  Parts
+    comma after an ASCII letter or digit.  Distinct parts are encoded once, found by a
+    hash and then compared in full; those that differ in A-Z only are one,
+    unless a special token may be near.  Parts
     of lower-case Latin letters alone skip the library's normaliser, which
     leaves them as they are.  Other tokenizers get whole texts.
     """
@@ -69,8 +70,11 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, self.wide)
+        self.place, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint8)  # of the parts themselves
+        self.spans = B.Spans(self.bytes)
 
-    def _learn(self, keys: list[int], parts: list[str]) -> None:
+    def _learn(self, keys: list[int], raw: list[bytes]) -> None:
+        parts = [x.decode() for x in raw]
         plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in parts), bool, len(parts))
         words = [p for p, x in zip(parts, plain, strict=True) if x]
         joined = [" ".join(words[k : k + 256]).encode().decode("latin-1").translate(_BYTE_CHARS) for k in range(0, len(words), 256)]
@@ -84,6 +88,9 @@ class Encoder:
         self.known.update(zip([keys[k] for k in order], range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
         self.ids = np.r_[self.ids, ids, np.fromiter((i for x in rest for i in x), self.wide)]
+        self.place = np.r_[self.place, self.place[-1] + np.cumsum([len(raw[k]) for k in order])]
+        self.bytes = np.r_[self.bytes, np.frombuffer(b"".join(raw[k] for k in order), np.uint8)]
+        self.spans = B.Spans(self.bytes)
 
     def _whole(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids + [end] for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
@@ -99,13 +106,16 @@ class Encoder:
             raw = data.tobytes()
         starts, ends, _ = B.words(data, offsets)
         starts, ends = _without_stops(data, starts, ends)
-        keys, at, part = np.unique(B.quick(B.Spans(data), starts, ends - starts), return_index=True, return_inverse=True)
+        spans, length = B.Spans(data), ends - starts
+        keys, at, part = np.unique(B.quick(spans, starts, length), return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
         keys = keys.tolist()
         if new := [k for k, key in enumerate(keys) if key not in self.known]:
-            self._learn([keys[k] for k in new], [raw[starts[at[k]] : ends[at[k]]].decode() for k in new])
+            self._learn([keys[k] for k in new], [raw[starts[at[k]] : ends[at[k]]] for k in new])
         slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[part]
+        if (self.place[slot + 1] - self.place[slot] != length).any() or not B.same(spans, starts, self.spans, self.place[slot], length):
+            return self._whole(texts, end)  # two parts have one hash
         size = self.first[slot + 1] - self.first[slot]
         total = np.r_[0, np.cumsum(size)]
         bound = np.searchsorted(starts, offsets)
@@ -223,12 +233,12 @@ def write_sequences(docs: DataFrame, tokenizer: str, end: int, length: int = LEN
 
     ``tokenizer`` is a tokenizers file that all executors can open.  Null counts
     as empty; an empty text has the end id alone.  Repeated ids follow each
-    other in the order of their texts, null ids come first.  An empty table
+    other in the order of a hash of their texts, null ids come first.  An empty table
     writes no file.  Other columns are ignored.
     """
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     entries = written(mapped(ordered, _encode_and_write(shared_dir(docs.sparkSession), tokenizer, end, length), f"part int, path string, doc_id {kind}, at long, n_tokens long", "encoder"))
     parts = entries.groupBy("part").agg(F.sum("n_tokens").alias("ids"))  # a row for each file
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
