@@ -28,15 +28,15 @@ from citeloom.llm.common import kept, mapped, safe
 from citeloom.llm.simhash import _mixed
 
 MARK, SPACE = 0x2581, 0x20
-#: Words up to this length advance together; longer ones, never remembered, go one by one.
-TOGETHER, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 400_000, 200_000, 10.0
+#: Words up to this length advance together, longer ones, never remembered, go one by one; words hashed at once.
+TOGETHER, WORDS, PROBES, REMEMBERED, UNKNOWN_PENALTY = 128, 1 << 18, 400_000, 200_000, 10.0
 #: Before a word; less than any character's number, which keeps packed pairs positive.
 START, VERDICTS = -2 - 0x110000, 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _is_of_merges(proto: bytes) -> bool:
-    """Whether a serialised model's trainer_spec (field 2) has the model_type (field 3) of merges (2)."""
+def _settings(proto: bytes) -> dict[tuple[int, int], list[int]]:
+    """A serialised model's settings: by (message, field), the values of numbers and the lengths of others."""
 
     def number(at: int) -> tuple[int, int]:
         value = shift = 0
@@ -54,7 +54,33 @@ def _is_of_merges(proto: bytes) -> bool:
             yield key >> 3, value, at
             at += value if kind == 2 else 0
 
-    return any(f == 3 and v == 2 for field, size, at in fields(0, len(proto)) if field == 2 for f, v, _ in fields(at, at + size))
+    out: dict[tuple[int, int], list[int]] = {}
+    for message, size, at in fields(0, len(proto)):
+        for f, value, _ in fields(at, at + size):
+            out.setdefault((message, f), []).append(value)
+    return out
+
+
+#: Fixed numbers of the format: messages, their fields, and values of two of them.
+_PIECE, _TRAINER, _NORMALIZER, _DENORMALIZER = 1, 2, 3, 5
+_TYPE, _MODEL_TYPE, _SUFFIX, _CHAR_MAP, _PREFIX, _EXTRA_SPACES, _ESCAPED = 3, 3, 24, 2, 3, 4, 5
+_UNIGRAM, _MERGES, _USER_DEFINED, _UNUSED = 1, 2, 4, 5
+
+
+def _is_of_merges(proto: bytes) -> bool:
+    """Whether a serialised model is one of merges; refuses what isn't supported."""
+    found = _settings(proto)
+    last = lambda message, field, default: found.get((message, field), [default])[-1]
+    kind = last(_TRAINER, _MODEL_TYPE, _UNIGRAM)
+    if kind not in (_UNIGRAM, _MERGES):
+        raise ValueError("a model that is neither of unigrams nor of merges")
+    if last(_NORMALIZER, _CHAR_MAP, 0) or last(_DENORMALIZER, _CHAR_MAP, 0):
+        raise ValueError("a model that normalises characters")
+    if not last(_NORMALIZER, _PREFIX, 1) or last(_NORMALIZER, _EXTRA_SPACES, 1) or not last(_NORMALIZER, _ESCAPED, 1) or last(_TRAINER, _SUFFIX, 0):
+        raise ValueError("a model that treats spaces in another way than to mark each and to set one before the text")
+    if {_USER_DEFINED, _UNUSED} & {*found.get((_PIECE, _TYPE), [])}:
+        raise ValueError("a model with user-defined or unused pieces")
+    return kind == _MERGES
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +100,20 @@ def _sums(codes: np.ndarray) -> np.ndarray:
         return out
 
 
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all elements of ranges, one range after another, and each one's place within its range."""
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + within, within
+
+
+def _word_keys(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word, of one code point at least."""
+    with np.errstate(over="ignore"):
+        flat, within = _flat(starts, sizes)
+        value = _mixed(codes[flat].astype(np.uint64), 1) * _UP[within]
+        return _mixed(np.add.reduceat(value, np.cumsum(sizes) - sizes), 2) + sizes.astype(np.uint64)
+
+
 class Pieces:
     """A model's pieces: encodes and decodes batches of texts."""
 
@@ -92,22 +132,26 @@ class Pieces:
         self.text = {m.id_to_piece(i): (m.get_score(i), i) for i in normal}
         if any("▁" in p.lstrip("▁") for p in self.text):
             raise ValueError("a piece has a space mark after another character")
-        self.longest = min(max(map(len, self.text)), TOGETHER)
+        self.longest = max(map(len, self.text))
+        if self.longest > TOGETHER:
+            raise ValueError(f"a piece of more than {TOGETHER} characters")
         self.bottom = min(s for s, _ in self.text.values()) - UNKNOWN_PENALTY
         by_length: dict[int, list[str]] = {}
         for p in self.text:
             by_length.setdefault(len(p), []).append(p)
         keys, ids = [], []
         for k, group in by_length.items():
-            if k <= TOGETHER:
-                keys.append(_sums(np.array([[ord(c) for c in p] for p in group]))[:, -1])
-                ids.append([self.text[p][1] for p in group])
+            keys.append(_sums(np.array([[ord(c) for c in p] for p in group]))[:, -1])
+            ids.append([self.text[p][1] for p in group])
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         self.scores = np.array([m.get_score(int(i)) for i in self.ids])
         self.lengths = np.array([len(m.id_to_piece(int(i))) for i in self.ids])
         self.names = [m.id_to_piece(i) for i in range(n)]
+        self.piece_codes = np.zeros((len(self.ids), self.longest), np.uint32)
+        for row, i in zip(self.piece_codes, self.ids.tolist(), strict=True):
+            row[: len(self.names[i])] = [*map(ord, self.names[i])]
         self.inside = np.zeros(0x110000, bool)
         self.inside[[ord(c) for p in self.text for c in p]] = True
         self.bucket = np.searchsorted(self.keys, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
@@ -121,6 +165,7 @@ class Pieces:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.place, self.codes = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # of the words themselves
 
     def _fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
@@ -209,6 +254,11 @@ class Pieces:
                 key = (sums[:, j, None] - sums[:, j - sizes]) * _DOWN[j - sizes][None, :]
             at = self.probe(key, sizes[None, :])
             hit = at >= 0
+            row, of = np.nonzero(hit)
+            flat, within = _flat(j - sizes[of], sizes[of])
+            same = codes[np.repeat(row, sizes[of]), flat] == self.piece_codes[np.repeat(at[row, of], sizes[of]), within]
+            if not same.all():  # another string with a piece's hash
+                hit[row, of] = np.logical_and.reduceat(same, np.cumsum(sizes[of]) - sizes[of])
             ids = np.where(hit, self.ids[at], -1)
             ids[:, -1] = np.where(hit[:, -1], ids[:, -1], -codes[:, j - 1].astype(np.int32) - 2)
             if self.merges:
@@ -262,20 +312,31 @@ class Pieces:
         self.verdicts = {}
 
     def _learn(self, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        firsts, flats = [self.first], [self.flat]
+        firsts, flats, words = [self.first], [self.flat], [self.codes]
         for size in np.unique(sizes).tolist():
             of = np.flatnonzero(sizes == size)
             step = max(1, PROBES // (size * self.longest))
             for lo in range(0, len(of), step):
                 part = of[lo : lo + step]
-                ids, count = self.together(codes[starts[part][:, None] + np.arange(size)])
+                words.append(codes[starts[part][:, None] + np.arange(size)])
+                ids, count = self.together(words[-1])
                 self.known.update(zip(keys[part].tolist(), range(len(self.known), len(self.known) + len(part)), strict=True))
                 firsts.append(firsts[-1][-1] + np.cumsum(count))
                 flats.append(ids)
         self.first, self.flat = np.concatenate(firsts), np.concatenate(flats)
+        self.place = np.r_[self.place, self.place[-1] + np.cumsum(np.concatenate([np.full(len(w), w.shape[1]) for w in words[1:]]))]
+        self.codes = np.concatenate([w.ravel() for w in words])
         if len(self.verdicts) > 2000:
             self._settle()
 
+    def _differ(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether words aren't those remembered in their slots."""
+        out = self.place[slot + 1] - self.place[slot] != sizes
+        shorter = np.minimum(sizes, self.place[slot + 1] - self.place[slot])
+        flat, within = _flat(starts, shorter)
+        same = codes[flat] == self.codes[np.repeat(self.place[slot], shorter) + within]
+        return out if same.all() else out | ~np.logical_and.reduceat(same, np.cumsum(shorter) - shorter)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
@@ -292,13 +353,9 @@ class Pieces:
         sizes = np.diff(np.r_[starts, len(codes)])
         short = np.flatnonzero(sizes <= TOGETHER)
         keys = np.zeros(len(starts), np.uint64)
-        for lo in range(0, len(short), 1 << 18):  # a word's key: the hash of the whole word
-            part = short[lo : lo + (1 << 18)]
-            with np.errstate(over="ignore"):
-                flat = np.repeat(starts[part] - np.r_[0, np.cumsum(sizes[part])[:-1]], sizes[part]) + np.arange(sizes[part].sum())
-                within = flat - np.repeat(starts[part], sizes[part])
-                value = _mixed(codes[flat].astype(np.uint64), 1) * _UP[within]
-                keys[part] = _mixed(np.add.reduceat(value, np.cumsum(sizes[part]) - sizes[part]), 2) + sizes[part].astype(np.uint64)
+        chunks = [short[lo : lo + WORDS] for lo in range(0, len(short), WORDS)]
+        for part in chunks:
+            keys[part] = _word_keys(codes, starts[part], sizes[part])
         distinct, at, word = np.unique(keys[short], return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
@@ -309,7 +366,10 @@ class Pieces:
         slot = np.zeros(len(starts), np.int64)
         slot[short] = np.fromiter((self.known[k] for k in known), np.int64, len(known))[word] if len(known) else 0
         first, flat = self.first, self.flat
-        if len(long := np.flatnonzero(sizes > TOGETHER)):
+        plain = sizes > TOGETHER
+        for part in chunks:  # words that share another's hash go one by one, too
+            plain[part] = self._differ(codes, starts[part], sizes[part], slot[part])
+        if len(long := np.flatnonzero(plain)):
             found = [self.one("".join(map(chr, codes[starts[k] : starts[k] + sizes[k]]))) for k in long]
             slot[long] = len(first) - 1 + np.arange(len(long))
             first = np.r_[first, first[-1] + np.cumsum([len(x) for x in found])]
@@ -317,8 +377,12 @@ class Pieces:
         n = first[slot + 1] - first[slot] if len(starts) else np.zeros(0, np.int64)
         total = np.r_[0, np.cumsum(n)]
         ids = flat[np.repeat(first[slot] - total[:-1], n) + np.arange(total[-1])] if len(starts) else np.zeros(0, np.int32)
-        words = np.searchsorted(starts, bound)
-        return ids, total[words[1:]] - total[words[:-1]]
+        total = total[np.searchsorted(starts, bound)]
+        if not self.byte:  # unknown characters in a row are one unknown piece
+            again = np.r_[False, (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)][: len(ids)]
+            again[total[:-1][total[:-1] < len(ids)]] = False
+            ids, total = ids[~again], total - np.r_[0, np.cumsum(again)][total]
+        return ids, np.diff(total)
 
     def decode(self, ids: pa.ListArray) -> list[str]:
         """The text of each list of ids; without ids it is empty."""
@@ -343,8 +407,10 @@ def encode(docs: DataFrame, model: str, decoded: bool = False, id_col: str = "do
     """doc_id and the ids of every whole text, one row per input row; if asked, also ``text``, decoded from the ids at once.
 
     Null and empty texts have no ids and decode to an empty text.  Characters
-    outside the model become byte pieces, or the unknown piece if the model has
-    none.  Decoding gives the text back exactly, unless it holds the space mark
+    outside the model become byte pieces, or, if the model has none, one unknown
+    piece for each run of them.  Models that normalise characters, that treat
+    spaces otherwise than by one mark each, or that have pieces of over TOGETHER
+    characters, user-defined or unused ones, are an error.  Decoding gives the text back exactly, unless it holds the space mark
     itself, which becomes a space.  Repeated rows stay repeated; an empty table
     gives no rows; other columns are ignored.
     """

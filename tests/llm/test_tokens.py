@@ -1,3 +1,5 @@
+import random
+import struct
 import zlib
 
 import numpy as np
@@ -28,6 +30,15 @@ def test_parts_give_the_library_ids(library):
     assert ids.tolist() == [i for x in expected for i in x]
 
 
+def test_parts_of_one_hash_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(T.B, "quick", lambda spans, start, length: length.astype(np.uint64) % np.uint64(3))
+    coder = T.Encoder(WORDS)
+    for texts in (["ab", "ab ab"], ["cd ab", "x"], TEXTS):
+        ids, n = coder.encode(pa.array(texts), 2)
+        expected = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert n.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
 def test_files_hold_all_ids_in_order(spark, table, library):
     rows = [(len(TEXTS) - k, t, None, None, None) for k, t in enumerate(TEXTS)] + [(None, "null id", None, None, None), (3, "again", None, None, None)]
     entries = T.write_sequences(table(rows, DOCS), WORDS, 2, length=16)
@@ -81,6 +92,65 @@ def test_a_model_of_merges_gives_the_library_ids(pieces):
         assert ids[bound[k] : bound[k + 1]].tolist() == library.encode(t)
 
 
+def field(number, value):
+    """One field of a protocol buffer."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(path, pieces, trainer=field(3, 1), normalizer=field(3, 1) + field(4, 0)):
+    """A model written by hand: (piece, score, type) and the settings' bytes."""
+    path.write_bytes(b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, kind)) for p, s, kind in pieces) + field(2, trainer) + field(3, field(1, b"identity") + normalizer))
+    return str(path)
+
+
+@pytest.mark.parametrize("bytes_too", [True, False])
+def test_a_unigram_model_gives_the_library_ids(pieces, tmp_path, bytes_too):
+    import sentencepiece
+
+    rng = random.Random(3)
+    taken = [p for p in pieces.text if rng.random() < 0.4 or len(p) == 1 and p.isascii()]
+    made = [("<unk>", 0.0, 2), *[(f"<0x{k:02X}>", -30.0, 6) for k in range(256 * bytes_too)], *[(p, -rng.uniform(3, 14), 1) for p in taken]]
+    path = model_file(tmp_path / "u.model", made, field(3, 1) + field(35, int(bytes_too)))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), V.Pieces(path)
+    assert not own.merges
+    words = "the internationalisation of straightforward tokens, été naïve 日本 Übergröße unbelievable re-reading 😀😁 x".split(" ")
+    texts = [t or "" for t in TEXTS if len(t or "") < 4000] + [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    ids, n = own.encode(texts)
+    bound = np.r_[0, np.cumsum(n)]
+    for k, t in enumerate(texts):
+        assert ids[bound[k] : bound[k + 1]].tolist() == library.encode(t), t
+
+
+def test_models_that_are_not_supported(tmp_path):
+    base = [("<unk>", 0.0, 2), ("▁", -1.0, 1), ("a", -2.0, 1)]
+    for k, (more, settings) in enumerate([([("b" * 129, -3.0, 1)], {}), ([("own", -3.0, 4)], {}), ([("un", -3.0, 5)], {}), ([], {"normalizer": field(3, 1)}), ([], {"normalizer": field(3, 0) + field(4, 0)}), ([], {"trainer": field(3, 4)}), ([], {"trainer": field(3, 1) + field(24, 1)}), ([("a▁", -3.0, 1)], {})]):
+        with pytest.raises(ValueError, match="piece|model"):
+            V.Pieces(model_file(tmp_path / f"{k}.model", base + more, **settings))
+
+
+def test_words_and_pieces_of_one_hash_are_told_apart(pieces, monkeypatch):
+    texts = [t or "" for t in TEXTS if len(t or "") < 4000] + ["some other words here and there"] * 2
+    expected = pieces.encode(texts)[0].tolist()
+    own = V.Pieces(MODEL)
+    monkeypatch.setattr(V, "_word_keys", lambda codes, starts, sizes: sizes.astype(np.uint64))
+    assert own.encode(texts)[0].tolist() == expected and own.encode(texts[::-1])[1].sum() == len(expected)
+    wrong = own.piece_codes.copy()
+    wrong[own.ids == own.text["▁the"][1]] = 1  # as if another piece had this hash
+    own.piece_codes = wrong
+    assert own.together(np.array([[ord(c) for c in "▁the"]]))[0].tolist() != [own.text["▁the"][1]]
+
+
 def test_together_equals_one_by_one(pieces, unigram):
     texts = [t or "" for t in TEXTS] + [" lead", "a  b\n\n c\t", "▁mark"]
     for model in (pieces, unigram):
