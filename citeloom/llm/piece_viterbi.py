@@ -166,6 +166,7 @@ class Pieces:
         self.known: dict[int, int] = {}
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.place, self.codes = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # of the words themselves
+        self.spans = B.Spans(self.codes.view(np.uint8))
 
     def _fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
@@ -326,6 +327,7 @@ class Pieces:
         self.first, self.flat = np.concatenate(firsts), np.concatenate(flats)
         self.place = np.r_[self.place, self.place[-1] + np.cumsum(np.concatenate([np.full(len(w), w.shape[1]) for w in words[1:]]))]
         self.codes = np.concatenate([w.ravel() for w in words])
+        self.spans = B.Spans(self.codes.view(np.uint8))
         if len(self.verdicts) > 2000:
             self._settle()
 
@@ -353,8 +355,8 @@ class Pieces:
         sizes = np.diff(np.r_[starts, len(codes)])
         short = np.flatnonzero(sizes <= TOGETHER)
         keys = np.zeros(len(starts), np.uint64)
-        chunks = [short[lo : lo + WORDS] for lo in range(0, len(short), WORDS)]
-        for part in chunks:
+        for lo in range(0, len(short), WORDS):
+            part = short[lo : lo + WORDS]
             keys[part] = _word_keys(codes, starts[part], sizes[part])
         distinct, at, word = np.unique(keys[short], return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
@@ -366,9 +368,9 @@ class Pieces:
         slot = np.zeros(len(starts), np.int64)
         slot[short] = np.fromiter((self.known[k] for k in known), np.int64, len(known))[word] if len(known) else 0
         first, flat = self.first, self.flat
-        plain = sizes > TOGETHER
-        for part in chunks:  # words that share another's hash go one by one, too
-            plain[part] = self._differ(codes, starts[part], sizes[part], slot[part])
+        plain, place = sizes > TOGETHER, self.place[slot[short]]
+        if (self.place[slot[short] + 1] - place != sizes[short]).any() or not B.same(B.Spans(codes.view(np.uint8)), 4 * starts[short], self.spans, 4 * place, 4 * sizes[short]):
+            plain[short] = self._differ(codes, starts[short], sizes[short], slot[short])  # words that share another's hash go one by one, too
         if len(long := np.flatnonzero(plain)):
             found = [self.one("".join(map(chr, codes[starts[k] : starts[k] + sizes[k]]))) for k in long]
             slot[long] = len(first) - 1 + np.arange(len(long))
