@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import written
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """src, least: the smallest neighbour; written, so that the joins below start from plain shuffles, which AQE may split at a hub."""
+    return written(edges.groupBy("src").agg(F.min("dst").alias("least")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-    return both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+    """Larger neighbours move on to a node's smallest one; edges go from larger to smaller nodes, so a hub without a smaller one keeps its edges."""
+    least = _least(edges).withColumnRenamed("src", "dst")
+    return edges.join(least, "dst", "left").select("src", F.coalesce("least", "dst").alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
+    """A node and its smaller neighbours are linked with the smallest one."""
+    least = _least(edges)
     moved = edges.join(least, "src")
     return moved.select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionByName(least.select("src", F.col("least").alias("dst")))
 
