@@ -130,3 +130,69 @@ def parse_decisions(lines: DataFrame) -> DataFrame:
     over = F.startswith(v, F.lit("OVERRIDE:"))
     body = F.regexp_replace(v, "^OVERRIDE:", "")
     return rows.select(F.trim(F.substring_index(body, "->", 1)).alias("name"), F.trim(F.substring_index(body, "->", -1)).alias("author_id"), over.alias("override"))
+
+
+def memberships(paper_names: DataFrame, groups: DataFrame) -> DataFrame:
+    """paper_id, author_id of the entities (group, author_id) that ``person_groups`` made of the same names."""
+    p = parsed(paper_names).filter("key is not null").select("paper_id", "key")
+    return p.join(merged_keys(p), "key").join(groups.select("group", "author_id"), "group").select("paper_id", "author_id").distinct()
+
+
+def updated_groups(groups: DataFrame, members: DataFrame, new_names: DataFrame, papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities (group, author_id, canonical_name, name_variants, paper_count, owned_paper_count) and (paper_id, author_id) with new papers' names.
+
+    Names go to the entity whose group is their key, which keeps its id; others
+    make entities of their own.  Groups aren't merged anew: that takes a full
+    build.  ``papers``, if given, has the types of all papers that are counted.
+    """
+    from citeloom.operators.resolve import assign_ids
+
+    p = parsed(new_names).filter("key is not null")
+    more = p.groupBy(F.col("key").alias("group")).agg(F.max_by("author_id", F.struct(F.length("author_id"), "author_id")).alias("base"), F.array_sort(F.collect_set("name")).alias("more"))
+    known = groups.select("group", "author_id", "name_variants")
+    fresh = assign_ids(more.join(known, "group", "left_anti"), groups.select(F.col("author_id").alias("paper_id")), "group").withColumnRenamed("paper_id", "author_id")
+    names = F.array_sort(F.array_union(F.split(F.coalesce("name_variants", F.lit("")), r"\|"), F.coalesce("more", F.array().cast("array<string>"))))
+    rows = known.join(more.drop("base"), "group", "left").unionByName(fresh.select("group", "author_id", F.lit(None).cast("string").alias("name_variants"), "more"))
+    rows = rows.withColumn("names", F.filter(names, lambda n: n != ""))
+    rank = lambda n: F.struct(F.length(F.trim(F.regexp_replace(n, "^[^,]*,", ""))).alias("first"), F.length(n).alias("all"), n.alias("name"))
+    both = members.unionByName(p.select("paper_id", "key").join(rows.select(F.col("group").alias("key"), "author_id"), "key").select("paper_id", "author_id")).distinct()
+    types = both.withColumn("owned", F.lit(False)) if papers is None else both.join(papers.select("paper_id", owned(F.col("type")).alias("owned")), "paper_id", "left")
+    counts = types.groupBy("author_id").agg(F.count("*").alias("paper_count"), F.count(F.when(F.col("owned"), 1)).alias("owned_paper_count"))
+    done = rows.join(counts, "author_id").select("group", "author_id", F.array_max(F.transform("names", rank))["name"].alias("canonical_name"), F.array_join("names", "|").alias("name_variants"), "paper_count", "owned_paper_count")
+    return done, both
+
+
+def batch_groups(names: DataFrame, existing: DataFrame, least: int = 3) -> DataFrame:
+    """name, author_id, primary_name of new names (paper_id, name) that match no entity, matched with each other.
+
+    Within a surname, names with longer first names, then of more papers, then
+    by text, come first: each joins the earlier one that it matches best, or
+    stands for itself with a suggested id that ``existing`` (author_id) lacks.
+    A surname's distinct names are handled together, since the order matters.
+    """
+    import pandas as pd
+
+    from citeloom.operators.resolve import assign_ids
+
+    n = names.select("paper_id", "name", T.parse_author(F.col("name")).alias("p")).filter("p is not null")
+    n = n.groupBy("name").agg(F.count_distinct("paper_id").alias("n"), F.first("p").alias("p")).select("name", "n", F.lower("p.lastname").alias("last"), "p.initials", "p.full_firstname")
+    alone = n.select(F.col("name").alias("author_id"), F.col("name").alias("canonical_name"), F.col("name").alias("name_variants"))
+    close = link_scores(n.select("name"), alone).filter((F.col("score") >= least) & (F.col("name") != F.col("author_id"))).groupBy("name").agg(F.collect_list(F.struct("author_id", "score")).alias("close"))
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(size=part["full_firstname"].str.len()).sort_values(["size", "n", "name"], ascending=[False, False, True])
+        primaries: dict[str, int] = {}
+        rows = []
+        for name, near in zip(part["name"], part["close"], strict=True):
+            found = [(-x["score"], primaries[x["author_id"]], x["author_id"]) for x in (near if near is not None else []) if x["author_id"] in primaries]
+            best = min(found)[2] if found else None
+            if best is None:
+                primaries[name] = len(primaries)
+            rows.append((name, best))
+        return pd.DataFrame(rows, columns=["name", "primary_name"])
+
+    chosen = n.join(close, "name", "left").groupBy("last").applyInPandas(choose, "name string, primary_name string")
+    suffix = F.when(F.col("full_firstname") != "", F.col("full_firstname")).when(F.col("initials") != "", F.col("initials")).otherwise("unknown")
+    first = n.join(chosen.filter("primary_name is null").select("name"), "name").select("name", F.concat_ws("_", "last", suffix).alias("base"))
+    ids = assign_ids(first, existing.select(F.col("author_id").alias("paper_id")), "name").select("name", F.col("paper_id").alias("author_id"))
+    return chosen.join(ids.withColumnRenamed("name", "of"), F.col("of") == F.coalesce("primary_name", "name")).select("name", "author_id", "primary_name")

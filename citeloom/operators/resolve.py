@@ -137,7 +137,7 @@ def canonical(members: DataFrame, papers: DataFrame) -> DataFrame:
 
 def confidence(scored: DataFrame, members: DataFrame, limit: int | None = 50) -> DataFrame:
     """group, size, best, confidence: groups by their best pair; without a limit all of them, in no order."""
-    of = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a")
+    of = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a").join(members.withColumnRenamed("paper_id", "id_b"), ["id_b", "group"])
     best = of.groupBy("group").agg(F.max("score").alias("best")).join(members.groupBy("group").agg(F.count("*").alias("size")), "group")
     level = F.when(F.col("best") >= 7, "high").when(F.col("best") >= 4.5, "medium").otherwise("low")
     best = best.withColumn("confidence", level)
@@ -206,3 +206,55 @@ def assign_ids(bases: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     # The turn-th number that isn't used: add one for each used number at or below the candidate, in order.
     free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("turn"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
     return bases.withColumn("turn", turn).join(used, "base", "left").withColumn("n", free).withColumn("paper_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))).drop("turn", "used", "n")
+
+
+#: Staged records that are compared with all papers at once.
+RECORDS = 20_000
+
+
+def duplicates_of(records: DataFrame, papers: DataFrame, least: float = 2.0) -> DataFrame:
+    """ref, paper_id, score, similarity, signals, match_type: for each record (ref, title) the paper that it most likely is.
+
+    A record has nothing but a title, so scores are those of titles.  The best
+    score counts, then the smaller id; below ``least`` there is no match.  The
+    records, a batch about to be ingested, go to every task; more than RECORDS
+    are an error.  Papers are read once, and each task returns a row for each
+    record at most.  Titles too different in length or letters for any points
+    aren't compared.
+    """
+    from collections import Counter
+
+    import numpy as np
+    import pandas as pd
+
+    from citeloom.functions.similarity import indel, token_sort
+
+    staged = records.select("ref", T.title_text(F.col("title")).alias("t"), F.array_join(F.slice(T.words_of(T.title_text(F.col("title"))), 1, 5), "_").alias("p")).filter("t <> ''").limit(RECORDS + 1).collect()
+    if len(staged) > RECORDS:
+        raise ValueError(f"more than {RECORDS} records at once")
+    known = [(r.ref, r.t, r.p, Counter(r.t), len(r.t)) for r in staged]
+    floor, size = min(t[0] for t in TITLE), np.array([k[4] for k in known])
+
+    def run(parts):
+        best: dict = {}
+        for part in parts:
+            for paper_id, kind, t, p in zip(part["paper_id"], part["type"], part["t"], part["p"], strict=True):
+                letters, n = Counter(t), len(t)
+                for k in np.flatnonzero(2 * np.minimum(size, n) >= floor * (size + n) - 1e-9):
+                    ref, other, prefix, has, m = known[k]
+                    if 2 * sum((letters & has).values()) < floor * (n + m) - 1e-9:
+                        continue  # a common subsequence has no more than the common letters
+                    sim = max(indel(other, t), token_sort(other, t)) / 100
+                    points, signal = next(((x, s) for at, x, s in TITLE if sim >= at), (0.0, None))
+                    on_prefix = sim < 0.80 and len(p) > 8 and p == prefix
+                    score = points + 0.75 * on_prefix
+                    if score >= least and (ref not in best or (-score, paper_id) < best[ref][0]):
+                        best[ref] = ((-score, paper_id), kind, sim, ",".join([signal] * (signal is not None) + ["title_prefix"] * on_prefix))
+        yield pd.DataFrame([(ref, k[1], -k[0], round(sim, 3), signals, kind) for ref, (k, kind, sim, signals) in best.items()], columns=["ref", "paper_id", "score", "similarity", "signals", "type"])
+
+    rows = papers.select("paper_id", "type", T.title_text(F.col("title")).alias("t"), F.array_join(F.slice(T.words_of(T.title_text(F.col("title"))), 1, 5), "_").alias("p")).filter("t <> ''")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((records, "ref"), (papers, "paper_id"))]
+    met = rows.mapInPandas(run, f"ref {kinds[0]}, paper_id {kinds[1]}, score double, similarity double, signals string, type string")
+    first = Window.partitionBy("ref").orderBy(F.desc("score"), "paper_id")
+    kind = F.when(F.col("type") == "external_owned", "external").when(F.col("type") == "stub", "stub").otherwise("local")
+    return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("ref", "paper_id", "score", "similarity", "signals", kind.alias("match_type"))

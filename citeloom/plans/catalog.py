@@ -7,35 +7,16 @@ versions differ.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.operators import authors as A
-from citeloom.operators import centrality, findings, graph, ingest, lookup, maintain, resolve, search
+from citeloom.operators import centrality, findings, graph, ingest, lookup, maintain, search
+from citeloom.plans.registry import ORACLES, QUERIES, query
 from citeloom.sources import corpus as C
 from citeloom.sources import store
 from citeloom.sources.corpus import with_views
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and, if given, its oracle."""
-
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
 # Lookups and counts.
 N_CITED = "SELECT citing_id AS paper_id, count(DISTINCT cited_id) AS n_cited FROM contexts GROUP BY 1"
 CITED_BY = "SELECT cited_id AS paper_id, count(*) AS cited_by_count FROM edges GROUP BY 1"
@@ -304,7 +285,7 @@ def components(spark, d):
 ITERATIONS = 8
 
 
-def _rank_sql(kind: str, seeds: str | None, edges: str = "SELECT citing_id, cited_id FROM edges JOIN papers ON paper_id = citing_id WHERE type = 'owned'") -> str:
+def _rank_sql(kind: str, seeds: str | None, edges: str = "SELECT citing_id, cited_id FROM edges") -> str:
     flip = "SELECT cited_id AS citing_id, citing_id AS cited_id FROM raw"
     e = {"directed": "SELECT DISTINCT * FROM raw", "reverse": f"SELECT DISTINCT * FROM ({flip})", "undirected": f"SELECT * FROM raw UNION {flip}"}[kind]
     p = f"CASE WHEN paper_id IN ({seeds}) THEN 1.0 / {len(seeds.split(','))} ELSE 0.0 END" if seeds else "1.0 / (SELECT count(*) FROM papers)"
@@ -316,12 +297,8 @@ FROM s{i} s LEFT JOIN (SELECT e.cited_id, sum(u.score / o.n) AS got FROM e JOIN
 {', '.join(steps)} SELECT paper_id, round(score, 7) AS score FROM s{ITERATIONS}"""
 
 
-def _rank(spark, d, kind="directed", seeds=None, owned=True):
-    own = C.papers(spark, d).filter("type = 'owned'").select(F.col("paper_id").alias("citing_id"))
-    e = C.edges(spark, d)
-    if owned:
-        e = e.join(own, "citing_id", "left_semi")  # what owned papers cite; all others cite nothing
-    found = centrality.pagerank(C.papers(spark, d), e, kind, seeds, max_iter=ITERATIONS, tol=0)
+def _rank(spark, d, kind="directed", seeds=None, edges=None):
+    found = centrality.pagerank(C.papers(spark, d), C.edges(spark, d) if edges is None else edges, kind, seeds, max_iter=ITERATIONS, tol=0)
     return found.select("paper_id", F.round("score", 7).alias("score"))
 
 
@@ -345,28 +322,11 @@ def pagerank_seeded(spark, d):
     return _rank(spark, d, seeds=[3, 6, 42])
 
 
-# The same on the whole graph; those above keep the edges of their oracles.
-EVERY_EDGE = "SELECT citing_id, cited_id FROM edges"
-
-
-@query("pagerank_whole", _rank_sql("directed", None, EVERY_EDGE))
-def pagerank_whole(spark, d):
-    return _rank(spark, d, owned=False)
-
-
-@query("pagerank_reverse_whole", _rank_sql("reverse", None, EVERY_EDGE))
-def pagerank_reverse_whole(spark, d):
-    return _rank(spark, d, "reverse", owned=False)
-
-
-@query("pagerank_undirected_whole", _rank_sql("undirected", None, EVERY_EDGE))
-def pagerank_undirected_whole(spark, d):
-    return _rank(spark, d, "undirected", owned=False)
-
-
-@query("pagerank_seeded_whole", _rank_sql("directed", "3, 6, 42", EVERY_EDGE))
-def pagerank_seeded_whole(spark, d):
-    return _rank(spark, d, seeds=[3, 6, 42], owned=False)
+@query("pagerank_owned_citers", _rank_sql("directed", None, "SELECT citing_id, cited_id FROM edges JOIN papers ON paper_id = citing_id WHERE type = 'owned'"))
+def pagerank_owned_citers(spark, d):
+    """What owned papers cite alone: all others cite nothing, so their mass is given out anew."""
+    own = C.papers(spark, d).filter("type = 'owned'").select(F.col("paper_id").alias("citing_id"))
+    return _rank(spark, d, edges=C.edges(spark, d).join(own, "citing_id", "left_semi"))
 
 
 def _katz_sql(seeds: str | None) -> str:
@@ -387,10 +347,11 @@ def katz_seeded(spark, d):
     return centrality.katz(C.papers(spark, d), C.edges(spark, d), seeds=[3, 6, 42], max_iter=ITERATIONS, tol=0).select("paper_id", F.round("score", 7).alias("score"))
 
 
-@query("centrality_ranked")
+@query("centrality_ranked", _rank_sql("directed", None).replace("SELECT paper_id, round(score, 7) AS score FROM", "SELECT row_number() OVER (ORDER BY score DESC, paper_id) AS rank, paper_id, title, round(score, 7) AS score FROM") + " JOIN papers USING (paper_id) WHERE type IN ('owned', 'external_owned') ORDER BY score DESC, paper_id LIMIT 15")
 def centrality_ranked(spark, d):
-    scores = centrality.pagerank(C.papers(spark, d), C.edges(spark, d), max_iter=20, tol=1e-9, stable_top_k=15)
-    return centrality.ranked(scores, C.papers(spark, d), 15, ["owned", "external_owned"])
+    scores = centrality.pagerank(C.papers(spark, d), C.edges(spark, d), max_iter=ITERATIONS, tol=0)
+    found = centrality.ranked(scores, C.papers(spark, d), 15, ["owned", "external_owned"])
+    return found.select(F.col("rank").cast("long").alias("rank"), "paper_id", "title", F.round("score", 7).alias("score"))
 
 
 # Search.
@@ -509,31 +470,6 @@ def first_author_key(spark, d):
     return C.authors(spark, d).select("author_id", T.first_author_key(name).alias("key"))
 
 
-# Resolution.
-PAPER_KEYS = "SELECT p_partkey AS paper_id, p_name AS title, p_brand || p_type || CAST(p_size AS VARCHAR) AS author_key, CASE WHEN p_partkey % 2 = 0 THEN 'd' || CAST(p_partkey // 4 AS VARCHAR) END AS doi, replace(lower(p_name), ' ', '_') AS prefix FROM part"
-
-
-@query(
-    "candidate_pairs",
-    f"""WITH p AS ({PAPER_KEYS}), k AS (SELECT paper_id, 'a' AS f, author_key AS k, 60 AS cap FROM p UNION ALL SELECT paper_id, 'd', doi, NULL FROM p WHERE doi IS NOT NULL UNION ALL SELECT paper_id, 't', prefix, 60 FROM p WHERE length(prefix) > 8),
-b AS (SELECT f, k FROM k GROUP BY f, k HAVING max(cap) IS NULL OR count(*) BETWEEN 2 AND max(cap))
-SELECT DISTINCT x.paper_id AS id_a, y.paper_id AS id_b FROM k x JOIN k y ON x.f = y.f AND x.k = y.k AND x.paper_id < y.paper_id JOIN b ON b.f = x.f AND b.k = x.k""",
-)
-def candidate_pairs(spark, d):
-    return resolve.candidate_pairs(C.keyed_papers(spark, d), cap=60)
-
-
-@query(
-    "candidate_pairs_defined",
-    f"""WITH p AS ({PAPER_KEYS}), k AS (SELECT paper_id, 'a' AS f, author_key AS k, {resolve.CAP} AS cap FROM p UNION ALL SELECT paper_id, 'd', doi, NULL FROM p WHERE doi IS NOT NULL UNION ALL SELECT paper_id, 't', prefix, {resolve.CAP} FROM p WHERE length(prefix) > 8),
-b AS (SELECT f, k FROM k GROUP BY f, k HAVING max(cap) IS NULL OR count(*) BETWEEN 2 AND max(cap))
-SELECT DISTINCT x.paper_id AS id_a, y.paper_id AS id_b FROM k x JOIN k y ON x.f = y.f AND x.k = y.k AND x.paper_id < y.paper_id JOIN b ON b.f = x.f AND b.k = x.k""",
-)
-def candidate_pairs_defined(spark, d):
-    """With the defined cap; candidate_pairs keeps that of its oracle."""
-    return resolve.candidate_pairs(C.keyed_papers(spark, d))
-
-
 @query(
     "jaccard_cites",
     with_views("edges")
@@ -544,42 +480,6 @@ def jaccard_cites(spark, d):
     return graph.reference_overlap(C.edges(spark, d)).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def _scored(spark, d):
-    papers = C.full_papers(spark, d)
-    return resolve.pair_scores(resolve.candidate_pairs(papers), papers), papers
-
-
-@query("pair_scores")
-def pair_scores(spark, d):
-    return _scored(spark, d)[0]
-
-
-@query("pair_buckets")
-def pair_buckets(spark, d):
-    return resolve.classified(_scored(spark, d)[0]).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
-@query("canonical")
-def canonical(spark, d):
-    scored, papers = _scored(spark, d)
-    found = store.cut(resolve.classified(scored, 1.0))
-    members = resolve.groups(found, "auto")
-    return resolve.canonical(members, papers).join(resolve.confidence(found, members, None), "group")
-
-
-@query("confident_groups")
-def confident_groups(spark, d):
-    """The listing of groups, best first."""
-    found = store.cut(resolve.classified(_scored(spark, d)[0], 1.0))
-    return resolve.confidence(found, resolve.groups(found, "auto"), 1000)
-
-
-@query("dense_parts")
-def dense_parts(spark, d):
-    found = store.cut(resolve.classified(_scored(spark, d)[0], 1.0))
-    return resolve.dense_parts(resolve.groups(found, "auto"), found, 1.0, 5)
-
-
 # Maintenance.
 ALIAS_SQL = "SELECT p_partkey AS alias, p_partkey // 3 AS target FROM part WHERE p_size <= 7 AND p_partkey > 0"
 
@@ -735,23 +635,6 @@ def all_coauthors(spark, d):
     return A.all_coauthors(C.paper_authors(spark, d))
 
 
-def _links(spark, d):
-    entities = store.cut(A.person_groups(C.author_names(spark, d)).select("author_id", "canonical_name", "name_variants"))
-    names = C.author_names(spark, d).select("name").distinct().withColumn("name", F.regexp_replace("name", "Anna", "Ana"))
-    return entities, names, A.link_scores(names, entities)
-
-
-@query("author_link_scores")
-def author_link_scores(spark, d):
-    return _links(spark, d)[2]
-
-
-@query("author_link_decisions")
-def author_link_decisions(spark, d):
-    entities, names, scores = _links(spark, d)
-    return A.link_decisions(names, scores.withColumn("hop", F.lit(3)))
-
-
 # Findings and composites.
 FINDINGS_SQL = "SELECT DISTINCT l_orderkey AS finding_id, l_partkey AS paper_id FROM lineitem"
 
@@ -854,3 +737,6 @@ SELECT to_id AS paper_id, field, value FROM r QUALIFY row_number() OVER (PARTITI
 def merged_topics(spark, d):
     closure = maintain.alias_closure(C.aliases(spark, d))
     return ingest.merged_rows(C.topics(spark, d), closure, ["field", "value"], ["value"], ["value"])
+
+
+from citeloom.plans import resolution  # noqa: E402, F401  the other families of queries
