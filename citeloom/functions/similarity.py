@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -22,6 +23,34 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+class Lengths:
+    """Longest common subsequences of one text with many at once: a bit for each character, a machine word for each text of up to 63."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.size = texts, np.array([len(t) for t in texts], np.int64)
+        self.long = [k for k, t in enumerate(texts) if len(t) > 63]
+        short = [t if len(t) < 64 else "" for t in texts]
+        self.full = np.array([(1 << len(t)) - 1 for t in short], np.uint64)
+        self.at: dict[str, np.ndarray] = {}
+        for k, t in enumerate(short):
+            for i, c in enumerate(t):
+                if c not in self.at:
+                    self.at[c] = np.zeros(len(texts), np.uint64)
+                self.at[c][k] |= np.uint64(1 << i)
+
+    def ratios(self, text: str) -> np.ndarray:
+        """The indel ratio with each text."""
+        row = self.full.copy()
+        for c in text:
+            if c in self.at:
+                hit = row & self.at[c]
+                row = ((row + hit) | (row - hit)) & self.full
+        both = self.size - np.bitwise_count(row).astype(np.int64)
+        for k in self.long:
+            both[k] = lcs_length(self.texts[k], text)
+        return np.where(self.size + len(text) > 0, 200.0 * both / np.maximum(self.size + len(text), 1), 100.0)
+
+
 def indel(a: str | None, b: str | None) -> float | None:
     """200 * LCS / (len(a) + len(b)): 100 for equal strings, two empty ones too."""
     if a is None or b is None:

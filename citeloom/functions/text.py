@@ -82,7 +82,7 @@ def detail_level(passes: Column) -> Column:
 
 def first_lastname(author: Column) -> Column:
     """Before the comma, or the last word, in lower case."""
-    return F.lower(F.when(F.contains(author, F.lit(",")), F.trim(F.substring_index(author, ",", 1))).otherwise(F.element_at(words_of(author), -1)))
+    return F.lower(F.when(F.contains(author, F.lit(",")), F.trim(F.substring_index(author, ",", 1))).otherwise(F.try_element_at(words_of(author), F.lit(-1))))
 
 
 def first_author_key(authors: Column) -> Column:

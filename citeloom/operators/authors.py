@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as T
 from citeloom.functions.similarity import indel_ratio
 from citeloom.sources.documents import owned
+from citeloom.sources.store import cut
 
 
 def parsed(paper_names: DataFrame) -> DataFrame:
@@ -93,17 +94,24 @@ def hop_candidates(names: DataFrame, scores: DataFrame, paper_authors: DataFrame
 
     Hop 1 are entities of papers it cites or is cited by, hop 2 those of their
     neighbours, hop 3 all others.  Where a hop has a score of 5, later ones are
-    left out.
+    left out.  Only candidates are looked for, one step from the paper and one
+    from the entity's papers, so no neighbourhood of two steps is built.
     """
-    step = edges.select("citing_id", "cited_id").unionByName(edges.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))).distinct()
-    mine = names.select("paper_id").distinct()
-    one = mine.join(step, mine["paper_id"] == step["citing_id"]).select("paper_id", F.col("cited_id").alias("near"), F.lit(1).alias("hop"))
-    two = one.join(step, one["near"] == step["citing_id"]).select("paper_id", F.col("cited_id").alias("near"), F.lit(2).alias("hop"))
-    near = one.unionByName(two).filter("paper_id <> near").groupBy("paper_id", "near").agg(F.min("hop").alias("hop"))
-    entity_hop = near.join(paper_authors.select(F.col("paper_id").alias("near"), "author_id"), "near").groupBy("paper_id", "author_id").agg(F.min("hop").alias("hop"))
-    found = names.join(scores, "name").join(entity_hop, ["paper_id", "author_id"], "left").fillna(3, ["hop"])
+    step = edges.select("citing_id", "cited_id").unionByName(edges.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))).filter("citing_id <> cited_id").distinct()
+    own = paper_authors.select("paper_id", "author_id").distinct()
+    found = cut(names.select("paper_id", "name").distinct().join(scores, "name"))
+    wanted = found.select("paper_id", "author_id").distinct()
+    # How many papers of an entity are beside a paper.
+    beside = cut(step.join(own, step["citing_id"] == own["paper_id"]).groupBy(F.col("cited_id").alias("paper_id"), "author_id").agg(F.count("*").alias("n")))
+    one = wanted.join(beside.select("paper_id", "author_id"), ["paper_id", "author_id"], "left_semi").withColumn("hop", F.lit(1))
+    # Two steps away must be another paper: the paper itself is beside each of its neighbours.
+    rest = wanted.join(beside.select("paper_id", "author_id"), ["paper_id", "author_id"], "left_anti")
+    rest = rest.join(own.withColumn("self", F.lit(1)), ["paper_id", "author_id"], "left").select("paper_id", "author_id", F.coalesce("self", F.lit(0)).alias("self"))
+    middle = rest.join(step.select(F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("middle")), "paper_id")
+    two = middle.join(beside.withColumnRenamed("paper_id", "middle"), ["middle", "author_id"]).filter("n > self").select("paper_id", "author_id").distinct().withColumn("hop", F.lit(2))
+    near = found.join(one.unionByName(two), ["paper_id", "author_id"], "left").fillna(3, ["hop"])
     best = Window.partitionBy("paper_id", "name").orderBy("hop").rangeBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("before", F.max("score").over(best)).filter("before is null or before < 5").drop("before")
+    return near.withColumn("before", F.max("score").over(best)).filter("before is null or before < 5").drop("before")
 
 
 def link_decisions(names: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,8 @@ from citeloom.operators.maintain import blank, first_of_each
 from citeloom.sources.documents import owned
 
 CHUNK, PAGE_RULE = 160_000, "=" * 80
-#: Lines of a title page that are neither title nor authors (in any case, at the start of the line).
-NOT_TITLES = [
-    r"arxiv:", r"\d{4}\.\d{4,5}", r"doi|http|www\.", r"received|accepted|published|submitted", r"\d+$", r".*:\s*$", r"[a-z][\w.]+\s+and\s+[a-z]",
-    r"<!--.*-->$", r"contents\s+lists", r"j\s*o\s*u\s*r\s*n\s*a\s*l", r"\[.*\]\(.*\)$", r"(journal|review|proceedings)\s+of\b",
-]
+#: How lines of a title page begin, in any case, that are neither title nor authors.
+OTHER_LINES = ["arxiv:", "doi", "http", "www.", "received", "accepted", "published", "submitted", "contents lists", "review of ", "proceedings of "]
 
 
 def cuts(text: str, most: int) -> list[int]:
@@ -59,10 +57,22 @@ def pages(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, piece.alias("text")).select(key, F.regexp_extract("text", r"PAGE (\d+)", 1).cast("int").alias("page"), "text")
 
 
+def _is_other(line: Column) -> Column:
+    """Whether a line of a title page says when, where or under which number a text appeared, or who wrote it, rather than what it is called."""
+    low = F.lower(line)
+    begins = lambda *starts: reduce(lambda a, b: a | b, [F.startswith(low, F.lit(x)) for x in starts])
+    words = F.split(low, r"\s+")
+    two_names = (F.size(words) > 2) & (F.try_element_at(words, F.lit(2)) == "and") & F.try_element_at(words, F.lit(1)).rlike(r"^[a-z][\w.]+$") & F.try_element_at(words, F.lit(3)).rlike("^[a-z]")
+    number = low.rlike(r"^[0-9]+$") | low.rlike(r"^[0-9]{4}\.[0-9]{4}")
+    markup = (F.startswith(low, F.lit("<!--")) & F.endswith(low, F.lit("-->"))) | (F.startswith(low, F.lit("[")) & F.contains(low, F.lit("](")) & F.endswith(low, F.lit(")")))
+    journal = F.startswith(F.regexp_replace(low, r"\s", ""), F.lit("journal"))  # spaced or not
+    return begins(*OTHER_LINES) | number | markup | journal | F.endswith(line, F.lit(":")) | F.coalesce(two_names, F.lit(False))
+
+
 def guessed_metadata(text: Column) -> Column:
     """(title, authors): the first line of the title page that may be one, and up to three lines with commas after it."""
-    lines = F.filter(F.transform(F.split(F.substring(text, 1, 3000), "\n"), F.trim), lambda x: (x != "") & ~x.rlike("^(=|PAGE)"))
-    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^#{1,6}\s+", "")), lambda x: (x != "") & ~x.rlike("(?i)^(" + "|".join(NOT_TITLES) + ")"))
+    lines = F.filter(F.transform(F.split(F.substring(text, 1, 3000), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (x != "") & ~x.rlike("^(=|PAGE)"))
+    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^#{1,6}\s+", "")), lambda x: (x != "") & ~_is_other(x))
     long = F.transform(clean, lambda x: F.length(x) > 15)
     at = F.array_position(long, F.lit(True)).cast("int")
     rest = F.filter(F.slice(clean, at + 1, F.size(clean) + 1), lambda x: F.contains(x, F.lit(",")) & (F.length(x) < 200))

@@ -176,20 +176,23 @@ def applied_forward(papers: DataFrame, edges: DataFrame, entries: DataFrame) ->
     return stubs.drop("key"), citers.join(edges.select("citing_id", "cited_id"), ["citing_id", "cited_id"], "left_anti"), lists
 
 
-def added_extraction(papers: DataFrame, edges: DataFrame, paper: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Papers and edges with one extraction: its paper owned, its citations replacing its earlier ones, a stub for each new id.
+def added_extraction(papers: DataFrame, edges: DataFrame, new: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers and edges with extractions: their papers owned, their citations replacing their earlier ones, a stub for each new id.
 
-    Stubs that nothing cites any more go.
+    new: papers with paper_id; citations: citing_id, id, title.  Citations of
+    other papers are left out.  Stubs that nothing cites any more go.
     """
-    pid = paper.select("paper_id")
-    kept = edges.join(pid.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_anti")
-    mine = citations.join(F.broadcast(pid.withColumnRenamed("paper_id", "citing_id"))).select("citing_id", F.col("id").alias("cited_id")).filter("citing_id <> cited_id")
+    pid = new.select("paper_id")
+    citing = pid.withColumnRenamed("paper_id", "citing_id")
+    of = citations.join(citing, "citing_id", "left_semi")
+    kept = edges.join(citing, "citing_id", "left_anti")
+    mine = of.select("citing_id", F.col("id").alias("cited_id")).filter("citing_id <> cited_id")
     now = kept.select("citing_id", "cited_id").unionByName(mine).distinct()
-    stubs = citations.select(F.col("id").alias("paper_id"), "title").dropDuplicates(["paper_id"]).withColumn("type", F.lit("stub")).join(papers, "paper_id", "left_anti")
+    stubs = of.groupBy(F.col("id").alias("paper_id")).agg(F.min("title").alias("title")).withColumn("type", F.lit("stub")).join(papers, "paper_id", "left_anti").join(pid, "paper_id", "left_anti")
     rest = papers.join(pid, "paper_id", "left_anti").unionByName(stubs, allowMissingColumns=True)
-    orphans = edges.join(pid.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_semi").select(F.col("cited_id").alias("paper_id")).join(now.select(F.col("cited_id").alias("paper_id")), "paper_id", "left_anti").distinct()
+    orphans = edges.join(citing, "citing_id", "left_semi").select(F.col("cited_id").alias("paper_id")).join(now.select(F.col("cited_id").alias("paper_id")), "paper_id", "left_anti").distinct()
     gone = rest.filter("type = 'stub'").join(orphans, "paper_id", "left_semi").select("paper_id")
-    return rest.join(gone, "paper_id", "left_anti").unionByName(paper.withColumn("type", F.lit("owned")), allowMissingColumns=True), now
+    return rest.join(gone, "paper_id", "left_anti").unionByName(new.withColumn("type", F.lit("owned")), allowMissingColumns=True), now
 
 
 #: Fields that papers shouldn't have any more.
@@ -259,3 +262,27 @@ def skip_pairs(groups: DataFrame) -> DataFrame:
     """pair_key: every two ids of a skipped group (group, paper_id), smaller first."""
     g = groups.select("group", "paper_id")
     return g.toDF("group", "a").join(g.toDF("group", "b"), "group").filter("a < b").select(F.concat_ws("|||", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair_key")).distinct()
+
+
+def cleared(papers: DataFrame, decided: DataFrame) -> DataFrame:
+    """Papers without the dedup_pending flag where a decision (paper_id) was made."""
+    d = decided.select("paper_id").distinct().withColumn("_done", F.lit(True))
+    flag = F.when(F.col("_done"), None).otherwise(F.col("dedup_pending"))
+    return papers.join(d, "paper_id", "left").withColumn("dedup_pending", flag).drop("_done")
+
+
+def adopted(papers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Papers with the external ones among ``wanted`` (paper_id, text_file) owned from now on, their text file set, no source database left."""
+    w = wanted.groupBy("paper_id").agg(F.min("text_file").alias("_text"), F.lit(True).alias("_mine"))
+    j = papers.join(w, "paper_id", "left")
+    up = F.coalesce(F.col("_mine") & (F.col("type") == "external_owned"), F.lit(False))
+    new = {"type": F.when(up, "owned").otherwise(F.col("type")), "text_file": F.when(up, F.col("_text")).otherwise(F.col("text_file")), "source_db": F.when(~up, F.col("source_db"))}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in papers.columns])
+
+
+def review_lines(members: DataFrame, papers: DataFrame) -> DataFrame:
+    """group, text: what a reviewer reads of each duplicate group, a line for each paper in order of id."""
+    blank_as = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    p = papers.select("paper_id", F.concat(F.lit("- "), F.col("paper_id").cast("string"), F.lit(" ["), blank_as("type", "?"), F.lit("] "), blank_as("title", "(no title)"), F.lit(" ("), blank_as("year", "n.d."), F.lit(") cites "), F.col("n_cites").cast("string"), F.lit(", cited by "), F.col("n_cited_by").cast("string")).alias("line"))
+    lines = members.join(p, "paper_id").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("paper_id", "line"))).alias("rows"))
+    return lines.select("group", F.concat(F.lit("GROUP "), F.col("group").cast("string"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"))

@@ -218,39 +218,35 @@ def duplicates_of(records: DataFrame, papers: DataFrame, least: float = 2.0) ->
     A record has nothing but a title, so scores are those of titles.  The best
     score counts, then the smaller id; below ``least`` there is no match.  The
     records, a batch about to be ingested, go to every task; more than RECORDS
-    are an error.  Papers are read once, and each task returns a row for each
-    record at most.  Titles too different in length or letters for any points
-    aren't compared.
+    are an error.  Papers are read once, each compared with all records at
+    once, and a task returns a row for each record at most.
     """
-    from collections import Counter
-
     import numpy as np
     import pandas as pd
 
-    from citeloom.functions.similarity import indel, token_sort
+    from citeloom.functions.similarity import Lengths
 
     staged = records.select("ref", T.title_text(F.col("title")).alias("t"), F.array_join(F.slice(T.words_of(T.title_text(F.col("title"))), 1, 5), "_").alias("p")).filter("t <> ''").limit(RECORDS + 1).collect()
     if len(staged) > RECORDS:
         raise ValueError(f"more than {RECORDS} records at once")
-    known = [(r.ref, r.t, r.p, Counter(r.t), len(r.t)) for r in staged]
-    floor, size = min(t[0] for t in TITLE), np.array([k[4] for k in known])
+    ordered = lambda t: " ".join(sorted(t.split()))
+    refs, prefix = [r.ref for r in staged], np.array([r.p for r in staged], object)
 
     def run(parts):
+        plain, sorted_words = Lengths([r.t for r in staged]), Lengths([ordered(r.t) for r in staged])
         best: dict = {}
         for part in parts:
             for paper_id, kind, t, p in zip(part["paper_id"], part["type"], part["t"], part["p"], strict=True):
-                letters, n = Counter(t), len(t)
-                for k in np.flatnonzero(2 * np.minimum(size, n) >= floor * (size + n) - 1e-9):
-                    ref, other, prefix, has, m = known[k]
-                    if 2 * sum((letters & has).values()) < floor * (n + m) - 1e-9:
-                        continue  # a common subsequence has no more than the common letters
-                    sim = max(indel(other, t), token_sort(other, t)) / 100
-                    points, signal = next(((x, s) for at, x, s in TITLE if sim >= at), (0.0, None))
-                    on_prefix = sim < 0.80 and len(p) > 8 and p == prefix
-                    score = points + 0.75 * on_prefix
-                    if score >= least and (ref not in best or (-score, paper_id) < best[ref][0]):
-                        best[ref] = ((-score, paper_id), kind, sim, ",".join([signal] * (signal is not None) + ["title_prefix"] * on_prefix))
-        yield pd.DataFrame([(ref, k[1], -k[0], round(sim, 3), signals, kind) for ref, (k, kind, sim, signals) in best.items()], columns=["ref", "paper_id", "score", "similarity", "signals", "type"])
+                sim = np.maximum(plain.ratios(t), sorted_words.ratios(ordered(t))) / 100
+                score = np.select([sim >= at for at, _, _ in TITLE], [x for _, x, _ in TITLE], 0.0)
+                on_prefix = (sim < 0.80) & (len(p) > 8) & (prefix == p)
+                score += 0.75 * on_prefix
+                for k in np.flatnonzero(score >= least).tolist():
+                    key = (-score[k], paper_id)
+                    if k not in best or key < best[k][0]:
+                        signal = [s for at, _, s in TITLE if sim[k] >= at][:1]
+                        best[k] = (key, kind, sim[k], ",".join(signal + ["title_prefix"] * bool(on_prefix[k])))
+        yield pd.DataFrame([(refs[k], key[1], -key[0], round(sim, 3), signals, kind) for k, (key, kind, sim, signals) in best.items()], columns=["ref", "paper_id", "score", "similarity", "signals", "type"])
 
     rows = papers.select("paper_id", "type", T.title_text(F.col("title")).alias("t"), F.array_join(F.slice(T.words_of(T.title_text(F.col("title"))), 1, 5), "_").alias("p")).filter("t <> ''")
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((records, "ref"), (papers, "paper_id"))]

@@ -540,8 +540,8 @@ def check_violations(spark, d):
 CTX_SQL = "SELECT DISTINCT citing_id, cited_id, purpose, section FROM contexts"
 
 
-@query("context_index", with_views("contexts") + " SELECT cited_id, purpose, count(*) AS n, count(DISTINCT citing_id) AS n_citers FROM contexts GROUP BY 1, 2")
-def context_index(spark, d):
+@query("context_counts", with_views("contexts") + " SELECT cited_id, purpose, count(*) AS n, count(DISTINCT citing_id) AS n_citers FROM contexts GROUP BY 1, 2")
+def context_counts(spark, d):
     return C.contexts(spark, d).groupBy("cited_id", "purpose").agg(F.count("*").alias("n"), F.count_distinct("citing_id").alias("n_citers"))
 
 
@@ -687,16 +687,6 @@ def event_counts(spark, d):
 
 
 # Ingest.
-@query("text_chunks")
-def text_chunks(spark, d):
-    return ingest.chunks(C.table(spark, d, "documents"), "doc_id", "text", 4000)
-
-
-@query("guessed_metadata")
-def guessed_metadata(spark, d):
-    return C.table(spark, d, "documents").select("doc_id", ingest.guessed_metadata(F.col("text")).alias("m")).select("doc_id", "m.title", F.size("m.authors").alias("n_authors"))
-
-
 @query("coverage", "SELECT 'doi' AS name, count(*) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'title', count(*) FROM part UNION ALL SELECT 'server:' || CASE WHEN p_partkey % 3 = 0 THEN 'arxiv' ELSE 'ssrn' END, count(*) FROM part WHERE p_partkey % 3 < 2 GROUP BY 1")
 def coverage(spark, d):
     k = F.col("paper_id")
@@ -739,4 +729,4 @@ def merged_topics(spark, d):
     return ingest.merged_rows(C.topics(spark, d), closure, ["field", "value"], ["value"], ["value"])
 
 
-from citeloom.plans import resolution  # noqa: E402, F401  the other families of queries
+from citeloom.plans import documents, resolution, upkeep  # noqa: E402, F401  the other families of queries

@@ -8,7 +8,9 @@ an order are citations, suppliers are authors.  Every function takes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -143,3 +145,82 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("finding_id")).agg(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda p: F.struct(p.alias("paper_id"), F.lit("").alias("note"))).alias("papers"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("question"), F.lit("").alias("summary"), F.array("o_orderpriority").alias("tags"))
     return o.join(lines, "finding_id")
+
+
+# Documents, as JSON texts (file, value) of at most a thousand entries each.
+
+
+def _store(rows: DataFrame, key: str, name: str, number: Column) -> DataFrame:
+    """file, value: objects ``{name: {key: r}}`` of the rows (key, r)."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("r").alias("value")))))
+    return rows.groupBy(F.concat(F.lit(f"{name}-"), F.floor(number / 1000).cast("string")).alias("file")).agg(F.to_json(F.struct(entries.alias(name))).alias("value"))
+
+
+def paper_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as paper documents: some superseded, years as text, passes out of order, two citations each."""
+    k = F.col("p_partkey")
+    pid = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    passes = F.reverse(F.slice(F.array(*map(F.lit, [1, 2, 3, 4])), F.lit(1), (k % 4 + 1).cast("int")))
+    r = F.struct(
+        pid(k).alias("id"), F.when(k % 3 == 0, "owned").when(k % 3 == 1, "external_owned").otherwise("stub").alias("type"), F.col("p_name").alias("title"),
+        F.array(F.concat(F.lit("Name"), (k % 40).cast("string"), F.lit(", A.")), F.lit("Other, B.")).alias("authors"), F.concat(F.lit("c. "), (1990 + k % 35).cast("string")).alias("year"),
+        F.when(k % 2 == 0, pid(k)).otherwise("").alias("s2_paper_id"), F.when(k % 11 == 0, pid(k - 1)).alias("superseded_by"), F.array(pid(k + 1), pid(k + 2)).alias("cites"), F.array(pid(k - 1)).alias("cited_by"),
+        F.struct(passes.alias("passes_completed")).alias("extraction_meta"),
+    )
+    return _store(table(spark, sf_dir, "part").select(pid(k).alias("key"), r.alias("r"), k.alias("n")), "key", "papers", F.col("n"))
+
+
+def context_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts by cited paper; those of every third one don't name it."""
+    c = contexts(spark, sf_dir)
+    one = F.struct(F.col("citing_id").cast("string").alias("citing"), F.when(F.col("cited_id") % 3 != 0, F.col("cited_id").cast("string")).alias("cited"), "purpose", "section")
+    return _store(c.groupBy("cited_id").agg(F.collect_list(one).alias("r")).withColumn("key", F.col("cited_id").cast("string")), "key", "by_cited", F.col("cited_id"))
+
+
+def extraction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extraction for each part, with a stamp beside each third, and one file that can't be read."""
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    body = F.to_json(F.struct(
+        F.array(F.struct(F.col("p_name").alias("claim"), F.col("p_type").alias("type"), F.array(text, F.lit("x")).alias("supporting_citations"))).alias("claims"), F.array("p_brand", "p_type").alias("keywords"),
+        F.create_map(F.lit("themes"), F.array("p_type"), F.lit("sectors"), F.array("p_brand", F.lit("all")), F.lit("other"), F.array(F.lit("left out"))).alias("topics"),
+        F.array(F.struct(F.lit("Intro").alias("heading"), F.col("p_name").alias("summary"))).alias("sections"), F.when(k % 2 == 0, F.struct(F.col("p_type").alias("type"), F.lit("m").alias("model_name"))).alias("methodology"), F.array(F.concat(F.lit("why "), text)).alias("questions"),
+        F.array(F.struct(F.concat(F.lit("c"), (k + 1).cast("string")).alias("id"), F.lit("T").alias("title"), F.array(F.lit("A, B.")).alias("authors"), F.lit("1999").alias("year"), F.array(F.struct(F.lit("background").alias("purpose"), F.lit("Intro").alias("section"), F.col("p_name").alias("quote"))).alias("contexts"))).alias("citations"),
+    ))
+    sources = F.concat(F.lit(',"data_sources":["Census '), text, F.lit('",{"name":"Survey","type":"panel"}]}'))
+    main = table(spark, sf_dir, "part").select(text.alias("file"), F.concat(F.regexp_replace(body, r"\}$", ""), sources).alias("value"))
+    stamps = table(spark, sf_dir, "part").filter(k % 3 == 0).select(F.concat(text, F.lit(".meta")).alias("file"), F.lit('{"keywords":["stamp"]}').alias("value"))
+    return main.unionByName(stamps).unionByName(spark.createDataFrame([("broken", "{not json")], "file string, value string"))
+
+
+def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part the main file and, by its key modulo 5: two chunks and a single file, a single one, or contexts in the main file in two ways, or none."""
+    k = F.col("p_partkey")
+    entry = lambda ref, purpose: F.concat(F.lit('{"id":"'), F.lit(ref), F.lit('","contexts":[{"purpose":"'), F.lit(purpose), F.lit('","quote":"'), F.col("p_name"), F.lit('"}]}'))
+    listed = lambda name, *entries: F.concat(F.lit('{"' + name + '":['), F.concat_ws(",", *entries), F.lit("]}"))
+    rows = [
+        ("", k % 5 == 2, F.concat(F.lit('{"citation_contexts":['), entry("a", "top"), F.lit('],"citations":['), entry("b", "own"), F.lit("]}"))),
+        ("", k % 5 == 3, listed("citations", entry("b", "own"))),
+        ("", ~(k % 5).isin(2, 3), F.lit("{}")),
+        (".contexts", k % 5 < 2, listed("citations", entry("s", "single"))),
+        (".contexts.1", k % 5 == 0, listed("citations", entry("c", "first"), entry("", "no id"))),
+        (".contexts.12", k % 5 == 0, listed("citations", entry("d", "second"))),
+        (".contexts.50", k % 5 == 1, listed("citations", entry("e", "beyond"))),
+    ]
+    parts = table(spark, sf_dir, "part")
+    return reduce(DataFrame.unionByName, [parts.filter(on).select(F.concat(k.cast("string"), F.lit(end)).alias("file"), value.alias("value")) for end, on, value in rows])
+
+
+def author_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as persons, nations as institutions."""
+    s = F.col("s_suppkey")
+    made = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), s.cast("string")).alias("key"), F.struct(F.col("s_name").alias("canonical_name"), F.array(F.col("s_name"), F.concat(F.lit("X"), F.col("s_name"))).alias("name_variants"), F.array(F.concat(F.lit("p"), s.cast("string")), F.lit("p0")).alias("papers"), F.lit(2).alias("paper_count")).alias("r"), s.alias("n"))
+    n = F.col("n_nationkey")
+    firms = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("key"), F.struct(F.col("n_name").alias("name"), F.array(F.concat(F.lit("p"), n.cast("string"))).alias("papers")).alias("r"), n.alias("n"))
+    return _store(made, "key", "persons", F.col("n")).unionByName(_store(firms, "key", "institutions", F.col("n")))
+
+
+def finding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as files, every fourth without an id of its own, and one that can't be read."""
+    f = findings(spark, sf_dir)
+    one = F.struct(F.when(F.col("finding_id") % 4 != 0, F.col("finding_id").cast("string")).alias("id"), "title", "question", "summary", "tags", F.transform("papers", lambda p: F.struct(p["paper_id"].cast("string").alias("paper_id"), p["note"].alias("note"))).alias("papers"))
+    return f.select(F.col("finding_id").cast("string").alias("file"), F.to_json(one).alias("value")).unionByName(spark.createDataFrame([("broken", "[")], "file string, value string"))

@@ -26,14 +26,16 @@ TOPIC_FIELDS = ["themes", "geographic_focus", "sectors", "policy_context"]
 OWNED_TYPES = ["owned", "external_owned"]
 #: Files beside an extraction that aren't one themselves.
 SIDECAR = r"\.(refs|contexts|sections|analysis|meta)(\.[0-9]+)?$"
+#: The same for the context index, which takes a stamp for an extraction.
+INDEX_SIDECAR = r"\.(refs|contexts|sections|analysis)(\.[0-9]+)?$"
 
 
 def owned(kind: Column) -> Column:
     return kind.isin(*OWNED_TYPES)
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """file, value: each file as one text."""
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: each file as one text, its name without .json; compressed files are read as what they hold."""
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.json(\.gz)?$", 1).alias("file"), "value")
 
 
@@ -59,7 +61,7 @@ def authors_text(raw: Column) -> Column:
 
 def load_papers(spark: SparkSession, path: str) -> DataFrame:
     """Every paper document, superseded ones too; key is its place in the store."""
-    return _entries(_whole(spark, path), "papers", PAPER)
+    return _entries(files(spark, path), "papers", PAPER)
 
 
 def papers_table(docs: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def edges_table(docs: DataFrame) -> DataFrame:
 
 
 def contexts_table(spark: SparkSession, path: str) -> DataFrame:
-    lists = _whole(spark, path).select(F.explode(F.from_json("value", f"by_cited map<string,array<struct<{_typed(CONTEXT)}>>>")["by_cited"]).alias("key", "list"))
+    lists = files(spark, path).select(F.explode(F.from_json("value", f"by_cited map<string,array<struct<{_typed(CONTEXT)}>>>")["by_cited"]).alias("key", "list"))
     rows = lists.select("key", F.explode("list").alias("c"))
     return rows.select(F.col("c.citing").alias("citing_id"), F.coalesce("c.cited", "key").alias("cited_id"), *[f"c.{x}" for x in ("cited_title", "purpose", "section", "quote", "explanation")])
 
@@ -90,10 +92,51 @@ def citation_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("key").alias("paper_id"), F.size(F.coalesce("cited_by", F.array().cast("array<string>"))).alias("cited_by_count"))
 
 
+def extractions(found: DataFrame, sidecar: str = SIDECAR) -> DataFrame:
+    """paper_id and the parsed extraction of each main file of (file, value); sidecars and files that hold no JSON object are left out.
+
+    Another pattern for ``sidecar`` keeps other files, as INDEX_SIDECAR does.
+    """
+    main = found.filter(~F.col("file").rlike(sidecar) & F.col("value").rlike(r"^\s*\{"))
+    rows = main.select(F.col("file").alias("paper_id"), F.from_json("value", EXTRACTION + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    return rows.filter("x is not null and x._bad is null").select("paper_id", "x.*").drop("_bad")
+
+
 def load_extractions(spark: SparkSession, path: str) -> DataFrame:
-    """paper_id and the parsed extraction of each main file; sidecars and unreadable files are left out."""
-    files = _whole(spark, path).filter(~F.col("file").rlike(SIDECAR))
-    return files.select(F.col("file").alias("paper_id"), F.from_json("value", EXTRACTION).alias("x")).filter("x is not null").select("paper_id", "x.*")
+    return extractions(files(spark, path))
+
+
+_CONTEXTS = "array<struct<id:string,contexts:array<struct<purpose:string,section:string,quote:string,explanation:string>>>>"
+
+
+def _part(found: DataFrame, kind: str) -> DataFrame:
+    """paper_id, chunk, value of the sidecars of one kind: the numbered ones from 1 to 49 if a paper has any, else the single one (chunk 0)."""
+    named = found.select(F.regexp_extract("file", rf"^(.+)\.{kind}(\.[0-9]{{1,2}})?$", 1).alias("paper_id"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("file", rf"\.{kind}\.([0-9]{{1,2}})$", 1), F.lit("")), F.lit("99")).cast("int"), F.lit(0)).alias("chunk"), "value")
+    named = named.filter("paper_id <> '' and chunk < 50")
+    most = named.groupBy("paper_id").agg(F.max("chunk").alias("most"))
+    return named.join(most, "paper_id").filter("chunk > 0 or most = 0").drop("most")
+
+
+def sidecar_contexts(found: DataFrame) -> DataFrame:
+    """paper_id, ref, chunk, entry, pos and the fields of each context of (file, value).
+
+    From the contexts sidecars; for papers without one from the main file's
+    ``citation_contexts``, or else from its citations' own contexts.
+    """
+    sidecars = _part(found, "contexts")
+    entries = sidecars.select("paper_id", "chunk", F.from_json("value", f"citations {_CONTEXTS}")["citations"].alias("list"))
+    main = found.filter(~F.col("file").rlike(SIDECAR)).withColumnRenamed("file", "paper_id").join(sidecars.select("paper_id").distinct(), "paper_id", "left_anti")
+    both = main.select("paper_id", F.lit(0).alias("chunk"), F.from_json("value", f"citation_contexts {_CONTEXTS}, citations {_CONTEXTS}").alias("x"))
+    known = F.filter("x.citation_contexts", lambda e: F.coalesce(e["id"], F.lit("")) != "")
+    inline = both.select("paper_id", "chunk", F.when(F.size(known) > 0, known).otherwise(F.col("x.citations")).alias("list"))
+    rows = entries.unionByName(inline).select("paper_id", "chunk", F.posexplode("list").alias("entry", "e")).filter("e.id <> ''")
+    return rows.select("paper_id", F.col("e.id").alias("ref"), "chunk", "entry", F.posexplode("e.contexts").alias("pos", "c")).select("paper_id", "ref", "chunk", "entry", "pos", "c.*")
+
+
+def sidecar_sections(found: DataFrame) -> DataFrame:
+    """paper_id, chunk, pos and the fields of each section of the sections sidecars."""
+    rows = _part(found, "sections").select("paper_id", "chunk", F.from_json("value", "sections array<struct<heading:string,summary:string,annotated_text:string>>")["sections"].alias("list"))
+    return rows.select("paper_id", "chunk", F.posexplode("list").alias("pos", "s")).select("paper_id", "chunk", "pos", "s.*")
 
 
 def extraction_tables(ex: DataFrame) -> dict[str, DataFrame]:
@@ -122,17 +165,39 @@ def context_index(ex: DataFrame) -> DataFrame:
     return cites.select("citing", F.col("c.id").alias("cited"), F.col("c.title").alias("cited_title"), F.explode("c.contexts").alias("x")).select("citing", "cited", "cited_title", "x.*")
 
 
+def load_patch(spark: SparkSession, path: str) -> DataFrame:
+    """op, path, value of a JSON list of changes, compressed or not."""
+    rows = files(spark, path).select(F.explode(F.from_json("value", "array<struct<op:string,path:string,value:string>>")).alias("x"))
+    return rows.select("x.*")
+
+
+def import_root(spark: SparkSession, path: str, wanted: str = "papers.json") -> str:
+    """The first folder of an unpacked corpus that has the store: data/db, db, or the top."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in (f"{path}/data/db", f"{path}/db", path):
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{wanted}")
+        if at.getFileSystem(conf).exists(at):
+            return folder
+    raise FileNotFoundError(f"no {wanted} in {path}")
+
+
 def authors_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """authors and paper_authors from persons and institutions."""
-    docs = _whole(spark, path)
+    docs = files(spark, path)
     both = _entries(docs, "persons", PERSON).withColumn("type", F.lit("person")).unionByName(_entries(docs, "institutions", PERSON).withColumn("type", F.lit("institution")))
     authors = both.select(F.col("key").alias("author_id"), F.coalesce("canonical_name", "name").alias("canonical_name"), "type", F.array_join(F.coalesce("name_variants", F.array("name")), "|").alias("name_variants"), F.coalesce("paper_count", F.size("papers")).alias("paper_count"), F.coalesce("owned_paper_count", F.lit(0)).alias("owned_paper_count"))
     return authors, both.select(F.explode("papers").alias("paper_id"), F.col("key").alias("author_id"))
 
 
-def load_findings(spark: SparkSession, path: str) -> DataFrame:
+def findings_of(found: DataFrame) -> DataFrame:
+    """The findings of (file, value); files that hold no JSON object are left out, one without an id goes by its name."""
     schema = "id string, title string, question string, summary string, tags array<string>, papers array<struct<paper_id:string,relevance:string,note:string>>"
-    return _whole(spark, path).select("file", F.from_json("value", schema).alias("x")).filter("x is not null").select(F.coalesce("x.id", "file").alias("finding_id"), "x.title", "x.question", "x.summary", "x.tags", "x.papers")
+    rows = found.filter(F.col("value").rlike(r"^\s*\{")).select("file", F.from_json("value", schema).alias("x")).filter("x is not null")
+    return rows.select(F.coalesce("x.id", "file").alias("finding_id"), "x.title", "x.question", "x.summary", "x.tags", "x.papers")
+
+
+def load_findings(spark: SparkSession, path: str) -> DataFrame:
+    return findings_of(files(spark, path))
 
 
 def changed_files(listing: DataFrame, known: DataFrame) -> DataFrame:

@@ -8,13 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder (``spark.checkpoint.dir``), gone with the session."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, gone with the session.
+
+    ``spark.checkpoint.dir`` names the folder.  Only a session on one machine
+    may do without; elsewhere a local folder would lose rows.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set")
+        base = "/tmp/checkpoints"
     path = f"{base.rstrip('/')}/citeloom-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,3 +75,22 @@ def undone(new: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """The table before the changes: exact, since they hold whole rows."""
     old = found.filter("before is not null").select(F.from_json("before", new.schema).alias("r")).select("r.*")
     return new.join(found.select(key), key, "left_anti").unionByName(old)
+
+
+def pruned(history: DataFrame, n: int, order: str = "timestamp", tie: str = "batch") -> DataFrame:
+    """The history without all but its newest n changes' batches."""
+    last = history.select(order, tie).distinct().orderBy(F.desc(order), F.desc(tie)).limit(n)
+    return history.join(last, [order, tie], "left_semi")
+
+
+def published(df: DataFrame, path: str) -> DataFrame:
+    """A read-only copy for others: written whole beside the old one, then put in its place."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    df.write.parquet(str(new.toString()))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"can't put the copy at {path}")
+    return spark.read.schema(df.schema).parquet(path)

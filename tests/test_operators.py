@@ -109,7 +109,7 @@ def test_forward_citations(spark):
 
 def test_extraction_added(spark):
     before = spark.createDataFrame([("p", "stub", "P"), ("old", "stub", "Old"), ("kept", "owned", "Kept")], "paper_id string, type string, title string")
-    cites = spark.createDataFrame([("new", "New"), ("kept", "Kept")], "id string, title string")
+    cites = spark.createDataFrame([("p", "new", "New"), ("p", "kept", "Kept"), ("q", "far", "Of another")], "citing_id string, id string, title string")
     p, e = maintain.added_extraction(before, edges(spark, [("p", "old"), ("kept", "p")]), before.filter("paper_id = 'p'"), cites)
     assert ids(p, "paper_id", "type") == [("kept", "owned"), ("new", "stub"), ("p", "owned")]
     assert ids(e, "citing_id", "cited_id") == [("kept", "p"), ("p", "kept"), ("p", "new")]
@@ -202,23 +202,23 @@ def test_new_ids_skip_taken_numbers(spark):
 
 
 def test_canonical_of_every_group(spark, monkeypatch):
-    from citeloom.plans import catalog
+    from citeloom.plans import catalog, resolution
 
     pairs = spark.range(1, 1201).selectExpr("2 * id as id_a", "2 * id + 1 as id_b", "8.0d as score", "'auto' as bucket")
     papers = spark.range(2, 2402).selectExpr("id as paper_id", "'stub' as type", "'' as doi", "'' as abstract", "array('a') as cites", "array('b') as cited_by", "'t' as title")
-    monkeypatch.setattr(catalog, "_scored", lambda spark, d: (pairs, papers))
+    monkeypatch.setattr(resolution, "_scored", lambda spark, d: (pairs, papers))
     monkeypatch.setattr(resolve, "classified", lambda scored, threshold: scored)
     got = catalog.QUERIES["canonical"](spark, "")
     assert ids(got, "canonical_id") == list(range(2, 2402, 2))
-    assert catalog.QUERIES["confident_groups"](spark, "").count() == 1000
+    assert catalog.QUERIES["confident_groups"](spark, "").count() == 50
 
 
 def test_scored_pairs_have_the_defined_cap(spark, monkeypatch):
-    from citeloom.plans import catalog
+    from citeloom.plans import catalog, resolution
 
     papers = spark.range(100).selectExpr("id as paper_id", "if(id < 45, 'one long title', concat('another title ', id)) as title", "concat('a', id) as author_key", "concat('d', id) as doi", "concat('s', id) as s2_id", "array(concat('Doe', id)) as authors", "2000 as year", "'stub' as type", "'' as abstract", "array('a') as cites", "array('b') as cited_by")
     monkeypatch.setattr(catalog.C, "full_papers", lambda spark, d: papers)
-    assert catalog._scored(spark, "")[0].filter("id_b < 45").count() == 45 * 44 // 2
+    assert resolution._scored(spark, "")[0].filter("id_b < 45").count() == 45 * 44 // 2
 
 
 def test_author_groups(spark):

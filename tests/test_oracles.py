@@ -42,12 +42,12 @@ def test_query_without_sql_gives_rows(spark, name):
     assert df.columns and df.limit(1).count() >= 0
 
 
-def test_whole_pagerank_counts_every_citation(spark):
+def test_pagerank_counts_every_citation(spark):
     from citeloom.operators import centrality
     from citeloom.sources import corpus as C
 
     every = centrality.pagerank(C.papers(spark, DATA), C.edges(spark, DATA), max_iter=catalog.ITERATIONS, tol=0)
-    assert plain(catalog.QUERIES["pagerank_whole"](spark, DATA).collect()) == plain((r.paper_id, round(r.score, 7)) for r in every.collect())
+    assert plain(catalog.QUERIES["pagerank"](spark, DATA).collect()) == plain((r.paper_id, round(r.score, 7)) for r in every.collect())
 
 
 def test_entry(spark):
