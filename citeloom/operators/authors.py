@@ -12,8 +12,10 @@ from citeloom.sources.store import cut
 
 
 def parsed(paper_names: DataFrame) -> DataFrame:
-    """paper_id, name and the name's parts; institutions, without a comma, have none."""
-    return paper_names.select("paper_id", "name", T.parse_author(F.col("name")).alias("p")).select("paper_id", "name", "p.*")
+    """paper_id, name and the name's parts, once for each pair; institutions, without a comma, have none.  Each name is parsed once."""
+    names = paper_names.select("paper_id", "name").distinct()
+    parts = names.select("name").distinct().select("name", T.parse_author(F.col("name")).alias("p"))
+    return names.join(parts, "name").select("paper_id", "name", "p.*")
 
 
 def merged_keys(keys: DataFrame) -> DataFrame:

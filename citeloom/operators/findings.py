@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.graph import shared_counts
 from citeloom.sources.documents import owned
 
 
@@ -40,8 +41,7 @@ def overlap(pairs: DataFrame, a, b) -> DataFrame:
 
 def overlaps(pairs: DataFrame, least: int = 2) -> DataFrame:
     """finding_a, finding_b, n_shared: all pairs of findings that share so many papers."""
-    p = pairs.select("finding_id", "paper_id").distinct()
-    return p.toDF("finding_a", "paper_id").join(p.toDF("finding_b", "paper_id"), "paper_id").filter("finding_a < finding_b").groupBy("finding_a", "finding_b").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= least)
+    return shared_counts(pairs, "finding_id", "paper_id", least).toDF("finding_a", "finding_b", "n_shared")
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:

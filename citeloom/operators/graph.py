@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.sources.store import cut
 
 
+def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame:
+    """a, b, n: every two ``of`` (a < b) that share at least ``least`` of the items, and how many.
+
+    Items that many share come last in each list.  Of two lists with ``least``
+    common items, one lies before the last ``least - 1`` of both, so only these
+    heads are joined: an item that is the commonest of all it belongs to makes
+    no pairs.  The tails, of that bounded length, are then counted for the
+    pairs found.  A key of many rows is split by AQE, as both sides of each
+    join are plain shuffles.
+    """
+    e = pairs.select(F.col(of).alias("a"), F.col(item).alias("i")).distinct()
+    often = e.groupBy("i").agg(F.count("*").alias("often"))
+    mine = Window.partitionBy("a")
+    ranked = e.join(often, "i").withColumns({"pos": F.row_number().over(mine.orderBy("often", "i")), "size": F.count("*").over(mine)})
+    ranked = cut(ranked.select("a", "i", (F.col("pos") <= F.col("size") - (least - 1)).alias("head"), (F.col("size") >= least).alias("enough")).filter("enough").drop("enough"))
+    head = ranked.filter("head").select("a", "i")
+    found = head.join(head.withColumnRenamed("a", "b"), "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    if least < 2:
+        return found
+    found = cut(found)
+    tail, every = ranked.filter("not head").select("a", "i"), ranked.select("a", "i")
+    mine = found.join(tail, "a").join(every.withColumnRenamed("a", "b"), ["b", "i"]).select("a", "b")
+    theirs = found.join(tail.withColumnRenamed("a", "b"), "b").join(head, ["a", "i"]).select("a", "b")
+    more = mine.unionByName(theirs).groupBy("a", "b").agg(F.count("*").alias("more"))
+    total = found.join(more, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    return total.filter(F.col("n") >= least)
+
+
 def co_cited_pairs(edges: DataFrame, papers: DataFrame, min_count: int = 2, limit: int = 20) -> DataFrame:
     """The pairs of papers that most papers cite together."""
-    e = edges.select("citing_id", "cited_id").distinct()
-    pairs = (
-        e.withColumnRenamed("cited_id", "cited_a")
-        .join(e.withColumnRenamed("cited_id", "cited_b"), "citing_id")
-        .filter("cited_a < cited_b")
-        .groupBy("cited_a", "cited_b")
-        .agg(F.count("*").alias("n_citers"))
-        .filter(F.col("n_citers") >= min_count)
-        .orderBy(F.desc("n_citers"), "cited_a", "cited_b")
-        .limit(limit)
-    )
+    pairs = shared_counts(edges, "cited_id", "citing_id", min_count).toDF("cited_a", "cited_b", "n_citers").orderBy(F.desc("n_citers"), "cited_a", "cited_b").limit(limit)
     t = papers.select("paper_id", "title")
     return pairs.join(t.toDF("cited_a", "title_a"), "cited_a").join(t.toDF("cited_b", "title_b"), "cited_b").select("cited_a", "cited_b", "n_citers", "title_a", "title_b")
 
@@ -44,13 +62,24 @@ def bib_coupling(edges: DataFrame, seeds: list, min_count: int = 2, limit: int =
     return _overlap(edges, "cited_id", "citing_id", seeds, min_count, limit, "n_shared")
 
 
-def reference_overlap(edges: DataFrame) -> DataFrame:
-    """id_a, id_b, shared, jaccard of the reference lists of all pairs that share a reference; lists are never built."""
-    e = edges.select("citing_id", "cited_id").distinct()
-    n = e.groupBy("citing_id").agg(F.count("*").alias("n"))
-    both = e.toDF("id_a", "cited_id").join(e.toDF("id_b", "cited_id"), "cited_id").filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
-    j = both.join(n.toDF("id_a", "n_a"), "id_a").join(n.toDF("id_b", "n_b"), "id_b")
-    return j.select("id_a", "id_b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+def reference_overlap(edges: DataFrame, least: float = 0.25) -> DataFrame:
+    """id_a, id_b, shared, jaccard of the reference lists of all pairs with a Jaccard similarity of ``least``; lists are never built.
+
+    References that few papers have come first in each list.  Two lists that
+    are similar enough share one among their first n - ceil(least * n) + 1, so
+    only these are joined, and references that everyone has propose no pairs.
+    """
+    e = edges.select(F.col("citing_id").alias("a"), F.col("cited_id").alias("i")).distinct()
+    often = e.groupBy("i").agg(F.count("*").alias("often"))
+    mine = Window.partitionBy("a")
+    ranked = cut(e.join(often, "i").withColumns({"pos": F.row_number().over(mine.orderBy("often", "i")), "n": F.count("*").over(mine)}).select("a", "i", "pos", "n"))
+    head = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "i", "n")
+    pair = head.toDF("id_a", "i", "n_a").join(head.toDF("id_b", "i", "n_b"), "i").filter("id_a < id_b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    pair = pair.select("id_a", "id_b", "n_a", "n_b").distinct()
+    shorter, longer = F.when(F.col("n_a") <= F.col("n_b"), F.col("id_a")).otherwise(F.col("id_b")), F.when(F.col("n_a") <= F.col("n_b"), F.col("id_b")).otherwise(F.col("id_a"))
+    met = pair.withColumns({"a": shorter, "other": longer}).join(ranked.select("a", "i"), "a").join(ranked.select(F.col("a").alias("other"), "i"), ["other", "i"])
+    both = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared")).withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
+    return both.filter(F.col("jaccard") >= least).select("id_a", "id_b", "shared", "jaccard")
 
 
 def _common(pairs: DataFrame, member: str, of: str, wanted: list) -> DataFrame:

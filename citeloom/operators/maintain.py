@@ -204,9 +204,10 @@ def check(papers: DataFrame, metadata: dict | None = None) -> DataFrame:
 
     papers: key, id, type, title, superseded_by, cites, cited_by, aliases,
     extraction_file, text_file, source_db; one list is compared with the other
-    by joins, never within a document's list alone.
+    by joins, never within a document's list alone.  The documents are written
+    once, since each rule reads them.
     """
-    has = set(papers.columns)
+    papers, has = cut(papers), set(papers.columns)
     active = papers.filter(blank("superseded_by")) if "superseded_by" in has else papers
     gone = papers.filter(~blank("superseded_by")).select(F.col("key").alias("ref"), F.col("superseded_by").alias("target"))
     refs = lambda df, c: df.select("key", F.explode(c).alias("ref"))

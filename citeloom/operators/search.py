@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.sources.store import cut
+
 K, B = 1.2, 0.75
 
 
@@ -47,14 +49,14 @@ def _term_score(tf: Column, df: Column, length: Column, n: Column, average: Colu
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str, stem: bool = False, stop: list[str] | None = None, k: float = K, b: float = B) -> DataFrame:
     """key, score of the rows with a term.
 
-    One scan counts the few query terms in each row; nothing but one row of
-    totals is shuffled, whatever the size of the texts.
+    One scan of the texts counts the few query terms in each row; the counts
+    are written, and give first the totals, one row, and then the scores.
     """
     terms = terms_of(query, stem, stop)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     counted = docs.select(key, tokens(columns, stem, stop).alias("t"))
-    counted = counted.select(key, F.size("t").alias("len"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = cut(counted.select(key, F.size("t").alias("len"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(terms)]))
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("average"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     score = sum((F.when(F.col(f"tf{i}") > 0, _term_score(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("len"), F.col("n"), F.col("average"), k, b)).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
     any_term = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0

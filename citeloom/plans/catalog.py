@@ -474,10 +474,10 @@ def first_author_key(spark, d):
     "jaccard_cites",
     with_views("edges")
     + """, s AS (SELECT citing_id, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT a.citing_id AS id_a, b.citing_id AS id_b, count(*) AS shared FROM edges a JOIN edges b ON a.cited_id = b.cited_id AND a.citing_id < b.citing_id GROUP BY 1, 2)
-SELECT id_a, id_b, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM i JOIN s x ON x.citing_id = id_a JOIN s y ON y.citing_id = id_b""",
+SELECT id_a, id_b, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM i JOIN s x ON x.citing_id = id_a JOIN s y ON y.citing_id = id_b WHERE shared / (x.n + y.n - shared) >= 0.05""",
 )
 def jaccard_cites(spark, d):
-    return graph.reference_overlap(C.edges(spark, d)).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+    return graph.reference_overlap(C.edges(spark, d), 0.05).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 # Maintenance.
