@@ -54,10 +54,17 @@ def test_stages_of_nothing(spark):
         assert stage(spark, spark.createDataFrame([], DOCS), "").count() == 0
 
 
-def test_null_ids_pass(spark):
-    docs = spark.createDataFrame([(None, "the cat and the dog", "en", None, None)] * 2 + [(1, "le chat et le chien", "fr", "a", 1)], DOCS)
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
+    cat, dog, fr = "the cat and the dog went away then to that house", "some other things of this old town are near here now", "le chat et le chien sont dans cette maison avec des autres"
+    rows = [(None, cat), (None, cat), (1, fr), (2, dog), (2, "1234 !!"), (2, dog), (None, "99 !!"), (3, cat + "  "), (None, dog)]
+    docs = spark.createDataFrame([(i, t, "fr" if t == fr else "en", "s", None) for i, t in rows], DOCS)
+    kept = []
     for _, stage in P.STAGES[:3]:
-        assert sum(r.doc_id is None for r in stage(spark, docs, "").collect()) == 2
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), DOCS)
+        kept.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr))
+    assert kept[0] == sorted([(None, cat), (None, cat), (1, fr), (2, dog), (2, dog), (3, cat + "  "), (None, dog)], key=repr)
+    assert [len(k) for k in kept[1:]] == [3, 3] and {i for i, _ in kept[1]} <= {1, 2, 3, None} and {t.strip() for _, t in kept[1]} == {cat, dog, fr}
+    assert (3, cat + "  ") in kept[1]
 
 
 def test_learned_languages_only(spark, rows):
