@@ -8,6 +8,7 @@ layer collects rows, and only as many as it prints.
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,13 @@ def show(df: DataFrame, limit: int) -> str:
     return "\n".join([lines[0], "  ".join("-" * w for w in width), *lines[1:], f"({len(rows)} rows)"])
 
 
+def wrap(text: str | None, width: int = WIDTH, indent: str = "") -> str:
+    """Text in lines of at most so many characters, each indented; paragraphs stay apart."""
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, initial_indent=indent, subsequent_indent=indent) for p in re.split(r"\n\s*\n", text or "") if p.strip())
+
+
 def packed(texts: list[str], most: int, header: int = 200) -> list[list[str]]:
     """Texts of a review list in files of at most so many bytes, in order; a longer text has a file of its own."""
     files: list[list[str]] = []

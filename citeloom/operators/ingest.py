@@ -116,6 +116,28 @@ def fetch_targets(papers: DataFrame, mode: str) -> DataFrame:
     return papers.filter(keep).select("paper_id")
 
 
+def lookup_targets(papers: DataFrame, mode: str, batch: int = 500) -> DataFrame:
+    """paper_id, wanted, turn of papers whose identifiers are looked up: ``doi`` (a DOI, no external id), ``title`` (neither), ``enrich`` (an external id, no other one).
+
+    ``turn`` is the order of title searches: owned papers first, then external
+    ones, then stubs, the most cited first; for the others it is a number of
+    batches of about ``batch`` papers by a hash of the id.
+    """
+    none = lambda c: blank(F.col(c).cast("string"))
+    keep, wanted = {"doi": (~none("doi") & none("s2_id"), T.normalize_doi(F.col("doi"))), "title": (none("doi") & none("s2_id") & ~none("title"), F.trim("title")), "enrich": (~none("s2_id") & none("arxiv_id") & none("pubmed_id"), F.col("s2_id"))}[mode]
+    found = papers.filter(keep).select("paper_id", wanted.alias("wanted"), "type", "cited_by_count")
+    if mode == "title":
+        rank = F.when(F.col("type") == "owned", 0).when(F.col("type") == "external_owned", 1).otherwise(2)
+        return found.select("paper_id", "wanted", F.struct(rank.alias("kind"), (-F.coalesce("cited_by_count", F.lit(0))).alias("less"), "paper_id").alias("turn")).orderBy("turn").withColumn("turn", F.col("turn.kind"))
+    n = max(1, -(-found.count() // batch))
+    return found.select("paper_id", "wanted", F.pmod(F.xxhash64("paper_id"), F.lit(n)).cast("int").alias("turn"))
+
+
+def stage_counts(stages: DataFrame) -> DataFrame:
+    """stage, n: the status of the texts."""
+    return stages.groupBy("stage").agg(F.count("*").alias("n"))
+
+
 def should_fetch(targets: DataFrame, log: DataFrame, today: Column, days: int = 30) -> DataFrame:
     """paper_id, reason of targets to try (again): never tried, failed for now, or an answer that is too old."""
     last = log.groupBy("paper_id").agg(F.max_by("result", "fetched").alias("result"), F.max("fetched").alias("fetched"))

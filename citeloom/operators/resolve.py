@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as T
 from citeloom.functions.similarity import indel_ratio, token_sort_ratio
 from citeloom.operators.graph import components
+from citeloom.sources.store import cut
 
 CAP = 200
 #: Thresholds, points and signals, best first.
@@ -33,9 +34,14 @@ def block_pairs(papers: DataFrame, key: Column, cap: int | None = CAP) -> DataFr
     return keyed.withColumnRenamed("paper_id", "id_a").join(keyed.withColumnRenamed("paper_id", "id_b"), "k").filter("id_a < id_b").select("id_a", "id_b")
 
 
-def candidate_pairs(papers: DataFrame, cap: int = CAP) -> DataFrame:
-    """Distinct pairs that share a first author, DOI, external id or title prefix."""
-    keys = [("author_key", F.col("author_key"), cap), ("doi", T.normalize_doi(F.col("doi")), None), ("s2_id", F.col("s2_id"), None), ("title", T.blocking_prefix(F.col("title")), cap)]
+def active(papers: DataFrame) -> DataFrame:
+    """Papers that no other one has superseded."""
+    return papers.filter(F.coalesce(F.col("superseded_by").cast("string"), F.lit("")) == "")
+
+
+def candidate_pairs(papers: DataFrame, cap: int = CAP, title_cap: int | None = CAP) -> DataFrame:
+    """Distinct pairs that share a first author, DOI, external id or title prefix; without ``title_cap`` however common the prefix is."""
+    keys = [("author_key", F.col("author_key"), cap), ("doi", T.normalize_doi(F.col("doi")), None), ("s2_id", F.col("s2_id"), None), ("title", T.blocking_prefix(F.col("title")), title_cap)]
     return reduce(DataFrame.unionByName, [block_pairs(papers, k, c) for name, k, c in keys if name in papers.columns]).distinct()
 
 
@@ -254,3 +260,54 @@ def duplicates_of(records: DataFrame, papers: DataFrame, least: float = 2.0) ->
     first = Window.partitionBy("ref").orderBy(F.desc("score"), "paper_id")
     kind = F.when(F.col("type") == "external_owned", "external").when(F.col("type") == "stub", "stub").otherwise("local")
     return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("ref", "paper_id", "score", "similarity", "signals", kind.alias("match_type"))
+
+
+def candidates_of(citations: DataFrame, papers: DataFrame, least: float = 1.0) -> DataFrame:
+    """ref, paper_id, score of the papers that citations (ref and the columns of papers) may mean.
+
+    Those found by ``indexed_candidates`` are scored; citations that none of
+    them fits with ``least`` points are held against all papers.  No cross join
+    is needed for it: so many points take a title that is alike, or a prefix,
+    surname or reference in common, and each is looked for by itself.
+    """
+    kind = papers.schema["paper_id"].dataType.simpleString()
+    as_paper = citations.drop("paper_id", "id").withColumn("paper_id", F.concat(F.lit("ref:"), F.col("ref").cast("string")))
+    every = papers.withColumn("paper_id", F.col("paper_id").cast("string")).unionByName(as_paper.drop("ref"), allowMissingColumns=True)
+    mark = lambda found: found.select(F.concat(F.lit("ref:"), F.col("ref").cast("string")).alias("id_a"), F.col("paper_id").cast("string").alias("id_b")).distinct()
+
+    def scored(found: DataFrame) -> DataFrame:
+        return cut(pair_scores(mark(found), every).filter(F.col("score") >= least).select(F.substring("id_a", 5, 1 << 20).alias("ref"), F.col("id_b").cast(kind).alias("paper_id"), "score"))
+
+    first = scored(indexed_candidates(citations if "id" in citations.columns else citations.withColumn("id", F.lit("")), papers))
+    rest = cut(citations.join(first.select("ref").distinct().withColumn("ref", F.col("ref").cast(citations.schema["ref"].dataType)), "ref", "left_anti"))
+    surname = lambda df, k: df.select(k, F.explode(F.array_distinct(F.filter(F.transform("authors", lambda a: F.try_element_at(T.normalize_author_lastname(a), F.lit(1))), lambda x: x.isNotNull()))).alias("on"))
+    cited = lambda df, k: df.select(k, F.explode("cites").alias("on"))
+    prefix = lambda df, k: df.select(k, F.nullif(T.blocking_prefix(F.col("title")), F.lit("")).alias("on"))
+    by = [side(rest, "ref").join(side(papers, "paper_id"), "on").select("ref", "paper_id") for side in (surname, cited, prefix)]
+    alike = similar_titles(rest, papers, 100 * min(t[0] for t in TITLE))
+    return first.unionByName(scored(reduce(DataFrame.unionByName, [*by, alike])))
+
+
+def similar_titles(records: DataFrame, papers: DataFrame, least: float) -> DataFrame:
+    """ref, paper_id of all titles with a similarity of ``least`` percent; as in ``duplicates_of`` the records go to every task."""
+    import numpy as np
+    import pandas as pd
+
+    from citeloom.functions.similarity import Lengths
+
+    staged = records.select("ref", T.title_text(F.col("title")).alias("t")).filter("t <> ''").limit(RECORDS + 1).collect()
+    if len(staged) > RECORDS:
+        raise ValueError(f"more than {RECORDS} records at once")
+    ordered = lambda t: " ".join(sorted(t.split()))
+
+    def run(parts):
+        plain, sorted_words = Lengths([r.t for r in staged]), Lengths([ordered(r.t) for r in staged])
+        for part in parts:
+            rows = []
+            for paper_id, t in zip(part["paper_id"], part["t"], strict=True):
+                near = np.flatnonzero(np.maximum(plain.ratios(t), sorted_words.ratios(ordered(t))) >= least)
+                rows += [(staged[k].ref, paper_id) for k in near.tolist()]
+            yield pd.DataFrame(rows, columns=["ref", "paper_id"])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((records, "ref"), (papers, "paper_id"))]
+    return papers.select("paper_id", T.title_text(F.col("title")).alias("t")).filter("t <> ''").mapInPandas(run, f"ref {kinds[0]}, paper_id {kinds[1]}")

@@ -413,6 +413,23 @@ def search_sections(spark, d):
     return search.search(rows, "id", ["text"], "la que", 10).select("id", F.round("score", 6).alias("score"))
 
 
+@query("search_claims", _bm25_sql("id", "text", "(SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'assistant')", ["the", "que"], "SELECT id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 15"))
+def search_claims(spark, d):
+    rows = C.table(spark, d, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return search.search(rows, "id", ["text"], "que the", 15).select("id", F.round("score", 6).alias("score"))
+
+
+@query("search_topics", _bm25_sql("p_partkey", "p_type", "part", ["economy", "brass"], "SELECT id AS paper_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 15"))
+def search_topics(spark, d):
+    rows = C.topics(spark, d).filter("field = 'type'").select("paper_id", "value")
+    return search.search(rows, "paper_id", ["value"], "Economy brass", 15).select("paper_id", F.round("score", 6).alias("score"))
+
+
+@query("search_keywords", _bm25_sql("p_partkey", "p_name || ' ' || p_brand", "part", ["brand", "large"], "SELECT id AS paper_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 15"))
+def search_keywords(spark, d):
+    return search.search(C.papers(spark, d), "paper_id", ["title", "journal"], "brand large", 15).select("paper_id", F.round("score", 6).alias("score"))
+
+
 @query("search_authors_fallback", "SELECT s_suppkey AS author_id, CAST(NULL AS DOUBLE) AS score FROM supplier WHERE contains(lower(s_name), '#00000000') ORDER BY 1 LIMIT 20")
 def search_authors_fallback(spark, d):
     return search.search_or_contains(C.authors(spark, d), "author_id", ["canonical_name"], "#00000000")

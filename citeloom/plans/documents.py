@@ -195,3 +195,35 @@ def patch_rows(spark, d):
     docs.repartition("file").write.partitionBy("file").option("compression", "gzip").text(path)
     return D.load_patch(spark, path)
 
+
+
+@query("methodology_of", "SELECT CAST(p_partkey AS VARCHAR) AS paper_id, p_type AS type, 'm' AS model_name, 'Census ' || CAST(p_partkey AS VARCHAR) || '; Survey' AS data_sources FROM part WHERE p_partkey % 2 = 0")
+def methodology_of(spark, d):
+    """The method of each paper that states one, with its data sources."""
+    t = D.extraction_tables(D.extractions(C.extraction_files(spark, d)))
+    named = t["data_sources"].groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), "; ").alias("data_sources"))
+    return t["methodology"].select("paper_id", "type", "model_name").join(named, "paper_id", "left")
+
+
+@query("json_export", "SELECT p_partkey AS paper_id, '{\"journal\":\"' || p_brand || '\",\"paper_id\":' || CAST(p_partkey AS VARCHAR) || ',\"title\":\"' || p_name || '\"}' AS value FROM part")
+def json_export(spark, d):
+    """Rows as JSON, fields in order of name."""
+    return store.as_json(C.papers(spark, d).select("title", "paper_id", "journal"), "paper_id")
+
+
+@query("tracked_changes", "SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 7 = 0 THEN 'add' WHEN p_partkey % 5 = 0 THEN 'remove' ELSE 'replace' END AS operation FROM part WHERE (p_partkey % 7 = 0) <> (p_partkey % 5 = 0) OR p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 = 0")
+def tracked_changes(spark, d):
+    """What two replacements of a table leave in its history: the first has nothing to compare with, the third no change."""
+    old, new = _versions(spark, d)
+    path, history = store.shared_path(spark), store.shared_path(spark)
+    for version in (old, new, new):
+        store.tracked(version, path, "paper_id", history, "test", "version")
+    return spark.read.parquet(history).select("paper_id", "operation")
+
+
+@query("build_state", "SELECT 's' || CAST(p_size AS VARCHAR) AS source FROM part GROUP BY 1, p_size HAVING p_size % 2 = 0")
+def build_state(spark, d):
+    """Sources of which a file changed since the last build."""
+    f = C.table(spark, d, "part").select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("source"), F.col("p_name").alias("path"), F.col("p_partkey").alias("mtime"), F.col("p_size").cast("long").alias("size"))
+    changed = f.withColumn("size", F.when(F.col("size") % 2 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return D.stale_sources(changed, D.build_state(f))

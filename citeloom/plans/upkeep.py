@@ -405,3 +405,69 @@ def findings_shared(spark, d):
     pairs = findings.finding_papers(C.findings(spark, d)).select("finding_id", "paper_id").distinct()
     a, b = (r.finding_id for r in pairs.groupBy("finding_id").count().orderBy(F.desc("count"), "finding_id").limit(2).collect())
     return findings.overlap(pairs, a, b)
+
+
+# More of the same families.
+@query("text_stage_status", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN (CASE WHEN p_partkey % 5 = 0 THEN 'done' ELSE 'in_process' END) ELSE 'staging' END AS stage FROM part) GROUP BY 1")
+def text_stage_status(spark, d):
+    p = _part(spark, d).select("k", F.col("k").cast("string").alias("stem"))
+    none = p.filter("k < 0").select(F.col("stem").alias("text_stem"), F.col("stem").alias("paper_id"), F.lit(True).alias("has_passes"))
+    ex = p.filter("k % 3 = 0").select(F.col("stem").alias("paper_id"), F.lit(None).cast("string").alias("source_stem"), (F.col("k") % 5 == 0).alias("has_meta"))
+    return ingest.stage_counts(ingest.text_stages(p.select("stem"), none, ex))
+
+
+_LOOKUP = "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'doi:10.1/' || CAST(p_partkey AS VARCHAR) ELSE '' END AS doi, CASE WHEN p_partkey % 5 = 0 THEN 's' || CAST(p_partkey AS VARCHAR) END AS s2_id, p_name AS title FROM part"
+
+
+@query(
+    "lookup_targets",
+    f"""WITH p AS ({_LOOKUP}) SELECT 'doi' AS mode, k AS paper_id, '10.1/' || CAST(k AS VARCHAR) AS wanted FROM p WHERE doi <> '' AND s2_id IS NULL UNION ALL SELECT 'title', k, title FROM p WHERE doi = '' AND s2_id IS NULL
+UNION ALL SELECT 'enrich', k, s2_id FROM p WHERE s2_id IS NOT NULL AND k % 3 <> 0""",
+)
+def lookup_targets(spark, d):
+    """The papers of each way to look identifiers up."""
+    k = F.col("k")
+    p = _part(spark, d).select(k.alias("paper_id"), F.when(k % 2 == 0, _named("doi:10.1/", k)).otherwise("").alias("doi"), F.when(k % 5 == 0, _named("s", k)).alias("s2_id"), F.col("p_name").alias("title"), F.when(k % 3 == 0, "x").otherwise("").alias("arxiv_id"), F.lit("").alias("pubmed_id"), F.lit("stub").alias("type"), F.lit(1).alias("cited_by_count"))
+    one = lambda mode: ingest.lookup_targets(p, mode).select(F.lit(mode).alias("mode"), "paper_id", "wanted")
+    return one("doi").unionByName(one("title")).unionByName(one("enrich"))
+
+
+@query("title_searches", "SELECT p_partkey AS paper_id, p_name AS wanted, CAST(p_size % 3 AS INTEGER) AS turn FROM part ORDER BY p_size % 3, p_partkey % 7 DESC, p_partkey LIMIT 40")
+def title_searches(spark, d):
+    """The first forty titles to search for."""
+    k = F.col("k")
+    kind = F.when(F.col("p_size") % 3 == 0, "owned").when(F.col("p_size") % 3 == 1, "external_owned").otherwise("stub")
+    p = _part(spark, d).select(k.alias("paper_id"), F.lit("").alias("doi"), F.lit("").alias("s2_id"), F.col("p_name").alias("title"), F.lit("").alias("arxiv_id"), F.lit("").alias("pubmed_id"), kind.alias("type"), (k % 7).alias("cited_by_count"))
+    return ingest.lookup_targets(p, "title").limit(40)
+
+
+@query(
+    "alias_enriched",
+    f"WITH {PLAN}, {MERGE_PAPERS}, gain AS (SELECT target, min_by(abstract, alias) AS abstract FROM plan JOIN old ON paper_id = alias WHERE abstract <> '' GROUP BY 1) SELECT paper_id, CASE WHEN o.abstract = '' THEN coalesce(g.abstract, '') ELSE o.abstract END AS abstract FROM old o LEFT JOIN gain g ON target = paper_id",
+)
+def alias_enriched(spark, d):
+    k = F.col("k")
+    papers = _part(spark, d).select(k.alias("paper_id"), F.when(k % 10 == 0, "").otherwise(F.col("p_name")).alias("abstract"))
+    closure = _part(spark, d).filter((k % 10).isin(1, 2) & (k > 10)).select(k.alias("alias"), (k - k % 10).alias("target"))
+    return maintain.enriched(papers, closure, ["abstract"])
+
+
+@query(
+    "merged_claims",
+    f"WITH {PLAN}, c AS (SELECT p_partkey AS k, p_type AS claim, p_name AS source FROM part UNION ALL SELECT p_partkey, 'one for all', p_name FROM part), m AS (SELECT coalesce(target, k) AS paper_id, claim, source, target IS NULL AS own, k FROM c LEFT JOIN plan ON alias = k) SELECT paper_id, claim, source FROM m QUALIFY row_number() OVER (PARTITION BY paper_id, claim ORDER BY own DESC, k) = 1",
+)
+def merged_claims(spark, d):
+    """Claims of merged extractions, by their text, the canonical paper's first."""
+    k = F.col("k")
+    p = _part(spark, d)
+    rows = p.select(k.alias("paper_id"), F.col("p_type").alias("claim"), F.col("p_name").alias("source")).unionByName(p.select(k.alias("paper_id"), F.lit("one for all").alias("claim"), F.col("p_name").alias("source")))
+    closure = p.filter((k % 10).isin(1, 2) & (k > 10)).select(k.alias("alias"), (k - k % 10).alias("target"))
+    return ingest.merged_rows(rows, closure, ["claim"], ["source"])
+
+
+@query("merged_strings", "SELECT p_partkey // 10 AS paper_id, min_by(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END, p_partkey) AS value FROM part GROUP BY 1, lower(p_type)")
+def merged_strings(spark, d):
+    """Lists of ten papers as one: the first spelling of each value."""
+    k = F.col("k")
+    items = _part(spark, d).select(F.floor(k / 10).alias("paper_id"), F.when(k % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type")).alias("value"), "k")
+    return maintain.merged_strings(items, ["k"]).select("paper_id", "value")

@@ -30,3 +30,31 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def changes_from_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a JSON-lines manifest of patches; malformed lines are left out."""
     return spark.read.schema("timestamp string, source string, description string, file string").option("mode", "DROPMALFORMED").json(path)
+
+
+def unpacked(spark: SparkSession, path: str, to: str) -> str:
+    """The folder ``to`` with the members of a zipped corpus, whose manifest must state this version.
+
+    Members are streamed from one file system to the other on the driver; they
+    are read with ``documents`` from there.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    source, folder = hadoop.fs.Path(path), hadoop.fs.Path(to)
+    fs = folder.getFileSystem(conf)
+    zipped = jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+    try:
+        while (entry := zipped.getNextEntry()) is not None:
+            name = entry.getName()
+            if entry.isDirectory() or name.startswith("/") or ".." in name.split("/"):
+                continue  # nothing is written outside the folder
+            out = fs.create(hadoop.fs.Path(folder, name))
+            hadoop.io.IOUtils.copyBytes(zipped, out, 1 << 16, False)
+            out.close()
+    finally:
+        zipped.close()
+    manifest = spark.read.text(f"{to}/manifest.json", wholetext=True).first()
+    found = json.loads(manifest.value).get("format_version") if manifest else None
+    if found != VERSION:
+        raise ValueError(f"unknown format version: {found}")
+    return to

@@ -205,3 +205,16 @@ def changed_files(listing: DataFrame, known: DataFrame) -> DataFrame:
     both = listing.select("path", "mtime", "size").join(known.select("path", F.col("mtime").alias("m"), F.col("size").alias("s")), "path", "full_outer")
     state = F.when(F.col("m").isNull(), "new").when(F.col("mtime").isNull(), "gone").when((F.col("m") != F.col("mtime")) | (F.col("s") != F.col("size")), "changed")
     return both.select("path", state.alias("state")).filter("state is not null")
+
+
+def build_state(listing: DataFrame) -> DataFrame:
+    """source, n, newest, size of the files that a build read (source, path, mtime, size), to be kept with what it wrote."""
+    return listing.groupBy("source").agg(F.count("*").alias("n"), F.max("mtime").alias("newest"), F.sum("size").alias("size"))
+
+
+def stale_sources(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """source: those that a build must read again, since a file is new, gone or changed in time or size."""
+    now = build_state(listing)
+    both = now.join(state.toDF("source", "_n", "_newest", "_size"), "source", "full_outer")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("newest").eqNullSafe(F.col("_newest")) & F.col("size").eqNullSafe(F.col("_size"))
+    return both.filter(~same).select("source")

@@ -94,3 +94,20 @@ def published(df: DataFrame, path: str) -> DataFrame:
     if not fs.rename(new, old):
         raise OSError(f"can't put the copy at {path}")
     return spark.read.schema(df.schema).parquet(path)
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """key, value: each row as a JSON object with its fields in order of name."""
+    return df.select(key, F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).alias("value"))
+
+
+def tracked(df: DataFrame, path: str, key: str, history: str, source: str, description: str) -> DataFrame:
+    """Replaces the table at ``path`` and appends what changed to ``history``; without an earlier table or a change there is nothing to append."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = cut(df)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        found = cut(changes(spark.read.parquet(path), new, key))
+        if not found.isEmpty():
+            record(spark, history, found, source, description)
+    return replace_table(new, path)

@@ -92,3 +92,41 @@ def test_archives(spark, tmp_path):
         archive.load(spark, str(tmp_path / "x"))
     (tmp_path / "m.jsonl").write_text('{"source": "s"}\nnot json\n')
     assert archive.changes_from_manifest(spark, str(tmp_path / "m.jsonl")).count() == 1
+
+
+def test_zipped_corpus(spark, tmp_path):
+    import zipfile
+
+    from citeloom.sources import documents
+
+    path = tmp_path / "corpus.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("manifest.json", json.dumps({"format_version": 1}))
+        z.writestr("db/papers.json", json.dumps({"papers": {"a": {"id": "a", "title": "T"}}}))
+        z.writestr("../out.json", "{}")
+    root = archive.unpacked(spark, f"file://{path}", f"file://{tmp_path}/unpacked")
+    at = documents.import_root(spark, root)
+    assert at.endswith("/unpacked/db") and [r.title for r in documents.load_papers(spark, f"{at}/papers.json").collect()] == ["T"]
+    assert not (tmp_path / "out.json").exists()
+    with pytest.raises(FileNotFoundError):
+        documents.import_root(spark, str(tmp_path / "nowhere"))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("manifest.json", json.dumps({"format_version": 9}))
+    with pytest.raises(ValueError, match="version"):
+        archive.unpacked(spark, f"file://{path}", f"file://{tmp_path}/again")
+
+
+def test_sections_come_from_chunks_first(spark):
+    from citeloom.sources import documents
+
+    part = lambda *h: json.dumps({"sections": [{"heading": x, "summary": ""} for x in h]})
+    rows = [("p", "{}"), ("p.sections", part("single")), ("p.sections.2", part("c")), ("p.sections.1", part("a", "b")), ("q.sections", part("only")), ("r", "{}"), ("p.sections.77", part("too far"))]
+    got = documents.sidecar_sections(spark.createDataFrame(rows, "file string, value string")).orderBy("paper_id", "chunk", "pos").collect()
+    assert [(r.paper_id, r.heading) for r in got] == [("p", "a"), ("p", "b"), ("p", "c"), ("q", "only")]
+
+
+def test_wrapped_text():
+    from citeloom.cli import wrap
+
+    assert wrap("one two three\nfour\n\nfive", 9, "  ") == "  one two\n  three\n  four\n\n  five"
+    assert wrap(None) == "" and max(map(len, wrap("word " * 100).split("\n"))) <= 80

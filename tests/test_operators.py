@@ -181,6 +181,42 @@ def test_classes(spark, signals, sim, length, cites, score, match, skip):
     assert (r.m, r.s) == (match, skip)
 
 
+def test_citations_that_no_index_finds(spark):
+    papers = [("p1", "carbon prices in european power markets", ["Doe, J."], "doe", None, None, "2001", "stub", None, refs(9), []), ("p2", "an unrelated text of something", ["Roe, K."], "roe", None, None, "1980", "stub", None, refs(5, 90), []), ("p3", "more", ["Poe, L.", "Moe, M."], "poe", "10.1/x", None, "1999", "stub", None, [], [])]
+    cited = [
+        (1, *papers[2][1:4], "10.1/x", *papers[2][5:]),  # by its DOI
+        (2, "carbon price in european power markets", [], None, None, None, None, None, None, [], []),  # by a title that is alike
+        (3, "", ["Moe, M.", "Poe, L."], None, None, None, None, None, None, [], []),  # by surnames
+        (4, "nothing", [], None, None, None, None, None, None, refs(5, 90), []),  # by references
+        (5, "nothing at all", [], None, None, None, None, None, None, [], []),
+    ]
+    got = resolve.candidates_of(spark.createDataFrame(cited, "ref int, " + PAPER.split(", ", 1)[1]), spark.createDataFrame(papers, PAPER))
+    assert ids(got, "ref", "paper_id") == [("1", "p3"), ("2", "p1"), ("3", "p3"), ("4", "p2")]
+
+
+def test_hubs_make_no_pairs(spark):
+    """A paper that cites everything proposes nothing for two common citers, and is counted."""
+    rows = [("hub", f"r{k}") for k in range(300)] + [("a", "r1"), ("a", "r2"), ("b", "r1"), ("b", "r3"), ("b", "r2")]
+    got = graph.shared_counts(edges(spark, rows), "cited_id", "citing_id", 2)
+    assert ids(got, "a", "b", "n") == [("r1", "r2", 3), ("r1", "r3", 2), ("r2", "r3", 2)]
+    three = graph.shared_counts(edges(spark, rows), "cited_id", "citing_id", 3)
+    assert ids(three, "a", "b", "n") == [("r1", "r2", 3)]
+
+
+def test_overlaps_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    lists = {f"p{k}": {f"r{int(rng.paretovariate(0.6)) % 40}" for _ in range(rng.randrange(1, 15))} for k in range(80)}
+    df = edges(spark, [(p, r) for p, refs_ in lists.items() for r in refs_])
+    for least in (0.3, 0.5, 1.0):
+        expected = [(a, b, len(lists[a] & lists[b])) for a in lists for b in lists if a < b and len(lists[a] & lists[b]) / len(lists[a] | lists[b]) >= least]
+        assert ids(graph.reference_overlap(df, least), "id_a", "id_b", "shared") == sorted(expected)
+    for least in (1, 2, 4):
+        expected = [(a, b, len(lists[a] & lists[b])) for a in lists for b in lists if a < b and len(lists[a] & lists[b]) >= least]
+        assert ids(graph.shared_counts(df, "citing_id", "cited_id", least), "a", "b", "n") == sorted(expected)
+
+
 def test_canonical_paper(spark):
     rows = [("o", "owned", None), ("e", "external_owned", "d"), ("s1", "stub", None), ("s2", "stub", "d"), ("s0", "stub", None)]
     p = spark.createDataFrame([(i, "t", [], None, d, None, None, k, None, [], []) for i, k, d in rows], PAPER)
