@@ -20,10 +20,14 @@ BATCH = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, gone when the session ends.
 
-    ``spark.checkpoint.dir`` names the parent; only where it is unset, as in
-    tests, a folder of this machine is used.
+    ``spark.checkpoint.dir`` names the parent; only a session on one machine, as
+    in tests, may leave it unset.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir isn't set")
+        base = "/tmp/checkpoints"
     path = f"{base.rstrip('/')}/citeloom-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -173,6 +173,30 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_more_fingerprints_than_the_tree_has_shards_for(table, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), None, None, None) for k in range(500)]
+    full = {r.doc_id: r.component_id for r in S.near_groups(table(rows, DOCS), radius=6, shard_size=500).collect()}
+    monkeypatch.setattr(S, "MAX_SHARDS", 3)
+    assert {r.doc_id: r.component_id for r in S.near_groups(table(rows, DOCS), radius=6, shard_size=4).collect()} == full
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from citeloom.llm import common
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)  # noqa: N815
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
 def test_empty_table(table):
     assert S.near_groups(table([], DOCS)).count() == 0
     assert S.near_groups(table([], DOCS), anchors=3).count() == 0
