@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import WORD, written
@@ -77,14 +77,13 @@ def solve(counts: DataFrame, sources: DataFrame, most: float, n: int) -> DataFra
     missed after ROUNDS.
     """
     none = F.lit(None).cast("double")
-    now = written(sources.select("source", "target", "scale", "full", F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"), "done"))
+    now = written(sources.select("source", "target", "scale", "full", F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"), "done", none.alias("off")))
     x, rate = F.col("size") / F.col("scale"), F.col("r")
     words = F.col("n") * F.col("size") * rate
     miss, lam = F.col("g") - F.col("target"), F.col("lam")
     wide = 1 + 2 * F.abs(lam)
-    for _ in range(ROUNDS):
-        if now.filter("not done").isEmpty():
-            return now.select("source", F.round("lam", 9).alias("lam"))  # sums in another order give the same
+    left, seen = n, None
+    for _ in range(ROUNDS if n else 0):
         tilted = _on_source(counts, now.filter("not done").select("source", "lam", "scale", "full"), n).withColumn("r", _rate(most))
         got = tilted.groupBy(F.col("source").alias("of")).agg(F.sum(words).alias("g"), F.coalesce(F.sum(F.when(rate < most, words * x)), F.lit(0.0)).alias("h"))
         met = now.join(F.broadcast(got) if n <= BROADCAST else got, F.col("source").eqNullSafe(F.col("of")), "left")
@@ -92,11 +91,15 @@ def solve(counts: DataFrame, sources: DataFrame, most: float, n: int) -> DataFra
         met = met.withColumns({"lo": F.when(~F.col("done") & (miss <= 0), lam).otherwise(F.col("lo")), "hi": F.when(~F.col("done") & (miss > 0), lam).otherwise(F.col("hi")), "step": F.when(F.col("h") > 0, lam - miss / F.col("h"))})
         inside = F.coalesce((F.col("lo").isNull() | (F.col("lo") < F.col("step"))) & (F.col("hi").isNull() | (F.col("step") < F.col("hi"))), F.lit(False))
         middle = (F.coalesce("lo", F.col("hi") - wide) + F.coalesce("hi", F.col("lo") + wide)) / 2
-        now = written(met.withColumn("lam", F.when(F.col("done"), lam).when(inside, F.col("step")).otherwise(middle)).select(now.columns))
-    worst = met.filter("not done").agg(F.count("*").alias("n"), F.max(F.abs(miss) / F.col("target")).alias("miss")).first()
-    if worst.n:
-        raise RuntimeError(f"{worst.n} sources miss their targets by up to {worst.miss:.2g} after {ROUNDS} rounds")
-    return now.select("source", F.round("lam", 9).alias("lam"))
+        moved = met.withColumns({"lam": F.when(F.col("done"), lam).when(inside, F.col("step")).otherwise(middle), "off": F.when(~F.col("done"), F.abs(miss) / F.col("target"))})
+        seen = Observation()
+        now = written(moved.select(now.columns).observe(seen, F.count(F.when(~F.col("done"), 1)).alias("left"), F.max("off").alias("worst")))
+        left = seen.get["left"]
+        if not left:
+            return now.select("source", F.round("lam", 9).alias("lam"))  # sums in another order give the same
+    if left:
+        raise RuntimeError(f"{left} sources miss their targets by up to {seen.get['worst']:.2g} after {ROUNDS} rounds")
+    return now.select("source", "lam")
 
 
 @dataclass
