@@ -193,7 +193,7 @@ def _search(good: DataFrame, is_query, k: int, spread: float, width: int, eta: f
             for i, score in enumerate(near):
                 at = _best(score, k + 1, spread * np.sqrt(2) * error * np.sqrt((qx[i] ** 2).sum()))
                 at = at[(ids[at] != qids[i]) | (x[at] != qx[i]).any(axis=1)]
-                exact = np.sqrt(((x[at] - qx[i]) ** 2).sum(axis=1))
+                exact = np.sqrt(np.cumsum((x[at] - qx[i]) ** 2, axis=1)[:, -1])  # summed in the order of the components
                 first = np.lexsort((ids[at], exact))[:k]
                 found.append((np.full(len(first), qids[i]), np.full(len(first), marks[i]), ids[at][first], exact[first]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "mark", "vec_id", "score"])

@@ -16,7 +16,7 @@ def brute(rows, queries, k):
     out = {}
     for q, x in good:
         if q in queries:
-            near = sorted((float(np.sqrt(((v - x) ** 2).sum())), i) for i, v in good if i != q)[:k]
+            near = sorted((float(np.sqrt(np.cumsum((v - x) ** 2)[-1])), i) for i, v in good if i != q)[:k]
             out[q] = near
     return out
 
