@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm import simhash_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,7 +41,7 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup(_table(spark, d, "documents"))
 
 
-@query("op7_simhash_near_dedup")
+@query("op7_simhash_near_dedup", simhash_sql.groups())
 def op7_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     from citeloom.llm.simhash import near_groups
 
