@@ -159,7 +159,7 @@ def dense_parts(members: DataFrame, scored: DataFrame, threshold: float, max_siz
     """
     import pandas as pd
 
-    inside = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a").select("group", "id_a", "id_b", "score").filter(F.col("score") >= threshold)
+    inside = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a").join(members.withColumnRenamed("paper_id", "id_b"), ["id_b", "group"]).select("group", "id_a", "id_b", "score").filter(F.col("score") >= threshold)
     kind = members.schema["paper_id"].dataType.simpleString()
     group_kind = members.schema["group"].dataType.simpleString()
 

@@ -129,7 +129,17 @@ def confident_groups(spark, d):
     return resolve.confidence(found, members).select("group", "best", "size", "confidence")
 
 
-@query("dense_parts")
+# The greedy choice as a recursion: each step takes the best pair left, then ids in order while all their pairs hold.
+@query(
+    "dense_parts",
+    GROUPS + """, inside AS (SELECT m.grp, c.id_a AS a, c.id_b AS b, c.score FROM classed c JOIN members m ON m.paper_id = c.id_a JOIN members o ON o.paper_id = c.id_b AND o.grp = m.grp WHERE c.score >= 1.0),
+whole AS (SELECT grp, list({'a': a, 'b': b} ORDER BY score DESC, a, b) AS pairs, list(CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR)) AS keys, list_sort(list_distinct(list_concat(list(a), list(b)))) AS every FROM inside GROUP BY 1),
+cut AS (SELECT grp, -1 AS part, CAST([] AS BIGINT[]) AS chosen, every AS free FROM whole
+UNION ALL SELECT grp, part + 1, chosen, list_filter(free, lambda x: NOT list_contains(chosen, x)) FROM (SELECT c.grp, part, free, list_reduce([[first.a, first.b]] || list_transform(list_filter(free, lambda x: x <> first.a AND x <> first.b), lambda x: [x]),
+    lambda held, x: CASE WHEN len(held) < 5 AND len(list_filter(held, lambda m: NOT list_contains(keys, CAST(least(m, x[1]) AS VARCHAR) || '-' || CAST(greatest(m, x[1]) AS VARCHAR)))) = 0 THEN list_concat(held, x) ELSE held END) AS chosen
+  FROM (SELECT c.grp, part, free, keys, list_filter(pairs, lambda p: list_contains(free, p.a) AND list_contains(free, p.b))[1] AS first FROM cut c JOIN whole w ON w.grp = c.grp) c WHERE first IS NOT NULL))
+SELECT grp AS "group", CAST(part AS INTEGER) AS part, unnest(chosen) AS paper_id FROM cut WHERE part >= 0""",
+)
 def dense_parts(spark, d):
     found, members, _ = _grouped(spark, d)
     return resolve.dense_parts(members, found, 1.0, 5)

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.sources.documents import EXTRACTION, SIDECAR
+from citeloom.sources.documents import extractions
 
 
 def extraction_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """paper_id and parsed extraction of each file as it appears."""
+    """paper_id and parsed extraction of each file as it appears; sidecars and files that can't be read are left out."""
     files = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.json$", 1).alias("file"), "value").filter(~F.col("file").rlike(SIDECAR))
-    return named.select(F.col("file").alias("paper_id"), F.from_json("value", EXTRACTION).alias("x")).filter("x is not null").select("paper_id", "x.*")
+    return extractions(files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.json$", 1).alias("file"), "value"))
+
+
+def table_stream(spark: SparkSession, like: DataFrame, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The rows of the Parquet files at a path or pattern as they appear; like: a table of their columns."""
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def take_up(stream: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None]) -> None:
@@ -31,6 +35,17 @@ def into_parquet(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return put
 
 
+def settled(counts: DataFrame, checkpoint: str, path: str) -> DataFrame:
+    """What an aggregated stream comes to when it has caught up: each batch replaces the table at the path."""
+    kept = counts.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return counts.sparkSession.read.schema(kept).parquet(path)
+
+
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type, complete after the lateness allowed; batch or stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
