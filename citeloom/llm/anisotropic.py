@@ -28,8 +28,8 @@ from citeloom.llm.common import mapped, part_files, safe, written
 from citeloom.llm.files import reader
 
 CENTRES, SAMPLE, SWEEPS, LEAST_ROWS = 16, 16_384, 8, 2048
-#: Vectors of so many different lengths are searched, each among its own.
-LENGTHS = 32
+#: Vectors of so many different lengths are searched, each among its own; a block's vectors in double precision, and a slice's scores.
+LENGTHS, BLOCK_BYTES, SCORES = 32, 64 << 20, 4 << 20
 
 
 class Codebook:
@@ -141,7 +141,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.dropDuplicates(["vec_id", "embedding"]).withColumn("mark", F.xxhash64("embedding"))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width: int = 2, eta: float = 4.0, block_rows: int = 32_768, block_queries: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width: int = 2, eta: float = 4.0, block_rows: int | None = None, block_queries: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, mark: the k nearest found for each row for which ``is_query`` holds, never the row itself.
 
     score is the Euclidean distance; equal distances rank the smaller id first.
@@ -155,6 +155,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
     over LENGTHS lengths is refused.  An empty table gives no rows; other
     columns are ignored.
 
+    A task holds a block of rows, by default of BLOCK_BYTES, so that longer
+    vectors make smaller blocks, and a slice of queries of SCORES scores.
     In each block of rows all candidates are measured exactly whose approximate
     score is below the k-th best by no more than ``spread`` standard deviations
     of the difference that coding makes, so a dense cluster of near copies is
@@ -170,13 +172,15 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
     return reduce(DataFrame.unionByName, found)
 
 
-def _search(good: DataFrame, is_query, k: int, spread: float, width: int, eta: float, block_rows: int, block_queries: int) -> DataFrame:
+def _search(good: DataFrame, is_query, k: int, spread: float, width: int, eta: float, block_rows: int | None, block_queries: int | None) -> DataFrame:
     """The search among usable vectors of one length."""
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = written(good.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
     total = indexed.count()
     sample = indexed.select("embedding").orderBy(F.xxhash64("vec_id", "mark")).limit(SAMPLE).toPandas()["embedding"]  # bounded
     book = Codebook(np.stack(sample.to_list()), width, eta) if len(sample) else None
+    block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * (book.dims if book else 1)))
+    block_queries = block_queries or max(1, min(128, SCORES // block_rows))
     asked = part_files(written(good.filter(is_query)))
     tasks = max(-(-total // block_rows), min(good.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
 
