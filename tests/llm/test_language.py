@@ -1,5 +1,6 @@
 import math
 import os
+import random
 import zlib
 
 import pyarrow as pa
@@ -62,6 +63,16 @@ def test_fit_without_labels(table):
     assert L.fit(table([(1, "text", None, None, None), (2, None, "en", None, None)], DOCS)).langs == []
 
 
+def test_many_languages(table):
+    rng = random.Random(7)
+    made = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèñ") for _ in range(rng.randrange(3, 8))) for _ in range(40)] for k in range(60)}
+    text = lambda lang: " ".join(rng.choice(made[lang]) for _ in range(60))
+    model = L.train({lang: [text(lang) for _ in range(5)] for lang in made})
+    rows = [(k, text(lang), lang, None, None) for k, lang in enumerate([*made] * 3)]
+    got = {r.doc_id: r.lang_pred for r in L.identify(table(rows, DOCS), model).collect()}
+    assert [got[k] for k, *_ in rows] == [lang for _, _, lang, *_ in rows]
+
+
 def test_sample_of_whole_texts(table, monkeypatch):
     rows = [(k, f"text {k} " * 2000, "ab"[k % 2], None, None) for k in range(400)]
     got = L.sample(table(rows, DOCS), 50).collect()
