@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import simhash_sql
@@ -147,3 +147,28 @@ def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
     whole = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), tokens.alias("attachment_tokens"))
+
+
+@query(
+    "chat_typed_parts",
+    r"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN page_id % 5 = 0 THEN 85 ELSE 85 * (page_id % 5) END AS image FROM pages)
+SELECT page_id AS conv_id, '<turn user>' || regexp_replace(replace(url, '\', '\b'), '<(/?turn|image|audio|document)', '\\l\1', 'g') || '<image 0><document 1></turn>' || chr(10) || '<turn assistant><audio 2>ok \limage 0></turn>' || chr(10) AS formatted,
+  '0:image:' || url || ':' || CAST(image AS VARCHAR) || ' 1:document:' || url || ':600 2:audio:' || url || ':38' AS attachments, CAST(image + 638 AS BIGINT) AS attachment_tokens, '<audio 2>ok <image 0>' AS loss FROM p""",
+)
+def chat_typed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The visitor over text, image, document and audio parts: a conversation about each page."""
+    from citeloom.llm import chat_format as C
+
+    url = F.coalesce("url", F.lit(""))
+
+    def part(kind: str, text: Column | None = None, ref: Column | None = None, units: Column | None = None) -> Column:
+        given = lambda c, name, to: (F.lit(None) if c is None else c).cast(to).alias(name)
+        return F.struct(F.lit(kind).alias("kind"), given(text, "text", "string"), given(ref, "ref", "string"), given(units, "units", "double"))
+
+    user = F.array(part("text", url), part("image", ref=url, units=F.col("page_id") % 5), part("document", ref=url))
+    answer = F.array(part("audio", ref=url, units=F.lit(1.5)), part("text", F.lit("ok <image 0>")))
+    pages = _table(spark, d, "pages")
+    turns = pages.select(F.col("page_id").alias("conv_id"), F.posexplode(F.array(F.struct(F.lit("user").alias("role"), user.alias("parts")), F.struct(F.lit("assistant").alias("role"), answer.alias("parts")))).alias("turn", "t")).select("conv_id", "turn", "t.role", "t.parts")
+    chats = C.format_chats(turns)
+    shown = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["number"].cast("string"), a["kind"], a["ref"], a["tokens"].cast("string"))), " ")
+    return chats.select("conv_id", "formatted", shown.alias("attachments"), F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss"))
