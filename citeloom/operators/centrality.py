@@ -1,7 +1,8 @@
 """PageRank and Katz centrality by power iteration.
 
-Edges and weights are written once, partitioned for the join; each iteration is
-one join and one aggregation, written to cut lineage.  Iteration stops at
+Edges and weights are written once, dealt by the citing paper and kept so in
+the executors while the iterations last, so that an iteration moves scores, not
+edges; it is one join and one aggregation, written to cut lineage.  Iteration stops at
 ``tol`` on the mean absolute change or, if ``stable_top_k`` is given, when the
 set of that many best papers hasn't changed twice in a row.
 """
@@ -17,6 +18,28 @@ from citeloom.operators.graph import orientation
 from citeloom.sources.store import cut
 
 
+class _Edges:
+    """Edges kept in the executors by citing paper while iterations last; what a lost executor held is read anew.
+
+    A hub, with more edges than half a partition's share, is cut into pieces,
+    and its score goes to each.  There are fewer hubs than twice the partitions.
+    """
+
+    def __init__(self, edges: DataFrame):
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        written = cut(edges)
+        share = max(1.0, written.count() / (2 * parts))
+        self.hubs = cut(written.groupBy("citing_id").agg(F.ceil(F.count("*") / share).cast("int").alias("pieces")).filter("pieces > 1"))
+        piece = F.pmod(F.xxhash64("cited_id"), F.coalesce("pieces", F.lit(1))).cast("int")
+        self.rows = written.join(F.broadcast(self.hubs), "citing_id", "left").withColumn("piece", piece).drop("pieces").repartition(parts, "citing_id", "piece").persist()
+
+    def with_scores(self, scores: DataFrame) -> DataFrame:
+        """The edges with ``old``, the score of the citing paper; only scores are shuffled."""
+        s = scores.select(F.col("paper_id").alias("citing_id"), F.col("score").alias("old")).join(F.broadcast(self.hubs), "citing_id", "left")
+        s = s.select("citing_id", "old", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+        return self.rows.join(s, ["citing_id", "piece"])
+
+
 def _iterate(scores: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, max_iter: int, tol: float, stable_top_k: int | None) -> DataFrame:
     best, stable = None, 0
     for _ in range(max_iter):
@@ -42,24 +65,28 @@ def pagerank(papers: DataFrame, edges: DataFrame, kind: str = "directed", seeds:
     """
     e = orientation(edges, kind)
     out = e.groupBy("citing_id").agg((1.0 / F.count("*")).alias("w"))
-    weighted = cut(e.join(out, "citing_id"))
+    weighted = _Edges(e.join(out, "citing_id"))
     share = F.lit(1.0) if not seeds else F.when(F.col("paper_id").isin(sorted(set(seeds))), 1.0 / len(set(seeds))).otherwise(0.0)
     nodes = papers.select("paper_id").distinct().join(out.select(F.col("citing_id").alias("paper_id"), F.lit(True).alias("cites")), "paper_id", "left")
     nodes = cut(nodes.select("paper_id", F.coalesce("cites", F.lit(False)).alias("cites"), share.alias("p")))
     n = nodes.count()
     if not n:
+        weighted.rows.unpersist()
         return nodes.select("paper_id", F.col("p").alias("score"))
     if not seeds:
         nodes = nodes.withColumn("p", F.lit(1.0 / n))
 
     def step(scores: DataFrame) -> DataFrame:
         s = scores.withColumnRenamed("score", "old")
-        got = weighted.join(s.withColumnRenamed("paper_id", "citing_id"), "citing_id").groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum(F.col("old") * F.col("w")).alias("got"))
+        got = weighted.with_scores(scores).groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum(F.col("old") * F.col("w")).alias("got"))
         dangling = nodes.filter("not cites").join(s, "paper_id").agg(F.coalesce(F.sum("old"), F.lit(0.0)).alias("dangling"))
         new = (F.col("dangling") + 1.0 - damping) * F.col("p") + damping * F.coalesce("got", F.lit(0.0))
         return nodes.join(got, "paper_id", "left").join(F.broadcast(dangling)).select("paper_id", new.alias("score"))  # one row
 
-    return _iterate(nodes.select("paper_id", F.col("p").alias("score")), step, n, max_iter, tol, stable_top_k)
+    try:
+        return _iterate(nodes.select("paper_id", F.col("p").alias("score")), step, n, max_iter, tol, stable_top_k)
+    finally:
+        weighted.rows.unpersist()
 
 
 def katz(papers: DataFrame, edges: DataFrame, kind: str = "directed", seeds: list | None = None, alpha: float | None = None, beta: float = 1.0, max_iter: int = 100, tol: float = 1e-6, stable_top_k: int | None = None) -> DataFrame:
@@ -68,18 +95,21 @@ def katz(papers: DataFrame, edges: DataFrame, kind: str = "directed", seeds: lis
     Without alpha, or with one that may diverge, it is half the inverse of the
     largest in-degree.  With seeds beta is 1 on them and 0 elsewhere.
     """
-    e = cut(orientation(edges, kind))
-    largest = max(1, e.groupBy("cited_id").count().agg(F.max("count")).first()[0] or 1)
+    e = _Edges(orientation(edges, kind))
+    largest = max(1, e.rows.groupBy("cited_id").count().agg(F.max("count")).first()[0] or 1)
     if alpha is None or alpha >= 1.0 / largest:
         alpha = 0.5 / largest
     base = F.lit(float(beta)) if not seeds else F.col("paper_id").isin(sorted(set(seeds))).cast("double")
     nodes = cut(papers.select("paper_id").distinct().select("paper_id", base.alias("score")))
 
     def step(scores: DataFrame) -> DataFrame:
-        got = e.join(scores.withColumnRenamed("paper_id", "citing_id"), "citing_id").groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum("score").alias("got"))
+        got = e.with_scores(scores).groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum("old").alias("got"))
         return nodes.join(got, "paper_id", "left").select("paper_id", (F.col("score") + alpha * F.coalesce("got", F.lit(0.0))).alias("score"))
 
-    return _iterate(nodes, step, max(1, nodes.count()), max_iter, tol, stable_top_k)
+    try:
+        return _iterate(nodes, step, max(1, nodes.count()), max_iter, tol, stable_top_k)
+    finally:
+        e.rows.unpersist()
 
 
 def ranked(scores: DataFrame, papers: DataFrame, limit: int = 15, types: list[str] | None = None) -> DataFrame:

@@ -217,6 +217,26 @@ def test_overlaps_equal_brute_force(spark):
         assert ids(graph.shared_counts(df, "citing_id", "cited_id", least), "a", "b", "n") == sorted(expected)
 
 
+def test_hubs_are_cut_for_centrality(spark):
+    rows = [("hub", f"r{k}") for k in range(200)] + [(f"r{k}", f"r{(k * 7 + 1) % 200}") for k in range(200)] + [(f"r{k}", "hub") for k in range(0, 200, 3)]
+    kept = centrality._Edges(edges(spark, rows))
+    assert {r.citing_id for r in kept.hubs.collect()} == {"hub"} and kept.rows.count() == len(rows)
+    assert kept.rows.filter("citing_id = 'hub'").select("piece").distinct().count() > 1
+    papers = nodes(spark, ["hub", *(f"r{k}" for k in range(200))])
+    got = {r.paper_id: r.score for r in centrality.pagerank(papers, edges(spark, rows), tol=0, max_iter=4).collect()}
+    out = {}
+    for a, b in rows:
+        out.setdefault(a, []).append(b)
+    score = dict.fromkeys(got, 1 / 201)
+    for _ in range(4):
+        new = dict.fromkeys(got, 0.15 / 201)
+        for a, bs in out.items():
+            for b in bs:
+                new[b] += 0.85 * score[a] / len(bs)
+        score = new
+    assert all(got[p] == pytest.approx(score[p]) for p in got)
+
+
 def test_canonical_paper(spark):
     rows = [("o", "owned", None), ("e", "external_owned", "d"), ("s1", "stub", None), ("s2", "stub", "d"), ("s0", "stub", None)]
     p = spark.createDataFrame([(i, "t", [], None, d, None, None, k, None, [], []) for i, k, d in rows], PAPER)
