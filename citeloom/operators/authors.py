@@ -35,7 +35,7 @@ def person_groups(paper_names: DataFrame, papers: DataFrame | None = None) -> Da
     then the greatest text; the id is the longest candidate, numbered where
     several groups would share it.
     """
-    p = parsed(paper_names).filter("key is not null")
+    p = cut(parsed(paper_names).filter("key is not null"))  # read for the keys and for the groups
     p = p.join(merged_keys(p), "key")
     if papers is not None:
         p = p.join(papers.select("paper_id", owned(F.col("type")).alias("owned")), "paper_id", "left")

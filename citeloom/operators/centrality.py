@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citeloom.operators.graph import orientation
@@ -27,8 +27,9 @@ class _Edges:
 
     def __init__(self, edges: DataFrame):
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        written = cut(edges)
-        share = max(1.0, written.count() / (2 * parts))
+        seen = Observation()
+        written = cut(edges.observe(seen, F.count("*").alias("n")))
+        share = max(1.0, seen.get["n"] / (2 * parts))
         self.hubs = cut(written.groupBy("citing_id").agg(F.ceil(F.count("*") / share).cast("int").alias("pieces")).filter("pieces > 1"))
         piece = F.pmod(F.xxhash64("cited_id"), F.coalesce("pieces", F.lit(1))).cast("int")
         self.rows = written.join(F.broadcast(self.hubs), "citing_id", "left").withColumn("piece", piece).drop("pieces").repartition(parts, "citing_id", "piece").persist()
