@@ -19,19 +19,20 @@ smallest shingles under two hash orders, and similar texts share one of several
 almost surely.  Texts that share an anchor are compared by their fingerprints,
 here of distinct shingles; those near enough form candidate components, of
 which each text is in one.  So its set of shingles moves once, and within a
-component a link is a Jaccard similarity that was counted.  Large groups are
-dealt to tasks by pairs of parts, so that every two of their texts meet.
+component a link is a Jaccard similarity that was counted.  Of large components
+most texts are connected through a few in their middle, and only the others
+meet all.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm import bytespans as B
@@ -44,6 +45,8 @@ VOTES, BLOCK = 100_000, 192
 MAX_SHARDS, SAMPLE = 1 << 16, 16
 #: Shingles in an anchor; texts of a group that are compared in one piece, and shingles of theirs.
 ANCHOR, BUCKET, HELD = 2, 1000, 2_000_000
+#: Texts of a large component's sample, and those of its middle that all others meet.
+SAMPLED, MIDDLES = 64, 4
 #: Texts of so many shingles have fingerprints whose distances scatter as those of independent bits.
 LONG = 64
 
@@ -380,13 +383,14 @@ def _shared(x: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray
     return out
 
 
-def _link_sets(points: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray, radius: int, wide: int, least: float, forest: _Forest, at: np.ndarray) -> None:
-    """Unites all texts at ``at`` whose sets have a Jaccard similarity of ``least``.
+def _link_sets(points: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np.ndarray, radius: int, wide: int, least: float, forest: _Forest, at: np.ndarray, core: np.ndarray) -> None:
+    """Unites all texts at ``at`` whose sets have a Jaccard similarity of ``least``; with texts of a core among them, only these with the others.
 
     Each text in turn meets all later ones that aren't yet connected with it.
     Those in the middle, by the majority of the fingerprints' bits, come first:
     in a group of copies of one text they connect nearly all.
     """
+    mixed = core[at].any()
     bits = np.unpackbits(points[at].view(np.uint8).reshape(len(at), -1), axis=1)
     middle = np.packbits(bits.sum(axis=0) * 2 > len(at)).view(np.uint64)
     at = at[np.argsort(_distance(points[at], middle), kind="stable")]
@@ -398,6 +402,7 @@ def _link_sets(points: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np
             if (root == root[0]).all():
                 return
             continue
+        later = later[core[later] != core[x]] if mixed else later
         later = later[np.minimum(size[x], size[later]) >= least * np.maximum(size[x], size[later]) * (1 - 1e-9)]
         later = later[_within(_distance(points[later], points[x]), size[later], size[x], radius, wide)]
         both = _shared(flat[start[x] : start[x] + size[x]], flat, start[later], size[later])
@@ -406,7 +411,7 @@ def _link_sets(points: np.ndarray, size: np.ndarray, start: np.ndarray, flat: np
 
 
 def _counted_links(lanes: int, radius: int, wide: int, least: float):
-    """A spanning forest of the links within each candidate component and pair of parts."""
+    """A spanning forest of the links within each group of (root, pair); rows with one label are connected already."""
     key = ["root", "pair"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,20 +423,40 @@ def _counted_links(lanes: int, radius: int, wide: int, least: float):
                 group, node, points, size = _arrays(rows, key, lanes)
             flat = np.concatenate([_elements(c) for c in rows["shingles"].chunks])
             start, forest = np.cumsum(size) - size, _Forest(len(node))
+            label, core = rows["label"].to_numpy(), rows["core"].to_numpy()
             bounds = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True])
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                _link_sets(points, size, start, flat, radius, wide, least, forest, np.arange(lo, hi))
+                order = lo + np.argsort(label[lo:hi], kind="stable")
+                same = np.flatnonzero(label[order[1:]] == label[order[:-1]])
+                forest.unite(order[same], order[same + 1])
+                _link_sets(points, size, start, flat, radius, wide, least, forest, np.arange(lo, hi), core)
             yield _links(node, forest)
 
     return run
 
 
-def _in_pairs(rows: DataFrame, key: str, parts: Column, by: Column) -> DataFrame:
+def _middles(lanes: int):
+    """The nodes of a bounded sample of a group that are nearest to all others of it."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        points = part[[f"fp{k}" for k in range(lanes)]].to_numpy(np.int64).view(np.uint64)
+        far = np.array([_distance(points, p).sum() for p in points])
+        return part.iloc[np.lexsort((part["node"].to_numpy(), far))[:MIDDLES]][["root", "node"]]
+
+    return run
+
+
+def _in_pairs(rows: DataFrame, key: str, parts: Column) -> DataFrame:
     """Rows of a group of several parts as often as there are parts, with the pair of parts in which they meet the others."""
-    dealt = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(by, F.col("parts")).cast("int"))
+    dealt = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")
-    return dealt.withColumn("pair", pair).drop("parts", "own", "other").repartition(key, "pair").sortWithinPartitions(key, "pair", "node")
+    return dealt.withColumn("pair", pair).drop("parts", "own", "other")
+
+
+def _together(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by group and pair, each in one task, in order."""
+    return rows.repartition(key, "pair").sortWithinPartitions(key, "pair", "node")
 
 
 def _parts(n: Column) -> Column:
@@ -443,20 +468,62 @@ def anchored_links(texts: DataFrame, nodes: DataFrame, words: int, radius: int,
     """Links (src, dst) that connect all nodes that share an anchor, differ in at most ``radius`` bits (``wide`` if one has under LONG shingles), and have a Jaccard similarity of ``least``.
 
     texts: (node, text), of which those in a candidate component are read.  In a
-    group of many texts, by an anchor or by a component, each two parts meet.
+    group of many texts that share an anchor each two parts meet.
     """
     cols = [f"fp{k}" for k in range(lanes)]
     slots = nodes.select(F.explode(F.array_distinct("anchors")).alias("anchor"), "node", "n_shingles", *cols)
     shared = written(slots.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = _in_pairs(slots.join(shared, "anchor"), "anchor", _parts(F.col("n")), F.xxhash64("node")).select("anchor", "pair", "node", "n_shingles", *cols)
+    met = _together(_in_pairs(slots.join(shared, "anchor"), "anchor", _parts(F.col("n"))), "anchor").select("anchor", "pair", "node", "n_shingles", *cols)
     near = components(mapped(met, _candidate_links(lanes, radius, wide, least), "src long, dst long"))
     near = written(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))
-    sizes = near.join(nodes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
-    parts = F.greatest(_parts(F.col("n")), F.ceil(2 * F.col("held") / HELD) * (F.col("held") > HELD).cast("int"))
-    known = near.join(written(sizes.select("root", parts.cast("int").alias("of"))), "root").join(nodes.select("node", "digest", "n_shingles", *cols), "node")
-    sets = mapped(texts.join(written(known), "node").select("root", "of", "node", "digest", "n_shingles", *cols, "text"), _set_batches(words), "root long, of int, node long, digest long, n_shingles long, " + "".join(f"{c} long, " for c in cols) + "shingles binary")
-    sets = _in_pairs(sets, "root", F.col("of"), F.xxhash64("node"))
-    return mapped(sets.select("root", "pair", "node", "n_shingles", *cols, "shingles"), _counted_links(lanes, radius, wide, least), "src long, dst long")
+    sizes = written(near.join(nodes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held")))
+    known = near.join(sizes, "root").join(nodes.select("node", "digest", "n_shingles", *cols), "node")
+    sets = mapped(texts.join(written(known), "node").select("root", "n", "held", "node", "digest", "n_shingles", *cols, "text"), _set_batches(words), "root long, n long, held long, node long, digest long, n_shingles long, " + "".join(f"{c} long, " for c in cols) + "shingles binary")
+    sets = written(sets.drop("digest"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return mapped(_together(rows, "root").select("root", "pair", "node", "label", "core", "n_shingles", *cols, "shingles"), _counted_links(lanes, radius, wide, least), "src long, dst long")
+
+    plain = sets.withColumns({"label": F.col("node"), "core": F.lit(False)})
+    few = (F.col("n") <= BUCKET) & (F.col("held") <= HELD)
+    links = counted(plain.filter(few).withColumn("pair", F.lit(0).cast("long")))
+    return links if sizes.filter(~few).isEmpty() else links.unionByName(_links_of_many(plain.filter(~few), counted, cols))
+
+
+def _links_of_many(rows: DataFrame, counted: Callable[[DataFrame], DataFrame], cols: list[str]) -> DataFrame:
+    """Links of large components, which copies of one text make for the most part.
+
+    First each is dealt in pieces, of which each text is in one, with the texts
+    in the middle of a sample in all of them: that connects nearly all copies.
+    Then all others meet those connected, in blocks, and each other, by pairs
+    of parts.  So the sets move once or twice, and again only for each part of
+    those that the first step leaves over.
+    """
+    lanes, hash_ = len(cols), F.xxhash64("node")
+    chosen = rows.select("root", "node", *cols).withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy(hash_, "node"))).filter(F.col("_r") <= SAMPLED).drop("_r")
+    kinds = "root long, node long"
+    middles = written(chosen.groupBy("root").applyInPandas(_middles(lanes), kinds))
+    pieces = F.ceil(F.greatest(F.col("n") / BUCKET, 2 * F.col("held") / HELD))
+    own = rows.withColumn("pair", F.pmod(hash_, pieces))
+    everywhere = rows.join(middles, ["root", "node"]).withColumn("pair", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    first = written(counted(own.unionByName(everywhere)))
+    joined = components(first).withColumnRenamed("root", "_to")
+    labels = written(rows.select("root", "node", "n", "held").join(joined, "node", "left").select("root", "node", "n", "held", F.coalesce("_to", "node").alias("label")))
+    clusters = labels.groupBy("root", "label").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.first("held").alias("held"))
+    most = clusters.groupBy("root").agg(F.max(F.struct("size", "label")).alias("m"), F.first("n").alias("n"), F.first("held").alias("held")).filter("m.size < n")
+    rest = F.col("n") - F.col("m.size")
+    parts = F.greatest(_parts(rest), F.ceil(2 * F.col("held") * rest / F.col("n") / HELD))
+    blocks = F.ceil(F.greatest(F.col("m.size") / BUCKET, 2 * F.col("held") / HELD))
+    most = written(most.select("root", F.col("m.label").alias("main"), parts.cast("long").alias("parts"), blocks.cast("long").alias("blocks")))
+    dealt = rows.drop("label", "core").join(labels.select("node", "label"), "node").join(most, "root").withColumn("core", F.col("label") == F.col("main"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block, part = F.pmod(hash_, F.col("blocks")), F.pmod(hash_, F.col("parts"))
+    of_core = F.transform(upto("parts"), lambda j: block * F.col("parts") + j)
+    of_rest = F.transform(upto("blocks"), lambda i: i * F.col("parts") + part)
+    among = F.transform(upto("parts"), lambda j: (F.col("blocks") + F.least(part, j)) * F.col("parts") + F.greatest(part, j))
+    pair = F.when(F.col("core"), of_core).otherwise(F.concat(of_rest, among))
+    second = counted(dealt.withColumn("pair", F.explode(pair)).drop("main", "parts", "blocks"))
+    return first.unionByName(second)
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, anchors: int = 0, shard_size: int = 3000, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, wide: int | None = None) -> DataFrame:

@@ -166,6 +166,39 @@ def test_near_stage_links_what_is_similar_and_nothing_else(spark, monkeypatch, b
     assert sorted(r.doc_id for r in kept) == sorted({int(x) for x in expected})
 
 
+def test_large_components_of_copies_and_others(spark, monkeypatch):
+    """Copies of one text, chains that lead away from it, and texts that share half of it."""
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(90):  # copies with a few words changed
+        t = base[:]
+        for _ in range(rng.randrange(0, 4)):
+            t[rng.randrange(120)] = f"c{k}x{rng.randrange(99)}"
+        texts.append(t)
+    for k in range(12):  # chains: each step ten more words away
+        t = base + [f"d{k}"]
+        for step in range(4):
+            t = t[10:] + [f"e{k}s{step}w{i}" for i in range(10)]
+            texts.append(t)
+    texts += [base[:60] + [f"f{k}w{i}" for i in range(60)] for k in range(30)]
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    forest = S._Forest(len(texts))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    forest.unite(*np.array(pairs).T)
+    expected = forest.root(np.arange(len(texts))).tolist()
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    groups = lambda: {r.doc_id: r.component_id for r in S.near_groups(docs, 5, P.NEAR_BITS, 4, P.NEAR_ANCHORS, wide=P.NEAR_WIDE).collect()}
+    assert groups() == dict(enumerate(expected))
+    for bucket, held in ((20, 2_000_000), (1000, 900), (7, 2_000_000)):
+        monkeypatch.setattr(S, "BUCKET", bucket)
+        monkeypatch.setattr(S, "HELD", held)
+        assert groups() == dict(enumerate(expected)), (bucket, held)
+
+
 def test_components_of_long_chains(spark):
     pairs = [(k + 1, k) for k in range(64)] + [(200, 100), (100, 150), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
