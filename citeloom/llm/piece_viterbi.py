@@ -154,9 +154,7 @@ class Pieces:
             row[: len(self.names[i])] = [*map(ord, self.names[i])]
         self.inside = np.zeros(0x110000, bool)
         self.inside[[ord(c) for p in self.text for c in p]] = True
-        self.bucket = np.searchsorted(self.keys, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
-        self.steps = int(np.diff(np.r_[self.bucket, len(self.keys)]).max())
-        self.tail = np.r_[self.keys, np.zeros(self.steps, np.uint64)]
+        self.bucket = np.r_[np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)), len(self.keys)].astype(np.int32)
         raw = [b"" if special[i] else bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         raw[self.unknown] = " ⁇ ".encode()
         self.raw = pa.array(raw, pa.large_binary())
@@ -172,11 +170,17 @@ class Pieces:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
     def probe(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The place of each substring among the sorted keys, or -1; a key's first bits say where to look."""
-        at = self.bucket[(key >> np.uint64(47)).astype(np.int64)]
-        out = np.full(key.shape, -1, np.int64)
-        for k in range(self.steps):
-            out = np.where(self.tail[at + k] == key, at + k, out)
+        """The place of each substring among the sorted keys, or -1; a key's first bits say where to look, mostly that nothing is there."""
+        out, flat = np.full(key.shape, -1, np.int64), key.ravel()
+        first = (flat >> np.uint64(44)).astype(np.int64)
+        at, end = self.bucket[first], self.bucket[first + 1]
+        on = np.flatnonzero(at < end)
+        at, end = at[on], end[on]
+        while len(on):
+            same = self.keys[at] == flat[on]
+            out.ravel()[on[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            on, at, end = on[more], at[more] + 1, end[more]
         return np.where(self.lengths[out] == size, out, -1)
 
     def merged(self, text: str) -> list[str]:
@@ -255,11 +259,6 @@ class Pieces:
                 key = (sums[:, j, None] - sums[:, j - sizes]) * _DOWN[j - sizes][None, :]
             at = self.probe(key, sizes[None, :])
             hit = at >= 0
-            row, of = np.nonzero(hit)
-            flat, within = _flat(j - sizes[of], sizes[of])
-            same = codes[np.repeat(row, sizes[of]), flat] == self.piece_codes[np.repeat(at[row, of], sizes[of]), within]
-            if not same.all():  # another string with a piece's hash
-                hit[row, of] = np.logical_and.reduceat(same, np.cumsum(sizes[of]) - sizes[of])
             ids = np.where(hit, self.ids[at], -1)
             ids[:, -1] = np.where(hit[:, -1], ids[:, -1], -codes[:, j - 1].astype(np.int32) - 2)
             if self.merges:
@@ -272,6 +271,9 @@ class Pieces:
             row = np.arange(n)
             best[:, j], back[:, j] = total[row, pick], sizes[pick]
             piece[:, j] = ids[row, pick]
+            some = np.flatnonzero(hit[row, pick])
+            if not self._holds(codes, some, j - sizes[pick[some]], sizes[pick[some]], at[some, pick[some]]):
+                return self._one_by_one(codes)  # another string has a piece's hash
         steps, at, row = [], np.full(n, length), np.arange(n)
         while at.any():
             steps.append(np.where(at > 0, piece[row, at], -1))
@@ -289,6 +291,15 @@ class Pieces:
         flat[flat < 0] = np.fromiter((i for x in fallback for i in x), np.int32)
         return flat, np.bincount(word, weights=times, minlength=n).astype(np.int64)
 
+    def _holds(self, codes: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray, piece: np.ndarray) -> bool:
+        """Whether the pieces chosen are what stands in the words."""
+        flat, within = _flat(start, size)
+        return bool((codes[np.repeat(row, size), flat] == self.piece_codes[np.repeat(piece, size), within]).all())
+
+    def _one_by_one(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.one("".join(map(chr, word))) for word in codes.tolist()]
+        return np.fromiter((i for x in found for i in x), np.int32), np.array([len(x) for x in found], np.int64)
+
     def _transitions(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """1 where a candidate is admissible after what is before it, else 0."""
         out = np.zeros(ids.shape, np.int8)

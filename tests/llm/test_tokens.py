@@ -147,8 +147,10 @@ def test_words_and_pieces_of_one_hash_are_told_apart(pieces, monkeypatch):
     assert own.encode(texts)[0].tolist() == expected and own.encode(texts[::-1])[1].sum() == len(expected)
     wrong = own.piece_codes.copy()
     wrong[own.ids == own.text["▁the"][1]] = 1  # as if another piece had this hash
-    own.piece_codes = wrong
-    assert own.together(np.array([[ord(c) for c in "▁the"]]))[0].tolist() != [own.text["▁the"][1]]
+    own.piece_codes, plain = wrong, []
+    own.one = lambda word: plain.append(word) or pieces.one(word)
+    words = np.array([[ord(c) for c in w] for w in ("▁the", "▁and")])
+    assert own.together(words)[0].tolist() == pieces.together(words)[0].tolist() and plain == ["▁the", "▁and"]
 
 
 def test_together_equals_one_by_one(pieces, unigram):
