@@ -15,7 +15,8 @@ table rows for each byte.
 
 The counts come from a bounded sample: up to ``docs_per_lang`` labelled documents
 for each of up to MAX_LANGS languages, chosen by a hash of the id, whole texts.
-Every context seen is kept, and every text is scored whole.
+Every context seen is kept, and every text is scored whole.  Texts are learned
+and scored in lower case, so that one in capitals is in its language, too.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ ORDER, CHUNK, MAX_LANGS = 4, 1 << 18, 256
 UNKNOWN_BITS = 8.0
 UNDETERMINED = "und"
 #: Labelled documents of a language that the counts come from.
-DOCS = 120
+DOCS = 240
 
 
 @dataclass
@@ -131,13 +132,13 @@ def train(samples: dict[str, list[str]]) -> Model:
 
 
 def sample(docs: DataFrame, docs_per_lang: int = DOCS) -> DataFrame:
-    """lang, text: the bounded sample; docs: (doc_id, text, lang)."""
+    """lang, text: the bounded sample, in lower case; docs: (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     share = written(known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share")))  # so small a table is broadcast, texts stay
     if share.count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return known.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
+    return known.join(share, "lang").filter(place < F.col("share")).select("lang", F.lower("text").alias("text"))
 
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS, id_col: str = "doc_id", text
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte for every whole text.
+    """doc_id, lang_pred, score, bits_per_byte for every whole text, in lower case.
 
     ``score`` is the language's posterior at equal priors, from the code
     lengths; ties go to the first language by code point.  Null texts and texts
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     other columns are ignored.
     """
     rows = safe(docs, id_col, text_col).toDF("doc_id", "text")
-    rows = rows.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
+    rows = rows.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

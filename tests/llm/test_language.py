@@ -73,6 +73,12 @@ def test_many_languages(table):
     assert [got[k] for k, *_ in rows] == [lang for _, _, lang, *_ in rows]
 
 
+def test_capitals_change_nothing(table):
+    rows = [(k, t.upper() if k % 2 else t, None, None, None) for k, t in enumerate(["the cat sat there"] * 2 + ["été sur la forêt"] * 2)]
+    got = {r.doc_id: (r.lang_pred, r.score, r.bits_per_byte) for r in L.identify(table(rows, DOCS), L.train(SAMPLES)).collect()}
+    assert got[0] == got[1] and got[2] == got[3] and (got[0][0], got[2][0]) == ("en", "fr")
+
+
 def test_sample_of_whole_texts(table, monkeypatch):
     rows = [(k, f"text {k} " * 2000, "ab"[k % 2], None, None) for k in range(400)]
     got = L.sample(table(rows, DOCS), 50).collect()
