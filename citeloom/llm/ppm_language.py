@@ -87,24 +87,24 @@ def train(samples: dict[str, list[str]]) -> Model:
     if not len(data):
         return Model([], np.zeros(256, np.int16), np.ones((2, 2), np.int32), np.zeros((2, 0)), np.zeros((2, 0)))
     size = np.array([len(t) for _, t in texts], np.int64)
-    lang = np.repeat(np.array([k for k, _ in texts], np.int64), size)
-    room = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) + 1  # bytes of the text up to here
+    lang = np.repeat(np.array([k for k, _ in texts], np.int16), size)
+    room = np.minimum(np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) + 1, ORDER + 1).astype(np.int8)  # bytes of the text up to here
     seen = np.unique(data)
     unknown, stop = len(seen), len(seen) + 1
     symbols = np.full(256, unknown, np.int16)
     symbols[seen] = np.arange(len(seen))
-    sym = symbols[data].astype(np.int64)
+    sym = symbols[data]
     # Nodes by level: the root, then the strings of 1 to ORDER + 1 bytes; at: the node that ends at each byte.
-    parent, byte, counts, at = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, len(langs)), np.float32)], np.zeros(len(data), np.int64)
+    parent, byte, counts, at = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, len(langs)), np.float32)], np.zeros(len(data), np.int32)
     level = [0, 1]  # where each level starts
     for k in range(1, ORDER + 2):
-        up = np.r_[0, at[:-1]] if k > 1 else at
-        keys, inverse = np.unique(np.where((room >= k) & (up >= 0), up * stop + sym, -1), return_inverse=True)
+        up = np.r_[np.int32(0), at[:-1]] if k > 1 else at
+        keys, inverse = np.unique(np.where((room >= k) & (up >= 0), up.astype(np.int64) * stop + sym, -1), return_inverse=True)
         none = int(keys[0] < 0)  # bytes too near a text's start
         counts.append(np.bincount(inverse * len(langs) + lang, minlength=len(keys) * len(langs)).reshape(len(keys), -1)[none:].astype(np.float32))
         parent.append(keys[none:] // stop)
         byte.append(keys[none:] % stop)
-        at = np.where(inverse >= none, level[-1] + inverse - none, -1)
+        at = np.where(inverse >= none, level[-1] + inverse - none, -1).astype(np.int32)
         level.append(level[-1] + len(keys) - none)
     inner, total = level[-2], level[-1]  # nodes that can be contexts, and all
     parent, byte, counts = np.concatenate(parent), np.concatenate(byte), np.concatenate(counts)
