@@ -172,3 +172,45 @@ def chat_typed_parts(spark: SparkSession, d: str) -> DataFrame:
     chats = C.format_chats(turns)
     shown = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["number"].cast("string"), a["kind"], a["ref"], a["tokens"].cast("string"))), " ")
     return chats.select("conv_id", "formatted", shown.alias("attachments"), F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from citeloom.llm.token_alignment import align, pair_counts, scored
+
+    found = align(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return scored(found, pair_counts(found)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(
+    "op12_collocations",
+    r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS MATERIALIZED (SELECT lang, pid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+x AS MATERIALIZED (SELECT lang, w, lead(w, 1) OVER q AS w2, lead(w, 2) OVER q AS w3, lead(w, 3) OVER q AS w4 FROM o WINDOW q AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w AS phrase FROM x UNION ALL SELECT lang, 2, w || ' ' || w2 FROM x WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.k, a, cut, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(l.f AS HUGEINT) + r.f) AS score FROM c, (VALUES (1), (2), (3)) AS s(cut)
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:cut], ' ') JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:c.k], ' ') WHERE cut < c.k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + n - 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (2), (3)) AS s(n), (VALUES (1), (2), (3)) AS t(i) WHERE n < k AND i + n - 1 <= k GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best JOIN n ON n.lang = best.lang LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.collocations import collocations
+
+    return collocations(_table(spark, d, "documents"))
+
+
+@query("op13_document_fingerprints")
+def op13_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    from citeloom.llm.multiset_hash import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, d, "documents"))
