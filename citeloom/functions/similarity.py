@@ -23,32 +23,83 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-class Lengths:
-    """Longest common subsequences of one text with many at once: a bit for each character, a machine word for each text of up to 63."""
-
-    def __init__(self, texts: list[str]):
-        self.texts, self.size = texts, np.array([len(t) for t in texts], np.int64)
-        self.long = [k for k, t in enumerate(texts) if len(t) > 63]
-        short = [t if len(t) < 64 else "" for t in texts]
-        self.full = np.array([(1 << len(t)) - 1 for t in short], np.uint64)
-        self.at: dict[str, np.ndarray] = {}
-        for k, t in enumerate(short):
-            for i, c in enumerate(t):
-                if c not in self.at:
-                    self.at[c] = np.zeros(len(texts), np.uint64)
-                self.at[c][k] |= np.uint64(1 << i)
-
-    def ratios(self, text: str) -> np.ndarray:
-        """The indel ratio with each text."""
-        row = self.full.copy()
-        for c in text:
-            if c in self.at:
-                hit = row & self.at[c]
-                row = ((row + hit) | (row - hit)) & self.full
-        both = self.size - np.bitwise_count(row).astype(np.int64)
-        for k in self.long:
-            both[k] = lcs_length(self.texts[k], text)
-        return np.where(self.size + len(text) > 0, 200.0 * both / np.maximum(self.size + len(text), 1), 100.0)
+#: Pairs that advance together.
+TOGETHER = 20_000
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs.
+
+    All pairs with as many machine words of bits (one bit for each character of
+    the shorter string) advance together, a character of the longer one a step.
+    """
+    out = np.zeros(len(a), np.int64)
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
+    width = np.array([-(-len(x) // 64) for x in short], np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        of = np.flatnonzero(width == w)
+        step = max(1, TOGETHER // w)
+        for lo in range(0, len(of), step):
+            part = of[lo : lo + step].tolist()
+            out[part] = _together([short[k] for k in part], [long[k] for k in part], w)
+    return out
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), np.array([len(t) for t in texts], np.int64)
+
+
+def _together(a: list[str], b: list[str], w: int) -> np.ndarray:
+    """As ``lcs_lengths``, for pairs whose first string takes w words."""
+    a, size = _codes(a)
+    b, steps = _codes(b)
+    order = np.argsort(-steps, kind="stable")  # pairs that are done leave at the end
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    owner = place[np.repeat(np.arange(len(size)), size)]
+    within = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+    keys, slot = np.unique(owner << 21 | a, return_inverse=True)
+    masks = np.zeros((len(keys) + 1, w), np.uint64)  # the last row: a character that isn't there
+    np.bitwise_or.at(masks, (slot, within >> 6), np.uint64(1) << (within & 63).astype(np.uint64))
+    wanted = place[np.repeat(np.arange(len(steps)), steps)] << 21 | b
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    at = np.where(keys[at] == wanted, at, len(keys))
+    first, n_steps = (np.cumsum(steps) - steps)[order], steps[order]
+    row = np.full((len(steps), w), ~np.uint64(0))
+    for k in range(int(n_steps[0])):
+        n = int(np.searchsorted(-n_steps, -k, side="left"))
+        mask = masks[at[first[:n] + k]]
+        carry = np.zeros(n, np.uint64)
+        for j in range(w):
+            r = row[:n, j]
+            hit = r & mask[:, j]
+            total = r + hit
+            more = total + carry
+            carry = ((total < r) | (more < total)).astype(np.uint64)
+            row[:n, j] = more | (r & ~mask[:, j])
+    tail = np.arange(w)[None, :] * 64
+    bits = np.clip(size[order][:, None] - tail, 0, 64)
+    inside = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+    out = np.empty(len(order), np.int64)
+    out[order] = size[order] - np.bitwise_count(row & inside).astype(np.int64).sum(axis=1)
+    return out
+
+
+def _ratios(a: list[str], b: list[str]) -> np.ndarray:
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    return np.where(total > 0, 200.0 * lcs_lengths(a, b) / np.maximum(total, 1), 100.0)
+
+
+def _of_rows(a: pd.Series, b: pd.Series, shown) -> pd.Series:
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = _ratios([shown(x) for x in a[known]], [shown(x) for x in b[known]])
+    return pd.Series(out).astype("Float64").where(pd.Series(known), pd.NA)
+
+
+def _ordered(t: str) -> str:
+    return " ".join(sorted(t.split()))
 
 
 def indel(a: str | None, b: str | None) -> float | None:
@@ -66,12 +117,12 @@ def token_sort(a: str | None, b: str | None) -> float | None:
 
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _of_rows(a, b, str)
 
 
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_sort(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _of_rows(a, b, _ordered)
 
 
 _VOWELS = "aeiou"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.functions.similarity import indel_ratio, token_sort_ratio
+from citeloom.operators import simjoin
 from citeloom.operators.graph import components
 from citeloom.sources.store import cut
 
@@ -214,63 +215,64 @@ def assign_ids(bases: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     return bases.withColumn("turn", turn).join(used, "base", "left").withColumn("n", free).withColumn("paper_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))).drop("turn", "used", "n")
 
 
-#: Staged records that are compared with all papers at once.
-RECORDS = 20_000
+def _titles(df: DataFrame, key: str) -> DataFrame:
+    """key, t (the plain title), s (its words in order), p (its first words): rows without a title are left out."""
+    t = T.title_text(F.col("title"))
+    return df.select("*", t.alias("t")).filter("t <> ''").select(key, "t", F.array_join(F.array_sort(T.words_of(F.col("t"))), " ").alias("s"), F.array_join(F.slice(T.words_of(F.col("t")), 1, 5), "_").alias("p"))
+
+
+def similar_titles(records: DataFrame, papers: DataFrame, least: float) -> DataFrame:
+    """t_a, t_b, sim: distinct titles of records and papers (t, s as by ``_titles``) that are alike by ``least`` percent, in their order or word by word."""
+    one, other = (df.select("t", "s").distinct() for df in (records, papers))
+    text = lambda df, c: df.select(F.col(c).alias("s"))
+    plain = simjoin.similar(text(one, "t"), text(other, "t"), least).select(F.col("a").alias("t_a"), F.col("b").alias("t_b"))
+    words = simjoin.similar(text(one, "s"), text(other, "s"), least).select(F.col("a").alias("s_a"), F.col("b").alias("s_b"))
+    back = words.join(one.toDF("t_a", "s_a"), "s_a").join(other.toDF("t_b", "s_b"), "s_b").select("t_a", "t_b")
+    return plain.unionByName(back).distinct().withColumn("sim", F.greatest(indel_ratio("t_a", "t_b"), token_sort_ratio("t_a", "t_b")) / 100)
 
 
 def duplicates_of(records: DataFrame, papers: DataFrame, least: float = 2.0) -> DataFrame:
     """ref, paper_id, score, similarity, signals, match_type: for each record (ref, title) the paper that it most likely is.
 
     A record has nothing but a title, so scores are those of titles.  The best
-    score counts, then the smaller id; below ``least`` there is no match.  The
-    records, a batch about to be ingested, go to every task; more than RECORDS
-    are an error.  Papers are read once, each compared with all records at
-    once, and a task returns a row for each record at most.
+    score counts, then the smaller id; below ``least``, which is above 0, there
+    is no match.  Titles that may reach it meet in a similarity join or by
+    their first words; of papers with one title the smallest id stands for all.
     """
-    import numpy as np
-    import pandas as pd
-
-    from citeloom.functions.similarity import Lengths
-
-    staged = records.select("ref", T.title_text(F.col("title")).alias("t"), F.array_join(F.slice(T.words_of(T.title_text(F.col("title"))), 1, 5), "_").alias("p")).filter("t <> ''").limit(RECORDS + 1).collect()
-    if len(staged) > RECORDS:
-        raise ValueError(f"more than {RECORDS} records at once")
-    ordered = lambda t: " ".join(sorted(t.split()))
-    refs, prefix = [r.ref for r in staged], np.array([r.p for r in staged], object)
-
-    def run(parts):
-        plain, sorted_words = Lengths([r.t for r in staged]), Lengths([ordered(r.t) for r in staged])
-        best: dict = {}
-        for part in parts:
-            for paper_id, kind, t, p in zip(part["paper_id"], part["type"], part["t"], part["p"], strict=True):
-                sim = np.maximum(plain.ratios(t), sorted_words.ratios(ordered(t))) / 100
-                score = np.select([sim >= at for at, _, _ in TITLE], [x for _, x, _ in TITLE], 0.0)
-                on_prefix = (sim < 0.80) & (len(p) > 8) & (prefix == p)
-                score += 0.75 * on_prefix
-                for k in np.flatnonzero(score >= least).tolist():
-                    key = (-score[k], paper_id)
-                    if k not in best or key < best[k][0]:
-                        signal = [s for at, _, s in TITLE if sim[k] >= at][:1]
-                        best[k] = (key, kind, sim[k], ",".join(signal + ["title_prefix"] * bool(on_prefix[k])))
-        yield pd.DataFrame([(refs[k], key[1], -key[0], round(sim, 3), signals, kind) for k, (key, kind, sim, signals) in best.items()], columns=["ref", "paper_id", "score", "similarity", "signals", "type"])
-
-    rows = papers.select("paper_id", "type", T.title_text(F.col("title")).alias("t"), F.array_join(F.slice(T.words_of(T.title_text(F.col("title"))), 1, 5), "_").alias("p")).filter("t <> ''")
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((records, "ref"), (papers, "paper_id"))]
-    met = rows.mapInPandas(run, f"ref {kinds[0]}, paper_id {kinds[1]}, score double, similarity double, signals string, type string")
-    first = Window.partitionBy("ref").orderBy(F.desc("score"), "paper_id")
-    kind = F.when(F.col("type") == "external_owned", "external").when(F.col("type") == "stub", "stub").otherwise("local")
-    return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("ref", "paper_id", "score", "similarity", "signals", kind.alias("match_type"))
+    enough = [at for at, points, _ in TITLE if points + 0.75 >= least]
+    if least <= 0 or not enough:
+        raise ValueError("least must be above 0 and within reach")
+    staged, known = cut(_titles(records, "ref")), cut(_titles(papers, "paper_id"))
+    met = similar_titles(staged, known, 100 * min(enough)).select("t_a", "t_b", "sim")
+    if least <= 0.75:  # the first words alone are enough
+        words = lambda df, x: df.filter(F.length("p") > 8).select("p", F.col("t").alias(x)).distinct()
+        same = words(staged, "t_a").join(words(known, "t_b"), "p").select("t_a", "t_b")
+        met = met.unionByName(same.withColumn("sim", F.greatest(indel_ratio("t_a", "t_b"), token_sort_ratio("t_a", "t_b")) / 100)).distinct()
+    points, signal = _tier(F.col("sim"), TITLE)
+    first_words = lambda t: F.array_join(F.slice(T.words_of(F.col(t)), 1, 5), "_")
+    on_prefix = (F.col("sim") < 0.80) & (F.length(first_words("t_a")) > 8) & (first_words("t_a") == first_words("t_b"))
+    signals = F.concat_ws(",", signal, F.when(on_prefix, "title_prefix"))
+    scored = met.withColumns({"score": points + F.when(on_prefix, 0.75).otherwise(0.0), "signals": signals}).filter(F.col("score") >= least)
+    stands = known.join(papers.select("paper_id", "type"), "paper_id").groupBy(F.col("t").alias("t_b")).agg(F.min(F.struct("paper_id", "type")).alias("paper"))
+    best = scored.join(stands, "t_b").groupBy("t_a").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("paper.paper_id").alias("paper_id"), F.col("paper.type").alias("type"), "sim", "signals")).alias("b"))
+    kind = F.when(F.col("b.type") == "external_owned", "external").when(F.col("b.type") == "stub", "stub").otherwise("local")
+    return staged.join(best, staged.t == best.t_a).select("ref", "b.paper_id", (-F.col("b.less")).alias("score"), F.round("b.sim", 3).alias("similarity"), "b.signals", kind.alias("match_type"))
 
 
 def candidates_of(citations: DataFrame, papers: DataFrame, least: float = 1.0) -> DataFrame:
     """ref, paper_id, score of the papers that citations (ref and the columns of papers) may mean.
 
     Those found by ``indexed_candidates`` are scored; citations that none of
-    them fits with ``least`` points are held against all papers.  No cross join
-    is needed for it: so many points take a title that is alike, or a prefix,
-    surname or reference in common, and each is looked for by itself.
+    them fits with ``least`` points, at least 1, are held against all papers.
+    No cross join is needed for it: so many points take a title that is alike, a
+    title prefix, a first author, or a share of authors, references or citing
+    papers in common, and each is looked for by itself, rarest things first.
     """
+    if least < 1:
+        raise ValueError("least must be 1 or more")
     kind = papers.schema["paper_id"].dataType.simpleString()
+    missing = [f for f in papers.schema.fields if f.name not in citations.columns and f.name != "paper_id"]
+    citations = citations.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     as_paper = citations.drop("paper_id", "id").withColumn("paper_id", F.concat(F.lit("ref:"), F.col("ref").cast("string")))
     every = papers.withColumn("paper_id", F.col("paper_id").cast("string")).unionByName(as_paper.drop("ref"), allowMissingColumns=True)
     mark = lambda found: found.select(F.concat(F.lit("ref:"), F.col("ref").cast("string")).alias("id_a"), F.col("paper_id").cast("string").alias("id_b")).distinct()
@@ -280,34 +282,33 @@ def candidates_of(citations: DataFrame, papers: DataFrame, least: float = 1.0) -
 
     first = scored(indexed_candidates(citations if "id" in citations.columns else citations.withColumn("id", F.lit("")), papers))
     rest = cut(citations.join(first.select("ref").distinct().withColumn("ref", F.col("ref").cast(citations.schema["ref"].dataType)), "ref", "left_anti"))
-    surname = lambda df, k: df.select(k, F.explode(F.array_distinct(F.filter(F.transform("authors", lambda a: F.try_element_at(T.normalize_author_lastname(a), F.lit(1))), lambda x: x.isNotNull()))).alias("on"))
-    cited = lambda df, k: df.select(k, F.explode("cites").alias("on"))
-    prefix = lambda df, k: df.select(k, F.nullif(T.blocking_prefix(F.col("title")), F.lit("")).alias("on"))
-    by = [side(rest, "ref").join(side(papers, "paper_id"), "on").select("ref", "paper_id") for side in (surname, cited, prefix)]
-    alike = similar_titles(rest, papers, 100 * min(t[0] for t in TITLE))
+    names = F.array_distinct(F.filter(F.transform("authors", lambda a: F.try_element_at(T.normalize_author_lastname(a), F.lit(1))), lambda x: x.isNotNull()))
+    either = lambda key, of: [of(df, k) for df, k in ((rest, "ref"), (papers, "paper_id"))]
+
+    def equal(value: Column) -> DataFrame:
+        one, other = either("on", lambda df, k: df.select(k, value.alias("on")).filter("on <> ''"))
+        return one.join(other, "on").select("ref", "paper_id")
+
+    def sets(items: Column, share: float) -> DataFrame:
+        one, other = either("items", lambda df, k: df.select(F.col(k).alias("key"), F.coalesce(items, F.array().cast("array<string>")).alias("items")))
+        return simjoin.sharing(one, other, share).toDF("ref", "paper_id")
+
+    # One point without a title: a first author in the same year, few authors who are all among many, or the least share of authors, references or citing papers that gives any.
+    year, first_name = T.safe_year(F.col("year")), F.try_element_at(names, F.lit(1))
+
+    def contained(few: DataFrame, few_key: str, many: DataFrame, many_key: str) -> DataFrame:
+        """Pairs of which one's one or two authors may be among the other's three or more; by the rarer of the two."""
+        at = lambda df, k, on: df.select(k, names.alias("names"), year.alias(f"year_{k}"), first_name.alias(f"first_{k}")).filter(on)
+        every = cut(at(many, many_key, F.size("names") >= 3).select("*", F.explode("names").alias("item")).drop("names"))
+        some = at(few, few_key, F.size("names").between(1, 2)).select("*", F.explode("names").alias("item")).drop("names")
+        some = cut(simjoin.rarest(some, [few_key], "item", every.groupBy("item").agg(F.count("*").alias("often")), F.lit(1)))
+        enough = (F.col("year_ref") == F.col("year_paper_id")) | (F.col("first_ref") == F.col("first_paper_id"))
+        return some.join(every, "item").filter(enough).select("ref", "paper_id")
+
+    one, other = either("on", lambda df, k: df.select(k, year.alias("y"), first_name.alias("on")).filter("on <> ''"))
+    by = [equal(T.blocking_prefix(F.col("title"))), one.join(other, ["on", "y"]).select("ref", "paper_id"), contained(rest, "ref", papers, "paper_id"), contained(papers, "paper_id", rest, "ref")]
+    by += [sets(names, min(a[0] for a in AUTHORS)), sets(F.array_distinct("cites"), min(c[0] for c in CITES)), sets(F.array_distinct("cited_by"), 0.30)]
+    by += [equal(T.normalize_doi(F.col("doi"))), equal(F.col("s2_id"))]
+    titles = cut(_titles(rest, "ref")), cut(_titles(papers, "paper_id"))
+    alike = similar_titles(*titles, 100 * min(t[0] for t in TITLE)).join(titles[0].select("ref", F.col("t").alias("t_a")), "t_a").join(titles[1].select("paper_id", F.col("t").alias("t_b")), "t_b").select("ref", "paper_id")
     return first.unionByName(scored(reduce(DataFrame.unionByName, [*by, alike])))
-
-
-def similar_titles(records: DataFrame, papers: DataFrame, least: float) -> DataFrame:
-    """ref, paper_id of all titles with a similarity of ``least`` percent; as in ``duplicates_of`` the records go to every task."""
-    import numpy as np
-    import pandas as pd
-
-    from citeloom.functions.similarity import Lengths
-
-    staged = records.select("ref", T.title_text(F.col("title")).alias("t")).filter("t <> ''").limit(RECORDS + 1).collect()
-    if len(staged) > RECORDS:
-        raise ValueError(f"more than {RECORDS} records at once")
-    ordered = lambda t: " ".join(sorted(t.split()))
-
-    def run(parts):
-        plain, sorted_words = Lengths([r.t for r in staged]), Lengths([ordered(r.t) for r in staged])
-        for part in parts:
-            rows = []
-            for paper_id, t in zip(part["paper_id"], part["t"], strict=True):
-                near = np.flatnonzero(np.maximum(plain.ratios(t), sorted_words.ratios(ordered(t))) >= least)
-                rows += [(staged[k].ref, paper_id) for k in near.tolist()]
-            yield pd.DataFrame(rows, columns=["ref", "paper_id"])
-
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((records, "ref"), (papers, "paper_id"))]
-    return papers.select("paper_id", T.title_text(F.col("title")).alias("t")).filter("t <> ''").mapInPandas(run, f"ref {kinds[0]}, paper_id {kinds[1]}")
