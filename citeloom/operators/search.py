@@ -1,4 +1,4 @@
-"""BM25 text search, by a scan or over stored postings, and substring search.
+"""BM25 text search by a scan, and substring search; stored indexes are in ``postings``.
 
 Tokens are runs of a-z in lower case, optionally stemmed, without stop words.
 ``score = sum log10((N - df + 0.5) / (df + 0.5) + 1) * tf (k + 1) / (tf + k (1 - b + b len / avg))``
@@ -63,20 +63,6 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, stem: bool =
     return counted.filter(any_term).join(F.broadcast(totals)).select(key, score.alias("score"))  # one row
 
 
-def postings(docs: DataFrame, key: str, columns: list[str], stem: bool = False, stop: list[str] | None = None) -> DataFrame:
-    """key, term, tf, len: the index of a table, to be written sorted by term."""
-    t = docs.select(key, tokens(columns, stem, stop).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
-    return t.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
-def bm25_indexed(index: DataFrame, n_docs: int, average: float, key: str, query: str, stem: bool = False, k: float = K, b: float = B) -> DataFrame:
-    """As ``bm25`` over stored postings: the terms' filter prunes the scan."""
-    hits = index.filter(F.col("term").isin(terms_of(query, stem)))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one = _term_score(F.col("tf"), F.col("df"), F.col("len"), F.lit(n_docs), F.lit(average), k, b)
-    return hits.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(one).alias("score"))  # a row for each query term
-
-
 def contains_any(docs: DataFrame, columns: list[str], term: str) -> DataFrame:
     """Rows with the term in one of the columns, in any case; wildcards are plain characters."""
     hit = F.lit(False)

@@ -380,14 +380,6 @@ def bm25_search(spark, d):
     return search.search(C.table(spark, d, "documents"), "doc_id", ["text"], "The of and", 15).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_indexed", _bm25_sql("doc_id", "text", "documents", ["les", "und"], "SELECT id AS doc_id, round(score, 6) AS score FROM s"))
-def bm25_indexed(spark, d):
-    docs = C.table(spark, d, "documents")
-    index = store.cut(search.postings(docs, "doc_id", ["text"]).repartitionByRange("term").sortWithinPartitions("term"))
-    lengths = docs.agg(F.count("*").alias("n"), F.avg(F.size(search.tokens(["text"]))).alias("average")).first()
-    return search.bm25_indexed(index, lengths.n, lengths.average, "doc_id", "les und").select("doc_id", F.round("score", 6).alias("score"))
-
-
 @query("bm25_count", _bm25_sql("doc_id", "text", "documents", ["les", "und"], "SELECT count(*) AS n FROM s"))
 def bm25_count(spark, d):
     return search.bm25(C.table(spark, d, "documents"), "doc_id", ["text"], "les und").agg(F.count("*").alias("n"))
@@ -772,4 +764,4 @@ def merged_topics(spark, d):
     return ingest.merged_rows(C.topics(spark, d), closure, ["field", "value"], ["value"], ["value"])
 
 
-from citeloom.plans import documents, resolution, upkeep  # noqa: E402, F401  the other families of queries
+from citeloom.plans import documents, resolution, structures, upkeep  # noqa: E402, F401  the other families of queries
