@@ -34,7 +34,7 @@ from citeloom.llm.common import kept, mapped, safe, written
 #: Pairs of ids whose counts are broadcast, at most: some 3 MB.
 HOT = 100_000
 #: Chunks that a worker remembers, bytes of text worked on at once, and bytes of chunks encoded as one text.
-REMEMBERED, SLICE, AT_ONCE = 300_000, 2_000_000, 16_384
+REMEMBERED, SLICE, AT_ONCE = 250_000, 2_000_000, 16_384
 _BEGINS = np.zeros(256, bool)  # bytes that may follow a space at which texts are cut: no white space, no space mark
 _BEGINS[0x21:0x7F] = True
 _BEGINS[[*range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
@@ -89,6 +89,13 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
 
 
+def _ranges(bound: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of some ranges' elements, one range after another, and the ranges' new bounds."""
+    size = bound[of + 1] - bound[of]
+    new = np.r_[0, np.cumsum(size)]
+    return np.repeat(bound[of] - new[:-1], size) + np.arange(new[-1]), new
+
+
 class Aligner:
     """Encodes and aligns batches of texts; remembers chunks."""
 
@@ -97,16 +104,35 @@ class Aligner:
         self.left, self.right = _Left(left), _Right(right)
         self.sizes = [np.array([len(x) for x in side.raw], np.int64) for side in (self.left, self.right)]
         self.cuts = self.left.cuts and self.right.cuts
+        numbers = [str(i) for i in range(max(len(side.raw) for side in (self.left, self.right)))]
+        self.words = [np.array([n + end for n in numbers], object) for end in ",|;"]
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
+        self.keys, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of each chunk: its hash, and how often it was met
         self.place, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint8)
         self.spans = B.Spans(self.bytes)
         self.spelled: list[str] = []
         self.numbers = np.zeros((0, 5), np.int64)  # left tokens, right tokens, groups, links; whether either side's bytes differ
         self.first, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keep(self) -> None:
+        """Makes room: of the chunks met more than once the commonest stay, at most half of all."""
+        common = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        common = common[self.used[common] > 1]
+        spelled, numbers, place, data, first, pairs, times = self.spelled, self.numbers, self.place, self.bytes, self.first, self.pairs, self.times
+        keys, used = self.keys[common], self.used[common] // 2
+        self._forget()
+        self.known = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.keys, self.used = keys, used
+        at, self.place = _ranges(place, common)
+        self.bytes = data[at]
+        self.spans = B.Spans(self.bytes)
+        self.spelled, self.numbers = [spelled[k] for k in common.tolist()], numbers[common]
+        at, self.first = _ranges(first, common)
+        self.pairs, self.times = pairs[at], times[at]
+
     def _left_ids(self, chunks: list[bytes], plain: np.ndarray) -> list[list[int]]:
         """Chunks that begin and end without white space are encoded many in one text, and told apart by their bytes."""
         out: list[list[int]] = [[]] * len(chunks)
@@ -155,19 +181,19 @@ class Aligner:
         n_groups = np.diff(groups_to, prepend=0)
         links = np.r_[0, np.cumsum(size[0] * size[1])][groups_to]
         numbers = np.stack([count[0], count[1], n_groups, np.diff(links, prepend=0), bad], axis=1).astype(np.int64).reshape(-1, 5)
-        return self._spelled(flat, size, groups_to), numbers, *self._links(flat, group, size, groups_to)
+        return self._spelled(flat, group, groups_to), numbers, *self._links(flat, group, size, groups_to)
 
-    @staticmethod
-    def _spelled(flat, size, groups_to) -> list[str]:
+    def _spelled(self, flat, group, groups_to) -> list[str]:
         """`a1,a2|b1;a3|b2,b3`: ids of both sides, group by group."""
-        parts, at = [], [0, 0]
-        names = [list(map(str, f.tolist())) for f in flat]
-        for a, b in zip(size[0].tolist(), size[1].tolist(), strict=True):
-            parts.append(f"{','.join(names[0][at[0] : at[0] + a])}|{','.join(names[1][at[1] : at[1] + b])}")
-            at[0] += a
-            at[1] += b
-        to = groups_to.tolist()
-        return [";".join(parts[a:b]) for a, b in zip([0, *to], to, strict=False)]
+        if not len(flat[0]):
+            return [""] * len(groups_to)
+        part = np.concatenate([2 * group[0], 2 * group[1] + 1])  # left ids, then right ids of a group
+        order = np.argsort(part, kind="stable")
+        part, ids = part[order], np.concatenate(flat)[order]
+        more = np.r_[part[1:] == part[:-1], False]
+        words = np.where(more, self.words[0][ids], np.where(part & 1 == 0, self.words[1][ids], self.words[2][ids])).tolist()
+        to = np.searchsorted(part, 2 * groups_to).tolist()
+        return ["".join(words[a:b])[:-1] for a, b in zip([0, *to], to, strict=False)]
 
     @staticmethod
     def _links(flat, group, size, groups_to) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +219,7 @@ class Aligner:
     def _learn(self, keys: list[int], chunks: list[bytes], plain: np.ndarray) -> None:
         spelled, numbers, first, pairs, times = self.aligned(chunks, plain)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.keys, self.used = np.r_[self.keys, np.array(keys, np.uint64)], np.r_[self.used, np.zeros(len(keys), np.int64)]
         self.spelled += spelled
         self.numbers = np.concatenate([self.numbers, numbers])
         self.first = np.r_[self.first, self.first[-1] + first[1:]]
@@ -229,9 +256,9 @@ class Aligner:
         """Where each chunk is remembered; None if two have one hash."""
         spans, length = B.Spans(data), ends - starts
         keys, at, part = np.unique(B.quick(spans, starts, length), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > REMEMBERED:
-            self._forget()
         keys = keys.tolist()
+        if len(self.known) + sum(k not in self.known for k in keys) > REMEMBERED:
+            self._keep()
         new = [k for k, key in enumerate(keys) if key not in self.known]
         if new:
             raw, one = data.tobytes(), at[new]
@@ -239,7 +266,9 @@ class Aligner:
             plain = _BEGINS[data[np.minimum(starts[one] + 1, len(data) - 1)]] & (length[one] > 1)
             plain &= (data[last] >= 0x21) & (data[last] < 0x7F) | (data[last] >= 0x80) & _PAIRS[data[last - 1]]
             self._learn([keys[k] for k in new], [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], plain)
-        slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[part]
+        mine = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+        self.used[mine] += np.bincount(part, minlength=len(keys))
+        slot = mine[part]
         if (self.place[slot + 1] - self.place[slot] != length).any() or not B.same(spans, starts, self.spans, self.place[slot], length):
             return None
         return slot
@@ -256,7 +285,7 @@ class Aligner:
         on = good[doc]
         doc, slot = doc[on], slot[on]
         size = first[slot + 1] - first[slot]
-        at = np.repeat(first[slot] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        at, _ = _ranges(first, slot)
         distinct, dense = np.unique(pairs[at], return_inverse=True)
         key, back = np.unique(np.repeat(doc, size) * max(len(distinct), 1) + dense, return_inverse=True)
         merged = np.bincount(back, weights=times[at], minlength=len(key)).astype(np.int64)
