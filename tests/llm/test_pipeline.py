@@ -4,8 +4,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from citeloom.llm import ppm_language
+from citeloom.llm.common import written
 
 from .conftest import DOCS
 
@@ -69,3 +72,29 @@ def test_rows_without_an_id_or_with_a_repeated_one(spark):
 
 def test_learned_languages_only(spark, rows):
     assert ppm_language.fit(spark.createDataFrame(rows, DOCS)).langs == ["en", "fr"]
+
+
+CLASH = ["_row", "_doc", "_several", "_turn", "a.b", "id", "stays", "node", "document", "bits_per_byte"]
+
+
+def test_stages_with_clashing_columns_and_a_very_long_text(spark, rows):
+    import string
+
+    rng = random.Random(4)
+    made = ["".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(50_000)]
+    long = " ".join(f"{rng.choice(EN)} {w}" for w in made for _ in range(16))  # some 10 MB
+    docs = spark.createDataFrame([*rows, (500, long, "en", "s0", None)], DOCS).select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASH)])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, "")
+        if name != P.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            docs = written(out)
+            assert docs.select("`a.b`").distinct().count() == 1 and docs.filter(f"length(text) = {len(long)}").count() >= 1
+        else:
+            assert out.count() == docs.count()
+
+
+def test_stages_of_nothing_with_clashing_columns(spark):
+    empty = spark.createDataFrame([], DOCS).select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASH)])
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, "").count() == 0
