@@ -35,11 +35,21 @@ def _role(role: Column) -> Column:
     return F.replace(escape(F.coalesce(role, F.lit(""))), F.lit(">"), F.lit("\\g"))
 
 
+#: The most tokens that one part can stand for.
+MOST_TOKENS = 1 << 53
+
+
 def expanded_tokens(part: Column) -> Column:
-    """How many tokens stand for a part that isn't text: those of its units, rounded up, a missing number counting as one."""
-    out = F.lit(0)
+    """How many tokens stand for a part that isn't text: those of its units, rounded up, a missing number counting as one.
+
+    Negative units and those that aren't a number give the least of the kind;
+    very many give MOST_TOKENS.
+    """
+    out = F.lit(0).cast("long")
     for kind, (each, least) in TOKENS.items():
-        out = F.when(part["kind"] == kind, F.greatest(F.lit(least), F.ceil(F.coalesce(part["units"], F.lit(1.0)) * each).cast("int"))).otherwise(out)
+        units = F.coalesce(part["units"], F.lit(1.0)) * each
+        bounded = F.when(F.isnan(units), 0.0).otherwise(F.least(F.greatest(units, F.lit(0.0)), F.lit(float(MOST_TOKENS))))
+        out = F.when(part["kind"] == kind, F.greatest(F.lit(least).cast("long"), F.ceil(bounded))).otherwise(out)
     return out
 
 

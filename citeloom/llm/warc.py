@@ -148,13 +148,14 @@ def _reading(gap: int, most: int):
                 while hi < len(ranges) and ranges[hi][0] == ranges[lo][0]:
                     hi += 1
                 for part in range(lo, hi, 2000):
-                    yield _digests(list(of_file(ranges[lo][0], [r[1:] for r in ranges[part : min(hi, part + 2000)]])))
+                    yield _digests(of_file(ranges[lo][0], [r[1:] for r in ranges[part : min(hi, part + 2000)]]))
                 lo = hi
 
     return run
 
 
-def _digests(records: list[dict]) -> pa.RecordBatch:
+def _digests(records: Iterator[dict]) -> pa.RecordBatch:
+    """A row for each record; no more than one payload is held."""
     out = []
     for r in records:
         revisit = r["warc-type"] == "revisit"

@@ -262,3 +262,10 @@ def test_mix(table):
 
 def test_mix_of_nothing(table):
     assert M.mix(table([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize(("units", "least"), [(1e10, 85 * 10**10), (-5.0, 0), (float("nan"), 0), (float("inf"), 1 << 53), (None, 1)])
+def test_tokens_of_huge_negative_and_missing_units(spark, units, least):
+    part = spark.createDataFrame([(("image", None, "r", units),)], "p struct<kind:string,text:string,ref:string,units:double>")
+    n = part.select(C.expanded_tokens(F.col("p")).alias("n")).first()["n"]
+    assert n >= least and n <= 1 << 53

@@ -150,3 +150,17 @@ def test_coalesced_ranges():
     assert list(files.coalesced(ranges, 1, 1000)) == [(0, 15, [0, 1]), (40, 146, [2, 3]), (200, 201, [4])]
     assert list(files.coalesced(ranges, 1000, 60)) == [(0, 45, [0, 1, 2]), (46, 146, [3]), (200, 201, [4])]
     assert list(files.coalesced([], 1, 1)) == []
+
+
+def test_no_more_than_one_payload_is_held():
+    import tracemalloc
+
+    def records():
+        for k in range(300):
+            payload = bytes([k % 251]) * 1_000_000
+            yield {"warc-type": "response", "warc-payload-digest": "sha1:" + warc.base32_sha1(payload), "payload": payload, "warc-record-id": f"<urn:page:{k}>"}
+
+    tracemalloc.start()
+    rows = warc._digests(records())
+    assert rows.num_rows == 300 and tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
