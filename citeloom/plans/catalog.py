@@ -701,26 +701,6 @@ def event_counts(spark, d):
     return incremental.event_counts(C.table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query(
-    "stream_event_counts",
-    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-)
-def stream_event_counts(spark, d):
-    """The same counts from a stream of the table's files, taken up until none is left."""
-    stream = incremental.table_stream(spark, C.table(spark, d, "events"), f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark takes no other type
-    found = incremental.settled(incremental.event_counts(stream), store.shared_path(spark), store.shared_path(spark))
-    return found.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "total": F.round("total", 4)})
-
-
-@query("stream_papers", "SELECT p_partkey, p_name FROM part")
-def stream_papers(spark, d):
-    """A table's files taken up batch by batch, each into a folder of its own."""
-    parts, path = C.table(spark, d, "part").select("p_partkey", "p_name"), store.shared_path(spark)
-    stream = incremental.table_stream(spark, C.table(spark, d, "part"), f"{d}/par[t].parquet").select("p_partkey", "p_name")
-    incremental.take_up(stream, store.shared_path(spark), incremental.into_parquet(path, "p_partkey"))
-    return spark.read.schema(parts.schema).parquet(path).select("p_partkey", "p_name")
-
-
 # Ingest.
 @query("coverage", "SELECT 'doi' AS name, count(*) AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'title', count(*) FROM part UNION ALL SELECT 'server:' || CASE WHEN p_partkey % 3 = 0 THEN 'arxiv' ELSE 'ssrn' END, count(*) FROM part WHERE p_partkey % 3 < 2 GROUP BY 1")
 def coverage(spark, d):

@@ -1,11 +1,19 @@
-"""Incremental loads: new extraction files are taken up once, exactly, by a file stream that ends when it has caught up."""
+"""Incremental loads: files are taken up once, exactly, by a file stream that ends when it has caught up.
+
+Versions of one key in different batches meet in keyed state, and windowed
+counts are given out once, when the watermark has passed them, after which their
+state goes; rows that come later than that are kept in a table beside them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeloom.sources.documents import extractions
 
@@ -21,31 +29,116 @@ def table_stream(spark: SparkSession, like: DataFrame, path: str, files_per_batc
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def take_up(stream: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None]) -> None:
+def take_up(stream: DataFrame, checkpoint: str, put: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Hands each batch to ``put`` until no file is left; a batch repeated after a failure has the same number."""
-    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    running = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    running.awaitTermination()
+    return running
 
 
-def into_parquet(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A ``put`` that writes each batch to a folder of its number, so that a repeated batch replaces itself."""
+def into_parquet(path: str, key: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``put`` that writes each batch to a folder of its number, so that a repeated batch replaces itself; rows of one key are one."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (batch.dropDuplicates([key]) if key else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return put
 
 
-def settled(counts: DataFrame, checkpoint: str, path: str) -> DataFrame:
-    """What an aggregated stream comes to when it has caught up: each batch replaces the table at the path."""
-    kept = counts.schema
+def _version(order: str, columns: list[str]) -> Column:
+    """What decides which of two rows of one key is newer: the order, then a hash of the row, so that equal times are settled, too."""
+    return F.struct(F.col(order).alias("at"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("tie"))
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return counts.sparkSession.read.schema(kept).parquet(path)
+def newest_versions(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of a table's rows with one key the newest; null orders count as oldest."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(key).agg(F.max_by(whole, _version(order, rows.columns)).alias("_row")).select("_row.*")
+
+
+def superseding(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of a stream that are newer than any row of their key in this or an earlier batch.
+
+    ``order`` is a long, such as a file's modification time.  State holds the
+    newest version seen of each key, two numbers, and grows with the keys, as
+    the table does: a key that was forgotten would let an older version pass.
+    """
+    columns = stream.columns
+    tie = _version(order, columns)
+    ready = stream.withColumns({"_at": F.coalesce(tie["at"].cast("long"), F.lit(-(1 << 62))), "_tie": tie["tie"]}).withColumn("_key", F.col(key))
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, best = state.getOption, None
+        for part in parts:
+            newest = part.sort_values(["_at", "_tie"]).tail(1)
+            mark = (int(newest["_at"].iloc[0]), int(newest["_tie"].iloc[0]))
+            if seen is None or mark > tuple(seen):
+                seen, best = mark, newest
+        if best is not None:
+            state.update(seen)
+            yield best[columns]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return ready.groupBy("_key").applyInPandasWithState(run, fields, "at long, tie long", "update", GroupStateTimeout.NoTimeout)
+
+
+def take_up_versions(stream: DataFrame, key: str, order: str, checkpoint: str, path: str) -> StreamingQuery:
+    """Keeps what supersedes, batch by batch, below ``path``; may be stopped and started again at any batch."""
+    return take_up(superseding(stream, key, order), checkpoint, into_parquet(path), "update")
+
+
+def current(spark: SparkSession, path: str, like: DataFrame, key: str, order: str) -> DataFrame:
+    """The newest version of each key among all batches taken up."""
+    return newest_versions(spark.read.schema(like.schema).parquet(path).select(like.columns), key, order)
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by window and type, complete after the lateness allowed; batch or stream."""
+    """Events by window and type; of a stream each window once, when the watermark has passed its end."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def split_late(stream: DataFrame, checkpoint: str, path: str, window: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
+    """Parts a stream's batches into rows in time and rows whose window the watermark had passed when they came.
+
+    The watermark of a batch is the greatest time of all earlier batches less
+    ``late``, as for the counts; each batch leaves its greatest time, one row,
+    below ``path``/marks, its rows in time below ``path``/rows and the late ones
+    below ``path``/late, all in folders of its number, so a repeated batch
+    replaces itself.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        passed = F.lit(None).cast("timestamp")
+        if number:
+            earlier = spark.read.parquet(f"{path}/marks").filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+            passed = F.lit(earlier).cast("timestamp") - F.expr(f"interval {late}")
+        # A null time is in no window.
+        marked = batch.filter("ts is not null").withColumn("_late", F.coalesce(F.window("ts", window)["end"] <= passed, F.lit(False)))
+        marked.persist()
+        try:
+            marked.filter("not _late").drop("_late").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+            marked.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+            marked.agg(F.max("ts").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        finally:
+            marked.unpersist()
+
+    return take_up(stream, checkpoint, put)
+
+
+def settled_counts(events: DataFrame, checkpoint: str, path: str, window: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
+    """Takes up a stream of events: late rows aside, then counts in append mode, each settled window once, below ``path``/counts.
+
+    May be run again whenever there is more; the query returned is the one that
+    counts, and shows how many rows its state holds.
+    """
+    spark, like = events.sparkSession, events.schema
+    split_late(events, f"{checkpoint}/split", path, window, late)
+    # All batches parted by now are one batch here, so that the watermark never gets ahead of that by which they were parted.
+    kept = spark.readStream.schema(like).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    return take_up(event_counts(kept, window, late), f"{checkpoint}/counts", into_parquet(f"{path}/counts"))
+
+
+def late_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rows that came too late, of all batches."""
+    return spark.read.schema(like.schema).parquet(f"{path}/late").select(like.columns)
