@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.functions.similarity import indel_ratio
+from citeloom.operators import greedy
 from citeloom.sources.documents import owned
 from citeloom.sources.store import cut
 
@@ -178,30 +179,23 @@ def batch_groups(names: DataFrame, existing: DataFrame, least: int = 3) -> DataF
     Within a surname, names with longer first names, then of more papers, then
     by text, come first: each joins the earlier one that it matches best, or
     stands for itself with a suggested id that ``existing`` (author_id) lacks.
-    A surname's distinct names are handled together, since the order matters.
     """
-    import pandas as pd
-
     from citeloom.operators.resolve import assign_ids
 
     n = names.select("paper_id", "name", T.parse_author(F.col("name")).alias("p")).filter("p is not null")
-    n = n.groupBy("name").agg(F.count_distinct("paper_id").alias("n"), F.first("p").alias("p")).select("name", "n", F.lower("p.lastname").alias("last"), "p.initials", "p.full_firstname")
+    n = cut(n.groupBy("name").agg(F.count_distinct("paper_id").alias("n"), F.first("p").alias("p")).select("name", "n", F.lower("p.lastname").alias("last"), "p.initials", "p.full_firstname"))
     alone = n.select(F.col("name").alias("author_id"), F.col("name").alias("canonical_name"), F.col("name").alias("name_variants"))
-    close = link_scores(n.select("name"), alone).filter((F.col("score") >= least) & (F.col("name") != F.col("author_id"))).groupBy("name").agg(F.collect_list(F.struct("author_id", "score")).alias("close"))
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(size=part["full_firstname"].str.len()).sort_values(["size", "n", "name"], ascending=[False, False, True])
-        primaries: dict[str, int] = {}
-        rows = []
-        for name, near in zip(part["name"], part["close"], strict=True):
-            found = [(-x["score"], primaries[x["author_id"]], x["author_id"]) for x in (near if near is not None else []) if x["author_id"] in primaries]
-            best = min(found)[2] if found else None
-            if best is None:
-                primaries[name] = len(primaries)
-            rows.append((name, best))
-        return pd.DataFrame(rows, columns=["name", "primary_name"])
-
-    chosen = n.join(close, "name", "left").groupBy("last").applyInPandas(choose, "name string, primary_name string")
+    ranks = n.select(F.col("name").alias("node"), F.struct((-F.length("full_firstname")).alias("size"), (-F.col("n")).alias("n"), F.col("name").alias("name")).alias("rank"))
+    close = link_scores(n.select("name"), alone).filter((F.col("score") >= least) & (F.col("name") != F.col("author_id")))
+    last = lambda x: n.select(F.col("name").alias(x), F.col("last").alias(f"last_{x}"))
+    close = cut(close.join(last("name"), "name").join(last("author_id"), "author_id").filter("last_name = last_author_id").select("name", "author_id", "score"))
+    # A name looks at its own matches only, so a match counts from its later end.
+    side = lambda x: ranks.select(F.col("node").alias(x), F.col("rank").alias(f"rank_{x}"))
+    earlier = cut(close.join(side("name"), "name").join(side("author_id"), "author_id").filter("rank_author_id < rank_name"))
+    primary = cut(greedy.first_independent(ranks, earlier.select(F.col("author_id").alias("a"), F.col("name").alias("b"))))
+    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("rank_author_id").alias("rank"), F.col("author_id").alias("of")))["of"]
+    joined = earlier.join(primary.filter("chosen").select(F.col("node").alias("author_id")), "author_id", "left_semi").groupBy("name").agg(best.alias("primary_name"))
+    chosen = cut(n.select("name").join(joined, "name", "left"))
     suffix = F.when(F.col("full_firstname") != "", F.col("full_firstname")).when(F.col("initials") != "", F.col("initials")).otherwise("unknown")
     first = n.join(chosen.filter("primary_name is null").select("name"), "name").select("name", F.concat_ws("_", "last", suffix).alias("base"))
     ids = assign_ids(first, existing.select(F.col("author_id").alias("paper_id")), "name").select("name", F.col("paper_id").alias("author_id"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,8 @@ from citeloom.operators.maintain import blank, first_of_each
 from citeloom.sources.documents import owned
 
 CHUNK, PAGE_RULE = 160_000, "=" * 80
-#: How lines of a title page begin, in any case, that are neither title nor authors.
-OTHER_LINES = ["arxiv:", "doi", "http", "www.", "received", "accepted", "published", "submitted", "contents lists", "review of ", "proceedings of "]
+#: What lines of a title page look like: a title's fewest words and characters; shares in percent of their characters that aren't blank; an author line's greatest length.
+TITLE_WORDS, TITLE_LENGTH, LETTERS, DIGITS, MARKS, AUTHOR_LENGTH = 4, 16, 70, 12, 15, 200
 
 
 def cuts(text: str, most: int) -> list[int]:
@@ -57,25 +56,39 @@ def pages(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, piece.alias("text")).select(key, F.regexp_extract("text", r"PAGE (\d+)", 1).cast("int").alias("page"), "text")
 
 
-def _is_other(line: Column) -> Column:
-    """Whether a line of a title page says when, where or under which number a text appeared, or who wrote it, rather than what it is called."""
-    low = F.lower(line)
-    begins = lambda *starts: reduce(lambda a, b: a | b, [F.startswith(low, F.lit(x)) for x in starts])
-    words = F.split(low, r"\s+")
-    two_names = (F.size(words) > 2) & (F.try_element_at(words, F.lit(2)) == "and") & F.try_element_at(words, F.lit(1)).rlike(r"^[a-z][\w.]+$") & F.try_element_at(words, F.lit(3)).rlike("^[a-z]")
-    number = low.rlike(r"^[0-9]+$") | low.rlike(r"^[0-9]{4}\.[0-9]{4}")
-    markup = (F.startswith(low, F.lit("<!--")) & F.endswith(low, F.lit("-->"))) | (F.startswith(low, F.lit("[")) & F.contains(low, F.lit("](")) & F.endswith(low, F.lit(")")))
-    journal = F.startswith(F.regexp_replace(low, r"\s", ""), F.lit("journal"))  # spaced or not
-    return begins(*OTHER_LINES) | number | markup | journal | F.endswith(line, F.lit(":")) | F.coalesce(two_names, F.lit(False))
+def _features(line: Column) -> tuple[Column, ...]:
+    """Letters, decimal digits and other characters in percent of those that aren't blank, and the numbers of words, of words with a capital first, and of commas."""
+    count = lambda pattern: F.length(F.regexp_replace(line, pattern, ""))
+    solid, letters, digits = count("[ \t]"), count(r"\P{L}"), count(r"\P{Nd}")
+    share = lambda n: 100 * n / F.greatest(solid, F.lit(1))
+    words = F.filter(F.split(line, "[ \t]+"), lambda w: w != "")
+    capital = F.size(F.filter(words, lambda w: w.rlike(r"^[^\p{L}]*\p{Lu}")))
+    return share(letters), share(digits), share(solid - letters - digits), F.size(words), capital, count("[^,]")
+
+
+def _may_be_title(line: Column) -> Column:
+    """Prose of some length, mostly letters, that isn't a list and doesn't lead up to something."""
+    letters, digits, marks, words, _, commas = _features(line)
+    prose = (letters >= LETTERS) & (digits <= DIGITS) & (marks <= MARKS)
+    return prose & (F.length(line) >= TITLE_LENGTH) & (words >= TITLE_WORDS) & (4 * commas <= words) & line.rlike(r"[\p{L}\p{Nd}.?!)]$")
+
+
+def _may_be_authors(line: Column) -> Column:
+    """A list, mostly of words with a capital first, with few digits."""
+    _, digits, _, words, capital, commas = _features(line)
+    return (commas >= 1) & (F.length(line) < AUTHOR_LENGTH) & (digits <= DIGITS) & (2 * capital >= words) & (words <= 4 * (commas + 1))
 
 
 def guessed_metadata(text: Column) -> Column:
-    """(title, authors): the first line of the title page that may be one, and up to three lines with commas after it."""
+    """(title, authors): the first line of the title page that looks like a title, and up to three after it that look like authors.
+
+    Lines are judged by what they are made of: their length, words, capitals,
+    commas, and shares of letters, digits and other characters.
+    """
     lines = F.filter(F.transform(F.split(F.substring(text, 1, 3000), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (x != "") & ~x.rlike("^(=|PAGE)"))
-    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^#{1,6}\s+", "")), lambda x: (x != "") & ~_is_other(x))
-    long = F.transform(clean, lambda x: F.length(x) > 15)
-    at = F.array_position(long, F.lit(True)).cast("int")
-    rest = F.filter(F.slice(clean, at + 1, F.size(clean) + 1), lambda x: F.contains(x, F.lit(",")) & (F.length(x) < 200))
+    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^#{1,6}[ \t]+", "")), lambda x: x != "")
+    at = F.array_position(F.transform(clean, _may_be_title), F.lit(True)).cast("int")
+    rest = F.filter(F.slice(clean, at + 1, F.size(clean) + 1), _may_be_authors)
     return F.struct(F.when(at > 0, F.element_at(clean, at)).otherwise("").alias("title"), F.when(at > 0, F.slice(rest, 1, 3)).otherwise(F.array().cast("array<string>")).alias("authors"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.functions.similarity import indel_ratio, token_sort_ratio
-from citeloom.operators import simjoin
+from citeloom.operators import greedy, simjoin
 from citeloom.operators.graph import components
 from citeloom.sources.store import cut
 
@@ -154,35 +154,15 @@ def confidence(scored: DataFrame, members: DataFrame, limit: int | None = 50) ->
 def dense_parts(members: DataFrame, scored: DataFrame, threshold: float, max_size: int) -> DataFrame:
     """group, part, paper_id: large groups cut into parts in which all pairs reach the threshold.
 
-    The order of choices matters, so each group is handled as a whole: the best
-    pair first (smaller ids among equals), then ids in order while all pairs
-    hold.  Groups are components of close pairs, of bounded size by blocking.
+    The best pair comes first (smaller ids among equals) and takes ids in order
+    while all pairs hold, up to ``max_size``; then the best pair left.  Papers
+    without such a pair are in no part.
     """
-    import pandas as pd
-
-    inside = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a").join(members.withColumnRenamed("paper_id", "id_b"), ["id_b", "group"]).select("group", "id_a", "id_b", "score").filter(F.col("score") >= threshold)
-    kind = members.schema["paper_id"].dataType.simpleString()
-    group_kind = members.schema["group"].dataType.simpleString()
-
-    def cut_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        close: dict = {}
-        for a, b, s in zip(pdf["id_a"], pdf["id_b"], pdf["score"], strict=True):
-            close.setdefault(a, {})[b] = close.setdefault(b, {})[a] = s
-        pairs = sorted(zip(-pdf["score"], pdf["id_a"], pdf["id_b"], strict=True))
-        free, rows, part = set(close), [], 0
-        for _, a, b in pairs:
-            if a not in free or b not in free:
-                continue
-            chosen = [a, b]
-            for c in sorted(free - {a, b}):
-                if len(chosen) < max_size and all(c in close[m] for m in chosen):
-                    chosen.append(c)
-            free -= set(chosen)
-            rows += [(pdf["group"].iloc[0], part, m) for m in chosen]
-            part += 1
-        return pd.DataFrame(rows, columns=["group", "part", "paper_id"])
-
-    return inside.groupBy("group").applyInPandas(cut_group, f"group {group_kind}, part int, paper_id {kind}")
+    inside = scored.join(members.withColumnRenamed("paper_id", "id_a"), "id_a").join(members.withColumnRenamed("paper_id", "id_b"), ["id_b", "group"]).filter(F.col("score") >= threshold)
+    edges = cut(inside.select("group", F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.struct((-F.col("score")).alias("less"), F.col("id_a").alias("a"), F.col("id_b").alias("b")).alias("rank")))
+    found = cut(greedy.dense_cliques(edges, max_size).join(edges.select("a", "b", "group"), ["a", "b"]))
+    seeds = greedy.numbered(found.filter("node = a").select("group", "a", "b", F.col("rank.less").alias("less")), ["group"], ["less", "a", "b"], "part")
+    return found.join(seeds.select("a", "b", "part"), ["a", "b"]).select("group", F.col("part").cast("int").alias("part"), F.col("node").alias("paper_id"))
 
 
 def indexed_candidates(citations: DataFrame, papers: DataFrame) -> DataFrame:

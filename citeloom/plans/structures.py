@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeloom.operators import patch, postings
+from citeloom.operators import packing, patch, postings
 from citeloom.plans.registry import query
 from citeloom.sources import corpus as C
 from citeloom.sources import documents as D
@@ -163,3 +163,36 @@ def rolled_back_two(spark, d):
     steps = [patch.diff(a, b).withColumn("version", F.lit(n)) for n, (a, b) in enumerate(zip(versions, versions[1:], strict=False), 2)]
     back = patch.rolled_back(versions[2], steps[0].unionByName(steps[1]), [2, 3])
     return back.select("key", F.to_json(F.parse_json("value")).alias("value"))
+
+
+# Lines of documents whose fields nobody declared.
+@query(
+    "jsonl_inferred",
+    """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '"' || o_orderstatus || '"' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS note,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_custkey END AS extra, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) * 2 AS n_aside FROM orders""",
+)
+def jsonl_inferred(spark, d):
+    """A line for each order, with fields that are missing, extra or of two types; after each tenth two lines that are no objects."""
+    k = F.col("o_orderkey")
+    o = C.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    status = F.when(k % 4 == 0, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
+    note = F.when(k % 3 != 0, F.concat(F.lit(',"note":"'), "o_orderpriority", F.lit('"'))).otherwise("")
+    extra = F.when(k % 5 == 0, F.concat(F.lit(',"nested":{"extra":'), F.col("o_custkey").cast("string"), F.lit("}"))).otherwise("")
+    line = F.concat(F.lit('{"key":'), k.cast("string"), F.lit(',"status":'), status, note, extra, F.lit("}"))
+    path = store.shared_path(spark)
+    o.select(F.explode(F.when(k % 10 == 0, F.array(line, F.lit('{"key":'), F.lit("[1]"))).otherwise(F.array(line))).alias("value")).write.text(path)
+    rows, aside = D.inferred_lines(spark, path)
+    return rows.select("key", F.to_json("status").alias("status"), "note", F.col("nested.extra").alias("extra")).join(F.broadcast(aside.agg(F.count("*").alias("n_aside"))))  # one row
+
+
+@query(
+    "work_lists",
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS size, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT i, doc_id, size, 0 AS bin, size AS used FROM o WHERE i = 1
+UNION ALL SELECT o.i, o.doc_id, o.size, CASE WHEN r.used + o.size > 29800 THEN bin + 1 ELSE bin END, CASE WHEN r.used + o.size > 29800 THEN o.size ELSE r.used + o.size END FROM r JOIN o ON o.i = r.i + 1)
+SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY 1""",
+)
+def work_lists(spark, d):
+    """All documents by id in lists of at most 30 KB, 200 bytes of which a list's head takes."""
+    docs = C.table(spark, d, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return packing.packed(docs, ["doc_id"], F.col("size"), 30_000, 200).groupBy("bin").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

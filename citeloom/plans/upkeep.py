@@ -202,16 +202,20 @@ def text_chunks(spark, d):
     return ingest.chunks(C.table(spark, d, "documents"), "doc_id", "text", 4000)
 
 
-_STARTS = " OR ".join(f"starts_with(lower(x), '{s}')" for s in ingest.OTHER_LINES)
+_BLANK = r"regexp_replace(x, '[ \t]', '', 'g')"
+_COUNT = lambda c: f"length(regexp_replace(x, '{c}', '', 'g'))"
+_SPLIT = r"list_filter(regexp_split_to_array(x, '[ \t]+'), lambda w: w <> '')"
+_OF = f"greatest(length({_BLANK}), 1)"
+_LETTERS, _DIGITS, _COMMAS = _COUNT(r"\P{L}"), _COUNT(r"\P{Nd}"), _COUNT("[^,]")
+_TITLE = rf"100 * {_LETTERS} >= 70 * {_OF} AND 100 * {_DIGITS} <= 12 * {_OF} AND 100 * (length({_BLANK}) - {_LETTERS} - {_DIGITS}) <= 15 * {_OF} AND length(x) >= 16 AND len({_SPLIT}) >= 4 AND 4 * {_COMMAS} <= len({_SPLIT}) AND regexp_matches(x, '[\p{{L}}\p{{Nd}}.?!)]$')"
+_AUTHORS = rf"{_COMMAS} >= 1 AND length(x) < 200 AND 100 * {_DIGITS} <= 12 * {_OF} AND 2 * len(list_filter({_SPLIT}, lambda w: regexp_matches(w, '^[^\p{{L}}]*\p{{Lu}}'))) >= len({_SPLIT}) AND len({_SPLIT}) <= 4 * ({_COMMAS} + 1)"
 
 
 @query(
     "guessed_metadata",
-    rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split(substr(text, 1, 3000), chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '=') AND NOT starts_with(x, 'PAGE')), lambda x: regexp_replace(x, '^#{{1,6}}\s+', '')),
-  lambda x: x <> '' AND NOT ({_STARTS} OR regexp_matches(x, '^[0-9]+$') OR regexp_matches(x, '^[0-9]{{4}}\.[0-9]{{4}}') OR (starts_with(x, '<!--') AND ends_with(x, '-->')) OR (starts_with(x, '[') AND contains(x, '](') AND ends_with(x, ')'))
-    OR starts_with(regexp_replace(lower(x), '\s', '', 'g'), 'journal') OR ends_with(x, ':') OR regexp_matches(x, '(?i)^[a-z][\w.]+\s+and\s+[a-z]'))) AS lines FROM documents),
-p AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: length(x) > 15), true) AS place FROM l)
-SELECT doc_id, CASE WHEN place > 0 THEN lines[place] ELSE '' END AS title, CAST(CASE WHEN place > 0 THEN least(3, len(list_filter(lines[place + 1:], lambda x: contains(x, ',') AND length(x) < 200))) ELSE 0 END AS INTEGER) AS n_authors FROM p""",
+    rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split(substr(text, 1, 3000), chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '=') AND NOT starts_with(x, 'PAGE')), lambda x: regexp_replace(x, '^#{{1,6}}[ \t]+', '')), lambda x: x <> '') AS lines FROM documents),
+p AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: {_TITLE}), true) AS place FROM l)
+SELECT doc_id, CASE WHEN place > 0 THEN lines[place] ELSE '' END AS title, CAST(CASE WHEN place > 0 THEN least(3, len(list_filter(lines[place + 1:], lambda x: {_AUTHORS}))) ELSE 0 END AS INTEGER) AS n_authors FROM p""",
 )
 def guessed_metadata(spark, d):
     return C.table(spark, d, "documents").select("doc_id", ingest.guessed_metadata(F.col("text")).alias("m")).select("doc_id", "m.title", F.size("m.authors").alias("n_authors"))

@@ -6,6 +6,8 @@ object each, so that one malformed file gives no rows rather than an error.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,3 +220,22 @@ def stale_sources(listing: DataFrame, state: DataFrame) -> DataFrame:
     both = now.join(state.toDF("source", "_n", "_newest", "_size"), "source", "full_outer")
     same = F.col("n").eqNullSafe(F.col("_n")) & F.col("newest").eqNullSafe(F.col("_newest")) & F.col("size").eqNullSafe(F.col("_size"))
     return both.filter(~same).select("source")
+
+
+def inferred_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, aside) of JSON lines whose fields nobody declared.
+
+    The schema is that of all lines together: a field that some lines lack is
+    null there, one whose values have no common type stays a variant, so no
+    value is lost.  Lines that hold no JSON object are set aside as they are;
+    blank lines are neither.  Without any object there are no columns.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    good = F.coalesce(F.startswith(F.to_json("v"), F.lit("{")), F.lit(False))
+    schema = lines.filter(good).select(F.schema_of_variant_agg("v")).first()[0] or "VOID"
+    aside = lines.filter(~good).select("value")
+    if not schema.startswith("OBJECT<") or schema == "OBJECT<>":
+        return lines.filter(good).select(), aside
+    # An object is a struct; a field that only ever is null has no type of its own.
+    typed = re.sub(r": VOID(?=[,>])", ": STRING", schema.replace("OBJECT<>", "VARIANT").replace("OBJECT<", "STRUCT<"))
+    return lines.filter(good).select(F.variant_get("v", "$", typed).alias("r")).select("r.*"), aside

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import ingest
-from citeloom.sources import archive
+from citeloom.sources import archive, documents
 
 
 def ids(df, *cols):
@@ -33,6 +33,32 @@ def test_pages(spark):
     assert [(r.id, r.page, r.text.split("\n")[3]) for r in got] == [("a", 1, "first"), ("a", 7, "last")]
 
 
+@pytest.mark.parametrize(
+    ("line", "title"),
+    [
+        ("A Long Enough Title of a Paper", True),
+        ("Prix du carbone : étude de l'élasticité en Europe", True),
+        ("Is the market efficient? Evidence from 1990", True),
+        ("too short a", False),
+        ("Onlythreeratherlong words here", False),
+        ("10.1000/182 and 2101.00001 v2 12 May 2021", False),
+        ("https://host.example/a/b?c=d and e", False),
+        ("<!-- a remark in the page's source -->", False),
+        ("[a link to it](http://x.example/y/z)", False),
+        ("Doe, Jane, Roe, Kim, and Poe, Max", False),
+        ("Contents of this number follow here:", False),
+        ("", False),
+    ],
+)
+def test_lines_that_look_like_a_title(spark, line, title):
+    assert spark.createDataFrame([(line,)], "x string").select(ingest._may_be_title(F.col("x")).alias("t")).first().t is title
+
+
+@pytest.mark.parametrize(("line", "authors"), [("Doe, Jane, Roe, K.", True), ("B, C", True), ("Jane Doe", False), ("Received 12 May 2001, in revised form", False), ("we thank, among others, the editor", False), ("A, " * 80, False)])
+def test_lines_that_look_like_authors(spark, line, authors):
+    assert spark.createDataFrame([(line,)], "x string").select(ingest._may_be_authors(F.col("x")).alias("t")).first().t is authors
+
+
 def test_guessed_metadata(spark):
     text = "arXiv:2101.00001\n123\nJournal of Things\n# A Long Enough Title of a Paper\nDoe, Jane, Roe, K.\nshort\nReceived 1 May\nB, C"
     m = spark.createDataFrame([(text,), ("tiny",), (None,)], "t string").select(ingest.guessed_metadata(F.col("t")).alias("m")).collect()
@@ -130,3 +156,15 @@ def test_wrapped_text():
 
     assert wrap("one two three\nfour\n\nfive", 9, "  ") == "  one two\n  three\n  four\n\n  five"
     assert wrap(None) == "" and max(map(len, wrap("word " * 100).split("\n"))) <= 80
+
+
+def test_inferred_lines(spark, tmp_path):
+    rows = ['{"a":1,"b":{"c":"x"}}', '{"a":2.5,"d":[1,2],"odd name":null}', '{"a":3,"b":{"c":4},"e f":true}', "  ", "[1]", "{broken", "null", '"text"']
+    (tmp_path / "x.jsonl").write_text("\n".join(rows))
+    found, aside = documents.inferred_lines(spark, str(tmp_path / "x.jsonl"))
+    assert {r["value"] for r in aside.collect()} == {"[1]", "{broken", "null", '"text"'}
+    got = found.selectExpr("double(a) a", "to_json(b.c) c", "d", "`e f` e").orderBy("a").collect()
+    assert [(r.a, r.c, r.d, r.e) for r in got] == [(1.0, '"x"', None, None), (2.5, None, [1, 2], None), (3.0, "4", None, True)]
+    (tmp_path / "y.jsonl").write_text("[1]\n")
+    none, aside = documents.inferred_lines(spark, str(tmp_path / "y.jsonl"))
+    assert none.count() == 0 and aside.count() == 1
