@@ -17,7 +17,7 @@ from citeloom.functions import text as T
 from citeloom.functions.similarity import indel_ratio, token_sort_ratio
 from citeloom.operators import greedy, simjoin
 from citeloom.operators.graph import components
-from citeloom.sources.store import cut
+from citeloom.sources.store import bucketed, cut
 
 CAP = 200
 #: Thresholds, points and signals, best first.
@@ -62,6 +62,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union), F.lit(0.0))
 
 
+#: The lists of neighbours that pairs are compared by.
+NEIGHBOURS = ("cites", "cited_by")
+
+
+def neighbour_store(papers: DataFrame) -> DataFrame:
+    """paper_id, list, other: the items of the papers' lists as rows, bucketed by paper, so that no list moves as a whole."""
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("list"), F.array_distinct(c).alias("items")) for c in NEIGHBOURS])).alias("x")
+    rows = papers.select("paper_id", lists).select("paper_id", F.col("x.list").alias("list"), F.explode("x.items").alias("other"))
+    return bucketed(rows.filter("other is not null"), "paper_id", "list", "other")
+
+
+def shared_neighbours(pairs: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """id_a, id_b and for each list c: c_a, c_b (its sizes) and c_both (what both have).
+
+    The shorter list's items are looked up in the longer one, row by row: a
+    paper with very many citers costs a pair no more than the other's list.
+    """
+    sizes = cut(neighbours.groupBy("paper_id").agg(*[F.count(F.when(F.col("list") == c, 1)).alias(c) for c in NEIGHBOURS]))
+    side = lambda x: sizes.select(F.col("paper_id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in NEIGHBOURS])
+    sized = cut(pairs.select("id_a", "id_b").join(side("a"), "id_a", "left").join(side("b"), "id_b", "left").fillna(0, [f"{c}_{x}" for c in NEIGHBOURS for x in "ab"]))
+    fewer = lambda c: F.col(f"{c}_a") <= F.col(f"{c}_b")
+    asked = F.explode(F.array(*[F.struct(F.lit(c).alias("list"), F.when(fewer(c), F.col("id_a")).otherwise(F.col("id_b")).alias("paper_id"), F.when(fewer(c), F.col("id_b")).otherwise(F.col("id_a")).alias("against"), F.least(f"{c}_a", f"{c}_b").alias("n")) for c in NEIGHBOURS])).alias("x")
+    looked = sized.select("id_a", "id_b", asked).select("id_a", "id_b", "x.*").filter("n > 0").drop("n")
+    items = looked.join(neighbours, ["paper_id", "list"]).select("id_a", "id_b", "list", F.col("against").alias("paper_id"), "other")
+    both = items.join(neighbours, ["paper_id", "list", "other"], "left_semi").groupBy("id_a", "id_b").agg(*[F.count(F.when(F.col("list") == c, 1)).alias(f"{c}_both") for c in NEIGHBOURS])
+    return sized.join(both, ["id_a", "id_b"], "left").fillna(0, [f"{c}_both" for c in NEIGHBOURS])
+
+
 def _tier(value: Column, tiers: list) -> tuple[Column, Column]:
     points, signal = F.lit(0.0), F.lit(None).cast("string")
     for least, p, name in reversed(tiers):
@@ -73,19 +101,22 @@ def pair_scores(pairs: DataFrame, papers: DataFrame) -> DataFrame:
     """id_a, id_b, score, signals, title_similarity, title_len, cites_jaccard, cited_by_jaccard, author_jaccard, s2_mismatch.
 
     Text similarity is the one step in Python, over distinct pairs of titles.
+    Lists of neighbours are compared row by row (``shared_neighbours``); of what
+    moves with a pair only the authors' surnames are a list.
     """
     keys = T.normalize_author_lastname
     names = F.array_distinct(F.filter(F.transform("authors", lambda a: F.try_element_at(keys(a), F.lit(1))), lambda x: x.isNotNull()))
-    p = papers.select("paper_id", T.title_text(F.col("title")).alias("t"), names.alias("names"), F.try_element_at(names, F.lit(1)).alias("first"), T.normalize_doi(F.col("doi")).alias("doi"), "s2_id", T.safe_year(F.col("year")).alias("year"), "cites", "cited_by")
+    p = papers.select("paper_id", T.title_text(F.col("title")).alias("t"), names.alias("names"), F.try_element_at(names, F.lit(1)).alias("first"), T.normalize_doi(F.col("doi")).alias("doi"), "s2_id", T.safe_year(F.col("year")).alias("year"))
     side = lambda x: p.select([F.col(c).alias(f"id_{x}" if c == "paper_id" else f"{c}_{x}") for c in p.columns])
-    j = pairs.select("id_a", "id_b").join(side("a"), "id_a").join(side("b"), "id_b")
+    j = shared_neighbours(pairs, neighbour_store(papers)).join(side("a"), "id_a").join(side("b"), "id_b")
     titles = j.filter("t_a <> '' and t_b <> ''").select("t_a", "t_b").distinct()
     titles = titles.withColumn("sim", F.greatest(indel_ratio("t_a", "t_b"), token_sort_ratio("t_a", "t_b")) / 100)
     j = j.join(titles, ["t_a", "t_b"], "left").fillna(0.0, ["sim"])
     same = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False)) & (F.coalesce(F.col(f"{c}_a").cast("string"), F.lit("")) != "")
     n_a, n_b = F.size("names_a"), F.size("names_b")
     shared = F.size(F.array_intersect("names_a", "names_b"))
-    j = j.withColumns({"aj": jaccard(F.col("names_a"), F.col("names_b")), "cj": jaccard(F.col("cites_a"), F.col("cites_b")), "bj": jaccard(F.col("cited_by_a"), F.col("cited_by_b"))})
+    share = lambda c: F.when((F.col(f"{c}_a") > 0) & (F.col(f"{c}_b") > 0), F.col(f"{c}_both") / (F.col(f"{c}_a") + F.col(f"{c}_b") - F.col(f"{c}_both"))).otherwise(0.0)
+    j = j.withColumns({"aj": jaccard(F.col("names_a"), F.col("names_b")), "cj": share("cites"), "bj": share("cited_by")})
     title_pts, title_sig = _tier(F.col("sim"), TITLE)
     prefix = lambda t: F.array_join(F.slice(T.words_of(F.col(t)), 1, 5), "_")
     on_prefix = (F.col("sim") < 0.80) & (F.length(prefix("t_a")) > 8) & (prefix("t_a") == prefix("t_b"))
@@ -95,7 +126,7 @@ def pair_scores(pairs: DataFrame, papers: DataFrame) -> DataFrame:
     first = F.when(same("first"), 0.5).otherwise(0.0)
     gap = F.abs(F.col("year_a") - F.col("year_b"))
     year = F.when(gap == 0, 0.5).when(gap == 1, 0.3).when(gap == 2, 0.1).otherwise(0.0)
-    citers = (F.col("bj") >= 0.30) & (F.size(F.array_intersect("cited_by_a", "cited_by_b")) >= 3)
+    citers = (F.col("bj") >= 0.30) & (F.col("cited_by_both") >= 3)
     cites_pts, cites_sig = _tier(F.col("cj"), CITES)
     flag = lambda on, points: F.when(on, points).otherwise(0.0)
     score = flag(same("s2_id"), 4.0) + flag(same("doi"), 4.0) + title_pts + flag(on_prefix, 0.75) + F.least(author_pts + first, F.lit(1.5)) + year + flag(citers, 0.75) + cites_pts

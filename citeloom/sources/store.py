@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, *then: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by ``key`` and sorted within buckets: joins on the key move only the other side."""
+    spark = df.sparkSession
+    name, n = f"citeloom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *then).option("path", shared_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Writes a table anew; reading it in the same plan is safe, since rows are written aside first."""
     cut(df).write.mode("overwrite").parquet(path)

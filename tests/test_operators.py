@@ -366,3 +366,20 @@ def test_findings(spark):
     assert ids(findings.overlap(pairs, 1, 2), "paper_id") == ["a"]
     assert ids(findings.containing(f, "CARBON"), "finding_id") == [1]
     assert ids(findings.with_flags(pairs, nodes(spark, "a", "owned")), "finding_id", "paper_id", "in_db", "owned") == [(1, "a", True, True), (2, "a", True, True), (2, "zz", False, False)]
+
+
+def test_pairs_of_a_paper_with_very_many_citers(spark):
+    """Neighbours are compared as rows: no list of them is in an exchange, and the hub's list isn't read for each pair."""
+    n = 100_000
+    many = spark.range(n).selectExpr("concat('c', id) as c").agg(F.collect_list("c").alias("cited_by"))
+    hub = many.selectExpr("'hub' as paper_id", "'' as title", "cited_by")
+    rest = spark.range(40).selectExpr("concat('p', id) as paper_id", "'' as title", "transform(sequence(0, 9), x -> concat('c', if(id % 2 = 0, x, x + 200000))) as cited_by")
+    papers = hub.unionByName(rest).selectExpr("paper_id", "title", "array() as authors", "cast(null as string) as doi", "cast(null as string) as s2_id", "cast(null as string) as year", "cast(array() as array<string>) as cites", "cited_by")
+    papers = papers.withColumn("authors", F.array().cast("array<string>"))
+    pairs = spark.range(40).selectExpr("'hub' as id_a", "concat('p', id) as id_b")
+    stored = resolve.neighbour_store(papers)
+    found = resolve.shared_neighbours(pairs, stored)
+    assert {(r["id_b"], r["cited_by_a"], r["cited_by_b"], r["cited_by_both"]) for r in found.collect()} == {(f"p{k}", n, 10, 10 if k % 2 == 0 else 0) for k in range(40)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array" not in plan.split("Exchange")[-1] and "Bucketed: true" in plan
+    assert resolve.pair_scores(pairs, papers).count() == 40

@@ -36,10 +36,8 @@ def test_query_equals_its_oracle(spark, con, name):
     assert plain(tuple(r) for r in df.select(*cols).collect()) == plain(expected)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_sql_gives_rows(spark, name):
-    df = catalog.QUERIES[name](spark, DATA)
-    assert df.columns and df.limit(1).count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_pagerank_counts_every_citation(spark):
