@@ -14,19 +14,22 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.operators import centrality, findings, graph, lookup, search
-from citeloom.sources import documents
+from citeloom.operators import centrality, findings, graph, lookup, postings, search
+from citeloom.sources import documents, store
 
 WIDTH = 80
 TABLES = ["papers", "edges", "contexts", "authors", "paper_authors", "claims", "keywords", "topics", "sections", "methodology", "data_sources", "questions", "citation_counts"]
 
 
 def build(spark: SparkSession, source: str, out: str) -> None:
-    """Every relational table from papers.json, contexts.json, authors.json and extractions/."""
+    """Every relational table from papers.json, contexts.json, authors.json, extractions/ and, if there is one, findings/."""
     docs = documents.load_papers(spark, f"{source}/papers.json").cache()
     authors, paper_authors = documents.authors_tables(spark, f"{source}/authors.json")
     tables = {"papers": documents.papers_table(docs), "edges": documents.edges_table(docs), "citation_counts": documents.citation_counts(docs), "contexts": documents.contexts_table(spark, f"{source}/contexts.json"), "authors": authors, "paper_authors": paper_authors}
     tables |= documents.extraction_tables(documents.load_extractions(spark, f"{source}/extractions"))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{source}/findings")
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        tables["findings"] = documents.load_findings(spark, f"{source}/findings")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
     docs.unpersist()
@@ -111,6 +114,17 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--purpose")
     q.add_argument("--search")
     q.add_argument("--sort", choices=["id", "year", "purpose", "appearances"], default="id")
+    add("search-all", "query", limit=10)
+    add("index")
+    add("findings")
+    for name in ("findings-show", "findings-papers"):
+        add(name, "finding")
+    for name in ("findings-search", "findings-tag"):
+        add(name, "term")
+    add("findings-for-paper", "id")
+    add("findings-missing")
+    add("findings-tags")
+    add("findings-overlap", "finding", "other")
     add("sql", "statement", limit=1000)
     add("schema")
     return p
@@ -125,6 +139,21 @@ def _add(sub, name: str, args: tuple, **options):
     return q
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """A table's rows with the key that its index gives them."""
+    own, columns = postings.INDEXED[name]
+    rows = df.withColumn("key", F.col(own)) if own else df.dropDuplicates().withColumn("key", postings.row_number_of(df))
+    return rows.withColumn("text", F.concat_ws(" | ", *[c for c in columns if c in df.columns]))
+
+
+def stored_index(spark: SparkSession, data: str, name: str, df: DataFrame) -> postings.Index:
+    """The index that ``index`` left, or one made for this session."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{data}/indexes/{name}/totals")
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return postings.load(spark, f"{data}/indexes/{name}")
+    return postings.build_all({name: df}, store.shared_path(spark))[name]
+
+
 def answer(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     t = lambda name: spark.read.parquet(f"{a.data}/{name}.parquet")
     papers = t("papers")
@@ -133,6 +162,9 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     hit = lambda name, key, cols: search.top_hits(search.bm25(t(name), key, cols, a.query), key, a.limit)
     named = lambda: search.contains_any(t("authors"), ["canonical_name", "name_variants"], a.name)
     ids = [one_id(papers, i) for i in a.ids] if getattr(a, "ids", None) and a.command != "shared-papers" else getattr(a, "ids", None)
+    indexed = lambda name: stored_index(spark, a.data, name, t(name))
+    found = lambda: t("findings")
+    pairs = lambda: findings.finding_papers(found()).withColumn("finding_id", F.col("finding_id").cast("string"))
     rank = lambda scores: centrality.ranked(scores, papers, a.limit, a.types)
     return {
         "paper": lambda: lookup.paper(papers, t("edges"), t("contexts"), pid),
@@ -168,6 +200,17 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         "search-keywords": lambda: hit("keywords", "keyword", ["keyword"]),
         "search-authors": lambda: search.search_or_contains(t("authors"), "author_id", ["canonical_name", "name_variants"], a.query, a.limit),
         "search-methods": lambda: search.contains_any(t("methodology"), ["type"], a.query).select("paper_id", "type").limit(a.limit),
+        "search-all": lambda: postings.search_all({n: (indexed(n), keyed(t(n), n), "key") for n in ("topics", "claims", "keywords", "papers", "sections")}, a.query, a.limit).orderBy("kind", "rank"),
+        "index": lambda: spark.createDataFrame([(n, i.totals.first()["n"]) for n, i in postings.build_all({n: t(n) for n in postings.INDEXED}, f"{a.data}/indexes").items()], "table string, rows long"),
+        "findings": lambda: found().select("finding_id", "title", "tags").orderBy("finding_id"),
+        "findings-show": lambda: found().filter(F.col("finding_id").cast("string") == a.finding),
+        "findings-papers": lambda: findings.with_flags(pairs().filter(F.col("finding_id") == a.finding), papers),
+        "findings-search": lambda: findings.containing(found(), a.term).select("finding_id", "title"),
+        "findings-tag": lambda: found().filter(F.array_contains("tags", a.term)).select("finding_id", "title"),
+        "findings-for-paper": lambda: pairs().filter(F.col("paper_id") == pid),
+        "findings-missing": lambda: findings.missing(pairs(), papers),
+        "findings-tags": lambda: findings.tag_counts(found().select(F.explode("tags").alias("tag"))),
+        "findings-overlap": lambda: findings.overlap(pairs(), a.finding, a.other),
         "pagerank": lambda: rank(centrality.pagerank(papers, t("edges"), a.kind, a.seed, max_iter=a.max_iter, tol=a.tol)),
         "katz": lambda: rank(centrality.katz(papers, t("edges"), a.kind, a.seed, a.alpha, a.beta, max_iter=a.max_iter, tol=a.tol)),
         "explore": lambda: findings.explore(t("contexts"), papers, a.owned, a.purpose, a.search, a.sort, a.limit),

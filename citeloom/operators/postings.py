@@ -78,7 +78,7 @@ def build_all(tables: dict[str, DataFrame], path: str, stem: bool = False) -> di
     for name, (key, columns) in INDEXED.items():
         if name not in tables:
             continue
-        df = tables[name]
+        df = tables[name] if key else tables[name].dropDuplicates()
         text = [F.array_join(c, " ").alias(c) if df.schema[c].dataType.typeName() == "array" else F.col(c) for c in columns if c in df.columns]
         out[name] = build(df.select((F.col(key) if key else row_number_of(df)).alias("key"), *text), "key", [c for c in columns if c in df.columns], f"{path}/{name}", stem)
     return out
@@ -125,9 +125,9 @@ def top(index: Index, key: str, query: str, limit: int = 15) -> DataFrame:
 
 
 def search_all(kinds: dict[str, tuple[Index, DataFrame, str]], query: str, limit: int = 10) -> DataFrame:
-    """kind, total, rank, key, paper_id, score, papers_shown: the best rows of each kind in one table.
+    """kind, total, rank, key, paper_id, text, score, papers_shown: the best rows of each kind in one table.
 
-    kinds: name -> (index, rows, key), rows holding the key and a paper_id.
+    kinds: name -> (index, rows, key), rows holding the key, a paper_id and the text to be shown.
     ``total`` counts the kind's rows with a term, ``papers_shown`` the distinct
     papers among all rows shown.  A kind without a hit gives no row.
     """
@@ -141,7 +141,7 @@ def search_all(kinds: dict[str, tuple[Index, DataFrame, str]], query: str, limit
         total = found.select(F.explode("keys").alias("k")).agg(F.count_distinct("k").alias("total"))
         best = top(index, key, query, limit).join(F.broadcast(total))
         ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), key)))  # ``limit`` rows
-        paper = rows.select(key, (F.col("paper_id") if "paper_id" in rows.columns else F.lit(None)).cast("string").alias("_paper"))
-        parts.append(ranked.join(paper, key).select(F.lit(name).alias("kind"), "total", "rank", F.col(key).cast("string").alias("key"), F.col("_paper").alias("paper_id"), "score"))
+        paper = rows.select(key, *[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(f"_{c}") for c in ("paper_id", "text")])
+        parts.append(ranked.join(paper, key).select(F.lit(name).alias("kind"), "total", "rank", F.col(key).cast("string").alias("key"), F.col("_paper_id").alias("paper_id"), F.col("_text").alias("text"), "score"))
     shown = cut(reduce(DataFrame.unionByName, parts))
     return shown.join(F.broadcast(shown.agg(F.count_distinct("paper_id").alias("papers_shown"))))  # one row

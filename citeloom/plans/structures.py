@@ -60,7 +60,7 @@ def search_all(spark, d):
         "topics": C.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("paper_id"), "text"),
     }
     kinds = {name: (_index(spark, df, "id", ["text"]), df, "id") for name, df in rows.items()}
-    return postings.search_all(kinds, " ".join(_TERMS)).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+    return postings.search_all(kinds, " ".join(_TERMS)).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")}).drop("text")
 
 
 # Streams.

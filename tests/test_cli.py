@@ -17,6 +17,9 @@ def data(spark, tmp_path_factory):
     (d / "contexts.json").write_text(json.dumps({"by_cited": {"roe_1999_tax": [{"citing": "doe_2001_carbon", "purpose": "background", "section": "Intro", "quote": "q"}]}}))
     (d / "authors.json").write_text(json.dumps({"persons": {"doe_j": {"canonical_name": "Doe, J.", "name_variants": ["Doe, J."], "papers": ["doe_2001_carbon"], "paper_count": 1}}, "institutions": {"bank": {"name": "Bank", "papers": ["roe_1999_tax"]}}}))
     (d / "extractions" / "doe_2001_carbon.json").write_text(json.dumps({"claims": [{"claim": "prices rise", "type": "finding"}], "keywords": ["tax"], "topics": {"themes": ["energy"]}, "sections": [{"heading": "Intro", "summary": "s"}], "methodology": {"type": "model"}, "questions": ["why"]}))
+    (d / "findings").mkdir()
+    for k, papers_of in (("f1", ["doe_2001_carbon", "roe_1999_tax"]), ("f2", ["roe_1999_tax", "unknown"])):
+        (d / "findings" / f"{k}.json").write_text(json.dumps({"id": k, "title": f"Finding {k}", "question": "q", "summary": "rising", "tags": ["macro"], "papers": [{"paper_id": p, "note": ""} for p in papers_of]}))
     cli.build(spark, str(d), str(d / "out"))
     return str(d / "out")
 
@@ -30,6 +33,8 @@ def data(spark, tmp_path_factory):
         (["top-authors"], "doe_j"), (["purpose", "background"], "Intro"), (["chain", "tax"], "doe_2001_carbon"), (["co-cited", "tax"], "(0 rows)"), (["bib-coupling", "doe"], "(0 rows)"), (["shared-refs", "doe"], "roe_1999_tax"),
         (["common-citers", "tax"], "doe_2001_carbon"), (["shared-papers", "doe_j"], "doe_2001_carbon"), (["search", "carbon"], "doe_2001_carbon"), (["search-claims", "prices"], "prices rise"), (["search-authors", "doe"], "doe_j"),
         (["pagerank", "--max-iter", "3"], "Tax"), (["katz", "--max-iter", "3", "--owned"], "Carbon"), (["explore", "--purpose", "background"], "Tax"), (["sql", "SELECT count(*) AS n FROM papers"], "2"), (["schema"], "cited_title"),
+        (["search-all", "prices carbon energy"], "energy"), (["index"], "sections"), (["search-all", "prices"], "doe_2001_carbon"), (["findings"], "Finding f2"), (["findings-show", "f1"], "rising"), (["findings-papers", "f1"], "doe_2001_carbon"),
+        (["findings-search", "RISING"], "Finding f1"), (["findings-tag", "macro"], "Finding f1"), (["findings-for-paper", "tax"], "f2"), (["findings-missing"], "unknown"), (["findings-tags"], "macro"), (["findings-overlap", "f1", "f2"], "roe_1999_tax"),
     ],
 )
 def test_command(spark, data, capsys, args, shown):
