@@ -4,15 +4,19 @@ A file holds record batches of two fixed-size lists, ``tokens`` and ``mask``
 (false on padding): every sequence has the same length, so that document,
 sequence and token positions are plain arithmetic and a mapped file is read
 without a copy.  Documents follow each other without a gap in ascending order
-of their ids; only a file's last sequence is padded.
+of their ids; only a file's last sequence is padded.  A batch carries, as its
+metadata, the ids of the documents that end in it and the places of their ends,
+so that a file tells by itself whose ids it holds.
 
 A table of an entry per document (file, position, number of ids) is written
 with Spark's commit protocol.  Each attempt of a task writes a file of its own
-name, and only files named in that table count.
+name, and only files named in that table count.  What is read back comes from
+the files; the table says which ones, and serves random access.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 import uuid
@@ -152,16 +156,21 @@ def _without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 class _Packer:
-    """Writes ids as full sequences; holds at most one record batch."""
+    """Writes ids as full sequences; holds at most one record batch and the documents that end in it."""
 
-    def __init__(self, path: str, wide: np.dtype, length: int):
+    def __init__(self, path: str, wide: np.dtype, length: int, end: int):
         self.length, self.wide = length, wide
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(wide), length)), ("mask", pa.list_(pa.bool_(), length))])
+        columns = [("tokens", pa.list_(pa.from_numpy_dtype(wide), length)), ("mask", pa.list_(pa.bool_(), length))]
+        self.schema = pa.schema(columns, metadata={"end": str(end)})
         self.sink = writer(path)
         self.out = pa.ipc.new_file(self.sink, self.schema)
-        self.rest = np.zeros(0, wide)
+        self.rest, self.done = np.zeros(0, wide), 0
+        self.documents: pa.Table | None = None
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, doc_ids: pa.Array, n: np.ndarray) -> None:
+        ends = self.done + len(self.rest) + np.cumsum(n)
+        more = pa.table({"doc_id": doc_ids, "end": pa.array(ends, pa.int64())})
+        self.documents = more if self.documents is None else pa.concat_tables([self.documents, more])
         self.rest = np.r_[self.rest, ids]
         full = len(self.rest) // (ROWS * self.length) * ROWS * self.length
         for lo in range(0, full, ROWS * self.length):
@@ -171,7 +180,12 @@ class _Packer:
     def _put(self, ids: np.ndarray) -> None:
         tokens = np.zeros(-(-len(ids) // self.length) * self.length, self.wide)
         tokens[: len(ids)] = ids
-        self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(tokens), type=self.schema.types[0]), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(tokens)) < len(ids)), type=self.schema.types[1])], schema=self.schema))
+        columns = [pa.array(tokens), pa.array(np.arange(len(tokens)) < len(ids))]
+        lists = [pa.FixedSizeListArray.from_arrays(c, type=x) for c, x in zip(columns, self.schema.types, strict=True)]
+        self.done += len(ids)
+        here = int(np.searchsorted(self.documents.column("end").to_numpy(), self.done, "right"))
+        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema), {"documents": _spelt(self.documents.slice(0, here))})
+        self.documents = self.documents.slice(here).combine_chunks()
 
     def close(self) -> None:
         if len(self.rest):
@@ -180,6 +194,14 @@ class _Packer:
         self.sink.close()
 
 
+def _spelt(table: pa.Table) -> str:
+    """A small table as ASCII, for metadata."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return base64.b64encode(sink.getvalue()).decode()
+
+
 class Sequences:
     """Random access to a written file; every batch but the last has as many ids."""
 
@@ -213,8 +235,8 @@ def _encode_and_write(folder: str, tokenizer: str, end: int, length: int):
             sizes = []
             for texts in B.slices(b.column("text")):
                 ids, n = coder.encode(texts, end)
-                packer = packer or _Packer(path, coder.wide, length)
-                packer.add(ids)
+                packer = packer or _Packer(path, coder.wide, length, end)
+                packer.add(ids, b.column("doc_id").slice(sum(map(len, sizes)), len(n)), n)
                 sizes.append(n)
             n = np.concatenate([*sizes, np.zeros(0, np.int64)])
             entries.append((b.column("doc_id"), at + np.cumsum(n) - n, n))
@@ -240,23 +262,59 @@ def write_sequences(docs: DataFrame, tokenizer: str, end: int, length: int = LEN
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     entries = written(mapped(ordered, _encode_and_write(shared_dir(docs.sparkSession), tokenizer, end, length), f"part int, path string, doc_id {kind}, at long, n_tokens long", "encoder"))
-    parts = entries.groupBy("part").agg(F.sum("n_tokens").alias("ids"))  # a row for each file
-    before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    return entries.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("at")).drop("before")
+    return entries.join(F.broadcast(_before(entries)), "part").withColumn("start", F.col("before") + F.col("at")).drop("before")
+
+
+def _before(rows: DataFrame) -> DataFrame:
+    """part, before: the ids of all files before each, a row for each file."""
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    return parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+
+
+def documents_of(path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[int]]]:
+    """Reads a file from end to end: for each batch the documents that end in it, their first positions, numbers of ids and crc32.
+
+    A file whose places and ids disagree (a document that doesn't close with
+    the end id, or ids that belong to none) is an error.
+    """
+    file = Sequences(path).file
+    end = int(file.schema.metadata[b"end"])
+    at, begun, crc = 0, 0, 0  # ids read so far, where the document now read began, and its sum up to here
+    for k in range(file.num_record_batches):
+        batch, meta = file.get_batch_with_custom_metadata(k)
+        ids = batch.column("tokens").values.to_numpy()[batch.column("mask").values.to_numpy(zero_copy_only=False)]
+        documents = pa.ipc.open_stream(base64.b64decode(meta[b"documents"])).read_all().combine_chunks()
+        cuts = documents.column("end").to_numpy() - at
+        if len(cuts) and ((np.diff(cuts, prepend=0) < 1).any() or cuts[-1] > len(ids) or (ids[cuts - 1] != end).any()):
+            raise ValueError(f"{path}: documents don't end at the end ids of batch {k}")
+        raw, lo, sums = memoryview(ids.astype("<u4")).cast("B"), 0, []
+        for cut in cuts.tolist():
+            sums.append(zlib.crc32(raw[4 * lo : 4 * cut], crc))
+            crc, lo = 0, cut
+        crc = zlib.crc32(raw[4 * lo :], crc)
+        starts = np.r_[begun, at + cuts]
+        yield documents.column("doc_id"), starts[:-1], np.diff(starts), sums
+        at, begun = at + len(ids), int(starts[-1])
+    if begun != at:
+        raise ValueError(f"{path}: ids of no document")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    path, file = None, None
     for b in batches:
-        sums = []
-        for where, at, n in zip(b.column("path").to_pylist(), b.column("at").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-            if where != path:
-                path, file = where, Sequences(where)
-            sums.append(zlib.crc32(file.ids(at, n).astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for part, path in zip(b.column("part").to_pylist(), b.column("path").to_pylist(), strict=True):
+            for doc_id, at, n, sums in documents_of(path):
+                if len(sums):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), part, np.int32)), doc_id.combine_chunks(), pa.array(at), pa.array(n), pa.array(sums, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_digests(entries: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids (as little-endian unsigned 32-bit integers), read back from the files."""
+    """doc_id, start, n_tokens and the crc32 of the ids (as little-endian unsigned 32-bit integers), all read back from the files.
+
+    Of ``entries`` only the files' names and their order count.  A task reads a
+    file, batch by batch.
+    """
     kind = entries.schema["doc_id"].dataType.simpleString()
-    return mapped(entries, _read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long", "encoder")
+    files = written(entries.select("part", "path").distinct())
+    spread = files.repartitionByRange(max(1, files.count()), "part")  # a task for each file
+    read = written(mapped(spread, _read, f"part int, doc_id {kind}, at long, n_tokens long, ids_crc32 long", "encoder"))
+    return read.join(F.broadcast(_before(read)), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

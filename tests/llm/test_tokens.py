@@ -48,6 +48,9 @@ def test_files_hold_all_ids_in_order(spark, table, library):
         ids = library.encode(t or "", add_special_tokens=False).ids + [2]
         assert (start, doc_id, n, crc) == (at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += n
+    assert sorted(got) == sorted(tuple(r) for r in T.read_digests(entries.withColumns({c: entries.at * 0 for c in ("at", "n_tokens", "start")})).select("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    for e in entries.collect():  # random access by the table of entries
+        assert (e.start, e.doc_id, e.n_tokens, zlib.crc32(T.Sequences(e.path).ids(e.at, e.n_tokens).astype("<u4").tobytes())) in got
     path = entries.first().path
     file = T.Sequences(path).file
     assert file.schema.field("tokens").type.list_size == 16 and file.schema.field("mask").type.value_type == pa.bool_()
@@ -55,6 +58,33 @@ def test_files_hold_all_ids_in_order(spark, table, library):
     assert masked == sum(r.n_tokens for r in entries.filter(entries.path == path).collect())
 
 
+def test_documents_over_many_batches(tmp_path):
+    rng, path = np.random.default_rng(5), str(tmp_path / "x.arrow")
+    texts = [np.r_[rng.integers(3, 99, n), 2].astype(np.uint16) for n in (0, 7000, 0, 1, 12000, 4095, 4096, 3)]
+    packer = T._Packer(path, np.dtype(np.uint16), 16, 2)
+    for lo, hi in ((0, 3), (3, 5), (5, 8)):
+        packer.add(np.concatenate(texts[lo:hi]), pa.array([f"d{k}" for k in range(lo, hi)]), np.array([len(x) for x in texts[lo:hi]]))
+    packer.close()
+    at, got = 0, [row for doc_id, first, n, sums in T.documents_of(path) for row in zip(doc_id.to_pylist(), first.tolist(), n.tolist(), sums, strict=True)]
+    for k, (row, ids) in enumerate(zip(got, texts, strict=True)):
+        assert row == (f"d{k}", at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+        at += len(ids)
+
+
+def test_a_file_that_disagrees_with_itself_is_an_error(tmp_path):
+    def file(ids, ends):
+        path = str(tmp_path / f"{len(list(tmp_path.iterdir()))}.arrow")
+        packer = T._Packer(path, np.dtype(np.uint16), 4, 2)
+        packer.add(np.array(ids, np.uint16), pa.array(range(len(ends))), np.diff(ends, prepend=0))
+        packer.close()
+        return list(T.documents_of(path))
+
+    assert [n.tolist() for _, _, n, _ in file([5, 2, 6, 7, 2], [2, 5])] == [[2, 3]]
+    for ids, ends in (([5, 2, 6, 7, 2], [1, 5]), ([5, 2, 6, 7, 2], [2]), ([5, 2], [2, 2])):
+        with pytest.raises(ValueError):
+            file(ids, ends)
+
+
 def test_other_tokenizers_get_whole_texts():
     from tokenizers import Tokenizer
 
