@@ -62,6 +62,39 @@ def all_coauthors(paper_authors: DataFrame) -> DataFrame:
     return a.join(a.withColumnRenamed("author_id", "coauthor_id"), "paper_id").filter("author_id <> coauthor_id").groupBy("author_id", "coauthor_id").agg(F.count("*").alias("n"))
 
 
+def coauthor_classes(paper_authors: DataFrame) -> DataFrame:
+    """author_id, class_id: authors of the same papers, by the smallest of them.
+
+    Sums of two hashes of an author's papers propose a class; each member's
+    papers are then looked up among those of the class's first author, and who
+    differs is a class of its own.
+    """
+    a = paper_authors.select("paper_id", "author_id").filter("paper_id is not null and author_id is not null").distinct()
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    sets = cut(a.groupBy("author_id").agg(F.count("*").alias("n"), wide("paper_id").alias("h"), wide(F.lit(1), F.col("paper_id")).alias("g")))
+    first = sets.groupBy("n", "h", "g").agg(F.min("author_id").alias("class_id"))
+    found = cut(sets.join(first, ["n", "h", "g"]).select("author_id", "class_id"))
+    others = found.filter("author_id <> class_id")
+    theirs = a.withColumnRenamed("author_id", "class_id")
+    differ = a.join(others, "author_id").join(theirs, ["class_id", "paper_id"], "left_anti").select("author_id").distinct().withColumn("differs", F.lit(True))
+    return found.join(differ, "author_id", "left").select("author_id", F.when(F.col("differs"), F.col("author_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def coauthor_links(paper_authors: DataFrame, classes: DataFrame) -> DataFrame:
+    """class_a <= class_b, n, pairs: how many papers any two authors of the classes share, and how many two authors that are.
+
+    With the membership this says all that ``all_coauthors`` says.  A paper
+    whose thousands of authors wrote nothing else together is one row here.
+    """
+    sizes = classes.groupBy("class_id").agg(F.count("*").alias("size"))
+    of = cut(paper_authors.select("paper_id", "author_id").distinct().join(classes.filter("author_id = class_id"), "author_id").select("paper_id", "class_id"))
+    n = of.withColumnRenamed("class_id", "class_a").join(of.withColumnRenamed("class_id", "class_b"), "paper_id").filter("class_a <= class_b").groupBy("class_a", "class_b").agg(F.count("*").alias("n"))
+    side = lambda x: sizes.toDF(f"class_{x}", f"size_{x}")
+    inside = F.expr("size_a * (size_a - 1) div 2")
+    counted = n.join(side("a"), "class_a").join(side("b"), "class_b").withColumn("pairs", F.when(F.col("class_a") == F.col("class_b"), inside).otherwise(F.col("size_a") * F.col("size_b")))
+    return counted.filter("pairs > 0").select("class_a", "class_b", "n", "pairs")
+
+
 def match_score(similar: Column) -> Column:
     """Points of a parsed name against an entity's variants (arrays initials_set, first_set); 0 is no match.
 
@@ -200,3 +233,54 @@ def batch_groups(names: DataFrame, existing: DataFrame, least: int = 3) -> DataF
     first = n.join(chosen.filter("primary_name is null").select("name"), "name").select("name", F.concat_ws("_", "last", suffix).alias("base"))
     ids = assign_ids(first, existing.select(F.col("author_id").alias("paper_id")), "name").select("name", F.col("paper_id").alias("author_id"))
     return chosen.join(ids.withColumnRenamed("name", "of"), F.col("of") == F.coalesce("primary_name", "name")).select("name", "author_id", "primary_name")
+
+
+def review_evidence(names: DataFrame, candidates: DataFrame, entities: DataFrame, members: DataFrame, papers: DataFrame, shown: int = 3) -> DataFrame:
+    """name, author_id, score, overlap, others, venues: what speaks for each candidate entity of a new name.
+
+    ``overlap`` are the names beside the new one on its papers that a coauthor
+    of the candidate goes by; ``others`` the first coauthors by id that are not
+    among them, ``venues`` the first journals by paper, at most ``shown`` of each.
+    Whether two entities share a paper is asked for those pairs only that a name
+    proposes.  names (paper_id, name), candidates (name, author_id, score),
+    entities (author_id, canonical_name, name_variants), members (paper_id,
+    author_id), papers (paper_id, journal).
+    """
+    asked = cut(candidates.select("name", "author_id", "score").distinct())
+    own = cut(members.select("paper_id", "author_id").distinct())
+    on = names.select("paper_id", F.trim("name").alias("name")).distinct()
+    beside = on.join(on.withColumnRenamed("name", "other"), "paper_id").filter("name <> other").select("name", "other").distinct()
+    goes_by = entities.select(F.col("author_id").alias("co_id"), F.explode(F.array_union(F.array("canonical_name"), F.split("name_variants", r"\|"))).alias("other"))
+    proposed = cut(asked.select("name", "author_id").join(beside, "name").join(goes_by, "other").filter("author_id <> co_id"))
+    theirs = own.withColumnRenamed("author_id", "co_id")
+    together = own.join(proposed.select("author_id", "co_id").distinct(), "author_id").join(theirs, ["co_id", "paper_id"], "left_semi").select("author_id", "co_id").distinct()
+    overlap = cut(proposed.join(together, ["author_id", "co_id"]).select("name", "author_id", "other").distinct())
+    title = entities.select(F.col("author_id").alias("co_id"), F.col("canonical_name").alias("other"))
+    known = own.join(asked.select("author_id").distinct(), "author_id", "left_semi").join(theirs, "paper_id").filter("author_id <> co_id").select("author_id", "co_id").distinct()
+    rest = asked.select("name", "author_id").join(known, "author_id").join(title, "co_id").join(overlap, ["name", "author_id", "other"], "left_anti")
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("name", "author_id").orderBy("co_id"))).filter(F.col("r") <= shown)
+    journals = own.join(papers.select("paper_id", "journal").filter("journal <> ''"), "paper_id").groupBy("author_id", "journal").agg(F.min("paper_id").alias("first"))
+    journals = journals.withColumn("r", F.row_number().over(Window.partitionBy("author_id").orderBy("first", "journal"))).filter(F.col("r") <= shown)
+    ordered = lambda c, by: F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c])
+    return (
+        asked.join(overlap.groupBy("name", "author_id").agg(F.array_sort(F.collect_list("other")).alias("overlap")), ["name", "author_id"], "left")
+        .join(rest.groupBy("name", "author_id").agg(ordered("other", "r").alias("others")), ["name", "author_id"], "left")
+        .join(journals.groupBy("author_id").agg(ordered("journal", "r").alias("venues")), "author_id", "left")
+        .select("name", "author_id", "score", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("overlap", "others", "venues")])
+    )
+
+
+def review_text(evidence: DataFrame, entities: DataFrame, shown: int = 5) -> DataFrame:
+    """name, author_id, text: the lines in which a reviewer reads a candidate; lists without an item have no line, but the overlap has."""
+    variants = F.split("name_variants", r"\|")
+    more = F.when(F.size(variants) > shown, F.array(F.concat(F.lit("+"), (F.size(variants) - shown).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    papers = F.array(F.concat(F.col("paper_count").cast("string"), F.lit(" papers")))
+    line = lambda label, c, sep: F.when(F.size(c) > 0, F.concat(F.lit(f"  {label}: "), F.array_join(c, sep)))
+    lines = [
+        F.concat(F.col("name"), F.lit(" -> "), F.col("canonical_name"), F.lit(" ("), F.col("author_id"), F.lit(") [score: "), F.col("score").cast("string"), F.lit("]")),
+        F.concat(F.lit("  Variants: "), F.array_join(F.concat(F.slice(variants, 1, shown), more, papers), " | ")),
+        F.coalesce(line("Coauthor overlap", "overlap", "; "), F.lit("  Coauthor overlap: (none)")),
+        line("Other coauthors", "others", "; "),
+        line("Venues", "venues", ", "),
+    ]
+    return evidence.join(entities, "author_id").select("name", "author_id", F.concat_ws("\n", *lines).alias("text"))

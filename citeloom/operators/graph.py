@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.greedy import numbered
 from citeloom.sources.store import cut
 
 
@@ -15,20 +16,24 @@ def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame
     common items, one lies before the last ``least - 1`` of both, so only these
     heads are joined: an item that is the commonest of all it belongs to makes
     no pairs.  The tails, of that bounded length, are then counted for the
-    pairs found.  A key of many rows is split by AQE, as both sides of each
-    join are plain shuffles.
+    pairs found.  A tail is a top-k, which tasks cut before they shuffle, and a
+    head is what the tails lack, so no list is ever sorted as a whole; a key of
+    many rows is split by AQE, as both sides of each join are plain shuffles.
     """
     e = pairs.select(F.col(of).alias("a"), F.col(item).alias("i")).distinct()
     often = e.groupBy("i").agg(F.count("*").alias("often"))
-    mine = Window.partitionBy("a")
-    ranked = e.join(often, "i").withColumns({"pos": F.row_number().over(mine.orderBy("often", "i")), "size": F.count("*").over(mine)})
-    ranked = cut(ranked.select("a", "i", (F.col("pos") <= F.col("size") - (least - 1)).alias("head"), (F.col("size") >= least).alias("enough")).filter("enough").drop("enough"))
-    head = ranked.filter("head").select("a", "i")
+    last = Window.partitionBy("a").orderBy(F.desc("often"), F.desc("i"))
+    if least > 1:
+        every = cut(e.join(often, "i"))
+        tail = cut(every.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= least - 1).select("a", "i"))
+        every = every.select("a", "i")
+        head = cut(every.join(tail, ["a", "i"], "left_anti"))
+    else:
+        head = cut(e)
     found = head.join(head.withColumnRenamed("a", "b"), "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
     if least < 2:
         return found
     found = cut(found)
-    tail, every = ranked.filter("not head").select("a", "i"), ranked.select("a", "i")
     mine = found.join(tail, "a").join(every.withColumnRenamed("a", "b"), ["b", "i"]).select("a", "b")
     theirs = found.join(tail.withColumnRenamed("a", "b"), "b").join(head, ["a", "i"]).select("a", "b")
     more = mine.unionByName(theirs).groupBy("a", "b").agg(F.count("*").alias("more"))
@@ -47,9 +52,15 @@ def _overlap(edges: DataFrame, near: str, far: str, seeds: list, min_count: int,
     """Others that share a ``near`` end with a seed; with several seeds, with each of them somewhere."""
     seeds = sorted(set(seeds))
     e = edges.select(near, far).distinct()
-    mine = e.filter(F.col(far).isin(seeds)).withColumnRenamed(far, "seed")  # reaches the scan; small beside the edges
-    found = e.filter(~F.col(far).isin(seeds)).join(mine, near).groupBy(F.col(far).alias("paper_id")).agg(F.count_distinct(near).alias(name), F.count_distinct("seed").alias("_seeds"))
-    return found.filter((F.col("_seeds") == len(seeds)) & (F.col(name) >= min_count)).drop("_seeds").orderBy(F.desc(name), "paper_id").limit(limit)
+    # The seeds of a near end are bits of words of 60, so that a row for each two ends is left and one count does.
+    words = [seeds[k : k + 60] for k in range(0, len(seeds), 60)] or [[]]
+    bit = lambda w: F.when(F.col(far).isin(w), F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position(F.array(*map(F.lit, w)), F.col(far)).cast("int") - 1)).otherwise(0)
+    bits = [F.bit_or(bit(w) if w else F.lit(0).cast("long")) for w in words]
+    mine = e.filter(F.col(far).isin(seeds)).groupBy(near).agg(*[b.alias(f"_s{k}") for k, b in enumerate(bits)])  # the filter reaches the scan
+    found = e.filter(~F.col(far).isin(seeds)).join(mine, near).groupBy(F.col(far).alias("paper_id")).agg(F.count("*").alias(name), *[F.bit_or(f"_s{k}").alias(f"_s{k}") for k in range(len(words))])
+    for k, w in enumerate(words):
+        found = found.filter(F.col(f"_s{k}") == (1 << len(w)) - 1)
+    return found.filter(F.col(name) >= min_count).select("paper_id", name).orderBy(F.desc(name), "paper_id").limit(limit)
 
 
 def co_cited(edges: DataFrame, seeds: list, min_count: int = 2, limit: int = 20) -> DataFrame:
@@ -71,9 +82,9 @@ def reference_overlap(edges: DataFrame, least: float = 0.25) -> DataFrame:
     """
     e = edges.select(F.col("citing_id").alias("a"), F.col("cited_id").alias("i")).distinct()
     often = e.groupBy("i").agg(F.count("*").alias("often"))
-    mine = Window.partitionBy("a")
-    ranked = cut(e.join(often, "i").withColumns({"pos": F.row_number().over(mine.orderBy("often", "i")), "n": F.count("*").over(mine)}).select("a", "i", "pos", "n"))
-    head = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "i", "n")
+    at = numbered(e.join(often, "i"), ["a"], ["often", "i"], "at")
+    ranked = cut(at.join(e.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "i", "at", "n"))
+    head = ranked.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "i", "n")
     pair = head.toDF("id_a", "i", "n_a").join(head.toDF("id_b", "i", "n_b"), "i").filter("id_a < id_b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
     pair = pair.select("id_a", "id_b", "n_a", "n_b").distinct()
     shorter, longer = F.when(F.col("n_a") <= F.col("n_b"), F.col("id_a")).otherwise(F.col("id_b")), F.when(F.col("n_a") <= F.col("n_b"), F.col("id_b")).otherwise(F.col("id_a"))

@@ -46,6 +46,42 @@ def candidate_pairs(papers: DataFrame, cap: int = CAP, title_cap: int | None = C
     return reduce(DataFrame.unionByName, [block_pairs(papers, k, c) for name, k, c in keys if name in papers.columns]).distinct()
 
 
+def identifier_links(papers: DataFrame) -> DataFrame:
+    """paper_id, hub, by: papers that an identifier makes one, each linked to one paper of its block instead of to all.
+
+    Papers of one external id go to the smallest of them.  Two papers of one
+    DOI are one unless their external ids differ, so a block's papers go to
+    its smallest paper without an external id, which differs from none; where
+    all have one, only equal ones are linked, and that is done already.  The
+    components are those of all pairs; an identifier of n papers costs n rows.
+    """
+    known = F.nullif(F.col("s2_id").cast("string"), F.lit(""))
+    p = papers.select("paper_id", F.nullif(T.normalize_doi(F.col("doi")), F.lit("")).alias("doi"), known.alias("s2_id"))
+
+    def star(key: str, may_be_hub: Column) -> DataFrame:
+        hubs = p.filter(F.col(key).isNotNull() & may_be_hub).groupBy(key).agg(F.min("paper_id").alias("hub"))
+        return p.select("paper_id", key).join(hubs, key).filter("paper_id <> hub").select("paper_id", "hub", F.lit(key).alias("by"))
+
+    return star("s2_id", F.lit(True)).unionByName(star("doi", F.col("s2_id").isNull()))
+
+
+def identifier_groups(papers: DataFrame) -> DataFrame:
+    """paper_id, group: what identifiers alone make one; the group is its smallest paper."""
+    return components(cut(identifier_links(papers)), "paper_id", "hub").toDF("paper_id", "group")
+
+
+def auto_groups(papers: DataFrame, threshold: float = THRESHOLD, cap: int = CAP) -> DataFrame:
+    """paper_id, group: the components of all pairs that are one paper beyond doubt.
+
+    Identifiers link by stars; only pairs of the blocks by author and title,
+    which ``cap`` bounds, are made and scored.
+    """
+    pairs = cut(candidate_pairs(papers.drop("doi", "s2_id"), cap, cap))
+    sure = classified(pair_scores(pairs, papers), threshold).filter("bucket = 'auto'")
+    links = identifier_links(papers).select(F.col("paper_id").alias("id_a"), F.col("hub").alias("id_b"))
+    return components(cut(sure.select("id_a", "id_b").unionByName(links)), "id_a", "id_b").toDF("paper_id", "group")
+
+
 def undecided(pairs: DataFrame, papers: DataFrame, skipped: DataFrame, pending_only: bool = True) -> DataFrame:
     """Pairs without those decided before, and with a pending paper if asked."""
     left = pairs.join(skipped, ["id_a", "id_b"], "left_anti")

@@ -647,6 +647,17 @@ def author_prefix_merge(spark, d):
     return A.merged_keys(A.parsed(C.author_names(spark, d)).filter("key is not null"))
 
 
+@query(
+    "coauthor_links",
+    """WITH s AS (SELECT l_orderkey AS author_id, list_sort(list(DISTINCT l_suppkey % 10)) AS papers FROM lineitem GROUP BY 1), c AS (SELECT papers, min(author_id) AS class_id, count(*) AS size FROM s GROUP BY 1)
+SELECT * FROM (SELECT a.class_id AS class_a, b.class_id AS class_b, len(list_intersect(a.papers, b.papers)) AS n, CASE WHEN a.class_id = b.class_id THEN a.size * (a.size - 1) // 2 ELSE a.size * b.size END AS pairs FROM c a JOIN c b ON a.class_id <= b.class_id) WHERE n > 0 AND pairs > 0""",
+)
+def coauthor_links(spark, d):
+    """Papers of very many authors: each order an author of what a tenth of the suppliers wrote."""
+    wrote = C.table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("paper_id"), F.col("l_orderkey").alias("author_id"))
+    return A.coauthor_links(wrote, store.cut(A.coauthor_classes(wrote)))
+
+
 @query("all_coauthors", with_views("paper_authors") + " SELECT a.author_id, b.author_id AS coauthor_id, count(*) AS n FROM paper_authors a JOIN paper_authors b USING (paper_id) WHERE a.author_id <> b.author_id GROUP BY 1, 2")
 def all_coauthors(spark, d):
     return A.all_coauthors(C.paper_authors(spark, d))

@@ -122,6 +122,27 @@ def canonical(spark, d):
     return resolve.canonical(members, papers).join(resolve.confidence(found, members, None), "group").select("group", "canonical_id", "best", "size", "confidence")
 
 
+@query("auto_groups", GROUPS + ' SELECT paper_id, grp AS "group" FROM members')
+def auto_groups(spark, d):
+    """Papers that are one beyond doubt, without a pair made for an identifier."""
+    return resolve.auto_groups(C.full_papers(spark, d), 1.0)
+
+
+_IDS = {"doi": "p_brand || 'w' || CAST(p_partkey {div} 200 AS STRING)", "s2_id": "CASE WHEN p_size % 2 = 0 THEN 'S' || CAST(p_partkey {div} 40 AS STRING) || right(p_brand, 1) END"}
+
+
+@query(
+    "identifier_groups",
+    f"""WITH RECURSIVE p AS (SELECT p_partkey AS paper_id, {_IDS['doi'].format(div='//')} AS doi, {_IDS['s2_id'].format(div='//')} AS s2_id FROM part),
+links AS (SELECT a.paper_id AS a, b.paper_id AS b FROM p a JOIN p b ON a.paper_id <> b.paper_id AND (a.s2_id = b.s2_id OR a.doi = b.doi AND coalesce(a.s2_id = b.s2_id, true))),
+reach AS (SELECT DISTINCT a AS node, a AS near FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.near) SELECT node AS paper_id, min(near) AS "group" FROM reach GROUP BY 1""",
+)
+def identifier_groups(spark, d):
+    """Parts that share a DOI of some eight parts or an external id, unless the external ids differ."""
+    part = C.table(spark, d, "part")
+    return resolve.identifier_groups(part.select(F.col("p_partkey").alias("paper_id"), *[F.expr(x.format(div="div")).alias(c) for c, x in _IDS.items()]))
+
+
 @query("confident_groups", GROUPS + ' SELECT grp AS "group", best, size, confidence FROM listed ORDER BY best DESC, grp LIMIT 50')
 def confident_groups(spark, d):
     """The listing of groups, best first."""
@@ -244,6 +265,26 @@ def author_link_decisions(spark, d):
     return A.link_decisions(new, A.hop_candidates(new, scores, A.memberships(names, groups), C.edges(spark, d)))
 
 
+REVIEW = LINKED + """, of AS (SELECT DISTINCT paper_id, author_id FROM g JOIN ent USING (grp)), v AS (SELECT DISTINCT author_id, name AS variant FROM g JOIN ent USING (grp)),
+one AS (SELECT author_id, arg_max(variant, length(variant)) AS canonical_name, string_agg(variant, ' | ' ORDER BY variant) AS variants, (SELECT count(*) FROM of WHERE of.author_id = v.author_id) AS papers FROM v GROUP BY 1),
+co AS (SELECT DISTINCT a.name, b.name AS other FROM new a JOIN new b ON a.paper_id = b.paper_id AND a.name <> b.name), near AS (SELECT DISTINCT a.author_id, b.author_id AS co_id FROM of a JOIN of b USING (paper_id) WHERE a.author_id <> b.author_id),
+held AS (SELECT DISTINCT l.name, l.author_id, co.other FROM links l JOIN co USING (name) JOIN near USING (author_id) JOIN v ON v.author_id = near.co_id AND v.variant = co.other),
+others AS (SELECT l.name, l.author_id, canonical_name, row_number() OVER (PARTITION BY l.name, l.author_id ORDER BY co_id) AS r FROM links l JOIN near USING (author_id) JOIN one ON one.author_id = co_id WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.name = l.name AND h.author_id = l.author_id AND h.other = canonical_name)),
+venues AS (SELECT author_id, j, first, row_number() OVER (PARTITION BY author_id ORDER BY first) AS r FROM (SELECT author_id, 'J' || CAST(paper_id % 7 AS VARCHAR) AS j, min(paper_id) AS first FROM of WHERE paper_id % 7 > 0 GROUP BY 1, 2)),
+x AS (SELECT author_id, string_agg(j, ', ' ORDER BY first) AS venues FROM venues WHERE r <= 3 GROUP BY 1), y AS (SELECT name, author_id, string_agg(canonical_name, '; ' ORDER BY r) AS others FROM others WHERE r <= 3 GROUP BY 1, 2), z AS (SELECT name, author_id, string_agg(other, '; ' ORDER BY other) AS overlap FROM held GROUP BY 1, 2)
+SELECT name, author_id, concat_ws(chr(10), name || ' -> ' || canonical_name || ' (' || author_id || ') [score: ' || CAST(CAST(score AS INTEGER) AS VARCHAR) || ']', '  Variants: ' || variants || ' | ' || CAST(papers AS VARCHAR) || ' papers',
+  '  Coauthor overlap: ' || coalesce(overlap, '(none)'), '  Other coauthors: ' || others, '  Venues: ' || venues) AS text FROM links JOIN one USING (author_id) LEFT JOIN x USING (author_id) LEFT JOIN y USING (name, author_id) LEFT JOIN z USING (name, author_id)"""
+
+
+@query("author_review", REVIEW)
+def author_review(spark, d):
+    """What a reviewer reads of every candidate entity of every new name."""
+    names, groups, new, scores = _links(spark, d)
+    journal = F.when(F.col("paper_id") % 7 > 0, F.concat(F.lit("J"), (F.col("paper_id") % 7).cast("string"))).otherwise("")
+    papers = names.select("paper_id").distinct().withColumn("journal", journal)
+    return A.review_text(A.review_evidence(new, scores, groups, A.memberships(names, groups), papers), groups)
+
+
 @query(
     "author_update",
     f"""WITH {NAMED}, k AS (SELECT DISTINCT paper_id, name, last || '_' || i AS key, last, i, paper_id % 10 = 0 AS fresh FROM n),
