@@ -9,17 +9,18 @@ A query's table of 16 products for each piece scores all codes of a block, two
 four-bit codes at a time, and the best are reranked by exact distances in double
 precision on the original vectors.
 
-Centres are fitted on a bounded sample on the driver; every vector is coded and
-scanned.  A task holds a block of vectors and reads the queries slice by slice
-from the shared folder; it returns at most ``k`` rows for each query.
+Centres are fitted for each length of vectors on a bounded sample and kept in a
+table; every vector is coded and scanned.  A task holds a block of vectors of
+one length and reads the queries of that length slice by slice from the shared
+folder; it returns at most ``k`` rows for each query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from citeloom.llm.common import mapped, part_files, safe, written
 from citeloom.llm.files import reader
 
 CENTRES, SAMPLE, SWEEPS, LEAST_ROWS = 16, 16_384, 8, 2048
-#: Vectors of so many different lengths are searched, each among its own; a block's vectors in double precision, and a slice's scores.
-LENGTHS, BLOCK_BYTES, SCORES = 32, 64 << 20, 4 << 20
+#: A block's vectors in double precision, and a slice's scores.
+BLOCK_BYTES, SCORES = 64 << 20, 4 << 20
 
 
 class Codebook:
@@ -45,6 +46,14 @@ class Codebook:
             codes = self._nearest(x) if sweep == 0 else self._coded(x, codes)
             self._refit(x, codes)
 
+    @classmethod
+    def stored(cls, dims: int, width: int, eta: float, centres: bytes) -> Codebook:
+        """A codebook of centres fitted before."""
+        book = cls.__new__(cls)
+        book.dims, book.width, book.eta, book.pieces = dims, width, eta, -(-dims // (2 * width)) * 2
+        book.centres = np.frombuffer(centres).reshape(book.pieces, CENTRES, width)
+        return book
+
     def _cut(self, vectors: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(vectors), self.pieces * self.width))
         padded[:, : self.dims] = vectors
@@ -118,17 +127,55 @@ def _best(score: np.ndarray, k: int, margin: float) -> np.ndarray:
     return np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - margin)
 
 
-def _slices(files: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, marks and vectors of Parquet files, so many rows at a time."""
+def _slices(files: list[str], size: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, marks and vectors of one length in Parquet files sorted by length, at most so many rows at a time."""
     import pyarrow.parquet as pq
 
     for path in files:
         with reader(path) as f:
-            for b in pq.ParquetFile(f).iter_batches(rows, columns=["vec_id", "mark", "embedding"]):
+            file = pq.ParquetFile(f)
+            at = file.schema_arrow.names.index("size")  # the columns before it are flat
+            spans = [file.metadata.row_group(g).column(at).statistics for g in range(file.num_row_groups)]
+            groups = [g for g, s in enumerate(spans) if s is None or not s.has_min_max or s.min <= size <= s.max]
+            for b in file.iter_batches(rows, row_groups=groups, columns=["size", "vec_id", "mark", "embedding"]):
+                sizes = b.column("size").to_numpy()
+                if not (mine := sizes == size).all():
+                    b = b.filter(pa.array(mine))
                 if b.num_rows:
                     yield b.column("vec_id").to_numpy(), b.column("mark").to_numpy(), _matrix(b)
 
 
+def _book(files: list[str], size: int, width: int, eta: float) -> Codebook:
+    """The codebook of a length."""
+    import pyarrow.parquet as pq
+
+    for path in files:
+        with reader(path) as f:
+            found = pq.read_table(f, filters=[("size", "=", size)])
+        if found.num_rows:
+            return Codebook.stored(size, width, eta, found.column("centres")[0].as_py())
+    raise ValueError(f"no centres for vectors of length {size}")
+
+
+def _books(indexed: DataFrame, width: int, eta: float) -> DataFrame:
+    """size, centres: a codebook for each length, fitted on the SAMPLE vectors with the smallest hashes.
+
+    A threshold that more than SAMPLE hashes pass leaves the rest out before
+    the shuffle.
+    """
+    h = F.xxhash64("vec_id", "mark")
+    counts = indexed.groupBy("size").agg(F.count("*").alias("n"))
+    low = h <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(1.25 * SAMPLE) / F.col("n")
+    few = indexed.select("size", "vec_id", "mark", "embedding").join(counts, "size").filter(low).select("size", "embedding", h.alias("h"))
+    first = Window.partitionBy("size").orderBy("h")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        book = Codebook(np.stack(rows.sort_values("h", kind="stable")["embedding"].to_list()), width, eta)
+        return pd.DataFrame({"size": [book.dims], "centres": [book.centres.tobytes()]})
+
+    return few.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE).drop("r").groupBy("size").applyInPandas(fit, "size int, centres binary")
+
+
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return b.column("embedding").flatten().to_numpy().reshape(b.num_rows, -1)
 
@@ -151,9 +198,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
     of one id with different vectors are rows of their own: each is a candidate
     of the others, and each is a query with ranks of its own, told apart by
     ``mark``, a hash of the query's vector.  Vectors of different lengths have
-    no distance, so each is searched among those of its length; a table with
-    over LENGTHS lengths is refused.  An empty table gives no rows; other
-    columns are ignored.
+    no distance, so each is searched among those of its length, of which there
+    may be any number.  An empty table gives no rows; other columns are ignored.
 
     A task holds a block of rows, by default of BLOCK_BYTES, so that longer
     vectors make smaller blocks, and a slice of queries of SCORES scores.
@@ -164,34 +210,24 @@ def search(vectors: DataFrame, is_query, k: int = 10, spread: float = 3.0, width
     among any k nearest, so only those are coded; tasks keep no more of each
     vector even before the shuffle.
     """
-    good = written(usable(vectors, id_col, vector_col))
-    sizes = sorted(r.size for r in good.select(F.size("embedding").alias("size")).distinct().limit(LENGTHS + 1).collect())
-    if len(sizes) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
-    found = [_search(good if len(sizes) == 1 else good.filter(F.size("embedding") == n), is_query, k, spread, width, eta, block_rows, block_queries) for n in sizes or [0]]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _search(good: DataFrame, is_query, k: int, spread: float, width: int, eta: float, block_rows: int | None, block_queries: int | None) -> DataFrame:
-    """The search among usable vectors of one length."""
+    good = written(usable(vectors, id_col, vector_col).select(F.size("embedding").alias("size"), "vec_id", "mark", "embedding"))
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = written(good.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
-    total = indexed.count()
-    sample = indexed.select("embedding").orderBy(F.xxhash64("vec_id", "mark")).limit(SAMPLE).toPandas()["embedding"]  # bounded
-    book = Codebook(np.stack(sample.to_list()), width, eta) if len(sample) else None
-    block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * (book.dims if book else 1)))
-    block_queries = block_queries or max(1, min(128, SCORES // block_rows))
-    asked = part_files(written(good.filter(is_query)))
-    tasks = max(-(-total // block_rows), min(good.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
-
-    def nearest(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The k nearest in one block of rows for all queries, which are read slice by slice."""
+    total, numbers = indexed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    books = part_files(written(_books(indexed, width, eta)))
+    asked = part_files(written(good.filter(is_query).sortWithinPartitions("size")))
+    blocks = -(-total // block_rows) if block_rows else -(-8 * numbers // BLOCK_BYTES)
+    tasks = max(blocks, min(good.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)), 1)
+    height = lambda size: block_rows or max(1024, BLOCK_BYTES // (8 * size))
+
+    def nearest(book: Codebook, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The k nearest in one block of rows for all queries of their length, which are read slice by slice."""
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         packed = book.encode(x)
         error = np.sqrt(((x - book.decode(packed)) ** 2).sum(axis=1).mean() / x.shape[1])
         half = ((x**2).sum(axis=1) / 2).astype(np.float32)
-        for qids, marks, qx in _slices(asked, block_queries):
+        for qids, marks, qx in _slices(asked, book.dims, block_queries or max(1, min(128, SCORES // height(book.dims)))):
             near = book.scan(qx, packed) - half
             found = []
             for i, score in enumerate(near):
@@ -203,18 +239,26 @@ def _search(good: DataFrame, is_query, k: int, spread: float, width: int, eta: f
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "mark", "vec_id", "score"])
 
     def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, n = [], [], 0
+        book, ids, x, n = None, [], [], 0
         for b in batches:
-            if b.num_rows:
-                ids.append(b.column("vec_id").to_numpy())
-                x.append(_matrix(b))
-                n += b.num_rows
-            if n >= block_rows:
-                yield from nearest(np.concatenate(ids), np.concatenate(x))
-                ids, x, n = [], [], 0
+            sizes = b.column("size").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(sizes)) + 1, len(sizes)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                size = int(sizes[lo])
+                if n and (size != book.dims or n >= height(size)):
+                    yield from nearest(book, np.concatenate(ids), np.concatenate(x))
+                    ids, x, n = [], [], 0
+                if book is None or size != book.dims:
+                    book = _book(books, size, width, eta)
+                ids.append(b.column("vec_id")[lo:hi].to_numpy())
+                x.append(_matrix(b.slice(lo, hi - lo)))
+                n += hi - lo
         if n:
-            yield from nearest(np.concatenate(ids), np.concatenate(x))
+            yield from nearest(book, np.concatenate(ids), np.concatenate(x))
 
-    met = mapped(indexed.select("vec_id", "embedding").repartition(tasks), search_blocks, "query_id long, mark long, vec_id long, score double")
+    spread_out = indexed.select("size", "vec_id", "embedding").repartitionByRange(tasks, "size", F.xxhash64("vec_id")).sortWithinPartitions("size")
+    met = mapped(spread_out, search_blocks, "query_id long, mark long, vec_id long, score double")
     order = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "mark")

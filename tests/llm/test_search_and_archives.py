@@ -61,8 +61,21 @@ def test_vectors_of_each_length_are_searched_apart(table):
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [1.0, 0.0, 3.0], 0), (3, [], 0), (4, [5.0], 0), (6, [1.0, 0.0, 5.0], 0)]
     got = A.search(table(rows, VEC), F.col("vec_id") % 2 == 0).collect()
     assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 1, 1.0), (2, 6, 2.0), (6, 2, 2.0)]
-    with pytest.raises(ValueError, match="lengths"):
-        A.search(table([(k, [1.0] * (k + 1), 0) for k in range(A.LENGTHS + 1)], VEC), F.col("vec_id") == 0)
+
+
+def test_any_number_of_lengths(table):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([1.0, 2.0, 3.0]) for _ in range(1 + k % 70)], 0) for k in range(700)]
+    rows += [(700 + k, [rng.gauss(0, 1), rng.gauss(0, 1)], 0) for k in range(400)]  # one length has a third
+    plain = [(i, [float(np.float32(x)) for x in v]) for i, v, _ in rows]
+    got = A.search(table(rows, VEC).repartition(5), F.col("vec_id") % 9 == 0, k=4, block_rows=50).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for q, v in plain:
+        if q % 9 == 0:
+            assert by.pop(q) == brute([r for r in plain if len(r[1]) == len(v)], {q}, 4)[q]
+    assert not by
 
 
 def test_repeated_rows_hide_no_neighbour(table):
