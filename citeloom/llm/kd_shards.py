@@ -30,17 +30,31 @@ OVERHEAD, BINS, LEAST_BINS, PASSES = 16, 1 << 16, 64, 12
 HEAVY, WHOLE, PIECE, CLOSE = 1 / 16, 0.9, 1 / 16, 1 / 500
 
 
+def _is_text(docs: DataFrame, name: str) -> bool:
+    return isinstance(docs.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
 def _coordinate(docs: DataFrame, name: str) -> Column:
-    """A dimension as a double: numbers as they are, texts by their first six bytes; null comes first."""
-    kind = docs.schema[name].dataType
-    c = F.col(f"`{name}`")
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        c = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10)
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.BooleanType)):
+    """A dimension as a double: numbers as they are, null and NaN first; texts stay, as bytes, until they are ranked."""
+    kind, c = docs.schema[name].dataType, F.col(f"`{name}`")
+    if _is_text(docs, name):
+        return c.cast("binary")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.BooleanType)):
         c = c.cast("timestamp").cast("double") if not isinstance(kind, T.BooleanType) else c.cast("int")
     return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(-1.0))
 
 
+def _ranks(docs: DataFrame, name: str) -> DataFrame:
+    """value, rank: the place from 0 of each distinct text among all, by bytes; a sort over ranges, a row for each of which is counted."""
+    values = docs.select(F.col(f"`{name}`").cast("binary").alias("value")).filter("value is not null").distinct()
+    ordered = written(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))
+    parts = ordered.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", (before - F.col("first")).alias("shift"))
+    return ordered.join(F.broadcast(parts), "part").select("value", (F.col("at") + F.col("shift")).cast("double").alias("rank"))
+
+
 @dataclass
 class _Search:
     """The way to one node's cut: along a dimension from lo to hi, or among equal coordinates x by tie."""
@@ -153,7 +167,7 @@ def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("doc_id",
     UTF-8 bytes and 16; null counts as an empty text.  Equal texts share a shard
     unless together they nearly fill one.  Slots count from 0 in each shard, in
     the order of ids, null first; ``grown_shard`` is null under this law.
-    Repeated rows each get a slot.  ``dims`` that the table lacks are left out,
+    Texts among ``dims`` count by their place among all distinct ones.  Repeated rows each get a slot.  ``dims`` that the table lacks are left out,
     other columns are ignored; an empty table gives no rows.  A cut is looked for
     until it is within ``close`` of a shard's size from the weighted median, or
     no group lies between.  The driver holds a few numbers for each shard.
@@ -161,6 +175,9 @@ def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("doc_id",
     present = [c for c in dims if c in docs.columns]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"), *[_coordinate(docs, c).alias(f"x{k}") for k, c in enumerate(present)])
+    for k, c in enumerate(present):
+        if _is_text(docs, c):
+            base = base.join(_ranks(docs, c).withColumnRenamed("value", f"x{k}"), f"x{k}", "left").withColumn(f"x{k}", F.coalesce("rank", F.lit(-1.0))).drop("rank")
     base = written(base if present else base.withColumn("x0", F.lit(0.0)))
     n_dims = max(1, len(present))
     cols = [f"x{k}" for k in range(n_dims)]

@@ -77,6 +77,20 @@ def test_cuts_are_those_of_a_plain_tree(table):
     assert got == expected
 
 
+def test_texts_with_one_beginning_are_told_apart(table):
+    rng = random.Random(2)
+    hosts = [None, "", *[f"https://host{k}.example/" for k in range(200)]]
+    rows = [(k, f"t{k} " * rng.randrange(1, 30), None, rng.choice(hosts), None) for k in range(3000)]
+    source = {i: s for i, _, _, s, _ in rows}
+    got = K.shard(table(rows, DOCS), 9, ("source",))
+    no_python(got)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.shard, set()).add((source[r.doc_id] is not None, (source[r.doc_id] or "").encode()))
+    assert sorted(by) == list(range(9)) and all(len(x) > 10 for x in by.values())
+    assert all(max(by[k]) <= min(by[k + 1]) for k in range(8))
+
+
 def test_more_shards_than_documents(table):
     rows = [(k, "x" * (k % 50), "en", "a", k) for k in range(500)]
     got = K.shard(table(rows, DOCS), 3000).collect()
