@@ -2,7 +2,8 @@
 
 Edges and weights are written once, dealt by the citing paper and kept so in
 the executors while the iterations last, so that an iteration moves scores, not
-edges; it is one join and one aggregation, written to cut lineage.  Iteration stops at
+edges; it is one job, whose written table cuts lineage and in passing sums up
+the change and what papers without citations hold.  Iteration stops at
 ``tol`` on the mean absolute change or, if ``stable_top_k`` is given, when the
 set of that many best papers hasn't changed twice in a row.
 """
@@ -41,19 +42,26 @@ class _Edges:
         return self.rows.join(s, ["citing_id", "piece"])
 
 
-def _iterate(scores: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, max_iter: int, tol: float, stable_top_k: int | None) -> DataFrame:
+def _iterate(state: DataFrame, step: Callable[[DataFrame, float], DataFrame], n: int, loose: float, max_iter: int, tol: float, stable_top_k: int | None) -> DataFrame:
+    """paper_id, score after the iterations.
+
+    state: paper_id, score, loose (whether the paper's score counts for the
+    loose mass) and what step needs; ``step(state, loose mass)`` gives the state
+    with new scores and the earlier ones as ``old``.  What is observed is
+    observed in the job's last stage, where each task counts once.
+    """
     best, stable = None, 0
     for _ in range(max_iter):
-        new = cut(step(scores))
-        if tol > 0 or stable_top_k:
-            change = new.join(scores.withColumnRenamed("score", "old"), "paper_id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-            top = frozenset(r.paper_id for r in new.orderBy(F.desc("score"), "paper_id").limit(stable_top_k).collect()) if stable_top_k else None
-            stable = stable + 1 if top is not None and top == best else 0
-            best, scores = top, new
-            if stable >= 2 or tol > 0 and change / n < tol:
-                break
-        scores = new
-    return scores
+        seen = Observation()
+        change = F.sum(F.abs(F.col("score") - F.col("old"))).alias("change")
+        state = cut(step(state, loose).observe(seen, change, F.sum(F.when(F.col("loose"), F.col("score"))).alias("loose"))).drop("old")
+        moved, loose = seen.get["change"] or 0.0, seen.get["loose"] or 0.0
+        if stable_top_k:
+            top = frozenset(r.paper_id for r in state.orderBy(F.desc("score"), "paper_id").limit(stable_top_k).collect())
+            best, stable = top, stable + 1 if top == best else 0
+        if stable >= 2 or tol > 0 and moved / n < tol:
+            break
+    return state.select("paper_id", "score")
 
 
 def pagerank(papers: DataFrame, edges: DataFrame, kind: str = "directed", seeds: list | None = None, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, stable_top_k: int | None = None) -> DataFrame:
@@ -69,23 +77,21 @@ def pagerank(papers: DataFrame, edges: DataFrame, kind: str = "directed", seeds:
     weighted = _Edges(e.join(out, "citing_id"))
     share = F.lit(1.0) if not seeds else F.when(F.col("paper_id").isin(sorted(set(seeds))), 1.0 / len(set(seeds))).otherwise(0.0)
     nodes = papers.select("paper_id").distinct().join(out.select(F.col("citing_id").alias("paper_id"), F.lit(True).alias("cites")), "paper_id", "left")
-    nodes = cut(nodes.select("paper_id", F.coalesce("cites", F.lit(False)).alias("cites"), share.alias("p")))
-    n = nodes.count()
+    nodes = cut(nodes.select("paper_id", F.col("cites").isNull().alias("loose"), share.alias("p")))
+    n, without = nodes.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("loose"), F.col("p"))), F.lit(0.0))).first()
     if not n:
         weighted.rows.unpersist()
         return nodes.select("paper_id", F.col("p").alias("score"))
     if not seeds:
-        nodes = nodes.withColumn("p", F.lit(1.0 / n))
+        nodes, without = nodes.withColumn("p", F.lit(1.0 / n)), without / n
 
-    def step(scores: DataFrame) -> DataFrame:
-        s = scores.withColumnRenamed("score", "old")
-        got = weighted.with_scores(scores).groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum(F.col("old") * F.col("w")).alias("got"))
-        dangling = nodes.filter("not cites").join(s, "paper_id").agg(F.coalesce(F.sum("old"), F.lit(0.0)).alias("dangling"))
-        new = (F.col("dangling") + 1.0 - damping) * F.col("p") + damping * F.coalesce("got", F.lit(0.0))
-        return nodes.join(got, "paper_id", "left").join(F.broadcast(dangling)).select("paper_id", new.alias("score"))  # one row
+    def step(state: DataFrame, loose: float) -> DataFrame:
+        got = weighted.with_scores(state.select("paper_id", "score")).groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum(F.col("old") * F.col("w")).alias("got"))
+        new = F.lit(loose + 1.0 - damping) * F.col("p") + damping * F.coalesce("got", F.lit(0.0))
+        return state.withColumnRenamed("score", "old").join(got, "paper_id", "left").select("paper_id", "loose", "p", "old", new.alias("score"))
 
     try:
-        return _iterate(nodes.select("paper_id", F.col("p").alias("score")), step, n, max_iter, tol, stable_top_k)
+        return _iterate(nodes.withColumn("score", F.col("p")), step, n, without, max_iter, tol, stable_top_k)
     finally:
         weighted.rows.unpersist()
 
@@ -101,14 +107,16 @@ def katz(papers: DataFrame, edges: DataFrame, kind: str = "directed", seeds: lis
     if alpha is None or alpha >= 1.0 / largest:
         alpha = 0.5 / largest
     base = F.lit(float(beta)) if not seeds else F.col("paper_id").isin(sorted(set(seeds))).cast("double")
-    nodes = cut(papers.select("paper_id").distinct().select("paper_id", base.alias("score")))
+    nodes = cut(papers.select("paper_id").distinct().select("paper_id", F.lit(False).alias("loose"), base.alias("base")))
 
-    def step(scores: DataFrame) -> DataFrame:
-        got = e.with_scores(scores).groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum("old").alias("got"))
-        return nodes.join(got, "paper_id", "left").select("paper_id", (F.col("score") + alpha * F.coalesce("got", F.lit(0.0))).alias("score"))
+    def step(state: DataFrame, _: float) -> DataFrame:
+        got = e.with_scores(state.select("paper_id", "score")).groupBy(F.col("cited_id").alias("paper_id")).agg(F.sum("old").alias("got"))
+        new = F.col("base") + alpha * F.coalesce("got", F.lit(0.0))
+        return state.withColumnRenamed("score", "old").join(got, "paper_id", "left").select("paper_id", "loose", "base", "old", new.alias("score"))
 
     try:
-        return _iterate(nodes, step, max(1, nodes.count()), max_iter, tol, stable_top_k)
+        n = nodes.count()
+        return _iterate(nodes.withColumn("score", F.col("base")), step, n, 0.0, max_iter if n else 0, tol, stable_top_k)
     finally:
         e.rows.unpersist()
 

@@ -203,48 +203,60 @@ def check(papers: DataFrame, metadata: dict | None = None) -> DataFrame:
     """severity, rule, id, detail of what is inconsistent in paper documents.
 
     papers: key, id, type, title, superseded_by, cites, cited_by, aliases,
-    extraction_file, text_file, source_db; one list is compared with the other
-    by joins, never within a document's list alone.  The documents are written
-    once, since each rule reads them.
+    extraction_file, text_file, source_db.  One pass over the documents gives
+    the rules of a row, one more all that they refer to: each reference is
+    looked up once, and both lists' edges meet in one aggregation, so the
+    number of scans and joins doesn't grow with that of the rules.
     """
     papers, has = cut(papers), set(papers.columns)
-    active = papers.filter(blank("superseded_by")) if "superseded_by" in has else papers
-    gone = papers.filter(~blank("superseded_by")).select(F.col("key").alias("ref"), F.col("superseded_by").alias("target"))
-    refs = lambda df, c: df.select("key", F.explode(c).alias("ref"))
-    keys = papers.select(F.col("key").alias("ref")).distinct()
-    out, back = refs(active, "cites"), refs(active, "cited_by")
-    to_active = lambda r: r.join(gone, "ref", "left_anti").join(keys, "ref", "left_semi").select("key", "ref")
-    flip = lambda c: refs(papers, c).select(F.col("ref").alias("key"), F.col("key").alias("ref"))
-    rows = [
-        ("error", "cites without cited_by", to_active(out).join(flip("cited_by"), ["key", "ref"], "left_anti")),
-        ("error", "cited_by without cites", to_active(back).join(flip("cites"), ["key", "ref"], "left_anti")),
-        ("error", "dangling cites", refs(papers, "cites").join(keys, "ref", "left_anti").select("key", "ref")),
-        ("error", "dangling cited_by", refs(papers, "cited_by").join(keys, "ref", "left_anti").select("key", "ref")),
-        ("error", "self-citation", papers.filter(F.array_contains("cites", F.col("key")) | F.array_contains("cited_by", F.col("key"))).select("key", F.lit("").alias("ref"))),
-        ("error", "invalid type", papers.filter(~F.coalesce("type", F.lit("")).isin("owned", "external_owned", "stub")).select("key", F.coalesce("type", F.lit("")).alias("ref"))),
+    kind = papers.schema["key"].dataType
+    by = F.when(~blank("superseded_by"), F.col("superseded_by")).cast(kind)
+    none = F.lit("")
+    rules = [
+        ("error", "self-citation", F.array_contains("cites", F.col("key")) | F.array_contains("cited_by", F.col("key")), none),
+        ("error", "invalid type", ~F.coalesce("type", none).isin("owned", "external_owned", "stub"), F.coalesce("type", none)),
+        ("error", "superseded by itself", F.col("key") == by, by),
     ]
-    for c in ("cites", "cited_by"):
-        rows.append(("warning", f"duplicates in {c}", papers.filter(F.size(c) > F.size(F.array_distinct(c))).select("key", F.lit("").alias("ref"))))
+    rules += [("warning", f"duplicates in {c}", F.size(c) > F.size(F.array_distinct(c)), none) for c in ("cites", "cited_by")]
     if "id" in has:
-        rows.append(("error", "id differs from key", papers.filter((F.col("id") != "") & (F.col("id") != F.col("key"))).select("key", F.col("id").alias("ref"))))
+        rules.append(("error", "id differs from key", (F.col("id") != "") & (F.col("id") != F.col("key")), F.col("id")))
     if "title" in has:
-        rows.append(("error", "owned without title", papers.filter(owned(F.col("type")) & blank("title")).select("key", F.lit("").alias("ref"))))
-    for c in {"extraction_file", "text_file"} & has:
-        rows.append(("error", f"owned without {c}", papers.filter((F.col("type") == "owned") & blank(c)).select("key", F.lit("").alias("ref"))))
-        rows.append(("warning", f"external with {c}", papers.filter((F.col("type") == "external_owned") & ~blank(c)).select("key", F.lit("").alias("ref"))))
+        rules.append(("error", "owned without title", owned(F.col("type")) & blank("title"), none))
+    for c in sorted({"extraction_file", "text_file"} & has):
+        rules.append(("error", f"owned without {c}", (F.col("type") == "owned") & blank(c), none))
+        rules.append(("warning", f"external with {c}", (F.col("type") == "external_owned") & ~blank(c), none))
     if "source_db" in has:
-        rows.append(("error", "external without source_db", papers.filter((F.col("type") == "external_owned") & blank("source_db")).select("key", F.lit("").alias("ref"))))
-    for c in set(STALE_FIELDS) & has:
-        rows.append(("warning", f"stale field {c}", papers.filter(F.col(c).isNotNull()).select("key", F.lit(c).alias("ref"))))
-    if "aliases" in has:
-        a = refs(papers, "aliases")
-        rows.append(("error", "unknown alias", a.join(keys, "ref", "left_anti").select("key", "ref")))
-        rows.append(("error", "alias not superseded by its paper", a.join(keys, "ref", "left_semi").join(gone, "ref", "left").filter("target is null or target <> key").select("key", "ref")))
-    own = papers.filter(~blank("superseded_by")).select("key", F.col("superseded_by").alias("ref"))
-    rows.append(("error", "superseded by itself", own.filter("key = ref")))
-    rows.append(("error", "superseded in a circle", own.filter("key <> ref").join(gone.select(F.col("ref").alias("k2"), F.col("target").alias("t2")), F.col("ref") == F.col("k2")).filter("t2 = key").select("key", "ref")))
-    rows.append(("error", "cites a superseded paper", refs(active, "cites").join(gone, "ref", "left_semi").groupBy("key").agg(F.min("ref").alias("ref"))))
-    found = reduce(DataFrame.unionByName, [df.select(F.lit(s).alias("severity"), F.lit(r).alias("rule"), F.col("key").cast("string").alias("id"), F.col("ref").cast("string").alias("detail")) for s, r, df in rows])
+        rules.append(("error", "external without source_db", (F.col("type") == "external_owned") & blank("source_db"), none))
+    for c in sorted(set(STALE_FIELDS) & has):
+        rules.append(("warning", f"stale field {c}", F.col(c).isNotNull(), F.lit(c)))
+    said = lambda severity, rule, detail: F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+    broken = lambda rules: F.explode(F.filter(F.array(*[F.when(on, said(s, r, detail)) for s, r, on, detail in rules]), lambda x: x.isNotNull())).alias("x")
+    listed = lambda df: df.select("x.severity", "x.rule", F.col("key").cast("string").alias("id"), "x.detail")
+    of_rows = listed(papers.select("key", broken(rules)))
+
+    # Every reference with the list that it stands in, and what is known of the paper it means.
+    lists = [c for c in ("cites", "cited_by", "aliases") if c in has]
+    item = lambda c: lambda ref: F.struct(F.lit(c).alias("list"), ref.cast(kind).alias("ref"))
+    held = [F.transform(F.coalesce(c, F.array().cast(papers.schema[c].dataType)), item(c)) for c in lists]
+    held.append(F.when(by.isNotNull(), F.array(item("superseded_by")(by))).otherwise(F.array().cast("array<struct<list:string,ref:" + kind.simpleString() + ">>")))
+    refs = papers.select("key", by.isNull().alias("active"), F.explode(F.concat(*held)).alias("x")).select("key", "active", "x.*")
+    known = papers.groupBy(F.col("key").alias("ref")).agg(F.min(by).alias("target"), F.lit(True).alias("exists"))
+    refs = cut(refs.join(known, "ref", "left").withColumn("exists", F.coalesce("exists", F.lit(False))))
+    on, there, target = (lambda c: F.col("list") == c), F.col("exists"), F.col("target")
+    of_refs = [("error", f"dangling {c}", on(c) & ~there, F.col("ref")) for c in ("cites", "cited_by")]
+    of_refs.append(("error", "unknown alias", on("aliases") & ~there, F.col("ref")))
+    of_refs.append(("error", "alias not superseded by its paper", on("aliases") & there & (target.isNull() | (target != F.col("key"))), F.col("ref")))
+    of_refs.append(("error", "superseded in a circle", on("superseded_by") & (F.col("key") != F.col("ref")) & (target == F.col("key")), F.col("ref")))
+    old = refs.filter(on("cites") & F.col("active") & target.isNotNull()).groupBy("key").agg(F.min("ref").alias("ref"))
+    old = old.select(F.lit("error").alias("severity"), F.lit("cites a superseded paper").alias("rule"), F.col("key").cast("string").alias("id"), F.col("ref").cast("string").alias("detail"))
+    # An edge as both papers' lists have it: how often an active paper names an active other, and whether the other does at all.
+    out, live = on("cites"), F.col("active") & there & target.isNull()
+    ends = refs.filter(on("cites") | on("cited_by")).select(F.when(out, F.col("key")).otherwise(F.col("ref")).alias("a"), F.when(out, F.col("ref")).otherwise(F.col("key")).alias("b"), out.alias("out"), live.alias("live"))
+    edges = ends.groupBy("a", "b").agg(F.count(F.when(F.col("out"), 1)).alias("n_out"), F.count(F.when(~F.col("out"), 1)).alias("n_back"), F.count(F.when(F.col("live"), 1)).alias("n"))
+    edges = edges.filter("n > 0 and (n_out = 0 or n_back = 0)").withColumn("n", F.explode(F.array_repeat("n", F.col("n").cast("int"))))
+    forth = F.col("n_out") > 0
+    one_sided = edges.select(F.lit("error").alias("severity"), F.when(forth, "cites without cited_by").otherwise("cited_by without cites").alias("rule"), F.when(forth, F.col("a")).otherwise(F.col("b")).cast("string").alias("id"), F.when(forth, F.col("b")).otherwise(F.col("a")).cast("string").alias("detail"))
+    found = reduce(DataFrame.unionByName, [of_rows, listed(refs.select("key", broken(of_refs))), old, one_sided])
     if metadata:
         actual = papers.agg(F.count(F.when(owned(F.col("type")), 1)).alias("owned_count"), F.count(F.when(F.col("type") == "stub", 1)).alias("stub_count"))
         for name, stated in metadata.items():

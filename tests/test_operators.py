@@ -128,6 +128,36 @@ def test_check_finds_each_kind(spark):
     }
 
 
+def test_check_equals_plain_rules(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    some = lambda n: [rng.randrange(24) for _ in range(rng.randrange(n))]
+    rows = [(k, rng.choice(["owned", "stub"]), str(rng.randrange(22)) if rng.random() < 0.3 else None, some(6), some(6), some(3)) for k in range(20)]
+    gone, keys = {k: int(s) for k, _, s, *_ in rows if s}, {k for k, *_ in rows}
+    cites, back = {k: c for k, _, _, c, _, _ in rows}, {k: b for k, _, _, _, b, _ in rows}
+    expected = Counter()
+    for k, _, s, c, b, a in rows:
+        for name, items, theirs in (("cites", c, back), ("cited_by", b, cites)):
+            other = "cited_by" if name == "cites" else "cites"
+            expected.update((f"dangling {name}", k, str(r)) for r in items if r not in keys)
+            expected.update((f"{name} without {other}", k, str(r)) for r in items if k not in gone and r in keys and r not in gone and k not in theirs[r])
+            if len(set(items)) < len(items):
+                expected[f"duplicates in {name}", k, ""] += 1
+        expected.update(("unknown alias", k, str(r)) for r in a if r not in keys)
+        expected.update(("alias not superseded by its paper", k, str(r)) for r in a if r in keys and gone.get(r) != k)
+        if old := [r for r in c if r in gone and k not in gone]:
+            expected["cites a superseded paper", k, str(min(old))] += 1
+        if k in c + b:
+            expected["self-citation", k, ""] += 1
+        if s:
+            expected.update([("superseded by itself", k, s)] if int(s) == k else [("superseded in a circle", k, s)] if gone.get(int(s)) == k else [])
+    docs = spark.createDataFrame(rows, "key long, type string, superseded_by string, cites array<long>, cited_by array<long>, aliases array<long>")
+    assert Counter((r.rule, int(r.id), r.detail) for r in maintain.check(docs).collect()) == expected
+    assert maintain.check(docs.limit(0)).count() == 0
+
+
 PAPER = "paper_id string, title string, authors array<string>, author_key string, doi string, s2_id string, year string, type string, abstract string, cites array<string>, cited_by array<string>"
 
 
