@@ -204,9 +204,9 @@ def check(papers: DataFrame, metadata: dict | None = None) -> DataFrame:
 
     papers: key, id, type, title, superseded_by, cites, cited_by, aliases,
     extraction_file, text_file, source_db.  One pass over the documents gives
-    the rules of a row, one more all that they refer to: each reference is
-    looked up once, and both lists' edges meet in one aggregation, so the
-    number of scans and joins doesn't grow with that of the rules.
+    the rules of a row, one over each list all that they refer to: each
+    reference is looked up once, and both lists' edges meet in one aggregation,
+    so the number of scans and joins doesn't grow with that of the rules.
     """
     papers, has = cut(papers), set(papers.columns)
     kind = papers.schema["key"].dataType
@@ -230,19 +230,19 @@ def check(papers: DataFrame, metadata: dict | None = None) -> DataFrame:
     for c in sorted(set(STALE_FIELDS) & has):
         rules.append(("warning", f"stale field {c}", F.col(c).isNotNull(), F.lit(c)))
     said = lambda severity, rule, detail: F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
-    broken = lambda rules: F.explode(F.filter(F.array(*[F.when(on, said(s, r, detail)) for s, r, on, detail in rules]), lambda x: x.isNotNull())).alias("x")
-    listed = lambda df: df.select("x.severity", "x.rule", F.col("key").cast("string").alias("id"), "x.detail")
-    of_rows = listed(papers.select("key", broken(rules)))
+    whens = lambda rules: [F.when(on, said(s, r, detail)) for s, r, on, detail in rules]
+    listed = lambda df: df.filter("x is not null").select("x.severity", "x.rule", F.col("key").cast("string").alias("id"), "x.detail")
+    of_rows = listed(papers.select("key", F.explode(F.array(*whens(rules))).alias("x")))
 
     # Every reference with the list that it stands in, and what is known of the paper it means.
     lists = [c for c in ("cites", "cited_by", "aliases") if c in has]
-    item = lambda c: lambda ref: F.struct(F.lit(c).alias("list"), ref.cast(kind).alias("ref"))
-    held = [F.transform(F.coalesce(c, F.array().cast(papers.schema[c].dataType)), item(c)) for c in lists]
-    held.append(F.when(by.isNotNull(), F.array(item("superseded_by")(by))).otherwise(F.array().cast("array<struct<list:string,ref:" + kind.simpleString() + ">>")))
-    refs = papers.select("key", by.isNull().alias("active"), F.explode(F.concat(*held)).alias("x")).select("key", "active", "x.*")
+    held = [papers.select("key", by.isNull().alias("active"), F.lit(c).alias("list"), F.explode(c).alias("ref")) for c in lists]
+    held.append(papers.select("key", F.lit(False).alias("active"), F.lit("superseded_by").alias("list"), by.alias("ref")).filter("ref is not null"))
+    refs = reduce(DataFrame.unionByName, held).withColumn("ref", F.col("ref").cast(kind))
     known = papers.groupBy(F.col("key").alias("ref")).agg(F.min(by).alias("target"), F.lit(True).alias("exists"))
     refs = cut(refs.join(known, "ref", "left").withColumn("exists", F.coalesce("exists", F.lit(False))))
     on, there, target = (lambda c: F.col("list") == c), F.col("exists"), F.col("target")
+    # At most one of these holds for a reference.
     of_refs = [("error", f"dangling {c}", on(c) & ~there, F.col("ref")) for c in ("cites", "cited_by")]
     of_refs.append(("error", "unknown alias", on("aliases") & ~there, F.col("ref")))
     of_refs.append(("error", "alias not superseded by its paper", on("aliases") & there & (target.isNull() | (target != F.col("key"))), F.col("ref")))
@@ -256,7 +256,7 @@ def check(papers: DataFrame, metadata: dict | None = None) -> DataFrame:
     edges = edges.filter("n > 0 and (n_out = 0 or n_back = 0)").withColumn("n", F.explode(F.array_repeat("n", F.col("n").cast("int"))))
     forth = F.col("n_out") > 0
     one_sided = edges.select(F.lit("error").alias("severity"), F.when(forth, "cites without cited_by").otherwise("cited_by without cites").alias("rule"), F.when(forth, F.col("a")).otherwise(F.col("b")).cast("string").alias("id"), F.when(forth, F.col("b")).otherwise(F.col("a")).cast("string").alias("detail"))
-    found = reduce(DataFrame.unionByName, [of_rows, listed(refs.select("key", broken(of_refs))), old, one_sided])
+    found = reduce(DataFrame.unionByName, [of_rows, listed(refs.select("key", F.coalesce(*whens(of_refs)).alias("x"))), old, one_sided])
     if metadata:
         actual = papers.agg(F.count(F.when(owned(F.col("type")), 1)).alias("owned_count"), F.count(F.when(F.col("type") == "stub", 1)).alias("stub_count"))
         for name, stated in metadata.items():
