@@ -357,8 +357,8 @@ def katz_seeded(spark, d):
 @query("centrality_ranked", _rank_sql("directed", None).replace("SELECT paper_id, round(score, 7) AS score FROM", "SELECT row_number() OVER (ORDER BY score DESC, paper_id) AS rank, paper_id, title, round(score, 7) AS score FROM") + " JOIN papers USING (paper_id) WHERE type IN ('owned', 'external_owned') ORDER BY score DESC, paper_id LIMIT 15")
 def centrality_ranked(spark, d):
     scores = centrality.pagerank(C.papers(spark, d), C.edges(spark, d), max_iter=ITERATIONS, tol=0)
-    found = centrality.ranked(scores, C.papers(spark, d), 15, ["owned", "external_owned"])
-    return found.select(F.col("rank").cast("long").alias("rank"), "paper_id", "title", F.round("score", 7).alias("score"))
+    found = centrality.ranked(scores, C.papers(spark, d), 15, ["owned", "external_owned"], 7)
+    return found.select(F.col("rank").cast("long").alias("rank"), "paper_id", "title", "score")
 
 
 # Search.

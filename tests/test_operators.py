@@ -413,3 +413,11 @@ def test_pairs_of_a_paper_with_very_many_citers(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "array" not in plan.split("Exchange")[-1] and "Bucketed: true" in plan
     assert resolve.pair_scores(pairs, papers).count() == 40
+
+
+def test_rounded_ranking_goes_by_id_where_scores_look_alike(spark):
+    scores = spark.createDataFrame([(1, 0.30000001), (2, 0.30000002), (3, 0.5), (4, 0.1), (5, 0.9)], "paper_id long, score double")
+    papers = spark.createDataFrame([(i, f"t{i}", "stub" if i == 5 else "owned") for i in range(1, 6)], "paper_id long, title string, type string")
+    shown = centrality.ranked(scores, papers, 3, ["owned"], 3).collect()
+    assert [(r["rank"], r.paper_id, r.score) for r in shown] == [(1, 3, 0.5), (3, 1, 0.3), (2, 2, 0.3)]
+    assert [(r["rank"], r.paper_id) for r in centrality.ranked(scores, papers, 2).collect()] == [(1, 5), (2, 3)]
