@@ -421,3 +421,18 @@ def test_rounded_ranking_goes_by_id_where_scores_look_alike(spark):
     shown = centrality.ranked(scores, papers, 3, ["owned"], 3).collect()
     assert [(r["rank"], r.paper_id, r.score) for r in shown] == [(1, 3, 0.5), (3, 1, 0.3), (2, 2, 0.3)]
     assert [(r["rank"], r.paper_id) for r in centrality.ranked(scores, papers, 2).collect()] == [(1, 5), (2, 3)]
+
+
+def test_block_scores_are_pair_scores_of_candidate_pairs(spark, monkeypatch):
+    """Pairs of several blocks come once, blocks over the cap make none, lists too long to move are scored as well, and no pair is shuffled."""
+    def rows(k):
+        return (k, f"a long title of paper {k % 7} here", [f"Name{k % 3}, A.", f"Name{k % 5}, B."], f"key{k % 6}", f"10.1/{k // 2}" if k % 4 < 2 else "", f"S{k // 3}" if k % 3 else None, str(1990 + k % 3), "owned", "", [f"c{j}" for j in range(k % 4, k % 9)], [f"d{j}" for j in range(k % 6 + 2)])
+
+    papers = spark.createDataFrame([rows(k) for k in range(60)], "paper_id long, title string, authors array<string>, author_key string, doi string, s2_id string, year string, type string, abstract string, cites array<string>, cited_by array<string>")
+    for cap, carried in ((200, 1000), (9, 1000), (200, 4), (200, 0)):
+        monkeypatch.setattr(resolve, "CARRIED", carried)
+        expected = sorted(map(str, resolve.pair_scores(resolve.candidate_pairs(papers, cap, cap), papers).collect()))
+        assert sorted(map(str, resolve.block_scores(papers, cap=cap, title_cap=cap).collect())) == expected and expected
+    monkeypatch.setattr(resolve, "CARRIED", 1000)
+    plan = resolve.block_scores(papers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan
