@@ -436,3 +436,14 @@ def test_block_scores_are_pair_scores_of_candidate_pairs(spark, monkeypatch):
     monkeypatch.setattr(resolve, "CARRIED", 1000)
     plan = resolve.block_scores(papers)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["auto_groups", "canonical", "confident_groups", "dense_parts"])
+def test_groups_make_no_table_of_pairs(spark, monkeypatch, name):
+    from citeloom.plans import catalog
+
+    def never(*_):
+        raise AssertionError("pairs are scored in their blocks")
+
+    monkeypatch.setattr(resolve, "candidate_pairs", never)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
