@@ -73,20 +73,30 @@ def bib_coupling(edges: DataFrame, seeds: list, min_count: int = 2, limit: int =
     return _overlap(edges, "cited_id", "citing_id", seeds, min_count, limit, "n_shared")
 
 
+#: Matches at the head of two lists for which the lists are compared in full.
+MATCHES = 3
+
+
 def reference_overlap(edges: DataFrame, least: float = 0.25) -> DataFrame:
     """id_a, id_b, shared, jaccard of the reference lists of all pairs with a Jaccard similarity of ``least``; lists are never built.
 
-    References that few papers have come first in each list.  Two lists that
-    are similar enough share one among their first n - ceil(least * n) + 1, so
-    only these are joined, and references that everyone has propose no pairs.
+    References that few papers have come first in each list.  Lists of n and m
+    that are similar enough share ``need`` references, of which the k-th has
+    ``need - k`` common ones after it; so the first k are within the first
+    ``n - need + k`` of one list and ``m - need + k`` of the other.  Only matches
+    there are joined, references that everyone has propose no pairs, and lists
+    are compared in full for pairs with MATCHES of them (all they need, if fewer).
     """
     e = edges.select(F.col("citing_id").alias("a"), F.col("cited_id").alias("i")).distinct()
     often = e.groupBy("i").agg(F.count("*").alias("often"))
     at = numbered(e.join(often, "i"), ["a"], ["often", "i"], "at")
-    ranked = cut(at.join(e.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "i", "at", "n"))
-    head = ranked.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "i", "n")
-    pair = head.toDF("id_a", "i", "n_a").join(head.toDF("id_b", "i", "n_b"), "i").filter("id_a < id_b").filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
-    pair = pair.select("id_a", "id_b", "n_a", "n_b").distinct()
+    ranked = cut(at.join(e.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "i", F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n")))
+    head = ranked.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + MATCHES)
+    need = F.greatest(F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9), F.lit(1))
+    few = F.least(need, F.lit(MATCHES))
+    near = (F.col("at_a") < F.col("n_a") - need + few) & (F.col("at_b") < F.col("n_b") - need + few)
+    pair = head.toDF("id_a", "i", "at_a", "n_a").join(head.toDF("id_b", "i", "at_b", "n_b"), "i").filter("id_a < id_b").filter((F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9) & near)
+    pair = cut(pair.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("met")).filter(F.col("met") >= few).drop("met"))
     shorter, longer = F.when(F.col("n_a") <= F.col("n_b"), F.col("id_a")).otherwise(F.col("id_b")), F.when(F.col("n_a") <= F.col("n_b"), F.col("id_b")).otherwise(F.col("id_a"))
     met = pair.withColumns({"a": shorter, "other": longer}).join(ranked.select("a", "i"), "a").join(ranked.select(F.col("a").alias("other"), "i"), ["other", "i"])
     both = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared")).withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))

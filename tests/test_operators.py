@@ -447,3 +447,21 @@ def test_groups_make_no_table_of_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(resolve, "candidate_pairs", never)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_overlap_of_references_compares_few_lists_in_full(spark, monkeypatch):
+    """All similar pairs, of short lists and of lists that contain each other; pairs that share one reference are not compared in full."""
+    import random
+
+    rng = random.Random(5)
+    lists = {p: set(rng.sample(range(40), rng.randint(1, 12))) for p in range(60)} | {100: {1}, 101: {1}, 102: {1, 2, 3, 4}, 103: set(range(16)), 104: set(range(4))}
+    e = spark.createDataFrame([(p, i) for p, of in lists.items() for i in of], "citing_id long, cited_id long")
+    for least in (0.25, 0.5, 1.0):
+        want = {(a, b, len(x & y)) for a, x in lists.items() for b, y in lists.items() if a < b and len(x & y) >= least * len(x | y) - 1e-9}
+        assert {(r.id_a, r.id_b, r.shared) for r in graph.reference_overlap(e, least).collect()} == want and want
+    written = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(cut(df)) or written[-1])
+    sparse = spark.createDataFrame([(p, i) for p in range(60) for i in [0, *range(100 * p + 1, 100 * p + 10)]], "citing_id long, cited_id long")
+    assert graph.reference_overlap(sparse, 0.25).count() == 0
+    assert [w.count() for w in written if "id_b" in w.columns] == [0]
