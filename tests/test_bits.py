@@ -54,3 +54,13 @@ def test_hops_and_decisions_are_those_of_a_search(spark):
         assert {r[4] for r in expected} == {1, 2, 3}
         whole = sorted(map(tuple, A.link_decisions(names, got).collect()))
         assert sorted(map(tuple, A.link_decisions(names, A.nearest_links(names, *others)).collect())) == whole
+
+
+def test_decisions_ask_for_few_papers_where_they_are_clear(spark, monkeypatch):
+    n = spark.range(2000)
+    names, own = n.select(F.col("id").alias("paper_id"), F.lit("n").alias("name")), n.select(F.col("id").alias("paper_id"), F.lit("e").alias("author_id"))
+    edges = n.select(F.col("id").alias("citing_id"), ((F.col("id") + 1) % 2000).alias("cited_id"))
+    asked, hops = [], A._hops
+    monkeypatch.setattr(A, "_hops", lambda wanted, *rest: asked.append(wanted.count()) or hops(wanted, *rest))
+    found = A.nearest_links(names, spark.createDataFrame([("n", "e", 4), ("n", "f", 1)], "name string, author_id string, score int"), own, edges)
+    assert [tuple(r) for r in found.collect()] == [("n", "e", 4, 1)] and len(asked) == 1 and asked[0] < 200
