@@ -311,25 +311,32 @@ def review_evidence(names: DataFrame, candidates: DataFrame, entities: DataFrame
     ``overlap`` are the names beside the new one on its papers that a coauthor
     of the candidate goes by; ``others`` the first coauthors by id that are not
     among them, ``venues`` the first journals by paper, at most ``shown`` of each.
-    Whether two entities share a paper is asked for those pairs only that a name
-    proposes.  names (paper_id, name), candidates (name, author_id, score),
-    entities (author_id, canonical_name, name_variants), members (paper_id,
-    author_id), papers (paper_id, journal).
+    Who shares a paper with whom is a union of the papers' sets, in bits: neither
+    the names nor the entities of a paper are paired row by row.  names (paper_id,
+    name), candidates (name, author_id, score), entities (author_id,
+    canonical_name, name_variants), members (paper_id, author_id), papers
+    (paper_id, journal).
     """
     asked = cut(candidates.select("name", "author_id", "score").distinct())
-    own = cut(members.select("paper_id", "author_id").distinct())
-    on = names.select("paper_id", F.trim("name").alias("name")).distinct()
-    beside = on.join(on.withColumnRenamed("name", "other"), "paper_id").filter("name <> other").select("name", "other").distinct()
+    trimmed = names.join(names.select("name").distinct().select("name", F.trim("name").alias("_trimmed")), "name").select("paper_id", F.col("_trimmed").alias("name"))
+    known, at = bits.places(trimmed, "name"), bits.places(members, "author_id")
+    said, own = cut(bits.packed(trimmed, "paper_id", "name", known)), cut(bits.packed(members, "paper_id", "author_id", at))
+
+    def beside(sets: DataFrame, every: DataFrame, of: DataFrame, item: str, other: str) -> DataFrame:
+        """item, other: what stands on a paper beside each item of ``of``."""
+        wanted = every.join(of.select(item).distinct(), item, "left_semi")
+        met = sets.join(sets.select("paper_id", F.col("word").alias("_word"), F.col("bits").alias("_bits")), "paper_id")
+        near = bits.rows(met, wanted).groupBy(item, "_word").agg(F.bit_or("_bits").alias("bits")).withColumnRenamed("_word", "word")
+        return bits.rows(near, every.withColumnRenamed(item, other)).select(item, other).filter(F.col(item) != F.col(other))
+
     goes_by = entities.select(F.col("author_id").alias("co_id"), F.explode(F.array_union(F.array("canonical_name"), F.split("name_variants", r"\|"))).alias("other"))
-    proposed = cut(asked.select("name", "author_id").join(beside, "name").join(goes_by, "other").filter("author_id <> co_id"))
-    theirs = own.withColumnRenamed("author_id", "co_id")
-    together = own.join(proposed.select("author_id", "co_id").distinct(), "author_id").join(theirs, ["co_id", "paper_id"], "left_semi").select("author_id", "co_id").distinct()
+    proposed = asked.select("name", "author_id").join(beside(said, known, asked, "name", "other"), "name").join(goes_by, "other").filter("author_id <> co_id")
+    together = cut(beside(own, at, asked, "author_id", "co_id"))
     overlap = cut(proposed.join(together, ["author_id", "co_id"]).select("name", "author_id", "other").distinct())
     title = entities.select(F.col("author_id").alias("co_id"), F.col("canonical_name").alias("other"))
-    known = own.join(asked.select("author_id").distinct(), "author_id", "left_semi").join(theirs, "paper_id").filter("author_id <> co_id").select("author_id", "co_id").distinct()
-    rest = asked.select("name", "author_id").join(known, "author_id").join(title, "co_id").join(overlap, ["name", "author_id", "other"], "left_anti")
+    rest = asked.select("name", "author_id").join(together, "author_id").join(title, "co_id").join(overlap, ["name", "author_id", "other"], "left_anti")
     rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("name", "author_id").orderBy("co_id"))).filter(F.col("r") <= shown)
-    journals = own.join(papers.select("paper_id", "journal").filter("journal <> ''"), "paper_id").groupBy("author_id", "journal").agg(F.min("paper_id").alias("first"))
+    journals = bits.rows(own.join(papers.select("paper_id", "journal").filter("journal <> ''"), "paper_id"), at).groupBy("author_id", "journal").agg(F.min("paper_id").alias("first"))
     journals = journals.withColumn("r", F.row_number().over(Window.partitionBy("author_id").orderBy("first", "journal"))).filter(F.col("r") <= shown)
     ordered = lambda c, by: F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c])
     return (

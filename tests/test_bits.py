@@ -64,3 +64,12 @@ def test_decisions_ask_for_few_papers_where_they_are_clear(spark, monkeypatch):
     monkeypatch.setattr(A, "_hops", lambda wanted, *rest: asked.append(wanted.count()) or hops(wanted, *rest))
     found = A.nearest_links(names, spark.createDataFrame([("n", "e", 4), ("n", "f", 1)], "name string, author_id string, score int"), own, edges)
     assert [tuple(r) for r in found.collect()] == [("n", "e", 4, 1)] and len(asked) == 1 and asked[0] < 200
+
+
+def test_names_of_one_large_paper_are_not_paired(spark):
+    n = spark.range(6000).select(F.lit(1).alias("paper_id"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("name"))
+    entities = n.filter("name like '%77'").select(F.col("name").alias("author_id"), F.col("name").alias("canonical_name"), F.col("name").alias("name_variants"))
+    members = n.select("paper_id", F.col("name").alias("author_id"))
+    found = A.review_evidence(n, entities.select("author_id", F.lit("N77").alias("name"), F.lit(3).alias("score")), entities, members, spark.createDataFrame([(1, "J")], "paper_id int, journal string"))
+    got = {r.author_id: (len(r.overlap), *r.venues) for r in found.collect()}
+    assert len(got) == 60 and set(got.values()) == {(58, "J"), (59, "J")}
