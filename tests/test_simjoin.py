@@ -87,3 +87,57 @@ def test_many_staged_records_and_a_hot_title(spark):
     got = {r["ref"]: r["paper_id"] for r in found.collect()}
     assert got.pop(-1) == 0 and -2 not in got and -3 not in got
     assert got == {k: k + 3000 for k in range(n) if k % 40 == 0 or k > 20990}
+
+
+def test_lcs_of_one_string_against_many():
+    rng = random.Random(4)
+    lengths = [0, 1, 2, 5, 63, 64, 65, 127, 128, 129, 300]
+    one, many = (["".join(rng.choice("abcdé日🙂") for _ in range(rng.choice(lengths))) for _ in range(n)] for n in (60, 200))
+    for least in (0.2, 0.7, 1.0):
+        shares, seen = (least / (2 - least), (2 - least) / least), set()
+        for number, of, lcs in S.lcs_against(one, many, shares):
+            for k, n in zip(of.tolist(), lcs.tolist(), strict=True):
+                assert n == S.lcs_length(one[number], many[k])
+                seen.add((number, k))
+        assert {(i, k) for i, x in enumerate(one) for k, y in enumerate(many) if x and y and S.indel(x, y) >= 100 * least} <= seen
+    assert list(S.lcs_against(["a"], [], (0.5, 2))) == [] and list(S.lcs_against([], ["a"], (0.5, 2))) == []
+
+
+@pytest.mark.parametrize("least", [50, 70, 100])
+def test_compared_blocks_are_what_the_join_gives(spark, least, monkeypatch):
+    rng = random.Random(least)
+    left, right = words(rng, 25, "abcdefghij klmno"), words(rng, 40, "abcdefghij klmno")
+    right += left[::3]
+    monkeypatch.setattr(simjoin, "BLOCKS", (8, 16))
+    sides = [simjoin._strings(spark.createDataFrame([(x,) for x in side], "s string"), least / 100) for side in (left, right)]
+    got = simjoin.compared(*sides, least / 100).collect()
+    want = {(x, y): S.indel(x, y) for x in left for y in right if x and y and S.indel(x, y) >= least - 1e-9}
+    assert {(r["a"], r["b"]): r["ratio"] for r in got} == want and len(got) == len(want)
+
+
+def test_titles_that_are_much_alike_are_compared_and_no_join_on_grams_is_made(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "near_keys", lambda *_: pytest.fail("a row for each gram that titles share"))
+    monkeypatch.setattr(simjoin, "FEW", 0)
+    alike = spark.createDataFrame([(f"a study of the {k % 7} common words in {k}",) for k in range(60)], "s string")
+    assert simjoin.similar(alike, alike, 70).count() >= 60
+
+
+def test_a_title_is_looked_for_in_no_lower_tier_than_its_best(spark, monkeypatch):
+    from citeloom.operators import resolve
+
+    asked, found = [], resolve.similar_titles
+    monkeypatch.setattr(resolve, "similar_titles", lambda left, right, least: asked.append((least, left.count())) or found(left, right, least))
+    staged = spark.createDataFrame([(1, "The growth of very small cities"), (2, "Growth of very small cities!"), (3, "nothing like these")], "ref int, title string")
+    papers = spark.createDataFrame([(5, "the growth of very small cities", "owned"), (4, "the growth of very small citys", "stub"), (7, "growth of the big cities", "owned")], "paper_id int, title string, type string")
+    got = {r["ref"]: (r["paper_id"], r["score"], r["match_type"]) for r in resolve.duplicates_of(staged, papers).collect()}
+    assert got == {1: (5, 5.0, "local"), 2: (5, 3.5, "local")} and asked == [(97.0, 3), (90.0, 2), (80.0, 1)]
+
+
+@pytest.mark.parametrize("least", [50, 70, 97])
+def test_join_on_grams_loses_no_pair_where_pairs_are_many(spark, least, monkeypatch):
+    monkeypatch.setattr(simjoin, "FEW", 0)
+    monkeypatch.setattr(simjoin, "_crowded", lambda *_: False)
+    rng = random.Random(least)
+    left, right = words(rng, 25, "abcdefghij klmno"), words(rng, 40, "abcdefghij klmno")
+    got = simjoin.similar(*(spark.createDataFrame([(x,) for x in side], "s string") for side in (left, right)), least).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(x, y) for x in left for y in right if x and y and S.indel(x, y) >= least - 1e-9}
