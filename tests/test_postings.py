@@ -76,3 +76,14 @@ def test_search_over_all_kinds(spark, tmp_path):
     got = postings.search_all(kinds, "steel", 10).orderBy("kind", "rank").collect()
     assert [(r["kind"], r["key"], r["rank"], r["total"]) for r in got] == [("a", str(2 * k + 1), k + 1, 20) for k in range(10)] + [("b", "9", 1, 1)]
     assert {r["papers_shown"] for r in got} == {4}
+
+
+def test_hits_of_a_block_are_gathered_without_a_shuffle_of_hits(spark, tmp_path, monkeypatch):
+    plans, kept = [], postings.cut
+    monkeypatch.setattr(postings, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    docs = spark.createDataFrame([(k, f"steel word{k % 7} steel the {k}" if k % 5 else None) for k in range(300)], "id int, text string")
+    index = postings.build(docs, "id", ["text"], str(tmp_path / "i"), block=16)
+    shuffles = [x for p in plans for x in p.splitlines() if "Exchange " in x and "Broadcast" not in x]
+    assert len(plans) == 1 and len(shuffles) == 2  # by key and by block
+    rows = index.blocks.filter("term = 'steel'").collect()
+    assert sorted(k for r in rows for k in r["keys"]) == [k for k in range(300) if k % 5] and all(len({*r["keys"]}) == r["hits"] <= 16 for r in rows)
