@@ -103,3 +103,18 @@ def test_review_of_candidates(spark):
         "roe_a": ["Roe, J. -> Roe, Jane (roe_a) [score: 3]", "  Variants: Roe, J. | Roe, Jane | a | b | c | +2 more | 2 papers", "  Coauthor overlap: Poe, E.", "  Other coauthors: Poe, Edgar; Xu, X.", "  Venues: Nature"],
         "roe_b": ["Roe, J. -> Roe, John (roe_b) [score: 2]", "  Variants: Roe, John | 1 papers", "  Coauthor overlap: (none)"],
     }
+
+
+def test_each_two_authors_are_counted_once_and_long_papers_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(A, "LISTED", 4)
+    rows = [(p, f"a{k}") for p in range(12) for k in range(p % 7 + 1)] + [(1, "a0"), (None, "a0"), (3, None)]
+    got = A.all_coauthors(spark.createDataFrame(rows, "paper_id int, author_id string"))
+    assert {c for j in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "author_id" in j for c in ("<>", "NOT (author") if c in j} == set()
+    want = {}
+    of = {p: sorted({a for q, a in rows if q == p and a}) for p in range(12)}
+    for names in of.values():
+        for a in names:
+            for b in names:
+                if a != b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["author_id"], r["coauthor_id"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
