@@ -1,19 +1,18 @@
 """Incremental loads: files are taken up once, exactly, by a file stream that ends when it has caught up.
 
-Versions of one key in different batches meet in keyed state, and windowed
-counts are given out once, when the watermark has passed them, after which their
+Versions of one key in different batches meet in a join with what was taken up
+before, and windowed counts are given out once, when the watermark has passed them, after which their
 state goes; rows that come later than that are kept in a table beside them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from citeloom.sources.documents import extractions
 
@@ -56,35 +55,32 @@ def newest_versions(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(whole, _version(order, rows.columns)).alias("_row")).select("_row.*")
 
 
-def superseding(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """The rows of a stream that are newer than any row of their key in this or an earlier batch.
+def take_up_versions(stream: DataFrame, key: str, order: str, checkpoint: str, path: str) -> StreamingQuery:
+    """Keeps the rows that are newer than any row of their key in this or an earlier batch, batch by batch, below ``path``; may be stopped and started again at any batch.
 
-    ``order`` is a long, such as a file's modification time.  State holds the
-    newest version seen of each key, two numbers, and grows with the keys, as
-    the table does: a key that was forgotten would let an older version pass.
+    Null orders count as oldest.  What earlier batches took up is the state: the
+    newest of a batch is held against the newest marks (order, hash) of its keys
+    there, which moves two numbers for each row taken up and no row.  A batch
+    that is repeated reads the batches before it only, and replaces itself.
     """
-    columns = stream.columns
-    tie = _version(order, columns)
-    ready = stream.withColumns({"_at": F.coalesce(tie["at"].cast("long"), F.lit(-(1 << 62))), "_tie": tie["tie"]}).withColumn("_key", F.col(key))
+    spark, columns = stream.sparkSession, stream.columns
+    mark = _version(order, columns)
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
 
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, best = state.getOption, None
-        for part in parts:
-            newest = part.sort_values(["_at", "_tie"]).tail(1)
-            mark = (int(newest["_at"].iloc[0]), int(newest["_tie"].iloc[0]))
-            if seen is None or mark > tuple(seen):
-                seen, best = mark, newest
-        if best is not None:
-            state.update(seen)
-            yield best[columns]
+    def put(batch: DataFrame, number: int) -> None:
+        newest = newest_versions(batch, key, order)
+        if number and _exists(spark, path):
+            taken = spark.read.schema(schema).parquet(path).filter(F.col("batch") < number)
+            seen = taken.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(mark).alias("_seen"))
+            newest = newest.join(seen, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left").filter(F.col("_seen").isNull() | (mark > F.col("_seen"))).select(*[F.col(f"`{c}`") for c in columns])
+        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return ready.groupBy("_key").applyInPandasWithState(run, fields, "at long, tie long", "update", GroupStateTimeout.NoTimeout)
+    return take_up(stream, checkpoint, put)
 
 
-def take_up_versions(stream: DataFrame, key: str, order: str, checkpoint: str, path: str) -> StreamingQuery:
-    """Keeps what supersedes, batch by batch, below ``path``; may be stopped and started again at any batch."""
-    return take_up(superseding(stream, key, order), checkpoint, into_parquet(path), "update")
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def current(spark: SparkSession, path: str, like: DataFrame, key: str, order: str) -> DataFrame:

@@ -65,3 +65,17 @@ def test_windows_are_settled_once_and_late_rows_kept(spark, tmp_path, runs):
     assert held[-1] == 1  # the one window that isn't settled; the state of the others went
     if runs > 1:
         assert max(held) <= 1 + len(batches[3])
+
+
+def test_versions_meet_in_a_join_not_in_state_of_every_key(spark, tmp_path):
+    """Many keys in a few batches: what was taken up is the state, and a null key is a key."""
+    src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    like = spark.createDataFrame([], LIKE)
+    version = lambda on, at, title: spark.range(5000).filter(on).selectExpr("if(id = 0, null, string(id)) AS paper", f"{at}L AS modified", f"'{title}' AS title")
+    for rows in (version("true", 5, "first"), version("id % 2 = 0", 9, "newer"), version("id % 3 = 0", 7, "other")):
+        rows.write.mode("append").parquet(src)
+        I.take_up_versions(I.table_stream(spark, like, src), "paper", "modified", chk, out)
+    titles = {r["title"]: r["count"] for r in I.current(spark, out, like, "paper", "modified").groupBy("title").count().collect()}
+    assert titles == {"newer": 2500, "other": 833, "first": 1667}
+    assert spark.read.schema(LIKE).parquet(out).count() == 5000 + 2500 + 833  # of the third batch the rows that nothing newer came before
+    assert not (tmp_path / "chk" / "state").exists()
