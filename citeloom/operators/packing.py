@@ -1,13 +1,16 @@
 """Next-fit packing of an ordered table into bins of bounded size, without a pass from the first row to the last.
 
-With running sums known, each row knows the row that would begin the next bin if
-a bin began at it: the first that no longer fits.  The bins' first rows are what
-is reached from the first row by these pointers; doubling the pointers finds all
-of them in as many joins as the number of bins has binary digits.
+All that a range of rows needs to know of those before it is up to which place
+the bin that is open at its start has room.  So each range says what any such
+place leads to: the place for the next range, and how many bins begin.  That is
+a step function with a step for each row that may begin the range's first bin,
+fewer where packings soon meet.  A pass over the steps, a few for each range,
+gives every range its place; then the ranges pack their rows by themselves.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +35,41 @@ def running(df: DataFrame, order: list[str | Column], sums: dict[str, Column]) -
     return done.select(*df.columns, *[(F.col(name) + F.col(f"_{name}")).cast("long").alias(name) for name in sums])
 
 
-def _first_beyond(items: DataFrame, room: int) -> DataFrame:
-    """i, next: for each item (i, size, end) the first that no longer fits into a bin that begins at it; null after the last."""
-    i = F.col("i")
-    asked = items.select((F.col("end") - F.col("size") + room).alias("v"), F.lit(1).alias("kind"), i)
-    there = items.select(F.col("end").alias("v"), F.lit(0).alias("kind"), i)
-    keys = ["v", "kind", "i"]  # an item that ends where a bin is full still fits, so it comes before the question
-    both = cut(asked.unionByName(there).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    item = F.when(F.col("kind") == 0, i)
-    later = Window.partitionBy("_part").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first(item, ignorenulls=True).over(later)).filter("kind = 1")
-    heads = both.groupBy("_part").agg(F.min(item).alias("head"))  # a row for each range; its first item has the smallest place
-    after = heads.select("_part", F.first("head", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    beyond = F.coalesce("next", "after")
-    return found.join(F.broadcast(after), "_part").select("i", F.when(beyond.isNotNull(), F.greatest(beyond, i + 1)).alias("next"))
+#: A place before all others; no bin is open.
+_NONE = -(1 << 61)
+
+
+def _following(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's end, and the first row that no longer fits into a bin that begins at it; the number of rows, if all do."""
+    ends = np.cumsum(sizes)
+    return ends, np.maximum(np.searchsorted(ends, ends - sizes + room, "right"), np.arange(1, len(ends) + 1))
+
+
+def _steps(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a range, with places from its start: from which place of the open bin's end a step holds, the place after the range, and the bins that begin in it.
+
+    A bin that has room for the whole range stays open; its place, counted from
+    the next range's start, is its own less the range's size (a last step of no bins).
+    """
+    (ends, follow), n = _following(sizes, room), len(sizes)
+    jump, last, count = np.r_[follow, n], np.arange(n + 1), np.r_[np.ones(n, np.int64), 0]
+    while (jump < n).any():  # pointers of 1, 2, 4, ... bins, until all lead beyond the last row
+        last, count, jump = np.where(jump < n, last[jump], last), count + count[jump], jump[jump]
+    after = (ends - sizes + room)[last[:n]] - ends[-1]
+    since = np.r_[_NONE, ends[:-1]]
+    may = (since <= room) & np.r_[True, sizes[1:] > 0]  # a row without a size fits wherever the one before it did
+    since, after, count = since[may], after[may], count[:n][may]
+    new = np.r_[True, (np.diff(after) != 0) | (np.diff(count) != 0)]
+    return np.r_[since[new], ends[-1]], np.r_[after[new], -ends[-1]], np.r_[count[new], 0]
+
+
+def _bins(sizes: np.ndarray, room: int, place: int, before: int) -> np.ndarray:
+    """The bins of a range's rows; ``place``: the open bin's end, the last of ``before`` bins."""
+    ends, follow = _following(sizes, room)
+    begins, at = np.zeros(len(sizes), np.int64), int(np.searchsorted(ends, place, "right"))
+    while at < len(sizes):
+        begins[at], at = 1, int(follow[at])
+    return before - 1 + np.cumsum(begins)
 
 
 def packed(df: DataFrame, order: list[str], size: Column, most: int, header: int = 0) -> DataFrame:
@@ -55,20 +79,42 @@ def packed(df: DataFrame, order: list[str], size: Column, most: int, header: int
     bin of its own.  Null sizes count as 0.  ``order`` names columns whose values
     are distinct together; an empty table gives no rows.
     """
+    import pyarrow as pa
+
     if most <= header:
         raise ValueError("a header fills a bin")
-    sized = df.withColumn("size", F.greatest(F.coalesce(size, F.lit(0)).cast("long"), F.lit(0).cast("long")))
-    keyed = sized.select(F.struct(*order).alias("k"), "size")
-    items = cut(running(keyed, ["k"], {"i": F.lit(1), "end": F.col("size")}).withColumn("i", F.col("i") - 1))
-    n = items.count()
-    last = n - 1
-    jumps = [cut(_first_beyond(items.select("i", "size", "end"), most - header).filter(F.col("next") <= last))]
-    starts = items.filter("i = 0").select("i")
-    while not jumps[-1].isEmpty():  # pointers of 1, 2, 4, ... bins, until they lead beyond the last row
-        now = jumps[-1]
-        jumps.append(cut(now.join(now.select(F.col("next").alias("mid"), F.col("i").alias("from")).withColumnRenamed("from", "_from"), F.col("i") == F.col("mid")).select(F.col("_from").alias("i"), "next")))
-    for jump in reversed(jumps):
-        starts = cut(starts.unionByName(starts.join(jump, "i").select(F.col("next").alias("i"))).distinct())
-    marked = items.join(starts.withColumn("begins", F.lit(1)), "i", "left").select("k", "i", F.coalesce("begins", F.lit(0)).alias("begins"))
-    bins = running(marked, ["i"], {"bin": F.col("begins")}).select("k", (F.col("bin") - 1).alias("bin"))
-    return df.join(bins, F.struct(*[df[c] for c in order]) == F.col("k")).drop("k")
+    room = most - header
+    amount = F.greatest(F.coalesce(size, F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), amount.alias("size"), *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(order)])
+    keys = [f"k{n}" for n in range(len(order))]
+    ordered = cut(whole.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", "size").withColumn("at", F.monotonically_increasing_id()))
+    sizes = ordered.select(F.shiftright("at", 33).alias("part"), "at", "size")
+
+    def steps(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        since, after, count = _steps(table.column("size").to_numpy(), room)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()] * len(since), pa.int64()), "since": since, "after": after, "n": count})
+
+    def places(batches):
+        part, place, before, found = None, _NONE, 0, None
+        for batch in batches:
+            out = []
+            for p, since, after, n in zip(*(batch.column(c).to_pylist() for c in ("part", "since", "after", "n")), strict=True):
+                if p != part:
+                    if found is not None:
+                        place, before = found
+                    out.append((p, place, before))
+                    part = p
+                if since <= place:  # the last step that holds counts
+                    found = (after if n else place + after, before + n)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["part", "place", "before"])
+
+    def bins(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        place, before = (table.column(c)[0].as_py() for c in ("place", "before"))
+        return pa.table({"at": table.column("at"), "bin": _bins(table.column("size").to_numpy(), room, place, before)})
+
+    function = sizes.groupBy("part").applyInArrow(steps, "part long, since long, after long, n long")
+    opened = cut(function.repartition(1).sortWithinPartitions("part", "since").mapInArrow(places, "part long, place long, before long"))  # a few rows for each range, one held at a time
+    found = sizes.join(F.broadcast(opened), "part").groupBy("part").applyInArrow(bins, "at long, bin long")
+    return ordered.join(found, "at").select("row.*", "bin")

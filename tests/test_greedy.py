@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,35 @@ def test_bins_of_nothing_of_one_row_and_of_zeros(spark):
     assert {r["bin"] for r in packing.packed(spark.range(50).selectExpr("id", "0 as bytes"), ["id"], F.col("bytes"), 10).collect()} == {0}
     with pytest.raises(ValueError):
         packing.packed(empty, ["id"], F.col("bytes"), 5, 5)
+
+
+def test_packing_takes_few_jobs_however_many_bins(spark):
+    """Ranges are packed by themselves: no round for each binary digit of the number of bins."""
+    rng = random.Random(4)
+    sizes = [rng.choice([0, 1, 2, 3, 40]) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id int, size int").repartition(7)
+    spark.sparkContext.setJobGroup("packing", "")
+    try:
+        got = [r["bin"] for r in packing.packed(df, ["id"], F.col("size"), 7).orderBy("id").collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("packing"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == next_fit(sizes, 7) and got[-1] > 1000
+    assert jobs <= 20
+
+
+@pytest.mark.parametrize("room", [1, 5, 9, 40])
+def test_steps_of_ranges_follow_each_other(room):
+    """Whatever the ranges are, one without a size or with one row among them."""
+    rng = random.Random(room)
+    for _ in range(200):
+        sizes = [rng.choice([0, 0, 1, 2, 7, 60]) for _ in range(rng.randrange(1, 40))]
+        cuts = sorted({0, len(sizes), *(rng.randrange(len(sizes) + 1) for _ in range(6))})
+        place, before, got = packing._NONE, 0, []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            part = np.array(sizes[lo:hi], np.int64)
+            got += packing._bins(part, room, place, before).tolist()
+            since, after, n = packing._steps(part, room)
+            at = int(np.flatnonzero(since <= place)[-1])
+            place, before = (int(after[at]) if n[at] else place + int(after[at])), before + int(n[at])
+        assert got == next_fit(sizes, room)
