@@ -9,8 +9,8 @@ from citeloom.operators.greedy import numbered
 from citeloom.sources.store import cut
 
 
-def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame:
-    """a, b, n: every two ``of`` (a < b) that share at least ``least`` of the items, and how many.
+def _counted_in_rows(e: DataFrame, least: int, long: DataFrame | None = None) -> DataFrame:
+    """``shared_counts`` of distinct (a, i) by pairs as rows; with ``long`` (a) only pairs with one of these.
 
     Items that many share come last in each list.  Of two lists with ``least``
     common items, one lies before the last ``least - 1`` of both, so only these
@@ -20,7 +20,6 @@ def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame
     head is what the tails lack, so no list is ever sorted as a whole; a key of
     many rows is split by AQE, as both sides of each join are plain shuffles.
     """
-    e = pairs.select(F.col(of).alias("a"), F.col(item).alias("i")).distinct()
     often = e.groupBy("i").agg(F.count("*").alias("often"))
     last = Window.partitionBy("a").orderBy(F.desc("often"), F.desc("i"))
     if least > 1:
@@ -30,7 +29,13 @@ def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame
         head = cut(every.join(tail, ["a", "i"], "left_anti"))
     else:
         head = cut(e)
-    found = head.join(head.withColumnRenamed("a", "b"), "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    if long is None:
+        met = head.join(head.withColumnRenamed("a", "b"), "i").filter("a < b")
+    else:
+        some = cut(head.join(long, "a", "left_semi"))
+        short = head.join(long, "a", "left_anti")
+        met = some.join(some.withColumnRenamed("a", "b"), "i").filter("a < b").select("a", "b").unionByName(some.toDF("c", "i").join(short, "i").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")))
+    found = met.groupBy("a", "b").agg(F.count("*").alias("n"))
     if least < 2:
         return found
     found = cut(found)
@@ -41,6 +46,41 @@ def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame
     return total.filter(F.col("n") >= least)
 
 
+#: Items of a list up to which what follows an item moves with it, so that a pair of short lists is counted where it is made.
+SHORT = 16
+
+
+def shared_counts(pairs: DataFrame, of: str, item: str, least: int) -> DataFrame:
+    """a, b, n: every two ``of`` (a < b) that share at least ``least`` of the items, and how many.
+
+    Items that many share come last in each list.  A list of at most SHORT items
+    moves once for each of them, with the items that come after it.  Where two
+    such lists meet at an item, what they share from there on is counted at
+    once, so only pairs with ``least`` common items leave the join; the item at
+    which a pair has most is its first one.  Pairs with a longer list are
+    counted in rows (``_counted_in_rows``).
+    """
+    e = pairs.select(F.col(of).alias("a"), F.col(item).alias("i")).distinct().filter("i is not null")
+    e = e if least < 2 else cut(e)
+    if least < 2:
+        return _counted_in_rows(e, least)
+    long = cut(e.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > SHORT).select("a"))
+    lists = e if long.isEmpty() else e.join(long, "a", "left_anti")
+    often = cut(e.groupBy("i").agg(F.count("*").alias("often")))
+    listed = lists.join(often, "i").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "i"))), lambda x: x["i"]).alias("items"))
+    # The last items begin no part that is long enough.
+    at = F.sequence(F.lit(0), F.size("items") - least)
+    parts = listed.filter(F.size("items") >= least).select("a", "items", F.explode(at).alias("k")).select("a", F.get("items", F.col("k")).alias("i"), F.slice("items", F.col("k") + 2, F.size("items")).alias("more"))
+    met = parts.join(parts.toDF("b", "i", "other"), "i").filter("a < b")
+    met = met.select("a", "b", (F.size(F.array_intersect("more", "other")) + 1).cast("long").alias("n")).filter(F.col("n") >= least)
+    found = met.groupBy("a", "b").agg(F.max("n").alias("n"))
+    if long.isEmpty():
+        return found
+    # For pairs with a longer list only items of such lists count.
+    theirs = e.join(long, "a", "left_semi").select("i").distinct()
+    return found.unionByName(_counted_in_rows(cut(e.join(theirs, "i", "left_semi")), least, long))
+
+
 def co_cited_pairs(edges: DataFrame, papers: DataFrame, min_count: int = 2, limit: int = 20) -> DataFrame:
     """The pairs of papers that most papers cite together."""
     pairs = shared_counts(edges, "cited_id", "citing_id", min_count).toDF("cited_a", "cited_b", "n_citers").orderBy(F.desc("n_citers"), "cited_a", "cited_b").limit(limit)

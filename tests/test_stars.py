@@ -118,3 +118,23 @@ def test_each_two_authors_are_counted_once_and_long_papers_are_joined(spark, mon
                 if a != b:
                     want[a, b] = want.get((a, b), 0) + 1
     assert {(r["author_id"], r["coauthor_id"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_pairs_of_short_lists_are_counted_where_they_meet(spark, monkeypatch, least):
+    """No row is moved for a pair that shares too little; longer lists, and items that are null, count as ever."""
+    rng = random.Random(least)
+    rows = [(a, rng.choice([None, 0, 1, *range(30)])) for a in range(40) for _ in range(rng.randrange(12))]
+    lists = {}
+    for a, i in rows:
+        if i is not None:
+            lists.setdefault(a, set()).add(i)
+    expected = {(a, b, len(lists[a] & lists[b])) for a, b in itertools.combinations(sorted(lists), 2) if len(lists[a] & lists[b]) >= least}
+    df = spark.createDataFrame(rows, "a int, i int")
+    monkeypatch.setattr(graph, "_counted_in_rows", None)
+    got = graph.shared_counts(df, "a", "i", least)
+    assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "SHORT", 4)
+    got = graph.shared_counts(df, "a", "i", least)
+    assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
