@@ -17,11 +17,13 @@ the files; the table says which ones, and serves random access.
 from __future__ import annotations
 
 import base64
+import codecs
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,7 @@ class Encoder:
         parts = [x.decode() for x in raw]
         plain = np.fromiter((_PLAIN.fullmatch(p) is not None for p in parts), bool, len(parts))
         words = [p for p, x in zip(parts, plain, strict=True) if x]
-        joined = [" ".join(words[k : k + 256]).encode().decode("latin-1").translate(_BYTE_CHARS) for k in range(0, len(words), 256)]
+        joined = [codecs.charmap_decode(" ".join(words[k : k + 256]).encode(), "strict", _SPELT)[0] for k in range(0, len(words), 256)]
         ids = np.fromiter((i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids), self.wide)
         ends = np.flatnonzero(self.final[ids]) + 1
         rest = [e.ids for e in self.tokenizer.encode_batch([p for p, x in zip(parts, plain, strict=True) if not x], add_special_tokens=False)]
@@ -115,9 +117,12 @@ class Encoder:
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
         keys = keys.tolist()
-        if new := [k for k, key in enumerate(keys) if key not in self.known]:
-            self._learn([keys[k] for k in new], [raw[starts[at[k]] : ends[at[k]]] for k in new])
-        slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[part]
+        slot = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(slot < 0)):
+            fresh, first = [keys[k] for k in new.tolist()], at[new]
+            self._learn(fresh, [raw[lo:hi] for lo, hi in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            slot[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        slot = slot[part]
         if (self.place[slot + 1] - self.place[slot] != length).any() or not B.same(spans, starts, self.spans, self.place[slot], length):
             return self._whole(texts, end)  # two parts have one hash
         size = self.first[slot + 1] - self.first[slot]
@@ -224,6 +229,7 @@ class Sequences:
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _PRINTABLE = [*range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + 33 + k for k, b in enumerate(x for x in range(127, 256) if x not in _PRINTABLE)} | {b: b for b in _PRINTABLE}
+_SPELT = "".join(chr(_BYTE_CHARS.get(b, b)) for b in range(256))
 
 
 def _encode_and_write(folder: str, tokenizer: str, end: int, length: int):

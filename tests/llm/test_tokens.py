@@ -216,3 +216,36 @@ def test_round_trip(table):
     assert all(both[i].text == (t or "") for i, t, *_ in rows)
     assert {r.doc_id: r.text for r in V.decode(V.encode(df, MODEL), MODEL).collect()} == {i: t or "" for i, t, *_ in rows}
     assert V.encode(table([], DOCS), MODEL).count() == 0
+
+
+def test_a_known_part_is_looked_up_once():
+    """Each distinct part of a batch costs one look into what a worker remembers, and bytes are spelt as the tokenizer spells them."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from citeloom.llm import token_stream
+
+    class Counting(dict):
+        looks = 0
+
+        def get(self, *a):
+            Counting.looks += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counting.looks += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            Counting.looks += 1
+            return super().__contains__(k)
+
+    coder = token_stream.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array(["größe und façade, the the end.", "ÿ the Émile"])
+    ids, n = coder.encode(texts, 2)
+    coder.known = Counting(coder.known)
+    again, m = coder.encode(texts, 2)
+    assert ids.tolist() == again.tolist() and n.tolist() == m.tolist()
+    whole = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts.to_pylist()]
+    assert ids.tolist() == [i for w in whole for i in w] and n.tolist() == list(map(len, whole))
+    assert Counting.looks == len(coder.known)
